@@ -7,8 +7,8 @@ between two nodes) is a Spark expression over the columns produced here.
 The tree follows the public HTML parsing rules that change the shape of real filings: implied
 html/head/body/tbody/tr, void and raw-text elements, block starts closing an open ``p``, list items
 closing each other, formatting elements reopened in the next block, mis-nested formatting end tags,
-and content misplaced directly inside a table moved in front of it.  Not covered: foreign-content
-case fixes, frames, template contents and the restricted content of ``select``.
+and content misplaced directly inside a table moved in front of it.  Not covered: foreign content,
+frames, templates and the special rules of form controls.
 """
 
 from __future__ import annotations
@@ -33,6 +33,11 @@ CLOSES_P = HEADINGS | set(
 FORMATTING = set("a b big code em font i nobr s small strike strong tt u".split())
 SCOPE_EDGE = set("applet caption html table td th marquee object template".split())
 IMPLIED_END = set("dd dt li optgroup option p rb rp rt rtc".split())
+BUTTON_EDGE = SCOPE_EDGE | {"button"}
+LIST_EDGE = SCOPE_EDGE | {"ol", "ul"}
+TABLE_EDGE = {"table", "html", "template"}
+CELLS = {"td", "th", "caption"}
+LIST_ITEMS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}}
 TABLE_SHELL = set("table tbody tfoot thead tr".split())
 SECTIONS = {"tbody", "thead", "tfoot"}
 SPECIAL = (
@@ -86,33 +91,32 @@ def _attributes(raw: str) -> dict[str, str]:
     return found
 
 
+NO_ATTRIBUTES: dict[str, str] = {}
+
+
 class Node:
     __slots__ = ("attrs", "children", "data", "implied", "parent", "tag")
 
-    def __init__(self, tag, attrs=None, data=None, implied=False):
-        self.tag, self.attrs, self.data, self.implied = tag, attrs or {}, data, implied
+    def __init__(self, tag, attrs=NO_ATTRIBUTES, data=None, implied=False):
+        self.tag, self.attrs, self.data, self.implied = tag, attrs, data, implied
         self.parent, self.children = None, []
 
     def add(self, child, before=None):
         if child.parent is not None:
             child.parent.children.remove(child)
         child.parent = self
-        if before is None:
-            self.children.append(child)
-        else:
-            self.children.insert(self.children.index(before), child)
+        at = len(self.children) if before is None else self.children.index(before)
+        self.children.insert(at, child)
 
 
 class TreeBuilder:
     def __init__(self):
         self.root = Node("#document")
         self.stack: list[Node] = []
-        self.formatting: list[Node | None] = []  # None marks a cell, caption or object border
-        self.head = self.body = self.form = None
-        self.after_body = self.skip_newline = False
-        self.quirks = True
+        self.formatting: list[Node | None] = []  # None marks the border of a table cell
+        self.head = self.body = None
+        self.after_body, self.skip_newline, self.quirks = False, False, True
 
-    # --- stack helpers -------------------------------------------------------------------------
     def in_scope(self, tags, edge=SCOPE_EDGE):
         for node in reversed(self.stack):
             if node.tag in tags:
@@ -121,25 +125,18 @@ class TreeBuilder:
                 return False
         return False
 
-    def pop_through(self, tags):
-        while self.stack:
-            node = self.stack.pop()
-            if node.tag in ("td", "th", "caption", "applet", "object", "marquee"):
-                self.forget_to_marker()
-            if node.tag in tags:
+    def pop_until(self, tags, inclusive=True):
+        while inclusive or self.stack[-1].tag not in tags:
+            tag = self.stack.pop().tag
+            if tag in CELLS:
+                while self.formatting and self.formatting.pop() is not None:
+                    pass
+            if tag in tags:
                 return
 
-    def forget_to_marker(self):
-        while self.formatting and self.formatting.pop() is not None:
-            pass
-
-    def implied_ends(self, keep=None):
-        while self.stack[-1].tag in IMPLIED_END and self.stack[-1].tag != keep:
-            self.stack.pop()
-
     def close_p(self):
-        if self.in_scope({"p"}, SCOPE_EDGE | {"button"}):
-            self.pop_through({"p"})
+        if self.in_scope({"p"}, BUTTON_EDGE):
+            self.pop_until({"p"})
 
     def place(self, node, foster=True):
         """Append to the current node; content loose in a table goes in front of the table instead."""
@@ -155,7 +152,7 @@ class TreeBuilder:
         else:
             target.add(node, before)
 
-    def open(self, tag, attrs=None, implied=False, foster=True):
+    def open(self, tag, attrs=NO_ATTRIBUTES, implied=False, foster=True):
         node = Node(tag, attrs, implied=implied)
         if self.stack:
             self.place(node, foster)
@@ -166,18 +163,13 @@ class TreeBuilder:
         return node
 
     # --- document skeleton ---------------------------------------------------------------------
-    def need_html(self, attrs=None, implied=True):
+    def skeleton(self, upto, attrs=NO_ATTRIBUTES, implied=True):
+        """Make sure that html, head and body exist as far as ``upto``."""
         if not self.stack:
-            self.open("html", attrs, implied)
-
-    def need_head(self, attrs=None, implied=True):
-        self.need_html()
-        if self.head is None:
-            self.head = self.open("head", attrs, implied)
-
-    def need_body(self, attrs=None, implied=True):
-        if self.body is None:
-            self.need_head()
+            self.open("html", attrs if upto == "html" else NO_ATTRIBUTES, implied or upto != "html")
+        if upto != "html" and self.head is None:
+            self.head = self.open("head", attrs if upto == "head" else NO_ATTRIBUTES, implied or upto != "head")
+        if upto == "body" and self.body is None:
             del self.stack[1:]
             self.body = self.open("body", attrs, implied)
 
@@ -187,109 +179,99 @@ class TreeBuilder:
         while at and entries[at - 1] is not None and entries[at - 1] not in self.stack:
             at -= 1
         for i in range(at, len(entries)):
-            entries[i] = self.open(entries[i].tag, dict(entries[i].attrs), implied=True)
+            entries[i] = self.open(entries[i].tag, entries[i].attrs, implied=True)
 
-    def remember(self, node):
-        twins = []
+    def open_entries(self, tag):
+        """Remembered formatting of a tag since the last cell border, latest first."""
         for entry in reversed(self.formatting):
             if entry is None:
-                break
-            if entry.tag == node.tag and entry.attrs == node.attrs:
-                twins.append(entry)
+                return
+            if entry.tag == tag:
+                yield entry
+
+    def remember(self, node):
+        twins = [e for e in self.open_entries(node.tag) if e.attrs == node.attrs]
         if len(twins) >= 3:
             self.formatting.remove(twins[-1])
         self.formatting.append(node)
 
     def close_formatting(self, tag):
-        """End tag of a formatting element, including one that closes across a block."""
-        if self.stack[-1].tag == tag and self.stack[-1] not in self.formatting:
-            self.stack.pop()
-            return
+        """End tag of a formatting element, also where a block was opened in between."""
         for _ in range(8):
-            entry = None
-            for candidate in reversed(self.formatting):
-                if candidate is None or candidate.tag == tag:
-                    entry = candidate
-                    break
+            entry = next(self.open_entries(tag), None)
             if entry is None:
-                self.close_other(tag)
+                self.close_inline(tag)
                 return
             if entry not in self.stack:
                 self.formatting.remove(entry)
                 return
             at = self.stack.index(entry)
-            if any(n.tag in SCOPE_EDGE for n in self.stack[at + 1 :]):
+            above = [node.tag for node in self.stack[at + 1 :]]
+            if any(t in SCOPE_EDGE for t in above):
                 return
-            block_at = next((i for i in range(at + 1, len(self.stack)) if self.stack[i].tag in SPECIAL), None)
-            if block_at is None:
+            block = next((i for i, t in enumerate(above, at + 1) if t in SPECIAL), None)
+            if block is None:
                 del self.stack[at:]
                 self.formatting.remove(entry)
                 return
-            self.split_around(entry, at, block_at)
+            self.split_around(entry, at, block)
 
     def split_around(self, entry, at, block_at):
-        """Give the block its own copy of the formatting and hang it beside the original."""
-        block, holder, last = self.stack[block_at], self.stack[at - 1], self.stack[block_at]
-        mark = self.formatting.index(entry)
+        """Move the block out of the formatting element and give its content a copy of it."""
+        block, holder = self.stack[block_at], self.stack[at - 1]
+        last, mark = block, self.formatting.index(entry)
         for depth, node in enumerate(reversed(self.stack[at + 1 : block_at]), 1):
             if node in self.formatting and depth > 3:
-                if self.formatting.index(node) < mark:
-                    mark -= 1
+                mark -= self.formatting.index(node) < mark
                 self.formatting.remove(node)
             if node not in self.formatting:
                 self.stack.remove(node)
                 continue
-            copy = Node(node.tag, dict(node.attrs), implied=True)
+            copy, place = Node(node.tag, node.attrs, implied=True), self.formatting.index(node)
             if last is block:
-                mark = self.formatting.index(node) + 1
-            self.formatting[self.formatting.index(node)] = copy
-            self.stack[self.stack.index(node)] = copy
+                mark = place + 1
+            self.formatting[place] = self.stack[self.stack.index(node)] = copy
             copy.add(last)
             last = copy
-        if holder.tag in TABLE_SHELL and holder.parent is not None:
-            table = next((n for n in reversed(self.stack[:at]) if n.tag == "table"), holder)
-            (table.parent or holder).add(last, table if table.parent else None)
+        table = holder.tag in TABLE_SHELL and next((n for n in reversed(self.stack[:at]) if n.tag == "table"), None)
+        if table and table.parent:
+            table.parent.add(last, table)
         else:
             holder.add(last)
-        copy = Node(entry.tag, dict(entry.attrs), implied=True)
+        copy, place = Node(entry.tag, entry.attrs, implied=True), self.formatting.index(entry)
         for child in list(block.children):
             copy.add(child)
         block.add(copy)
-        place = self.formatting.index(entry)
         self.formatting.remove(entry)
-        self.formatting.insert(mark - 1 if place < mark else mark, copy)
+        self.formatting.insert(mark - (place < mark), copy)
         self.stack.remove(entry)
         self.stack.insert(self.stack.index(block) + 1, copy)
 
-    def close_other(self, tag):
+    def close_inline(self, tag):
         for node in reversed(self.stack):
             if node.tag == tag:
-                self.implied_ends(tag)
                 del self.stack[self.stack.index(node) :]
-                return
-            if node.tag in SPECIAL:
+            if node.tag == tag or node.tag in SPECIAL:
                 return
 
     # --- tokens --------------------------------------------------------------------------------
     def text(self, data):
-        if self.skip_newline:
-            self.skip_newline = False
-            data = data[1:] if data.startswith("\n") else data
-        blank = not data.strip("\t\n\f\r ")
-        if self.body is None:
-            if blank and (not self.stack or self.head is None):
-                return
-            if not blank:
-                lead = data[: len(data) - len(data.lstrip("\t\n\f\r "))]
-                if lead and self.head is not None:
-                    self.place(Node("#text", data=lead))
-                data = data[len(lead) :]
-                self.need_body()
-        if self.body is not None:
-            if not (blank and self.stack[-1].tag in TABLE_SHELL):
-                self.reopen_formatting()
+        if self.skip_newline and data.startswith("\n"):
+            data = data[1:]
+        self.skip_newline = False
+        bare = data.lstrip("\t\n\f\r ")
+        self.after_body = self.after_body and not bare
+        if self.body is None and bare:
+            if self.head is not None and len(bare) < len(data):
+                self.place(Node("#text", data=data[: len(data) - len(bare)]))
+            self.skeleton("body")
+            data = bare
+        if self.body is None and self.head is None:
+            return
+        if self.body is not None and (bare or self.stack[-1].tag not in TABLE_SHELL):
+            self.reopen_formatting()
         if data:
-            self.place(Node("#text", data=data), foster=not blank)
+            self.place(Node("#text", data=data), foster=bool(bare))
 
     def comment(self, data):
         node = Node("#comment", data=data)
@@ -300,90 +282,48 @@ class TreeBuilder:
         else:
             self.place(node, foster=False)
 
-    def start(self, tag, attrs, self_closing):
-        self.skip_newline = False
-        if tag == "image":
-            tag = "img"
-        if tag in ("html", "body", "head"):
-            self.start_skeleton(tag, attrs)
+    def start(self, tag, attrs):
+        self.skip_newline = self.after_body = False
+        if tag in ("html", "head", "body"):
+            self.skeleton(tag, attrs, implied=False)
             return
         if self.body is None and tag in HEAD_ONLY:
-            self.need_head()
-            if self.head not in self.stack:  # late head content still belongs to the head
-                self.head.add(late := Node(tag, attrs))
-                if tag not in VOID:
-                    self.stack.append(late)
-            else:
+            self.skeleton("head")
+            if self.stack[-1] is self.head:
                 self.open(tag, attrs)
+            else:  # after </head>: still part of the head
+                self.head.add(late := Node(tag, attrs))
+                self.stack += [] if tag in VOID else [late]
             return
-        self.need_body()
-        in_table = self.in_scope({"table"}, {"html", "template"})
+        self.skeleton("body")
         if tag in TABLE_HOLDERS:
-            if in_table:
+            if self.in_scope({"table"}, {"html", "template"}):
                 self.start_table_part(tag, attrs)
             return
         if tag == "table" and self.stack[-1].tag in TABLE_SHELL:
-            self.pop_through({"table"})
-        if tag == "form":
-            if self.form is not None:
-                return
+            self.pop_until({"table"})
+        if tag in LIST_ITEMS:
+            self.close_item(LIST_ITEMS[tag])
         if tag in CLOSES_P or (tag == "table" and not self.quirks):
-            if tag in ("li", "dd", "dt"):
-                self.close_item({"li"} if tag == "li" else {"dd", "dt"})
             self.close_p()
         if tag in HEADINGS and self.stack[-1].tag in HEADINGS:
             self.stack.pop()
-        if tag in ("option", "optgroup") and self.stack[-1].tag == "option":
+        if tag == "option" and self.stack[-1].tag == "option":
             self.stack.pop()
-        if tag == "button" and self.in_scope({"button"}):
-            self.pop_through({"button"})
-        if tag == "a":
-            for entry in reversed(self.formatting):
-                if entry is None:
-                    break
-                if entry.tag == "a":
-                    self.close_formatting("a")
-                    if entry in self.formatting:
-                        self.formatting.remove(entry)
-                    if entry in self.stack:
-                        self.stack.remove(entry)
-                    break
-        if tag == "nobr" and self.in_scope({"nobr"}):
-            self.close_formatting("nobr")
-        # A block start does not reopen formatting; anything inline does.
-        if tag not in CLOSES_P and tag not in HEAD_ONLY and tag not in ("table", "param", "source", "track"):
+        if tag == "a" and (entry := next(self.open_entries("a"), None)) is not None:
+            self.close_formatting("a")
+            for where in (self.formatting, self.stack):
+                if entry in where:
+                    where.remove(entry)
+        if tag not in CLOSES_P and tag not in HEAD_ONLY and tag != "table":
             self.reopen_formatting()
         node = self.open(tag, attrs)
         if tag in FORMATTING:
             self.remember(node)
-        elif tag in ("applet", "marquee", "object"):
-            self.formatting.append(None)
-        elif tag in ("pre", "listing", "textarea"):
-            self.skip_newline = True
-        elif tag == "form":
-            self.form = node
-        elif self_closing and tag not in VOID and any(n.tag in ("svg", "math") for n in self.stack):
-            self.stack.pop()
-
-    def start_skeleton(self, tag, attrs):
-        if tag == "html":
-            existing = self.stack[0] if self.stack else None
-            self.need_html(attrs, implied=False)
-        elif tag == "head":
-            existing = None
-            if self.head is None:
-                self.need_head(attrs, implied=False)
-        else:
-            existing = self.body
-            self.need_body(attrs, implied=False)
-        if existing is not None:
-            for name, value in attrs.items():
-                existing.attrs.setdefault(name, value)
+        self.skip_newline = tag in ("pre", "listing", "textarea")
 
     def start_table_part(self, tag, attrs):
-        while self.stack[-1].tag not in TABLE_HOLDERS[tag]:
-            if self.stack.pop().tag in ("td", "th", "caption"):
-                self.forget_to_marker()
+        self.pop_until(TABLE_HOLDERS[tag], inclusive=False)
         if tag in ("td", "th", "tr") and self.stack[-1].tag == "table":
             self.open("tbody", implied=True, foster=False)
         if tag in ("td", "th") and self.stack[-1].tag in SECTIONS:
@@ -391,14 +331,13 @@ class TreeBuilder:
         if tag == "col" and self.stack[-1].tag == "table":
             self.open("colgroup", implied=True, foster=False)
         self.open(tag, attrs, foster=False)
-        if tag in ("td", "th", "caption"):
+        if tag in CELLS:
             self.formatting.append(None)
 
     def close_item(self, tags):
         for node in reversed(self.stack):
             if node.tag in tags:
-                self.implied_ends(node.tag)
-                self.pop_through({node.tag})
+                self.pop_until({node.tag})
                 return
             if node.tag in SPECIAL and node.tag not in ("address", "div", "p"):
                 return
@@ -406,43 +345,29 @@ class TreeBuilder:
     def end(self, tag):
         self.skip_newline = False
         if tag == "head":
-            if self.head is not None and self.head in self.stack:
+            if self.head in self.stack:
                 del self.stack[1:]
-            return
-        if tag in ("body", "html"):
-            self.need_body()
+        elif tag in ("body", "html"):
+            self.skeleton("body")
             self.after_body = True
-            return
-        if self.body is None and (not self.stack or self.stack[-1].tag in ("html", "head")):
-            if tag not in ("br", "p"):
-                return
-            self.need_body()
-        if tag in TABLE_HOLDERS or tag == "table":
-            if self.in_scope({tag}, {"table", "html", "template"}) and tag != "col":
-                self.pop_through({tag})
-        elif tag == "p":
-            if not self.in_scope({"p"}, SCOPE_EDGE | {"button"}):
-                self.open("p", implied=True)
-            self.pop_through({"p"})
-        elif tag == "br":
-            self.reopen_formatting()
-            self.open("br", implied=True)
+        elif self.body is None and tag not in ("br", "p"):
+            pass
+        elif tag in ("br", "p"):
+            self.skeleton("body")
+            if tag == "br" or not self.in_scope({"p"}, BUTTON_EDGE):
+                self.open(tag, implied=True)
+            self.pop_until({"p"}) if tag == "p" else None
+        elif tag in TABLE_HOLDERS or tag == "table":
+            if self.in_scope({tag}, TABLE_EDGE):
+                self.pop_until({tag})
         elif tag in FORMATTING:
             self.close_formatting(tag)
-        elif tag in HEADINGS:
-            if self.in_scope(HEADINGS):
-                self.pop_through(HEADINGS)
-        elif tag == "form":
-            node, self.form = self.form, None
-            if node is not None and node in self.stack and self.in_scope({"form"}):
-                self.implied_ends()
-                self.stack.remove(node)
-        elif tag in CLOSES_P or tag in ("button", "applet", "object", "marquee"):
-            edge = SCOPE_EDGE | {"ol", "ul"} if tag == "li" else SCOPE_EDGE - {tag}
-            if self.in_scope({tag}, edge):
-                self.pop_through({tag})
+        elif tag in CLOSES_P:
+            names = HEADINGS if tag in HEADINGS else {tag}
+            if self.in_scope(names, LIST_EDGE if tag == "li" else SCOPE_EDGE):
+                self.pop_until(names)
         else:
-            self.close_other(tag)
+            self.close_inline(tag)
 
 
 def build_tree(markup: str) -> Node:
@@ -455,8 +380,7 @@ def build_tree(markup: str) -> Node:
             builder.text(unescape(markup[at:cut]))
         if m is None:
             break
-        at = m.end()
-        tag = m["tag"]
+        at, tag = m.end(), m["tag"]
         if tag is None:
             if m["doctype"] is not None:
                 builder.quirks = bool(LEGACY_DOCTYPE.search(m["doctype"].strip()))
@@ -469,25 +393,38 @@ def build_tree(markup: str) -> Node:
         if m["slash"]:
             builder.end(tag)
             continue
-        builder.start(tag, _attributes(m["attrs"]) if m["attrs"] else {}, m["attrs"].endswith("/"))
+        builder.start(tag, _attributes(m["attrs"]) if m["attrs"] else NO_ATTRIBUTES)
         if tag in RAW_TEXT or tag in ESCAPABLE_RAW_TEXT:
             stop = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(markup, at)
             cut = stop.start() if stop else size
-            raw, at = markup[at:cut], cut
-            if raw.startswith("\n") and builder.skip_newline:
-                raw = raw[1:]
-            builder.skip_newline = False
+            raw = markup[at:cut].removeprefix("\n") if builder.skip_newline else markup[at:cut]
             if raw:
                 builder.place(Node("#text", data=unescape(raw) if tag in ESCAPABLE_RAW_TEXT else raw))
-            if stop:
-                at = markup.find(">", cut) + 1 or size
             builder.stack.pop()
-    builder.need_body()
+            builder.skip_newline = False
+            at = markup.find(">", cut) + 1 or size if stop else size
+    builder.skeleton("body")
     return builder.root
 
 
 def _escape(text: str) -> str:
-    return text.replace("&", "&amp;").replace("\u00a0", "&nbsp;").replace("<", "&lt;").replace(">", "&gt;")
+    if "&" in text or "<" in text or ">" in text or "\u00a0" in text:
+        return text.replace("&", "&amp;").replace("\u00a0", "&nbsp;").replace("<", "&lt;").replace(">", "&gt;")
+    return text
+
+
+def _start_tag(node: Node) -> str:
+    if not node.attrs:
+        return f"<{node.tag}>"
+    attrs = [
+        f'{name}="{value.replace("&", "&amp;").replace("\u00a0", "&nbsp;").replace(chr(34), "&quot;")}"'
+        for name, value in node.attrs.items()
+    ]
+    return f"<{node.tag} {' '.join(attrs)}>"
+
+
+def _size(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "replace"))
 
 
 def flatten(root: Node) -> tuple[bytes, bytes, list[list]]:
@@ -499,44 +436,39 @@ def flatten(root: Node) -> tuple[bytes, bytes, list[list]]:
     """
     text, html, rows = [], [], []
     text_at = html_at = 0
-    todo = [(child, -1, None, 0, pos) for pos, child in enumerate(root.children)][::-1]
-    while todo:
-        node, parent_id, parent_tag, depth, pos = todo.pop()
-        if pos is None:  # leaving an element: write its end tag and fix its ranges
-            row = rows[parent_id]
-            if node.tag not in VOID:
-                piece = f"</{node.tag}>".encode()
-                html.append(piece)
-                html_at += len(piece)
-            row[5], row[12], row[14] = len(rows) - 1, text_at - row[11], html_at - row[13]
-            continue
-        node_id = len(rows)
-        row = [node_id, parent_id, parent_tag, depth, pos, node_id, "element", node.tag, None, None, False,
-               text_at, 0, html_at, 0, node.implied]
-        rows.append(row)
-        if node.tag == "#text":
-            piece = node.data.encode("utf-8", "replace")
-            text.append(piece)
-            row[6:8], row[12] = ("text", None), len(piece)
-            text_at += len(piece)
-            if parent_tag not in UNESCAPED_OUTPUT:
-                piece = _escape(node.data).encode("utf-8", "replace")
-        elif node.tag == "#comment":
-            piece = f"<!--{node.data}-->".encode("utf-8", "replace")
-            row[6:8] = "comment", None
-        else:
-            attrs = "".join(
-                ' {}="{}"'.format(k, v.replace("&", "&amp;").replace("\u00a0", "&nbsp;").replace('"', "&quot;"))
-                for k, v in node.attrs.items()
-            )
-            piece = f"<{node.tag}{attrs}>".encode("utf-8", "replace")
-            row[8:11] = node.attrs.get("id"), node.attrs.get("class"), "href" in node.attrs
-            todo.append((node, node_id, None, 0, None))
-            todo.extend([(c, node_id, node.tag, depth + 1, i) for i, c in enumerate(node.children)][::-1])
+    open_elements = [(enumerate(root.children), -1, None)]
+    while open_elements:
+        children, parent_id, parent_tag = open_elements[-1]
+        for pos, node in children:
+            node_id, tag = len(rows), node.tag
+            row = [node_id, parent_id, parent_tag, len(open_elements) - 1, pos, node_id, "element", tag, None, None,
+                   False, text_at, 0, html_at, 0, node.implied]
+            rows.append(row)
+            if tag == "#text":
+                row[6], row[7], row[12] = "text", None, _size(node.data)
+                text.append(node.data)
+                text_at += row[12]
+                piece = node.data if parent_tag in UNESCAPED_OUTPUT else _escape(node.data)
+            elif tag == "#comment":
+                row[6], row[7] = "comment", None
+                piece = f"<!--{node.data}-->"
+            else:
+                piece = _start_tag(node)
+                if node.attrs:
+                    row[8], row[9], row[10] = node.attrs.get("id"), node.attrs.get("class"), "href" in node.attrs
+                if tag not in VOID:
+                    html.append(piece)
+                    html_at += _size(piece)
+                    open_elements.append((enumerate(node.children), node_id, tag))
+                    break
             html.append(piece)
-            html_at += len(piece)
-            continue
-        html.append(piece)
-        html_at += len(piece)
-        row[14] = len(piece)
-    return b"".join(text), b"".join(html), rows
+            row[14] = _size(piece)
+            html_at += row[14]
+        else:
+            open_elements.pop()
+            if parent_id >= 0:
+                html.append(f"</{parent_tag}>")
+                html_at += _size(html[-1])
+                row = rows[parent_id]
+                row[5], row[12], row[14] = len(rows) - 1, text_at - row[11], html_at - row[13]
+    return "".join(text).encode("utf-8", "replace"), "".join(html).encode("utf-8", "replace"), rows

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import byte_slice, unicode_pattern
 
@@ -34,7 +35,7 @@ SHELL_HEAD = """<!DOCTYPE html>
 SHELL_TAIL = "\n</body>\n</html>"
 
 
-@F.arrow_udf("array<bigint>")
+@F.arrow_udf(T.ArrayType(T.LongType()))
 def running_totals(lengths: pa.Array) -> pa.Array:
     """Cumulative sum within each list."""
     offsets = lengths.offsets.to_numpy()
@@ -98,7 +99,7 @@ def annotate(spanned: DataFrame, html: str = "html") -> DataFrame:
 
     Each span is preceded by the text since the *previous span's end*, so overlapping spans repeat text.
     """
-    raw = F.encode(F.col(html), F.lit("UTF-8"))
+    raw = F.col(html).cast("binary")
     ordered = spanned.withColumn("_raw", raw).withColumn("_sorted", F.array_sort("spans"))
 
     def between(start: Column, end: Column) -> Column:

@@ -141,7 +141,7 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
         order_filings(spark, sf_dir)
         .groupBy("custkey", "cik", "page")
         .agg(
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(
                     F.struct((-F.col("day")).alias("age"), "orderkey", "accession", "filing_date", "form", "primary_doc")
                 )
