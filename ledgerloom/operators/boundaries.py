@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_end, clean_start, clean_toc, match_any
-from .nodes import is_header, node_text
+from .nodes import NODE, is_header, node_text
 
 # The section, its start and end patterns, and the marks of a table of contents.
 SECTION_NAME = "Item 8"
@@ -97,9 +97,7 @@ def start_matches(parsed: DataFrame, rule: SectionRule = ITEM_8) -> DataFrame:
     """``starts``: header elements whose text matches a start pattern, in document order."""
     return parsed.withColumn(
         "starts",
-        F.filter(
-            "nodes", lambda n: is_header(n) & is_start_text(node_text(F.col("doc_text"), n), rule)
-        ),
+        F.filter("nodes", lambda n: is_start(n, rule)),
     )
 
 
@@ -131,12 +129,27 @@ def in_toc(node: Column) -> Column:
     return is_link(node) | has_toc_ancestor(node) | is_toc_table_item(node)
 
 
-def first_start(started: DataFrame) -> DataFrame:
-    """``start``: the first start match outside a table of contents, or null."""
+def is_start(node: Column, rule: SectionRule) -> Column:
+    return is_header(node) & is_start_text(node_text(F.col("doc_text"), node), rule)
+
+
+def first_start(parsed: DataFrame, rule: SectionRule = ITEM_8) -> DataFrame:
+    """``start``: the first start match outside a table of contents, or null.
+
+    Folded instead of filtered: ``coalesce`` stops testing texts after the first hit, which matters
+    where wrappers nest deeply and every one of them holds the whole section.
+    """
     return (
-        toc_marks(started)
-        .withColumn("start", F.get(F.filter("starts", lambda n: ~in_toc(n)), F.lit(0)))
-        .drop("starts", "marks")
+        toc_marks(parsed)
+        .withColumn(
+            "start",
+            F.aggregate(
+                "nodes",
+                F.lit(None).cast(NODE),
+                lambda found, n: F.coalesce(found, F.when(is_start(n, rule) & ~in_toc(n), n)),
+            ),
+        )
+        .drop("marks")
     )
 
 
@@ -154,44 +167,47 @@ def following_nodes(started: DataFrame) -> DataFrame:
 
 
 def is_sibling(node: Column) -> Column:
+    """Needs ``start``."""
     return node["parent_id"] == F.col("start")["parent_id"]
 
 
+def is_end(node: Column, rule: SectionRule) -> Column:
+    """An end marker: a block tag among the siblings of the start, a header tag below them."""
+    tag = F.when(is_sibling(node), node["tag"].isin(END_TAGS)).otherwise(is_header(node))
+    return tag & is_end_text(node_text(F.col("doc_text"), node), rule)
+
+
 def end_matches(followed: DataFrame, rule: SectionRule = ITEM_8) -> DataFrame:
-    """``ends``: end markers among the following siblings (block tags) and below them (header tags)."""
-    return followed.withColumn(
-        "ends",
-        F.filter(
-            "following",
-            lambda n: F.when(is_sibling(n), n["tag"].isin(END_TAGS)).otherwise(is_header(n))
-            & is_end_text(node_text(F.col("doc_text"), n), rule),
-        ),
-    )
+    """``ends``: all end markers after the start, in document order."""
+    return followed.withColumn("ends", F.filter("following", lambda n: is_end(n, rule)))
 
 
-def first_end(ended: DataFrame) -> DataFrame:
+def first_end(followed: DataFrame, rule: SectionRule = ITEM_8) -> DataFrame:
     """``end``: first marker by (sibling, below before itself, document order), or null.
 
-    In preorder only two nodes compete: the first matching sibling and the first match below any
-    sibling.  The sibling wins when it comes first and does not contain the other.
+    In document order a sibling comes before what is below it, so a matching sibling is only taken
+    once its subtree has passed without a match.  As soon as the end is certain no text is tested.
     """
-    top, nested = F.col("end_top"), F.col("end_nested")
-    return (
-        ended.withColumns(
-            {
-                "end_top": F.get(F.filter("ends", is_sibling), F.lit(0)),
-                "end_nested": F.get(F.filter("ends", lambda n: ~is_sibling(n)), F.lit(0)),
-            }
-        )
-        .withColumn(
-            "end",
-            F.when(nested.isNull() | (top["last_desc"] < nested["node_id"]), top).otherwise(nested),
+
+    def step(found: Column, n: Column) -> Column:
+        settled = found["below"].isNotNull() | (found["sibling"]["last_desc"] < n["node_id"])
+        no = F.lit(False)
+        return (
+            F.when(F.coalesce(settled, no) | ~F.coalesce(is_end(n, rule), no), found)
+            .when(is_sibling(n), F.struct(n.alias("sibling"), found["below"].alias("below")))
+            .otherwise(F.struct(found["sibling"].alias("sibling"), n.alias("below")))
         )
-        .drop("ends", "end_top", "end_nested")
+
+    nothing = F.lit(None).cast(NODE)
+    found = F.aggregate(
+        "following",
+        F.struct(nothing.alias("sibling"), nothing.alias("below")),
+        step,
+        lambda found: F.coalesce(found["below"], found["sibling"]),
     )
+    return followed.withColumn("end", found)
 
 
 def section_boundaries(parsed: DataFrame, rule: SectionRule = ITEM_8) -> DataFrame:
     """``start``, ``end`` and ``following`` for every document."""
-    started = first_start(start_matches(parsed, rule))
-    return first_end(end_matches(following_nodes(started), rule))
+    return first_end(following_nodes(first_start(parsed, rule)), rule)

@@ -21,7 +21,7 @@ from ..operators import outcomes as o
 from ..operators import sections as s
 from ..operators import spans
 from ..sinks import files
-from ..sources.documents import attach_documents, scan, spread
+from ..sources.documents import attach_documents, spread
 from ..sources.registry import company_source
 from ..sources.submissions import required_fields, submissions_source
 from . import fixtures as x
@@ -71,7 +71,7 @@ def _parsed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _parsed_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return n.parse_html(spread(scan(spark, sf, "pages").select("page_id", "html")))
+    return n.parse_html(spread(x.scan(spark, sf, "pages").select("page_id", "html")))
 
 
 def _extracted(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,7 +149,7 @@ def attached_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def fetch_results(spark: SparkSession, sf: str) -> DataFrame:
     status = x.document_status(F.col("doc_id"))
-    return scan(spark, sf, "documents").select(
+    return x.scan(spark, sf, "documents").select(
         "doc_id",
         fil.fetch_status(F.when(F.col("doc_id") % 109 != 1, status)).alias("fetch_status"),
         fil.listing_status(status).alias("listing_status"),
@@ -197,7 +197,7 @@ def filing_records(spark: SparkSession, sf: str) -> DataFrame:
 
 def padded_keys(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("c_custkey")
-    return scan(spark, sf, "customer").select(
+    return x.scan(spark, sf, "customer").select(
         "c_custkey", fil.cik_pad(key).alias("cik"), fil.cik_pad(key + 12_345_678_901).alias("long_cik")
     )
 
@@ -230,7 +230,7 @@ def cleaned_texts(spark: SparkSession, sf: str) -> DataFrame:
     wrapped = F.concat(
         F.lit("\u00a0 \n \u2003"), F.col("text"), F.lit("\na&nbsp;b&#160;c\u00a0 \u3000\t\n")
     )
-    return scan(spark, sf, "documents").select(
+    return x.scan(spark, sf, "documents").select(
         "doc_id",
         txt.clean_start(wrapped).alias("start_text"),
         txt.clean_end(wrapped).alias("end_text"),
@@ -239,7 +239,7 @@ def cleaned_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def matched_texts(spark: SparkSession, sf: str) -> DataFrame:
-    return scan(spark, sf, "documents").select(
+    return x.scan(spark, sf, "documents").select(
         "doc_id", txt.match_any(F.col("text"), TEXT_PATTERNS).alias("matched")
     )
 
@@ -252,7 +252,7 @@ def matched_headings(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("p_partkey") % 3 == 0, ". Financial Statements ").otherwise(". Changes "),
         F.col("p_name"),
     )
-    return scan(spark, sf, "part").select(
+    return x.scan(spark, sf, "part").select(
         "p_partkey",
         b.is_start_text(heading, b.ITEM_8).alias("starts"),
         b.is_end_text(heading, b.ITEM_8).alias("ends"),
@@ -260,7 +260,7 @@ def matched_headings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def text_bytes(spark: SparkSession, sf: str) -> DataFrame:
-    return scan(spark, sf, "documents").select("doc_id", txt.byte_length(F.col("text")).alias("n_bytes"))
+    return x.scan(spark, sf, "documents").select("doc_id", txt.byte_length(F.col("text")).alias("n_bytes"))
 
 
 # --- nodes -------------------------------------------------------------------------------------------
@@ -340,7 +340,7 @@ def toc_table_items(spark: SparkSession, sf: str) -> DataFrame:
     ).otherwise(
         F.concat(F.lit("<table><tr><td><span>"), label, tail, F.lit("</span></td></tr></table>"))
     )
-    parsed = n.parse_html(spread(scan(spark, sf, "part")).select("p_partkey", html.alias("html")))
+    parsed = n.parse_html(spread(x.scan(spark, sf, "part")).select("p_partkey", html.alias("html")))
     spans_only = b.toc_marks(parsed).withColumn("spans", F.filter("nodes", lambda e: e["tag"] == "span"))
     return spans_only.select("p_partkey", F.exists("spans", b.is_toc_table_item).alias("toc_item"))
 
@@ -351,13 +351,13 @@ def outside_toc(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def first_starts(spark: SparkSession, sf: str) -> DataFrame:
-    return b.first_start(b.start_matches(_parsed(spark, sf))).select(
+    return b.first_start(_parsed(spark, sf)).select(
         "doc_id", F.col("start.node_id").cast("bigint").alias("node_id"), F.col("start.tag").alias("tag")
     )
 
 
 def _followed(spark: SparkSession, sf: str) -> DataFrame:
-    return b.following_nodes(b.first_start(b.start_matches(_parsed(spark, sf))))
+    return b.following_nodes(b.first_start(_parsed(spark, sf)))
 
 
 def following_siblings(spark: SparkSession, sf: str) -> DataFrame:
@@ -483,7 +483,7 @@ def saved_raw(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- spans -------------------------------------------------------------------------------------------
 def _spanned(spark: SparkSession, sf: str) -> DataFrame:
-    documents = scan(spark, sf, "documents").select("doc_id", F.col("text").alias("html"))
+    documents = x.scan(spark, sf, "documents").select("doc_id", F.col("text").alias("html"))
     return spans.regex_spans(spread(documents), SPAN_PATTERNS)
 
 

@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.filing import fetch_status
 
 
-def scan(spark: SparkSession, directory: str, table: str) -> DataFrame:
-    """One parquet table of a directory."""
-    return spark.read.parquet(f"{directory}/{table}.parquet")
-
-
 def spread(scanned: DataFrame) -> DataFrame:
     """Give a scan with fewer splits than the cluster has cores one task per core.
 

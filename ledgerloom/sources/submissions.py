@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,43 +32,31 @@ def submissions_source(landed: DataFrame) -> DataFrame:
     return landed.withColumn("doc", F.from_json("json", WITH_CORRUPT, options)).drop("json")
 
 
-def _present(value: Column) -> Column:
-    return value.isNotNull()
-
-
-def _all(values: Column, ok) -> Column:
-    """The array is there and every element passes."""
-    return F.coalesce(values.isNotNull() & F.forall(values, ok), F.lit(False))
-
-
-def _flag(value: Column) -> Column:
-    return F.coalesce(value.between(0, 255), F.lit(False))
+def _is_complete() -> str:
+    """SQL condition: every mandatory field of ``doc`` is there and within its range."""
 
+    def each(array: str, *conditions: str) -> str:
+        return f"{array} IS NOT NULL AND forall({array}, x -> " + " AND ".join(conditions) + ")"
 
-def _fields(names: list[str]):
-    return lambda row: reduce(and_, [_present(row[n]) for n in names])
+    def present(prefix: str, names: list[str]) -> list[str]:
+        return [f"{prefix}{name} IS NOT NULL" for name in names]
 
+    def flag(value: str) -> str:
+        return f"coalesce({value} BETWEEN 0 AND 255, false)"
 
-def is_complete(doc: Column) -> Column:
-    """Every mandatory field of a submission document is there and within its range."""
-    recent, files = doc["filings"]["recent"], doc["filings"]["files"]
-    checks = [doc[CORRUPT].isNull()]
-    checks += [_present(doc[n]) for n in S.COMPANY_TEXTS]
-    checks += [_flag(doc[n]) for n in S.COMPANY_FLAGS]
-    checks += [_all(doc[n], _present) for n in ("tickers", "exchanges")]
+    recent, files = "doc.filings.recent", "doc.filings.files"
+    checks = [f"doc.{CORRUPT} IS NULL", *present("doc.", S.COMPANY_TEXTS)]
+    checks += [flag(f"doc.{n}") for n in S.COMPANY_FLAGS]
+    checks += [each(f"doc.{n}", "x IS NOT NULL") for n in ("tickers", "exchanges")]
     checks += [
-        _all(F.map_values(doc["addresses"]), _fields(S.ADDRESS_REQUIRED)),
-        _all(doc["formerNames"], _fields(S.FORMER_NAME)),
-        _all(
-            files,
-            lambda f: _fields(S.FILE_TEXTS)(f)
-            & F.coalesce(f["filingCount"].between(0, 2**32 - 1), F.lit(False)),
-        ),
-        _all(recent["size"], lambda v: F.coalesce(v >= 0, F.lit(False))),
+        each("map_values(doc.addresses)", *present("x.", S.ADDRESS_REQUIRED)),
+        each("doc.formerNames", *present("x.", [f"`{n}`" for n in S.FORMER_NAME])),
+        each(files, *present("x.", S.FILE_TEXTS), "coalesce(x.filingCount BETWEEN 0 AND 4294967295, false)"),
+        each(f"{recent}.size", "coalesce(x >= 0, false)"),
     ]
-    checks += [_all(recent[n], _present) for n in S.RECENT_TEXTS]
-    checks += [_all(recent[n], _flag) for n in S.RECENT_FLAGS]
-    return reduce(and_, checks)
+    checks += [each(f"{recent}.{n}", "x IS NOT NULL") for n in S.RECENT_TEXTS]
+    checks += [each(f"{recent}.{n}", flag("x")) for n in S.RECENT_FLAGS]
+    return f"coalesce({' AND '.join(checks)}, false)"
 
 
 def required_fields(parsed: DataFrame) -> DataFrame:
@@ -80,6 +65,6 @@ def required_fields(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn(
         "doc_status",
         F.when(fetched != S.OK, fetched)
-        .when(F.coalesce(is_complete(F.col("doc")), F.lit(False)), S.OK)
+        .when(F.expr(_is_complete()), S.OK)
         .otherwise(S.PARSE_ERROR),
     )
