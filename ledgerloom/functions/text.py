@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -42,9 +43,14 @@ def clean_toc(text: Column) -> Column:
 
 
 def unicode_pattern(pattern: str) -> str:
-    """Spell a pattern so that ``\\s``, ``\\b``, ``\\d`` and case folding are Unicode, and ``$`` means end of text."""
+    """Spell a pattern so that ``\\s``, ``\\b``, ``\\d`` and case folding are Unicode, and ``$`` means end of text.
+
+    A leading word border before a letter gets that letter as a look-ahead in front: the same
+    matches, but the costly Unicode border test runs only where the letter stands.
+    """
     if pattern.endswith("$") and not pattern.endswith("\\$"):
         pattern = pattern[:-1] + "\\z"
+    pattern = re.sub(r"^((?:\(\?i\))?)\\b([A-Za-z])", r"\1(?=\2)\\b\2", pattern)
     return "(?uU)" + pattern
 
 

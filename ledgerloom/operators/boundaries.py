@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_end, clean_start, clean_toc, match_any
-from .nodes import NODE, is_header, node_text
+from .nodes import NODE, bound, is_header, node_text
 
 # The section, its start and end patterns, and the marks of a table of contents.
 SECTION_NAME = "Item 8"
@@ -97,7 +97,7 @@ def start_matches(parsed: DataFrame, rule: SectionRule = ITEM_8) -> DataFrame:
     """``starts``: header elements whose text matches a start pattern, in document order."""
     return parsed.withColumn(
         "starts",
-        F.filter("nodes", lambda n: is_start(n, rule)),
+        bound("doc_text", lambda text: F.filter("nodes", lambda n: is_start(n, text, rule))),
     )
 
 
@@ -118,19 +118,18 @@ def has_toc_ancestor(node: Column) -> Column:
     return F.exists("marks", lambda a: is_above(a, node) & (is_toc_container(a) | is_link(a)))
 
 
-def is_toc_table_item(node: Column) -> Column:
+def is_toc_table_item(node: Column, doc_text: Column) -> Column:
     """Needs ``toc_marks``: inside a table and nothing but an item number."""
-    return F.exists("marks", lambda a: is_above(a, node) & a["tag"].isin(TABLE_TAGS)) & is_toc_item_text(
-        node_text(F.col("doc_text"), node)
-    )
+    in_table = F.exists("marks", lambda a: is_above(a, node) & a["tag"].isin(TABLE_TAGS))
+    return in_table & is_toc_item_text(node_text(doc_text, node))
 
 
-def in_toc(node: Column) -> Column:
-    return is_link(node) | has_toc_ancestor(node) | is_toc_table_item(node)
+def in_toc(node: Column, doc_text: Column) -> Column:
+    return is_link(node) | has_toc_ancestor(node) | is_toc_table_item(node, doc_text)
 
 
-def is_start(node: Column, rule: SectionRule) -> Column:
-    return is_header(node) & is_start_text(node_text(F.col("doc_text"), node), rule)
+def is_start(node: Column, doc_text: Column, rule: SectionRule) -> Column:
+    return is_header(node) & is_start_text(node_text(doc_text, node), rule)
 
 
 def first_start(parsed: DataFrame, rule: SectionRule = ITEM_8) -> DataFrame:
@@ -139,18 +138,15 @@ def first_start(parsed: DataFrame, rule: SectionRule = ITEM_8) -> DataFrame:
     Folded instead of filtered: ``coalesce`` stops testing texts after the first hit, which matters
     where wrappers nest deeply and every one of them holds the whole section.
     """
-    return (
-        toc_marks(parsed)
-        .withColumn(
-            "start",
-            F.aggregate(
-                "nodes",
-                F.lit(None).cast(NODE),
-                lambda found, n: F.coalesce(found, F.when(is_start(n, rule) & ~in_toc(n), n)),
-            ),
+
+    def fold(text: Column) -> Column:
+        return F.aggregate(
+            "nodes",
+            F.lit(None).cast(NODE),
+            lambda found, n: F.coalesce(found, F.when(is_start(n, text, rule) & ~in_toc(n, text), n)),
         )
-        .drop("marks")
-    )
+
+    return toc_marks(parsed).withColumn("start", bound("doc_text", fold)).drop("marks")
 
 
 def following_nodes(started: DataFrame) -> DataFrame:
@@ -171,15 +167,17 @@ def is_sibling(node: Column) -> Column:
     return node["parent_id"] == F.col("start")["parent_id"]
 
 
-def is_end(node: Column, rule: SectionRule) -> Column:
+def is_end(node: Column, doc_text: Column, rule: SectionRule) -> Column:
     """An end marker: a block tag among the siblings of the start, a header tag below them."""
     tag = F.when(is_sibling(node), node["tag"].isin(END_TAGS)).otherwise(is_header(node))
-    return tag & is_end_text(node_text(F.col("doc_text"), node), rule)
+    return tag & is_end_text(node_text(doc_text, node), rule)
 
 
 def end_matches(followed: DataFrame, rule: SectionRule = ITEM_8) -> DataFrame:
     """``ends``: all end markers after the start, in document order."""
-    return followed.withColumn("ends", F.filter("following", lambda n: is_end(n, rule)))
+    return followed.withColumn(
+        "ends", bound("doc_text", lambda text: F.filter("following", lambda n: is_end(n, text, rule)))
+    )
 
 
 def first_end(followed: DataFrame, rule: SectionRule = ITEM_8) -> DataFrame:
@@ -189,23 +187,25 @@ def first_end(followed: DataFrame, rule: SectionRule = ITEM_8) -> DataFrame:
     once its subtree has passed without a match.  As soon as the end is certain no text is tested.
     """
 
-    def step(found: Column, n: Column) -> Column:
+    nothing, no = F.lit(None).cast(NODE), F.lit(False)
+
+    def step(found: Column, n: Column, text: Column) -> Column:
         settled = found["below"].isNotNull() | (found["sibling"]["last_desc"] < n["node_id"])
-        no = F.lit(False)
         return (
-            F.when(F.coalesce(settled, no) | ~F.coalesce(is_end(n, rule), no), found)
+            F.when(F.coalesce(settled, no) | ~F.coalesce(is_end(n, text, rule), no), found)
             .when(is_sibling(n), F.struct(n.alias("sibling"), found["below"].alias("below")))
             .otherwise(F.struct(found["sibling"].alias("sibling"), n.alias("below")))
         )
 
-    nothing = F.lit(None).cast(NODE)
-    found = F.aggregate(
-        "following",
-        F.struct(nothing.alias("sibling"), nothing.alias("below")),
-        step,
-        lambda found: F.coalesce(found["below"], found["sibling"]),
-    )
-    return followed.withColumn("end", found)
+    def fold(text: Column) -> Column:
+        return F.aggregate(
+            "following",
+            F.struct(nothing.alias("sibling"), nothing.alias("below")),
+            lambda found, n: step(found, n, text),
+            lambda found: F.coalesce(found["below"], found["sibling"]),
+        )
+
+    return followed.withColumn("end", bound("doc_text", fold))
 
 
 def section_boundaries(parsed: DataFrame, rule: SectionRule = ITEM_8) -> DataFrame:

@@ -9,7 +9,7 @@ nesting level.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -121,6 +121,15 @@ def is_header(node: Column) -> Column:
     )
 
 
+def bound(value: Column | str, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value taken out of its row once.
+
+    Reading a BINARY column copies all of it.  Inside a lambda that would happen for every node, which
+    is quadratic in the size of the document; as the variable of an outer lambda it is one copy.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def node_text(doc_text: Column, node: Column) -> Column:
     """All text below an element, script and style included."""
     return byte_slice(doc_text, node["text_start"], node["text_len"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import byte_length, byte_slice
 from .boundaries import ITEM_8, SectionRule, is_sibling, section_boundaries
-from .nodes import node_html, parse_html
+from .nodes import bound, node_html, parse_html
 
 
 def slice_section(bounded: DataFrame) -> DataFrame:
@@ -21,11 +21,14 @@ def slice_section(bounded: DataFrame) -> DataFrame:
     pieces = F.filter(
         "following", lambda n: is_sibling(n) & (n["node_id"] < stop) & (n["kind"] != "comment")
     )
-    texts = F.transform(
-        pieces,
-        lambda n: F.when(n["kind"] == "element", node_html(F.col("doc_html"), n)).otherwise(
-            byte_slice(F.col("doc_text"), n["text_start"], n["text_len"])
-        ),
+
+    def write(n: Column, text: Column, html: Column) -> Column:
+        return F.when(n["kind"] == "element", node_html(html, n)).otherwise(
+            byte_slice(text, n["text_start"], n["text_len"])
+        )
+
+    texts = bound(
+        "doc_text", lambda text: bound("doc_html", lambda html: F.transform(pieces, lambda n: write(n, text, html)))
     )
     return bounded.withColumn("content_html", F.when(end.isNotNull(), F.array_join(texts, "")))
 

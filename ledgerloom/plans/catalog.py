@@ -342,12 +342,12 @@ def toc_table_items(spark: SparkSession, sf: str) -> DataFrame:
     )
     parsed = n.parse_html(spread(x.scan(spark, sf, "part")).select("p_partkey", html.alias("html")))
     spans_only = b.toc_marks(parsed).withColumn("spans", F.filter("nodes", lambda e: e["tag"] == "span"))
-    return spans_only.select("p_partkey", F.exists("spans", b.is_toc_table_item).alias("toc_item"))
+    return spans_only.select("p_partkey", F.exists("spans", lambda e: b.is_toc_table_item(e, F.col("doc_text"))).alias("toc_item"))
 
 
 def outside_toc(spark: SparkSession, sf: str) -> DataFrame:
     started = b.toc_marks(b.start_matches(_parsed(spark, sf)))
-    return _node_rows(started.withColumn("kept", F.filter("starts", lambda e: ~b.in_toc(e))), "kept")
+    return _node_rows(started.withColumn("kept", F.filter("starts", lambda e: ~b.in_toc(e, F.col("doc_text")))), "kept")
 
 
 def first_starts(spark: SparkSession, sf: str) -> DataFrame:
