@@ -66,7 +66,7 @@ MARKUP = re.compile(
     r"|<!doctype(?P<doctype>[^>]*)(?:>|\Z)"
     r"|<(?:[!?]|/(?![a-z>]))(?P<bogus>[^>]*)(?:>|\Z)"
     r"|<(?P<slash>/?)(?P<tag>[a-z][^\s/>]*+)"
-    r"(?P<attrs>(?:[^>=]|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)*+)(?P<close>>|\Z)"
+    r"(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)*+)(?P<close>>|\Z)"
     r"|</>",
     re.IGNORECASE | re.DOTALL,
 )
@@ -86,8 +86,8 @@ def _attribute_value(raw: str) -> str:
 
 def _attributes(raw: str) -> dict[str, str]:
     found: dict[str, str] = {}
-    for m in ATTRIBUTE.finditer(raw):
-        found.setdefault(m[1].lower(), _attribute_value(m[2] or m[3] or m[4] or ""))
+    for name, double, single, bare in ATTRIBUTE.findall(raw):
+        found.setdefault(name.lower(), _attribute_value(double or single or bare))
     return found
 
 
@@ -140,17 +140,22 @@ class TreeBuilder:
 
     def place(self, node, foster=True):
         """Append to the current node; content loose in a table goes in front of the table instead."""
-        target, before = self.stack[-1], None
+        target = self.stack[-1]
         if foster and target.tag in TABLE_SHELL:
             table = next((n for n in reversed(self.stack) if n.tag == "table"), None)
             if table is not None and table.parent is not None:
-                target, before = table.parent, table
+                at = table.parent.children.index(table)
+                if node.tag == "#text" and at and table.parent.children[at - 1].tag == "#text":
+                    table.parent.children[at - 1].data += node.data
+                else:
+                    table.parent.add(node, table)
+                return
         siblings = target.children
-        at = len(siblings) if before is None else siblings.index(before)
-        if node.tag == "#text" and at and siblings[at - 1].tag == "#text":
-            siblings[at - 1].data += node.data
+        if node.tag == "#text" and siblings and siblings[-1].tag == "#text":
+            siblings[-1].data += node.data
         else:
-            target.add(node, before)
+            node.parent = target
+            siblings.append(node)
 
     def open(self, tag, attrs=NO_ATTRIBUTES, implied=False, foster=True):
         node = Node(tag, attrs, implied=implied)
@@ -176,6 +181,8 @@ class TreeBuilder:
     # --- formatting elements -------------------------------------------------------------------
     def reopen_formatting(self):
         entries, at = self.formatting, len(self.formatting)
+        if not at or entries[-1] is None or entries[-1] in self.stack:
+            return
         while at and entries[at - 1] is not None and entries[at - 1] not in self.stack:
             at -= 1
         for i in range(at, len(entries)):
@@ -197,6 +204,10 @@ class TreeBuilder:
 
     def close_formatting(self, tag):
         """End tag of a formatting element, also where a block was opened in between."""
+        if self.formatting and self.formatting[-1] is self.stack[-1] and self.stack[-1].tag == tag:
+            self.formatting.pop()
+            self.stack.pop()
+            return
         for _ in range(8):
             entry = next(self.open_entries(tag), None)
             if entry is None:
@@ -295,32 +306,37 @@ class TreeBuilder:
                 self.head.add(late := Node(tag, attrs))
                 self.stack += [] if tag in VOID else [late]
             return
-        self.skeleton("body")
+        if self.body is None:
+            self.skeleton("body")
         if tag in TABLE_HOLDERS:
             if self.in_scope({"table"}, {"html", "template"}):
                 self.start_table_part(tag, attrs)
             return
-        if tag == "table" and self.stack[-1].tag in TABLE_SHELL:
-            self.pop_until({"table"})
-        if tag in LIST_ITEMS:
-            self.close_item(LIST_ITEMS[tag])
-        if tag in CLOSES_P or (tag == "table" and not self.quirks):
+        if tag in CLOSES_P:
+            if tag in LIST_ITEMS:
+                self.close_item(LIST_ITEMS[tag])
             self.close_p()
-        if tag in HEADINGS and self.stack[-1].tag in HEADINGS:
-            self.stack.pop()
-        if tag == "option" and self.stack[-1].tag == "option":
-            self.stack.pop()
-        if tag == "a" and (entry := next(self.open_entries("a"), None)) is not None:
-            self.close_formatting("a")
-            for where in (self.formatting, self.stack):
-                if entry in where:
-                    where.remove(entry)
-        if tag not in CLOSES_P and tag not in HEAD_ONLY and tag != "table":
+            if tag in HEADINGS and self.stack[-1].tag in HEADINGS:
+                self.stack.pop()
+            self.skip_newline = tag in ("pre", "listing")
+        elif tag == "table":
+            if self.stack[-1].tag in TABLE_SHELL:
+                self.pop_until({"table"})
+            if not self.quirks:
+                self.close_p()
+        elif tag not in HEAD_ONLY:
+            if tag == "option" and self.stack[-1].tag == "option":
+                self.stack.pop()
+            if tag == "a" and (entry := next(self.open_entries("a"), None)) is not None:
+                self.close_formatting("a")
+                for where in (self.formatting, self.stack):
+                    if entry in where:
+                        where.remove(entry)
             self.reopen_formatting()
+            self.skip_newline = tag == "textarea"
         node = self.open(tag, attrs)
         if tag in FORMATTING:
             self.remember(node)
-        self.skip_newline = tag in ("pre", "listing", "textarea")
 
     def start_table_part(self, tag, attrs):
         self.pop_until(TABLE_HOLDERS[tag], inclusive=False)
@@ -352,16 +368,17 @@ class TreeBuilder:
             self.after_body = True
         elif self.body is None and tag not in ("br", "p"):
             pass
-        elif tag in ("br", "p"):
-            self.skeleton("body")
-            if tag == "br" or not self.in_scope({"p"}, BUTTON_EDGE):
-                self.open(tag, implied=True)
-            self.pop_until({"p"}) if tag == "p" else None
         elif tag in TABLE_HOLDERS or tag == "table":
             if self.in_scope({tag}, TABLE_EDGE):
                 self.pop_until({tag})
         elif tag in FORMATTING:
             self.close_formatting(tag)
+        elif tag in ("br", "p"):
+            self.skeleton("body")
+            if tag == "br" or not self.in_scope({"p"}, BUTTON_EDGE):
+                self.open(tag, implied=True)
+            if tag == "p":
+                self.pop_until({"p"})
         elif tag in CLOSES_P:
             names = HEADINGS if tag in HEADINGS else {tag}
             if self.in_scope(names, LIST_EDGE if tag == "li" else SCOPE_EDGE):
@@ -377,23 +394,25 @@ def build_tree(markup: str) -> Node:
         m = MARKUP.search(markup, at)
         cut = m.start() if m else size
         if cut > at:
-            builder.text(unescape(markup[at:cut]))
+            data = markup[at:cut]
+            builder.text(unescape(data) if "&" in data else data)
         if m is None:
             break
-        at, tag = m.end(), m["tag"]
+        at = m.end()
+        slash, tag, attrs, close = m.group("slash", "tag", "attrs", "close")
         if tag is None:
             if m["doctype"] is not None:
                 builder.quirks = bool(LEGACY_DOCTYPE.search(m["doctype"].strip()))
             elif m[0] != "</>":
                 builder.comment(m["comment"] or m["bogus"] or "")
             continue
-        if not m["close"]:  # the document ends inside a tag: the tag is dropped
+        if not close:  # the document ends inside a tag: the tag is dropped
             break
         tag = tag.lower()
-        if m["slash"]:
+        if slash:
             builder.end(tag)
             continue
-        builder.start(tag, _attributes(m["attrs"]) if m["attrs"] else NO_ATTRIBUTES)
+        builder.start(tag, _attributes(attrs) if attrs else NO_ATTRIBUTES)
         if tag in RAW_TEXT or tag in ESCAPABLE_RAW_TEXT:
             stop = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(markup, at)
             cut = stop.start() if stop else size

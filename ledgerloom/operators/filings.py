@@ -137,7 +137,10 @@ def request_gate(resolved: DataFrame, summary: DataFrame) -> DataFrame:
     """
     in_range = F.filter("years", lambda y: in_years(y["year"], F.col("start_year"), F.col("end_year")))
     later = F.filter("years", lambda y: y["year"] > F.col("end_year"))
-    joined = resolved.join(summary.withColumn("has_submission", F.lit(True)), "cik", "left")
+    # Requests without a company get keys of their own, else they would all meet in one partition.
+    key = F.coalesce("cik", F.concat(F.lit("request "), F.col("request_id").cast("string")))
+    companies = summary.withColumnRenamed("cik", "key").withColumn("has_submission", F.lit(True))
+    joined = resolved.withColumn("key", key).join(companies, "key", "left")
     return joined.select(
         *resolved.columns,
         F.when(F.col("lookup_status") != S.OK, F.col("lookup_status"))

@@ -17,7 +17,6 @@ from ..sources.documents import wanted_documents
 from ..sources.registry import company_source
 from ..sources.submissions import required_fields, submissions_source
 
-
 Keep = Callable[[DataFrame, str], DataFrame]
 
 
@@ -26,15 +25,17 @@ def as_planned(frame: DataFrame, name: str) -> DataFrame:
     return frame
 
 
-def stored_in(folder: str) -> Keep:
-    """Write each kept step as a table and go on from there.
+def stored_in(folder: str, *names: str) -> Keep:
+    """Write each kept step (or only those named) as a table and go on from there.
 
     The cut survives lost executors, and readers of the table scan only the columns they use.
     """
 
     def keep(frame: DataFrame, name: str) -> DataFrame:
+        if names and name not in names:
+            return frame
         frame.write.mode("overwrite").parquet(f"{folder}/{name}")
-        return frame.sparkSession.read.parquet(f"{folder}/{name}")
+        return frame.sparkSession.read.schema(frame.schema).parquet(f"{folder}/{name}")
 
     return keep
 
@@ -50,12 +51,13 @@ def shared_folder(spark: SparkSession) -> str:
 @dataclass(frozen=True)
 class Inputs:
     """Landed tables: ``requests(request_id, ticker, start_year, end_year)``, ``registry(json)``,
-    ``submissions(cik, page, http_status, json)`` and ``documents(url, http_status, html)``."""
+    ``submissions(cik, page, http_status, json)`` and ``documents(url, http_status, html)``.
+    Listing alone needs no documents."""
 
     requests: DataFrame
     registry: DataFrame
     submissions: DataFrame
-    documents: DataFrame
+    documents: DataFrame | None
 
 
 @dataclass(frozen=True)

@@ -25,7 +25,15 @@ from ..sources.documents import attach_documents, spread
 from ..sources.registry import company_source
 from ..sources.submissions import required_fields, submissions_source
 from . import fixtures as x
-from .batch import Keep, Listing, extract_wanted, list_filings, shared_folder, stored_in, surviving_sections
+from .batch import (
+    Listing,
+    as_planned,
+    extract_wanted,
+    list_filings,
+    shared_folder,
+    stored_in,
+    surviving_sections,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,10 +50,6 @@ def _work(spark: SparkSession) -> str:
     return shared_folder(spark)
 
 
-def _keep(spark: SparkSession) -> Keep:
-    return stored_in(_work(spark))
-
-
 def _company(spark: SparkSession, sf: str) -> DataFrame:
     return company_source(x.registry(spark, sf))
 
@@ -62,8 +66,10 @@ def _resolved(spark: SparkSession, sf: str) -> DataFrame:
     return f.resolve_tickers(x.requests(spark, sf), _company(spark, sf))
 
 
-def _listing(spark: SparkSession, sf: str) -> Listing:
-    return list_filings(x.all_inputs(spark, sf), _keep(spark))
+def _listing(spark: SparkSession, sf: str, *stored: str) -> Listing:
+    """The filing list; ``stored`` names the steps that the query reads more than once."""
+    keep = stored_in(_work(spark), *stored) if stored else as_planned
+    return list_filings(x.listing_inputs(spark, sf), keep)
 
 
 def _parsed(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,10 +95,10 @@ def _described(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _outcome(spark: SparkSession, sf: str) -> tuple[Listing, DataFrame, DataFrame]:
-    listing = _listing(spark, sf)
+def _outcome(spark: SparkSession, sf: str, *stored: str) -> tuple[Listing, DataFrame]:
+    listing = _listing(spark, sf, "index", "filings", *stored)
     extracted = extract_wanted(listing.filings, x.landed_documents(spark, sf))
-    return listing, extracted, o.filing_outcomes(listing.filings, extracted)
+    return listing, o.filing_outcomes(listing.filings, extracted)
 
 
 def _bigint(*names: str) -> list[Column]:
@@ -164,7 +170,7 @@ def zipped_filings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def short_arrays(spark: SparkSession, sf: str) -> DataFrame:
-    gated = list_filings(x.all_inputs(spark, sf)).gated
+    gated = _listing(spark, sf).gated
     return gated.select("request_id", (F.col("request_status") == "submissions_parse_error").alias("parse_error"))
 
 
@@ -189,7 +195,7 @@ def year_ranges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def filing_records(spark: SparkSession, sf: str) -> DataFrame:
-    return _listing(spark, sf).filings.select(
+    return _listing(spark, sf, "index").filings.select(
         "request_id", "accession_number", "filing_date", "form_type", "ticker", "company_name", "cik", "primary_doc",
         *_bigint("year"),
     )
@@ -209,7 +215,7 @@ def document_urls(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ranked_filings(spark: SparkSession, sf: str) -> DataFrame:
-    return _listing(spark, sf).filings.select("request_id", "accession_number", "filing_rank")
+    return _listing(spark, sf, "index").filings.select("request_id", "accession_number", "filing_rank")
 
 
 def ticker_lookup(spark: SparkSession, sf: str) -> DataFrame:
@@ -410,25 +416,25 @@ def request_statuses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def filing_results(spark: SparkSession, sf: str) -> DataFrame:
-    return _outcome(spark, sf)[2].select(
+    return _outcome(spark, sf)[1].select(
         "request_id", "accession_number", "status", "reason", "content_length", "url"
     )
 
 
 def summaries(spark: SparkSession, sf: str) -> DataFrame:
-    listing, _, outcome = _outcome(spark, sf)
+    listing, outcome = _outcome(spark, sf, "gated")
     return o.run_summary(listing.gated, outcome)
 
 
 def failed_runs(spark: SparkSession, sf: str) -> DataFrame:
-    listing, _, outcome = _outcome(spark, sf)
+    listing, outcome = _outcome(spark, sf, "gated")
     return o.run_failed(o.run_summary(listing.gated, outcome)).select("request_id", "all_failed", "run_failed")
 
 
 def _saved(spark: SparkSession, sf: str) -> tuple[str, Listing, DataFrame, DataFrame]:
     folder = _work(spark)
-    keep = stored_in(folder)
-    listing = list_filings(x.all_inputs(spark, sf), keep)
+    keep = stored_in(folder, "index", "filings", "extracted")
+    listing = list_filings(x.listing_inputs(spark, sf), keep)
     extracted = keep(extract_wanted(listing.filings, x.landed_documents(spark, sf)), "extracted")
     return folder, listing, extracted, o.filing_outcomes(listing.filings, extracted)
 
@@ -455,7 +461,7 @@ def saved_metadata(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def surviving_filings(spark: SparkSession, sf: str) -> DataFrame:
-    return o.last_write_wins(_outcome(spark, sf)[2]).select(
+    return o.last_write_wins(_outcome(spark, sf)[1]).select(
         "ticker", *_bigint("filing_year"), "company_name", "accession_number"
     )
 
@@ -474,7 +480,7 @@ def saved_failures(spark: SparkSession, sf: str) -> DataFrame:
 
 def saved_raw(spark: SparkSession, sf: str) -> DataFrame:
     folder = _work(spark)
-    listing = list_filings(x.all_inputs(spark, sf), stored_in(folder))
+    listing = list_filings(x.listing_inputs(spark, sf), stored_in(folder, "index"))
     files.write_raw(listing.filings, x.landed_documents(spark, sf), f"{folder}/raw")
     return spark.read.parquet(f"{folder}/raw").select(
         "ticker", *_bigint("filing_year"), "accession_number", "html"

@@ -6,6 +6,8 @@ Everything grows with its table, and every built document is bounded: a registry
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -251,10 +253,10 @@ def landed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def listing_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
+    """What the filing list needs; no documents."""
+    return Inputs(requests(spark, sf_dir), registry(spark, sf_dir), submissions(spark, sf_dir), None)
+
+
 def all_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
-    return Inputs(
-        requests(spark, sf_dir),
-        registry(spark, sf_dir),
-        submissions(spark, sf_dir),
-        landed_documents(spark, sf_dir),
-    )
+    return replace(listing_inputs(spark, sf_dir), documents=landed_documents(spark, sf_dir))
