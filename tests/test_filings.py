@@ -216,3 +216,32 @@ def test_landed_json_files(spark, tmp_path):
     (row,) = required_fields(submissions_source(read_submissions(spark, str(tmp_path / "s")))).collect()
     assert (row.cik, row.doc_status, row.doc.name) == ("0000000001", "ok", "Acme")
     assert [r.cik for r in company_source(read_registry(spark, str(tmp_path / "r.json"))).collect()] == [1]
+
+
+def test_a_hot_ticker_keeps_every_row(spark):
+    """A third of all requests for one company, a third for tickers nobody has; nothing is lost or doubled."""
+    requests = spark.range(900).select(
+        F.col("id").alias("request_id"),
+        F.when(F.col("id") % 3 == 0, "aa")
+        .when(F.col("id") % 3 == 1, F.concat(F.lit("none"), F.col("id").cast("string")))
+        .otherwise(F.concat(F.lit("b"), (F.col("id") % 7).cast("string")))
+        .alias("ticker"),
+        F.lit(None).cast("int").alias("start_year"),
+        F.when(F.col("id") % 2 == 0, 2020).cast("int").alias("end_year"),
+    )
+    entries = {"0": {"ticker": "AA", "cik_str": 1}} | {
+        str(i): {"ticker": f"B{i}", "cik_str": i + 2} for i in range(1, 7)
+    }
+    registry = spark.createDataFrame([(json.dumps(entries),)], "json string")
+    big = submission([(f"h-{i}", f"{2000 + i % 30}-01-01", "10-K", "d") for i in range(600)])
+    pages = landed(spark, big, big).unionAll(landed(spark, submission(K), cik="0000000003"))
+    found = list_filings(Inputs(requests, registry, pages, None))
+    count = {r.request_status: r["count"] for r in found.gated.groupBy("request_status").count().collect()}
+    # b0 is in no registry entry; b2..b6 have no submissions
+    assert sum(count.values()) == 900 and count["ticker_not_found"] == 300 + sum(i % 3 == 2 and i % 7 == 0 for i in range(900))
+    per_request = found.filings.groupBy("request_id").agg(
+        F.count("*").alias("n"), F.max("filing_rank").alias("last"), F.countDistinct("filing_rank").alias("ranks")
+    )
+    hot = [r for r in per_request.collect() if r.request_id % 3 == 0]
+    assert len(hot) == 300
+    assert {(r.request_id % 2, r.n, r["last"], r.ranks) for r in hot} == {(0, 840, 840, 840), (1, 1200, 1200, 1200)}
