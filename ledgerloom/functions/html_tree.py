@@ -32,7 +32,6 @@ CLOSES_P = HEADINGS | set(
 )
 FORMATTING = set("a b big code em font i nobr s small strike strong tt u".split())
 SCOPE_EDGE = set("applet caption html table td th marquee object template".split())
-IMPLIED_END = set("dd dt li optgroup option p rb rp rt rtc".split())
 BUTTON_EDGE = SCOPE_EDGE | {"button"}
 LIST_EDGE = SCOPE_EDGE | {"ol", "ul"}
 TABLE_EDGE = {"table", "html", "template"}
@@ -58,7 +57,8 @@ TABLE_HOLDERS = {
 }
 # Documents whose doctype is absent or matches this are laid out in quirks mode (a table then stays in its p).
 LEGACY_DOCTYPE = re.compile(
-    r"(?i)^(?!html\b)|//(?:IETF|W3O|Netscape|Microsoft)//|DTD HTML (?:2|3|4\.0 )|DTD HTML 4\.01 (?:Transitional|Frameset)//EN[\"']\s*$"
+    r"(?i)^(?!html\b)|//(?:IETF|W3O|Netscape|Microsoft)//|DTD HTML (?:2|3|4\.0 )"
+    r"|DTD HTML 4\.01 (?:Transitional|Frameset)//EN[\"']\s*$"
 )
 
 MARKUP = re.compile(
@@ -181,7 +181,7 @@ class TreeBuilder:
     # --- formatting elements -------------------------------------------------------------------
     def reopen_formatting(self):
         entries, at = self.formatting, len(self.formatting)
-        if not at or entries[-1] is None or entries[-1] in self.stack:
+        if not at or entries[-1] is None or entries[-1] is self.stack[-1] or entries[-1] in self.stack:
             return
         while at and entries[at - 1] is not None and entries[at - 1] not in self.stack:
             at -= 1

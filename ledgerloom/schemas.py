@@ -69,8 +69,6 @@ INVALID_CIK = "invalid_cik"
 HTTP_ERROR = "http_error"
 PARSE_ERROR = "submissions_parse_error"
 NO_FILINGS = "no_filings"
-# Outcome of one filing, besides OK and HTTP_ERROR.
-DOC_NOT_FOUND = "doc_not_found"
-RATE_LIMITED = "rate_limited"
+# Outcome of one filing, besides the fetch outcomes of ``functions.filing.fetch_status``.
 YEAR_MISSING = "year_missing"
 SECTION_NOT_FOUND = "section_not_found"
