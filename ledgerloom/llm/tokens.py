@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes handled at a time; a longer word makes its step longer.
 STEP = 1 << 20
@@ -100,7 +101,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], limit: int = 16 << 20) -> It
     """The batches cut so that ``text`` holds about ``limit`` bytes at most, or one row."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index("text"))
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), dtype=np.int64)
+        size = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
         start, held = 0, 0
         for i, b in enumerate(size):
             if held and held + b > limit:
