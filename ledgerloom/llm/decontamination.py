@@ -75,11 +75,11 @@ def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     windows = hashed.select("doc_id", "text_hash", "words", F.expr(f"concat(array({MARKER}L){''.join(', ' + r for r in runs)})").alias("grams"))
     rows = windows.select("doc_id", "text_hash", "words", F.posexplode_outer("grams").alias("at", "gram_hash"))
     before = "1"  # the marker and the windows of the lengths listed earlier come first in `grams`
-    start = "case length"
+    start = "case length when 0 then 0"
     for n in lengths:
         start += f" when {n} then at - ({before})"
         before += f" + greatest(size(words) - {n} + 1, 0)"
-    hits = rows.join(grams, "gram_hash").withColumn("start", F.expr(start + " else 0 end"))
+    hits = rows.join(grams, "gram_hash").withColumn("start", F.expr(start + " end"))
     held = hits.filter("slice(words, cast(start as int) + 1, length) = gram")
     return held.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), "start", "length", "items")
 
