@@ -1,18 +1,6 @@
-"""Brute-force helpers of the operators' tests."""
-
-import re
-
 import pytest
 
 
-def ascii_lower(text):
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-
-
-def spaced_words(text):
-    return re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(text))
-
-
 @pytest.fixture
 def documents(spark):
     """A table of ``(doc_id, text)`` rows."""
