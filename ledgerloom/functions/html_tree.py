@@ -64,7 +64,7 @@ LEGACY_DOCTYPE = re.compile(
 MARKUP = re.compile(
     r"<!--(?:-?>|(?P<comment>.*?)(?:--!?>|\Z))"
     r"|<!doctype(?P<doctype>[^>]*)(?:>|\Z)"
-    r"|<(?:[!?]|/(?![a-z>]))(?P<bogus>[^>]*)(?:>|\Z)"
+    r"|<(?:!|(?=\?)|/(?![a-z>]))(?P<bogus>[^>]*)(?:>|\Z)"
     r"|<(?P<slash>/?)(?P<tag>[a-z][^\s/>]*+)"
     r"(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)*+)(?P<close>>|\Z)"
     r"|</>",
@@ -95,18 +95,35 @@ NO_ATTRIBUTES: dict[str, str] = {}
 
 
 class Node:
-    __slots__ = ("attrs", "children", "data", "implied", "parent", "tag")
+    __slots__ = ("attrs", "children", "data", "implied", "parent", "slot", "tag")
 
     def __init__(self, tag, attrs=NO_ATTRIBUTES, data=None, implied=False):
         self.tag, self.attrs, self.data, self.implied = tag, attrs, data, implied
-        self.parent, self.children = None, []
+        self.parent, self.children, self.slot = None, [], 0
+
+    def place_of(self, child):
+        """Index of a child; the last known one is tried first, so that no insertion searches all siblings."""
+        if not (child.slot < len(self.children) and self.children[child.slot] is child):
+            child.slot = next(i for i in range(len(self.children) - 1, -1, -1) if self.children[i] is child)
+        return child.slot
 
     def add(self, child, before=None):
         if child.parent is not None:
-            child.parent.children.remove(child)
+            del child.parent.children[child.parent.place_of(child)]
         child.parent = self
-        at = len(self.children) if before is None else self.children.index(before)
-        self.children.insert(at, child)
+        if before is None:
+            child.slot = len(self.children)
+            self.children.append(child)
+        else:
+            child.slot = self.place_of(before)
+            self.children.insert(child.slot, child)
+            before.slot = child.slot + 1
+
+    def take_children(self, other):
+        """All children of another node at once; this one has none yet."""
+        self.children, other.children = other.children, []
+        for child in self.children:
+            child.parent = self
 
 
 class TreeBuilder:
@@ -144,7 +161,7 @@ class TreeBuilder:
         if foster and target.tag in TABLE_SHELL:
             table = next((n for n in reversed(self.stack) if n.tag == "table"), None)
             if table is not None and table.parent is not None:
-                at = table.parent.children.index(table)
+                at = table.parent.place_of(table)
                 if node.tag == "#text" and at and table.parent.children[at - 1].tag == "#text":
                     table.parent.children[at - 1].data += node.data
                 else:
@@ -250,8 +267,7 @@ class TreeBuilder:
         else:
             holder.add(last)
         copy, place = Node(entry.tag, entry.attrs, implied=True), self.formatting.index(entry)
-        for child in list(block.children):
-            copy.add(child)
+        copy.take_children(block)
         block.add(copy)
         self.formatting.remove(entry)
         self.formatting.insert(mark - (place < mark), copy)

@@ -129,7 +129,8 @@ def in_toc(node: Column, doc_text: Column) -> Column:
 
 
 def is_start(node: Column, doc_text: Column, rule: SectionRule) -> Column:
-    return is_header(node) & is_start_text(node_text(doc_text, node), rule)
+    # text and comment nodes have no tag, and AND looks at its right side unless the left is false
+    return F.coalesce(is_header(node), F.lit(False)) & is_start_text(node_text(doc_text, node), rule)
 
 
 def first_start(parsed: DataFrame, rule: SectionRule = ITEM_8) -> DataFrame:
@@ -170,7 +171,7 @@ def is_sibling(node: Column) -> Column:
 def is_end(node: Column, doc_text: Column, rule: SectionRule) -> Column:
     """An end marker: a block tag among the siblings of the start, a header tag below them."""
     tag = F.when(is_sibling(node), node["tag"].isin(END_TAGS)).otherwise(is_header(node))
-    return tag & is_end_text(node_text(doc_text, node), rule)
+    return F.coalesce(tag, F.lit(False)) & is_end_text(node_text(doc_text, node), rule)
 
 
 def end_matches(followed: DataFrame, rule: SectionRule = ITEM_8) -> DataFrame:

@@ -11,11 +11,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import byte_slice, unicode_pattern
+from .nodes import bound
 
 # Highlight kinds with a class of their own, and the document shell around the annotated markup.
 KNOWN_KINDS = ["start", "end", "item8", "item9"]
@@ -70,11 +72,27 @@ def _spans(hits: Column, totals: Column, pattern_no: int, kind: str) -> Column:
     )
 
 
+def check_pattern(spark: SparkSession, pattern: str) -> None:
+    """Raise ValueError for a pattern that is no regular expression or matches an empty piece of a sample."""
+    java = spark.sparkContext._jvm.java.util.regex.Pattern
+    try:
+        compiled = java.compile(unicode_pattern(pattern))
+    except IllegalArgumentException as error:
+        raise ValueError(f"pattern {pattern!r} does not compile: {error}") from None
+    for sample in ("", "Ab 1.,\n<x> -"):
+        matcher = compiled.matcher(sample)
+        while matcher.find():
+            if matcher.start() == matcher.end():
+                raise ValueError(f"pattern {pattern!r} can match nothing, so its matches have no extent")
+
+
 def regex_spans(documents: DataFrame, patterns: Sequence[tuple[str, str]], html: str = "html") -> DataFrame:
     """``spans``: every non-overlapping match of each (pattern, kind) as byte offsets, pattern by pattern.
 
-    Patterns must not match the empty string.
+    A pattern that does not compile or that can match nothing is rejected before anything runs.
     """
+    for pattern, _ in patterns:
+        check_pattern(documents.sparkSession, pattern)
     text, steps, found = F.coalesce(F.col(html), F.lit("")), documents, []
     for at, (pattern, kind) in enumerate(patterns):
         regex, hits, totals = F.lit(unicode_pattern(pattern)), f"_hits{at}", f"_totals{at}"
@@ -87,7 +105,8 @@ def regex_spans(documents: DataFrame, patterns: Sequence[tuple[str, str]], html:
 def span_rows(spanned: DataFrame, html: str = "html") -> DataFrame:
     """One row per match."""
     keys = [c for c in spanned.columns if c not in (html, "spans")]
-    return spanned.select(*keys, F.inline("spans"))
+    # inline alone would let the optimizer infer a filter on its size, push it down and run every pattern twice
+    return spanned.select(*keys, F.inline_outer("spans")).filter(F.col("pattern_no").isNotNull())
 
 
 def css_class(kind: Column) -> Column:
@@ -99,16 +118,15 @@ def annotate(spanned: DataFrame, html: str = "html") -> DataFrame:
 
     Each span is preceded by the text since the *previous span's end*, so overlapping spans repeat text.
     """
-    raw = F.col(html).cast("binary")
+    raw = F.coalesce(F.col(html), F.lit("")).cast("binary")
     ordered = spanned.withColumn("_raw", raw).withColumn("_sorted", F.array_sort("spans"))
 
-    def between(start: Column, end: Column) -> Column:
-        return F.when(end > start, byte_slice(F.col("_raw"), start.cast("int"), (end - start).cast("int"))).otherwise("")
+    def between(raw: Column, start: Column, end: Column) -> Column:
+        return F.when(end > start, byte_slice(raw, start.cast("int"), (end - start).cast("int"))).otherwise("")
 
-    def wrap(span: Column, i: Column) -> Column:
-        before = F.coalesce(F.get(F.col("_sorted"), i - 1)["end"], F.lit(0).cast("bigint"))
+    def wrap(raw: Column, span: Column, before: Column) -> Column:
         return F.concat(
-            between(before, span["start"]),
+            between(raw, before, span["start"]),
             F.lit('<span class="'),
             css_class(span["kind"]),
             F.lit('" title="Position: '),
@@ -118,14 +136,20 @@ def annotate(spanned: DataFrame, html: str = "html") -> DataFrame:
             F.lit(", Type: "),
             span["kind"],
             F.lit('">'),
-            between(span["start"], span["end"]),
+            between(raw, span["start"], span["end"]),
             F.lit("</span>"),
         )
 
-    last = F.coalesce(F.get(F.col("_sorted"), F.size("_sorted") - 1)["end"], F.lit(0).cast("bigint"))
-    body = F.concat(
-        F.array_join(F.transform("_sorted", wrap), ""),
-        between(last, F.octet_length("_raw").cast("bigint")),
+    # the document's bytes are bound once, and each span meets the end of the one before as its neighbour
+    zero = F.array(F.lit(0).cast("bigint"))
+    ends = F.concat(zero, F.transform("_sorted", lambda span: span["end"]))
+    before = F.slice(ends, F.lit(1), F.size("_sorted"))
+    body = bound(
+        "_raw",
+        lambda raw: F.concat(
+            F.array_join(F.zip_with("_sorted", before, lambda span, end: wrap(raw, span, end)), ""),
+            between(raw, F.element_at(ends, -1), F.octet_length(raw).cast("bigint")),
+        ),
     )
     return ordered.withColumn("annotated", F.concat(F.lit(SHELL_HEAD), body, F.lit(SHELL_TAIL))).drop(
         "_raw", "_sorted", "spans"
