@@ -19,21 +19,23 @@ from ..functions.filing import ANNUAL_FORM, cik_pad, document_url, filing_year,
 def resolve_tickers(requests: DataFrame, company: DataFrame) -> DataFrame:
     """Adds ``cik`` and ``lookup_status`` to each request.
 
-    Lookup ignores case.  Of several entries for a ticker the first index in *string* order counts
-    ("10" before "2"); entries without a key are passed over.
+    Lookup ignores case.  Of several entries for a ticker the first document counts, by name, and in it the first
+    index in *string* order ("10" before "2"); entries without a key are passed over.  A ticker that is not found while
+    some registry document could not be read fails with that document's status: it may have been in there.
     """
     first = (
         company.filter(F.col("cik_state") != "missing")
         .groupBy(F.upper("ticker").alias("ticker_key"))
-        .agg(F.min_by(F.struct("cik", "cik_state"), "idx").alias("hit"))
+        .agg(F.min_by(F.struct("cik", "cik_state"), F.struct("document", "idx")).alias("hit"))
     )
+    unread = company.filter(F.col("doc_status") != S.OK).agg(F.min("doc_status")).scalar()
     return (
         requests.withColumn("ticker_key", F.upper("ticker"))
         .join(first, "ticker_key", "left")
         .select(
             *requests.columns,
             cik_pad(F.col("hit.cik")).alias("cik"),
-            F.when(F.col("hit").isNull(), S.TICKER_NOT_FOUND)
+            F.when(F.col("hit").isNull(), F.coalesce(unread, F.lit(S.TICKER_NOT_FOUND)))
             .when(F.col("hit.cik_state") == "invalid", S.INVALID_CIK)
             .otherwise(S.OK)
             .alias("lookup_status"),

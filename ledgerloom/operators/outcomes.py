@@ -28,13 +28,25 @@ def error_text(rule: SectionRule = ITEM_8) -> Column:
     )
 
 
+def one_extraction(extracted: DataFrame, *carried: str) -> DataFrame:
+    """One row per address, however often it landed: a fetched document before a failed one, a found section before
+    none, then by length and content.  ``carried`` columns (the section text) come along only where asked for."""
+    narrow = extracted.select(
+        "url", "http_status", "status", "reason", "content_length", F.xxhash64("content_html").alias("version"), *carried
+    )
+    unfetched = F.coalesce(fetch_status(F.col("http_status")) != S.OK, F.lit(True))
+    order = F.struct(unfetched, F.col("status") != S.OK, "http_status", "reason", "content_length", "version")
+    rest = F.struct("http_status", "status", "reason", "content_length", *carried)
+    return narrow.groupBy("url").agg(F.min_by(rest, order).alias("kept")).select("url", "kept.*")
+
+
 def filing_outcomes(filings: DataFrame, extracted: DataFrame, rule: SectionRule = ITEM_8) -> DataFrame:
     """One row per requested filing: ``status``, ``reason``, ``content_length``, ``error``.
 
-    ``extracted`` holds one row per document address, so this is one narrow left join; the section
+    One row per document address is chosen first (``one_extraction``), so this is one narrow left join; the section
     text itself is not carried.  Nothing here can fail a batch.
     """
-    found = extracted.select(
+    found = one_extraction(extracted).select(
         "url", "http_status", F.col("status").alias("section_status"), "reason", "content_length"
     )
     fetched = fetch_status(F.col("http_status"))
@@ -82,7 +94,7 @@ def last_write_wins(outcomes: DataFrame) -> DataFrame:
         .groupBy("ticker", F.col("year").alias("filing_year"))
         .agg(
             F.max_by(
-                F.struct("company_name", "accession_number", "url"), F.struct("request_id", "filing_rank")
+                F.struct("company_name", "accession_number", "url", "content_length"), F.struct("request_id", "filing_rank")
             ).alias("last")
         )
         .select("ticker", "filing_year", "last.*")

@@ -75,18 +75,27 @@ def section_record(extracted: DataFrame, rule: SectionRule = ITEM_8) -> DataFram
     )
 
 
-def metadata_record(sections: DataFrame) -> DataFrame:
-    """Seven-field description of each section."""
-    return sections.select(
-        "ticker",
-        "company_name",
-        "filing_year",
-        "section_name",
-        "section_title",
-        byte_length(F.col("content_html")).alias("content_length"),
+def _metadata_fields(rule: SectionRule) -> list[Column]:
+    """The seven fields that describe a section; its length is known from the extraction, its text is not read."""
+    return [
+        F.col("ticker"),
+        F.col("company_name"),
+        F.col("filing_year"),
+        F.lit(rule.name).alias("section_name"),
+        F.lit(rule.title).alias("section_title"),
+        F.col("content_length"),
         F.date_format(
             F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"
         ).alias("extraction_timestamp"),
-    )
+    ]
+
+
+def metadata_record(kept: DataFrame, rule: SectionRule = ITEM_8) -> DataFrame:
+    return kept.select(*_metadata_fields(rule))
+
+
+def metadata_json(rule: SectionRule = ITEM_8) -> Column:
+    """The same fields as one JSON text."""
+    return F.to_json(F.struct(*_metadata_fields(rule)))
 
 

@@ -5,15 +5,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import filings as f
 from ..operators.boundaries import ITEM_8, SectionRule
-from ..operators.outcomes import filing_outcomes, last_write_wins, run_failed, run_summary
+from ..operators.outcomes import filing_outcomes, last_write_wins, one_extraction, run_failed, run_summary
 from ..operators.sections import extract_section, section_record
+from ..session import shared_root
 from ..sinks import files
-from ..sources.documents import wanted_documents
+from ..sources.documents import one_per_address, wanted_documents
 from ..sources.registry import company_source
 from ..sources.submissions import required_fields, submissions_source
 
@@ -42,16 +44,19 @@ def stored_in(folder: str, *names: str) -> Keep:
 
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder under the one the cluster shares for intermediate tables."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return f"{root.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/ledgerloom-{uuid.uuid4().hex}"
+
+
+def run_name() -> str:
+    """A name for a run; later runs sort after earlier ones."""
+    return f"{datetime.now(UTC):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
 
 
 @dataclass(frozen=True)
 class Inputs:
-    """Landed tables: ``requests(request_id, ticker, start_year, end_year)``, ``registry(json)``,
-    ``submissions(cik, page, http_status, json)`` and ``documents(url, http_status, html)``.
+    """Landed tables: ``requests(request_id, ticker, start_year, end_year)``, ``registry(json)`` with or without
+    ``document`` and ``http_status``, ``submissions(cik, page, http_status, json)`` and
+    ``documents(url, http_status, html)``, best partitioned by ``company_bucket`` and ``filing_year``.
     Listing alone needs no documents."""
 
     requests: DataFrame
@@ -83,35 +88,47 @@ def list_filings(inputs: Inputs, keep: Keep = as_planned) -> Listing:
 
 
 def extract_wanted(filings: DataFrame, documents: DataFrame, rule: SectionRule = ITEM_8) -> DataFrame:
-    """One extraction result per document address that is asked for."""
+    """An extraction result for each landed document that is asked for."""
     return extract_section(wanted_documents(documents, filings), rule)
 
 
-def surviving_sections(
-    outcome: DataFrame, extracted: DataFrame, rule: SectionRule = ITEM_8, dedup: bool = True
-) -> DataFrame:
-    """Sections to save, with their text.  ``dedup=False`` keeps every filing of a year."""
+def surviving_filings(outcome: DataFrame, dedup: bool = True) -> DataFrame:
+    """What to save, without its text.  ``dedup=False`` keeps every filing of a year."""
     if dedup:
-        kept = last_write_wins(outcome)
-    else:
-        kept = outcome.filter("status = 'ok'").selectExpr(
-            "ticker", "year AS filing_year", "company_name", "accession_number", "url"
-        ).distinct()
-    return section_record(kept.join(extracted.select("url", "status", "content_html"), "url"), rule)
+        return last_write_wins(outcome)
+    return outcome.filter("status = 'ok'").selectExpr(
+        "ticker", "year AS filing_year", "company_name", "accession_number", "url", "content_length"
+    ).distinct()
+
+
+def section_texts(kept: DataFrame, extracted: DataFrame, rule: SectionRule = ITEM_8) -> DataFrame:
+    """The kept filings' sections with their text."""
+    found = one_extraction(extracted.filter("status = 'ok'"), "content_html").select("url", "status", "content_html")
+    return section_record(kept.drop("content_length").join(found, "url"), rule)
 
 
 def run_batch(
-    inputs: Inputs, output: str, rule: SectionRule = ITEM_8, debug: bool = False, dedup: bool = True
+    inputs: Inputs,
+    output: str,
+    rule: SectionRule = ITEM_8,
+    debug: bool = False,
+    dedup: bool = True,
+    run: str | None = None,
 ) -> DataFrame:
-    """Run everything, write the outputs under ``output`` and return the per-request summary."""
+    """Run everything, write the outputs under ``output`` and return the per-request summary.
+
+    ``run`` names the run in the outputs; repeating a run under its name replaces what it wrote and nothing else.
+    """
+    run = run or run_name()
     keep = stored_in(shared_folder(inputs.requests.sparkSession))
     listing = list_filings(inputs, keep)
     if debug:
-        files.write_raw(listing.filings, inputs.documents, f"{output}/raw")
+        landed = one_per_address(wanted_documents(inputs.documents, listing.filings))
+        files.write_raw(listing.filings, landed, f"{output}/raw", run)
     extracted = keep(extract_wanted(listing.filings, inputs.documents, rule), "extracted")
     outcome = keep(filing_outcomes(listing.filings, extracted, rule), "outcomes")
-    sections = surviving_sections(outcome, extracted, rule, dedup)
-    files.write_sections(sections, f"{output}/sections")
-    files.write_metadata(sections, f"{output}/metadata")
-    files.write_failures(outcome, f"{output}/failures")
+    kept = keep(surviving_filings(outcome, dedup), "kept")
+    files.write_sections(section_texts(kept, extracted, rule), f"{output}/sections", run, rule)
+    files.write_metadata(kept, f"{output}/metadata", run, rule)
+    files.write_failures(outcome, f"{output}/failures", run, rule)
     return run_failed(run_summary(listing.gated, outcome))

@@ -6,7 +6,6 @@ and ``orders``; the node queries also every row of ``pages``.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +20,7 @@ from ..operators import outcomes as o
 from ..operators import sections as s
 from ..operators import spans
 from ..sinks import files
-from ..sources.documents import attach_documents, spread
+from ..sources.documents import attach_documents, one_per_address, wanted_documents
 from ..sources.registry import company_source
 from ..sources.submissions import required_fields, submissions_source
 from . import fixtures as x
@@ -30,9 +29,9 @@ from .batch import (
     as_planned,
     extract_wanted,
     list_filings,
+    section_texts,
     shared_folder,
     stored_in,
-    surviving_sections,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,10 +42,6 @@ SPAN_PATTERNS = [("[A-Z][a-z]+", "start"), ("[0-9]+", "item8"), ("[,;]", "other"
 
 # --- shared inputs -----------------------------------------------------------------------------------
 def _work(spark: SparkSession) -> str:
-    """A fresh folder in the shared one; a local session without that setting gets a folder of its own."""
-    local = spark.sparkContext.master.startswith("local")
-    if local and not (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
-        return tempfile.mkdtemp(prefix="ledgerloom-")
     return shared_folder(spark)
 
 
@@ -77,7 +72,7 @@ def _parsed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _parsed_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return n.parse_html(spread(x.scan(spark, sf, "pages").select("page_id", "html")))
+    return n.parse_html(x.scan(spark, sf, "pages").select("page_id", "html"))
 
 
 def _extracted(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,7 +102,7 @@ def _bigint(*names: str) -> list[Column]:
 
 # --- sources -----------------------------------------------------------------------------------------
 def company_entries(spark: SparkSession, sf: str) -> DataFrame:
-    return _company(spark, sf).select("idx", "ticker", "cik", "cik_state", "title")
+    return _company(spark, sf).select("document", "idx", "ticker", "cik", "cik_state", "title", "doc_status")
 
 
 def submission_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -185,13 +180,10 @@ def filing_years(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def year_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    """Every (resolved request, annual filing) pair of a company with its range test."""
+    """The annual filings inside the range of each resolved request."""
     annual = _zipped(spark, sf).filter(f.is_annual(F.col("form_type"))).select("cik", "accession_number", "year")
-    return _resolved(spark, sf).join(annual, "cik").select(
-        "request_id",
-        "accession_number",
-        fil.in_years(F.col("year"), F.col("start_year"), F.col("end_year")).alias("in_range"),
-    )
+    in_range = fil.in_years(F.col("year"), F.col("start_year"), F.col("end_year"))
+    return _resolved(spark, sf).join(annual, "cik").filter(in_range).select("request_id", "accession_number")
 
 
 def filing_records(spark: SparkSession, sf: str) -> DataFrame:
@@ -346,7 +338,7 @@ def toc_table_items(spark: SparkSession, sf: str) -> DataFrame:
     ).otherwise(
         F.concat(F.lit("<table><tr><td><span>"), label, tail, F.lit("</span></td></tr></table>"))
     )
-    parsed = n.parse_html(spread(x.scan(spark, sf, "part")).select("p_partkey", html.alias("html")))
+    parsed = n.parse_html(x.scan(spark, sf, "part").select("p_partkey", html.alias("html")))
     spans_only = b.toc_marks(parsed).withColumn("spans", F.filter("nodes", lambda e: e["tag"] == "span"))
     return spans_only.select("p_partkey", F.exists("spans", lambda e: b.is_toc_table_item(e, F.col("doc_text"))).alias("toc_item"))
 
@@ -406,7 +398,7 @@ def section_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def metadata_records(spark: SparkSession, sf: str) -> DataFrame:
-    records = s.metadata_record(s.section_record(_described(spark, sf)))
+    records = s.metadata_record(_described(spark, sf).filter(F.col("status") == "ok"))
     return records.drop("extraction_timestamp").withColumn("filing_year", F.col("filing_year").cast("bigint"))
 
 
@@ -431,33 +423,40 @@ def failed_runs(spark: SparkSession, sf: str) -> DataFrame:
     return o.run_failed(o.run_summary(listing.gated, outcome)).select("request_id", "all_failed", "run_failed")
 
 
-def _saved(spark: SparkSession, sf: str) -> tuple[str, Listing, DataFrame, DataFrame]:
+RUNS = ("run-1", "run-2")
+
+
+def _saved(spark: SparkSession, sf: str) -> tuple[str, DataFrame, list[tuple[str, DataFrame]]]:
+    """A folder, the extractions, and the outcomes of two runs whose tickers differ but whose years do not."""
     folder = _work(spark)
-    keep = stored_in(folder, "index", "filings", "extracted")
+    keep = stored_in(folder, "index", "filings", "extracted", "outcomes")
     listing = list_filings(x.listing_inputs(spark, sf), keep)
     extracted = keep(extract_wanted(listing.filings, x.landed_documents(spark, sf)), "extracted")
-    return folder, listing, extracted, o.filing_outcomes(listing.filings, extracted)
+    outcome = keep(o.filing_outcomes(listing.filings, extracted), "outcomes")
+    return folder, extracted, [(run, outcome.filter(F.crc32("ticker") % 2 == i)) for i, run in enumerate(RUNS)]
 
 
 def saved_sections(spark: SparkSession, sf: str) -> DataFrame:
-    folder, _, extracted, outcome = _saved(spark, sf)
-    files.write_sections(surviving_sections(outcome, extracted), f"{folder}/sections")
-    return spark.read.parquet(f"{folder}/sections").select(
-        F.col("ticker").cast("string").alias("ticker"), *_bigint("filing_year"), "company_name", "section_name",
-        "section_title", "content_html", "file_name",
-    )
+    folder, extracted, runs = _saved(spark, sf)
+    for run, outcome in runs:
+        files.write_sections(section_texts(o.last_write_wins(outcome), extracted), f"{folder}/sections", run)
+    schema = (
+        "ticker string, filing_year int, company_name string, section_name string, section_title string, "
+        "content_html string, file_name string"
+    )
+    saved = files.latest(spark, f"{folder}/sections", schema, "ticker", "filing_year")
+    return saved.withColumn("filing_year", F.col("filing_year").cast("bigint"))
 
 
 def saved_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    folder, _, extracted, outcome = _saved(spark, sf)
-    files.write_metadata(surviving_sections(outcome, extracted), f"{folder}/metadata")
-    schema = (
-        "ticker string, filing_year bigint, company_name string, section_name string, section_title string, "
-        "content_length bigint, file_name string"
-    )
-    return spark.read.schema(schema).json(f"{folder}/metadata").select(
-        "ticker", "filing_year", "company_name", "section_name", "section_title", "content_length", "file_name"
-    )
+    """The written JSON texts but for their last field, the time."""
+    folder, _, runs = _saved(spark, sf)
+    for run, outcome in runs:
+        files.write_metadata(o.last_write_wins(outcome), f"{folder}/metadata", run)
+    schema = "ticker string, filing_year int, record string, file_name string"
+    saved = files.latest(spark, f"{folder}/metadata", schema, "ticker", "filing_year")
+    timeless = F.regexp_replace("record", ',"extraction_timestamp":"[^"]+"}$', "}")
+    return saved.select("file_name", timeless.alias("record"))
 
 
 def surviving_filings(spark: SparkSession, sf: str) -> DataFrame:
@@ -467,30 +466,32 @@ def surviving_filings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def saved_failures(spark: SparkSession, sf: str) -> DataFrame:
-    folder, _, _, outcome = _saved(spark, sf)
-    files.write_failures(outcome, f"{folder}/failures")
+    folder, _, runs = _saved(spark, sf)
+    for run, outcome in runs:
+        files.write_failures(outcome, f"{folder}/failures", run)
     schema = (
-        "ticker string, filing_year bigint, request_id bigint, accession_number string, reason string, "
-        "failure_text string"
-    )
-    return spark.read.schema(schema).json(f"{folder}/failures").select(
-        "ticker", "filing_year", "request_id", "accession_number", "reason", "failure_text"
+        "ticker string, filing_year int, request_id bigint, accession_number string, reason string, failure_text string"
     )
+    saved = files.latest(spark, f"{folder}/failures", schema, "ticker", "filing_year", "accession_number")
+    return saved.withColumn("filing_year", F.col("filing_year").cast("bigint"))
 
 
 def saved_raw(spark: SparkSession, sf: str) -> DataFrame:
     folder = _work(spark)
-    listing = list_filings(x.listing_inputs(spark, sf), stored_in(folder, "index"))
-    files.write_raw(listing.filings, x.landed_documents(spark, sf), f"{folder}/raw")
-    return spark.read.parquet(f"{folder}/raw").select(
-        "ticker", *_bigint("filing_year"), "accession_number", "html"
-    )
+    listing = list_filings(x.listing_inputs(spark, sf), stored_in(folder, "index", "filings"))
+    for i, run in enumerate(RUNS):
+        filings = listing.filings.filter(F.crc32("ticker") % 2 == i)
+        landed = one_per_address(wanted_documents(x.landed_documents(spark, sf), filings))
+        files.write_raw(filings, landed, f"{folder}/raw", run)
+    schema = "ticker string, filing_year int, accession_number string, html string"
+    saved = files.latest(spark, f"{folder}/raw", schema, "ticker", "filing_year", "accession_number")
+    return saved.withColumn("filing_year", F.col("filing_year").cast("bigint"))
 
 
 # --- spans -------------------------------------------------------------------------------------------
 def _spanned(spark: SparkSession, sf: str) -> DataFrame:
     documents = x.scan(spark, sf, "documents").select("doc_id", F.col("text").alias("html"))
-    return spans.regex_spans(spread(documents), SPAN_PATTERNS)
+    return spans.regex_spans(documents, SPAN_PATTERNS)
 
 
 def pattern_spans(spark: SparkSession, sf: str) -> DataFrame:

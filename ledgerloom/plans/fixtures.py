@@ -11,8 +11,9 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.filing import cik_pad, document_url
-from ..sources.documents import spread
+from ..functions.filing import cik_pad, document_url, filing_year
+from ..operators.filings import is_annual
+from ..sources.documents import COMPANY_BUCKETS
 from .batch import Inputs
 
 # Declared, so that opening a table reads no footers.
@@ -25,6 +26,8 @@ SCHEMAS = {
 }
 REGISTRY_PART = 100
 PAGE = 100_000
+PAGES = 3  # pages that the orders of a range of PAGE keys are dealt over, at every scale
+ORDERS_PER_DOCUMENT = 15
 
 TITLE = "Item 8. Financial Statements and Supplementary Data"
 NEXT_ITEM = "<h3>Item 9. Changes in Accountants</h3><p>tail</p>"
@@ -70,14 +73,15 @@ def filing_html(doc_id: Column, text: Column) -> Column:
 
 def constructed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, html``: one built filing per row of ``documents``."""
-    documents = spread(scan(spark, sf_dir, "documents").select("doc_id", "text"))
+    documents = scan(spark, sf_dir, "documents").select("doc_id", "text")
     return documents.select("doc_id", filing_html(F.col("doc_id"), F.col("text")).alias("html"))
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``json``: the companies of ``customer`` as registry documents.
+    """``document, http_status, json``: the companies of ``customer`` as registry documents.
 
-    Three neighbouring customers share a ticker.  Some entries lack the company key, some hold no number.
+    Three neighbouring customers share a ticker.  Some entries lack the company key, some hold no number.  In every
+    document the last key occurs twice, first with another company; one document in 17 is cut short and one not fetched.
     """
     key = F.col("c_custkey")
     ticker = F.concat(F.when(key % 2 == 0, "T").otherwise("t"), F.expr("c_custkey div 3").cast("string")).alias("ticker")
@@ -91,13 +95,17 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
         scan(spark, sf_dir, "customer")
         .groupBy(F.expr(f"c_custkey div {REGISTRY_PART}").alias("part"))
         .agg(
+            F.max(key).alias("last"),
+            F.array_join(F.collect_list(F.concat(F.lit('"'), key.cast("string"), F.lit('":'), entry)), ",").alias("entries"),
+        )
+        .select(
+            F.format_string("part-%08d", "part").alias("document"),
+            F.when(F.col("part") % 17 == 16, 503).otherwise(200).alias("http_status"),
             F.concat(
-                F.lit("{"),
-                F.array_join(F.collect_list(F.concat(F.lit('"'), key.cast("string"), F.lit('":'), entry)), ","),
-                F.lit("}"),
-            ).alias("json")
+                F.lit('{"'), F.col("last").cast("string"), F.lit('":{"cik_str":1,"ticker":"TWICE","title":"first"},'), "entries",
+                F.when(F.col("part") % 17 == 15, "").otherwise("}"),
+            ).alias("json"),
         )
-        .select("json")
     )
 
 
@@ -133,7 +141,7 @@ def order_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark, sf_dir, "orders").select(
         customer.alias("custkey"),
         key.alias("orderkey"),
-        F.expr(f"o_orderkey div {PAGE}").cast("int").alias("page"),
+        F.expr(f"o_orderkey div {PAGE} * {PAGES} + o_orderkey % {PAGES}").cast("int").alias("page"),
         cik.alias("cik"),
         F.concat_ws("-", cik, F.date_format(day, "yy"), F.format_string("%06d", key)).alias("accession"),
         F.unix_date(day).alias("day"),
@@ -241,15 +249,28 @@ def document_status(doc_id: Column) -> Column:
 
 
 def landed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``url, http_status, html``: the built filings under the address of the order with the same number."""
-    filings = order_filings(spark, sf_dir).select(
-        F.col("orderkey").alias("doc_id"),
+    """``url, http_status, html, company_bucket, filing_year``: annual filings with the built markup of ``documents``.
+
+    Each document stands for the annual orders among ``ORDERS_PER_DOCUMENT`` neighbouring ones; an order in seven has
+    no landed document, and one in eleven landed a second time, not fetched.
+    """
+    key = F.col("orderkey")
+    filings = order_filings(spark, sf_dir).filter(is_annual(F.col("form")) & (key % 7 != 3)).select(
+        "orderkey",
+        F.expr(f"orderkey div {ORDERS_PER_DOCUMENT}").alias("doc_id"),
         document_url(F.col("cik"), F.col("accession"), F.col("primary_doc")).alias("url"),
+        F.pmod(F.xxhash64("cik"), F.lit(COMPANY_BUCKETS)).cast("int").alias("company_bucket"),
+        filing_year(F.col("filing_date")).cast("int").alias("filing_year"),
     )
-    return (
-        constructed_documents(spark, sf_dir)
-        .join(filings, "doc_id")
-        .select("url", document_status(F.col("doc_id")).alias("http_status"), "html")
+    status = document_status(F.col("doc_id"))
+    again = F.when(key % 11 == 5, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    landed = constructed_documents(spark, sf_dir).join(filings, "doc_id").withColumn("again", F.explode(again))
+    return landed.select(
+        "url",
+        F.when(F.col("again"), 503).otherwise(status).alias("http_status"),
+        F.when(~F.col("again"), F.col("html")).alias("html"),
+        "company_bucket",
+        "filing_year",
     )
 
 

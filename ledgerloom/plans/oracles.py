@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .catalog import SPAN_PATTERNS, TEXT_PATTERNS
-from .fixtures import NEXT_ITEM, PAGE, TITLE, VARIANTS, variant_markup
+from .fixtures import NEXT_ITEM, ORDERS_PER_DOCUMENT, PAGE, PAGES, REGISTRY_PART, TITLE, VARIANTS, variant_markup
 
 ROOT = "https://www.sec.gov/Archives/edgar/data"
 NEXT_TEXT = "Item 9. Changes in Accountantstail"
@@ -18,10 +18,14 @@ def _with(parts: list[str], select: str) -> str:
 
 
 # --- filing list -------------------------------------------------------------------------------------
-REG = """reg AS (
-  SELECT CAST(c_custkey AS VARCHAR) AS idx, c_custkey AS k, c_name, 'T' || CAST(c_custkey // 3 AS VARCHAR) AS tkey,
+REG = f"""part AS (
+  SELECT *, c_custkey // {REGISTRY_PART} AS part, printf('part-%08d', c_custkey // {REGISTRY_PART}) AS document,
+    CASE (c_custkey // {REGISTRY_PART}) % 17 WHEN 16 THEN 'http_error' WHEN 15 THEN 'registry_parse_error' ELSE 'ok' END AS doc_status
+  FROM customer),
+reg AS (
+  SELECT document, CAST(c_custkey AS VARCHAR) AS idx, c_custkey AS k, c_name, 'T' || CAST(c_custkey // 3 AS VARCHAR) AS tkey,
     CASE WHEN c_custkey % 50 = 7 THEN 'missing' WHEN c_custkey % 50 = 9 THEN 'invalid' ELSE 'ok' END AS state
-  FROM customer)"""
+  FROM part WHERE doc_status = 'ok')"""
 REQ = """req AS (
   SELECT DISTINCT c_custkey // 3 AS request_id, 'T' || CAST(c_custkey // 3 AS VARCHAR) AS tkey,
     CASE WHEN (c_custkey // 3) % 2 = 1 THEN 1997 END AS start_year,
@@ -30,14 +34,14 @@ REQ = """req AS (
   UNION ALL
   SELECT c_custkey + 10000000000, 'U' || CAST(c_custkey AS VARCHAR), NULL, NULL FROM customer WHERE c_custkey % 500 = 3)"""
 RES = """hit AS (
-  SELECT tkey, arg_min(k, idx) AS k, arg_min(state, idx) AS state FROM reg WHERE state <> 'missing' GROUP BY tkey),
+  SELECT tkey, arg_min(k, (document, idx)) AS k, arg_min(state, (document, idx)) AS state FROM reg WHERE state <> 'missing' GROUP BY tkey),
 res AS (
-  SELECT r.*, CASE WHEN h.tkey IS NULL THEN 'ticker_not_found' WHEN h.state = 'invalid' THEN 'invalid_cik'
+  SELECT r.*, CASE WHEN h.tkey IS NULL THEN coalesce((SELECT min(doc_status) FROM part WHERE doc_status <> 'ok'), 'ticker_not_found') WHEN h.state = 'invalid' THEN 'invalid_cik'
       ELSE 'ok' END AS lookup_status,
     CASE WHEN h.state = 'ok' THEN h.k END AS k
   FROM req r LEFT JOIN hit h ON h.tkey = r.tkey)"""
 FIL = f"""fil0 AS (
-  SELECT o_custkey AS k, o_orderkey AS orderkey, o_orderkey // {PAGE} AS page, printf('%010d', o_custkey) AS cik,
+  SELECT o_custkey AS k, o_orderkey AS orderkey, o_orderkey // {PAGE} * {PAGES} + o_orderkey % {PAGES} AS page, printf('%010d', o_custkey) AS cik,
     printf('%010d', o_custkey) || '-' || strftime(o_orderdate, '%y') || '-' || printf('%06d', o_orderkey) AS accession,
     CAST(o_orderdate AS DATE) AS day,
     CASE WHEN o_custkey % 83 = 4 AND o_orderkey % 5 = 0 THEN 'n/a' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS fdate,
@@ -104,11 +108,12 @@ EXT = """ext AS (
       WHEN strlen(content) < 1000 THEN 'below_min' END AS reason
   FROM cut)"""
 BUILT = [DOC, CUT, EXT]
-OUT = """outc AS (
+LINK = f"{{order}}.orderkey // {ORDERS_PER_DOCUMENT} = {{doc}}.doc_id AND {{order}}.orderkey % 7 <> 3"
+OUT = f"""outc AS (
   SELECT l.*, e.reason AS reason0, e.content,
     CASE WHEN e.doc_id IS NULL OR e.http_status = 404 THEN 'doc_not_found' WHEN e.http_status = 403 THEN 'rate_limited'
       WHEN e.http_status <> 200 THEN 'http_error' WHEN e.reason IS NULL THEN 'ok' ELSE 'section_not_found' END AS status
-  FROM lst l LEFT JOIN ext e ON e.doc_id = l.orderkey)"""
+  FROM lst l LEFT JOIN ext e ON {LINK.format(order="l", doc="e")})"""
 OUTCOME = [*LISTING, *BUILT, OUT]
 LAST = """last AS (
   SELECT ticker, year, arg_max(accession, (request_id, filing_rank)) AS accession,
@@ -233,7 +238,8 @@ ORACLES: dict[str, str] = {
     "S1_company_source": _with(
         [REG],
         """SELECT idx, CASE WHEN k % 2 = 0 THEN tkey ELSE lower(tkey) END AS ticker,
-  CASE WHEN state = 'ok' THEN k END AS cik, state AS cik_state, c_name AS title FROM reg""",
+  CASE WHEN state = 'ok' THEN k END AS cik, state AS cik_state, c_name AS title, document, 'ok' AS doc_status FROM reg
+UNION ALL SELECT DISTINCT NULL, NULL, CAST(NULL AS BIGINT), NULL, NULL, document, doc_status FROM part WHERE doc_status <> 'ok'""",
     ),
     "S2_submissions_source": _with(
         [FIL, IDX],
@@ -254,7 +260,7 @@ FROM idx GROUP BY k, cik, page""",
   CASE WHEN d.doc_id IS NULL OR d.http_status = 404 THEN 'doc_not_found' WHEN d.http_status = 403 THEN 'rate_limited'
     WHEN d.http_status = 200 THEN 'ok' ELSE 'http_error' END AS fetch_status,
   strlen({MARKUP}) AS html_bytes
-FROM fil f LEFT JOIN doc d ON d.doc_id = f.orderkey WHERE f.form0 = '10-K'""",
+FROM fil f LEFT JOIN doc d ON {LINK.format(order='f', doc='d')} WHERE f.form0 = '10-K'""",
     ),
     "S5_fetch_status": _with(
         [DOC],
@@ -279,9 +285,9 @@ FROM fil f LEFT JOIN doc d ON d.doc_id = f.orderkey WHERE f.form0 = '10-K'""",
     "P4_filing_year": _with([FIL], "SELECT accession, fdate AS filing_date, year FROM fil"),
     "P5_year_range": _with(
         [REG, REQ, RES, FIL, IDX],
-        """SELECT r.request_id, f.accession AS accession_number,
-  (r.start_year IS NULL OR f.year >= r.start_year) AND (r.end_year IS NULL OR f.year <= r.end_year) AS in_range
-FROM res r JOIN idx f ON f.k = r.k WHERE f.doc_status = 'ok' AND f.form = '10-K'""",
+        """SELECT r.request_id, f.accession AS accession_number
+FROM res r JOIN idx f ON f.k = r.k WHERE f.doc_status = 'ok' AND f.form = '10-K'
+  AND (r.start_year IS NULL OR f.year >= r.start_year) AND (r.end_year IS NULL OR f.year <= r.end_year)""",
     ),
     "P6_filing_record": _with(
         LISTING,
@@ -389,8 +395,9 @@ FROM res r LEFT JOIN (SELECT DISTINCT k, page FROM idx) s ON s.k = r.k WHERE r.l
     ),
     "K2_metadata_sink": _with(
         [*OUTCOME, LAST],
-        """SELECT ticker, year AS filing_year, company_name, 'Item 8' AS section_name,
-  'Financial Statements and Supplementary Data' AS section_title, strlen(content) AS content_length,
+        """SELECT '{"ticker":"' || ticker || '","company_name":"' || company_name || '","filing_year":' || CAST(year AS VARCHAR) ||
+  ',"section_name":"Item 8","section_title":"Financial Statements and Supplementary Data","content_length":' ||
+  CAST(strlen(content) AS VARCHAR) || '}' AS record,
   ticker || '_' || CAST(year AS VARCHAR) || '_Item8_meta.json' AS file_name FROM last""",
     ),
     "K3_last_write_wins": _with(
@@ -410,7 +417,7 @@ FROM outc WHERE status = 'section_not_found'""",
     "K5_raw_sink": _with(
         [*LISTING, DOC],
         f"""SELECT DISTINCT l.ticker, l.year AS filing_year, l.accession AS accession_number, {MARKUP} AS html
-FROM lst l JOIN doc d ON d.doc_id = l.orderkey WHERE d.http_status = 200""",
+FROM lst l JOIN doc d ON {LINK.format(order="l", doc="d")} WHERE d.http_status = 200""",
     ),
     "D1_regex_spans": _with([SPANS], "SELECT doc_id, span_end - n_bytes AS span_start, span_end, kind FROM span"),
     "D2_annotate": _with(

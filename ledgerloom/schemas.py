@@ -68,6 +68,7 @@ TICKER_NOT_FOUND = "ticker_not_found"
 INVALID_CIK = "invalid_cik"
 HTTP_ERROR = "http_error"
 PARSE_ERROR = "submissions_parse_error"
+REGISTRY_PARSE_ERROR = "registry_parse_error"
 NO_FILINGS = "no_filings"
 # Outcome of one filing, besides the fetch outcomes of ``functions.filing.fetch_status``.
 YEAR_MISSING = "year_missing"

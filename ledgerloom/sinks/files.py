@@ -1,41 +1,60 @@
-"""Partitioned outputs of a run.
+"""Outputs of a run, and their latest state over all runs.
 
-Directories follow ``ticker=/filing_year=``; rewriting one run replaces only the partitions it holds.
-Spark names the part files, so each row carries the conventional file name as a column.
+Every output is partitioned by filing year, a hash bucket of the ticker and the run.  A run replaces only its own
+partitions, so nothing that another run or another ticker wrote is touched, and the number of folders does not grow
+with the number of tickers.  ``latest`` reads what stands after all runs: the newest run's row per key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, DataFrameWriter
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..operators.sections import metadata_record
+from ..operators.boundaries import ITEM_8, SectionRule
+from ..operators.sections import metadata_json
 
+BUCKETS = 64
+PARTITIONS = ("year", "bucket", "run")
 
-def _file_name(suffix: str) -> Column:
-    return F.concat(
-        F.upper("ticker"), F.lit("_"), F.col("filing_year").cast("string"), F.lit(suffix)
-    ).alias("file_name")
 
+def _file_name(rule: SectionRule, suffix: str) -> Column:
+    section = rule.name.replace(" ", "")
+    return F.concat(F.upper("ticker"), F.lit("_"), F.col("filing_year").cast("string"), F.lit(f"_{section}{suffix}")).alias("file_name")
 
-def _overwrite(frame: DataFrame, *partitions: str) -> DataFrameWriter:
-    return frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions)
 
+def _write(frame: DataFrame, path: str, run: str) -> None:
+    """Rows of one (year, bucket) come together before the write, however they were spread."""
+    placed = frame.withColumns(
+        {"year": F.col("filing_year"), "bucket": F.pmod(F.xxhash64("ticker"), F.lit(BUCKETS)).cast("int"), "run": F.lit(run)}
+    )
+    placed.hint("rebalance", "year", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        *PARTITIONS
+    ).parquet(path)
+
+
+def latest(spark: SparkSession, path: str, schema: str, *keys: str) -> DataFrame:
+    """Of each key the rows of the newest run; run names sort by age.
 
-def write_sections(sections: DataFrame, path: str) -> None:
+    The newest run per key is found on the narrow keys alone.
+    """
+    rows = spark.read.schema(f"{schema}, year int, bucket int, run string").parquet(path)
+    newest = rows.groupBy("year", "bucket", *keys).agg(F.max("run").alias("run"))
+    return rows.join(newest, ["year", "bucket", "run", *keys]).drop(*PARTITIONS)
+
+
+def write_sections(sections: DataFrame, path: str, run: str, rule: SectionRule = ITEM_8) -> None:
     """Section text, one row per (ticker, year)."""
-    named = sections.withColumn("ticker", F.upper("ticker")).select("*", _file_name("_Item8.html"))
-    _overwrite(named, "ticker", "filing_year").parquet(path)
+    _write(sections.withColumn("ticker", F.upper("ticker")).select("*", _file_name(rule, ".html")), path, run)
 
 
-def write_metadata(sections: DataFrame, path: str) -> None:
-    """JSON description of every section; the partition columns keep the upper-case ticker."""
-    described = metadata_record(sections.withColumn("ticker", F.upper("ticker")))
-    _overwrite(described.select("*", _file_name("_Item8_meta.json")), "ticker", "filing_year").json(path)
+def write_metadata(kept: DataFrame, path: str, run: str, rule: SectionRule = ITEM_8) -> None:
+    """``record``: the JSON description of every section, all seven fields.  Needs no section text."""
+    named = kept.withColumn("ticker", F.upper("ticker"))
+    _write(named.select("ticker", "filing_year", metadata_json(rule).alias("record"), _file_name(rule, "_meta.json")), path, run)
 
 
-def write_failures(outcomes: DataFrame, path: str) -> None:
+def write_failures(outcomes: DataFrame, path: str, run: str, rule: SectionRule = ITEM_8) -> None:
     """Extraction failures only, all of them, keyed by accession number."""
     failed = outcomes.filter(F.col("status") == S.SECTION_NOT_FOUND).select(
         "ticker",
@@ -46,7 +65,7 @@ def write_failures(outcomes: DataFrame, path: str) -> None:
         "error",
         "url",
         F.concat(
-            F.lit("Failed to extract Item 8 for "),
+            F.lit(f"Failed to extract {rule.name} for "),
             F.concat_ws(" ", "ticker", F.col("year").cast("string")),
             F.lit(": "),
             "error",
@@ -55,11 +74,14 @@ def write_failures(outcomes: DataFrame, path: str) -> None:
             F.lit("\n"),
         ).alias("failure_text"),
     )
-    _overwrite(failed, "filing_year").json(path)
+    _write(failed, path, run)
+
 
+def write_raw(filings: DataFrame, documents: DataFrame, path: str, run: str) -> None:
+    """Markup of every fetched filing, whether or not a section is found in it; one row per filing.
 
-def write_raw(filings: DataFrame, documents: DataFrame, path: str) -> None:
-    """Markup of every fetched filing, whether or not a section is found in it; one row per filing."""
+    ``documents``: one row per address.
+    """
     named = filings.select("ticker", F.col("year").alias("filing_year"), "accession_number", "url").distinct()
     raw = named.join(documents.filter(F.col("http_status").between(200, 299)).select("url", "html"), "url")
-    _overwrite(raw, "filing_year").parquet(path)
+    _write(raw, path, run)

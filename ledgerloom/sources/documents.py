@@ -1,4 +1,8 @@
-"""Landed filing documents: ``document(url, http_status, html)``."""
+"""Landed filing documents: ``document(url, http_status, html)``.
+
+A large table should be partitioned by ``company_bucket`` and ``filing_year`` (see ``document_place``); where it has
+these columns they take part in the joins, so that only the partitions of wanted filings are read.
+"""
 
 from __future__ import annotations
 
@@ -7,15 +11,31 @@ from pyspark.sql import functions as F
 
 from ..functions.filing import fetch_status
 
+COMPANY_BUCKETS = 256
+PLACE = ("company_bucket", "filing_year")
+
+
+def document_place(filings: DataFrame) -> DataFrame:
+    """``filings(cik, year, ...)`` with the partition columns of its documents."""
+    return filings.withColumns(
+        {"company_bucket": F.pmod(F.xxhash64("cik"), F.lit(COMPANY_BUCKETS)).cast("int"), "filing_year": F.col("year").cast("int")}
+    )
+
+
+def _keys(documents: DataFrame) -> list[str]:
+    return [c for c in PLACE if c in documents.columns] + ["url"]
+
 
-def spread(scanned: DataFrame) -> DataFrame:
-    """Give a scan with fewer splits than the cluster has cores one task per core.
+def one_per_address(documents: DataFrame) -> DataFrame:
+    """One row per address, whatever landed twice: a successful fetch before a failed one, then by content.
 
-    For a plain scan only.  A large table has splits enough and is left alone, so its documents are
-    never shuffled just to be parsed.
+    Select only what is needed first; all columns but the address take part in the choice.
     """
-    cores = scanned.sparkSession.sparkContext.defaultParallelism
-    return scanned.repartition(cores) if scanned.rdd.getNumPartitions() < cores else scanned
+    keys = _keys(documents)
+    rest = [c for c in documents.columns if c not in keys]
+    failed = F.coalesce(fetch_status(F.col("http_status")) != "ok", F.lit(True))
+    chosen = documents.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(failed, *rest)).alias("chosen"))
+    return chosen.select(*keys, "chosen.*")
 
 
 def attach_documents(filings: DataFrame, documents: DataFrame) -> DataFrame:
@@ -23,19 +43,21 @@ def attach_documents(filings: DataFrame, documents: DataFrame) -> DataFrame:
 
     Select from ``documents`` only what the result needs: the markup is by far the widest column.
     """
-    return filings.join(documents, "url", "left").withColumn(
+    return filings.join(one_per_address(documents), "url", "left").withColumn(
         "fetch_status", fetch_status(F.col("http_status"))
     )
 
 
 def wanted_documents(documents: DataFrame, filings: DataFrame) -> DataFrame:
-    """Each landed document that some filing asks for, once; ``html`` only where the fetch succeeded.
+    """Each landed document that some filing asks for; ``html`` only where the fetch succeeded.
 
-    A semi-join, so a document asked for by many requests is still parsed once, and the markup is
-    shuffled only if the list of addresses is too large to broadcast (the optimizer decides by size).
+    A semi-join, so a document asked for by many requests is still parsed once.  Partitions of other companies and
+    years are pruned at run time; markup is shuffled only if the list of addresses is too large to broadcast (the
+    optimizer decides by size).
     """
+    keys = _keys(documents)
+    asked = (document_place(filings) if len(keys) > 1 else filings).select(*keys).distinct()
     fetched = fetch_status(F.col("http_status")) == "ok"
-    return (
-        documents.join(filings.select("url").distinct(), "url", "left_semi")
-        .select("url", "http_status", F.when(fetched, F.col("html")).alias("html"))
+    return documents.join(asked, keys, "left_semi").select(
+        "url", "http_status", F.when(fetched, F.col("html")).alias("html")
     )

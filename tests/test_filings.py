@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.filing import cik_pad, filing_year
 from ledgerloom.operators import filings as f
 from ledgerloom.plans.batch import Inputs, list_filings
+from ledgerloom.sources.documents import document_place, one_per_address, wanted_documents
 from ledgerloom.sources.registry import company_source, read_registry
 from ledgerloom.sources.submissions import read_submissions, required_fields, submissions_source
 
@@ -113,6 +114,8 @@ def test_registry_entries(spark):
         "9": {"ticker": 5, "cik_str": 9},
     }
     company = company_source(spark.createDataFrame([(json.dumps(registry),), ("{}",), ("oops",)], "json string"))
+    assert [r.doc_status for r in company.filter("idx IS NULL").collect()] == ["registry_parse_error"]
+    company = company.filter("idx IS NOT NULL")
     assert {r.idx: (r.ticker, r.cik, r.cik_state) for r in company.collect()} == {
         "2": ("aa", 2, "ok"), "10": ("AA", 10, "ok"), "3": ("BB", None, "missing"), "4": ("bb", 4, "ok"),
         "5": ("CC", None, "invalid"), "6": ("CC", 6, "ok"), "7": ("DD", None, "invalid"), "9": ("", 9, "ok"),
@@ -245,3 +248,40 @@ def test_a_hot_ticker_keeps_every_row(spark):
     hot = [r for r in per_request.collect() if r.request_id % 3 == 0]
     assert len(hot) == 300
     assert {(r.request_id % 2, r.n, r["last"], r.ranks) for r in hot} == {(0, 840, 840, 840), (1, 1200, 1200, 1200)}
+
+
+def test_registry_documents_have_an_order_a_status_and_a_last_key(spark):
+    landed = spark.createDataFrame(
+        [
+            ("b", 200, '{"1": {"ticker": "AA", "cik_str": 1}}'),
+            ("a", 200, '{"1": {"ticker": "AA", "cik_str": 8}, "1": {"ticker": "AA", "cik_str": 2}, "2": {"ticker": "XX", "cik_str": 3}}'),
+        ],
+        "document string, http_status int, json string",
+    )
+    failed = spark.createDataFrame([("c", 500, "{}"), ("d", 200, '{"1": {"ticker": "CC"')], landed.schema)
+    requests = spark.createDataFrame([(1, "aa"), (2, "none")], "request_id int, ticker string")
+
+    def looked_up(registry):
+        rows = f.resolve_tickers(requests, company_source(registry)).orderBy("request_id").collect()
+        return [(r.cik, r.lookup_status) for r in rows]
+
+    for rows in (landed, landed.orderBy("document"), landed.repartition(2)):
+        assert looked_up(rows) == [("0000000002", "ok"), (None, "ticker_not_found")]
+    assert looked_up(landed.union(failed)) == [("0000000002", "ok"), (None, "http_error")]
+    assert looked_up(failed.filter("document = 'd'")) == [(None, "registry_parse_error")] * 2
+
+
+def test_one_row_per_address_and_pruned_partitions(spark, tmp_path):
+    landed = spark.createDataFrame(
+        [("u1", 404, None), ("u1", 200, "<p>a</p>"), ("u1", 200, "<p>b</p>"), ("u2", 500, None), ("u2", 403, None)],
+        "url string, http_status int, html string",
+    )
+    for rows in (landed, landed.repartition(3)):
+        assert {(r.url, r.http_status, r.html) for r in one_per_address(rows).collect()} == {("u1", 200, "<p>a</p>"), ("u2", 403, None)}
+    filings = document_place(spark.createDataFrame([("0000000001", 2001, "u1")], "cik string, year int, url string"))
+    placed = landed.withColumn("url", F.col("url")).crossJoin(filings.select("company_bucket", "filing_year"))
+    placed.write.partitionBy("company_bucket", "filing_year").parquet(str(tmp_path / "docs"))
+    table = spark.read.parquet(str(tmp_path / "docs"))
+    wanted = wanted_documents(table, filings.select("cik", "year", "url").filter("year > 2000"))
+    assert "dynamicpruning" in wanted._jdf.queryExecution().toString()
+    assert wanted.count() == 3

@@ -1,12 +1,17 @@
 """Outcomes, sinks, whole runs and spans."""
 
+import json
 import re
+import time
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
+from ledgerloom.functions.html_tree import build_tree
 from ledgerloom.operators import spans
-from ledgerloom.operators.outcomes import last_write_wins, run_failed, run_summary
+from ledgerloom.operators.boundaries import SectionRule
+from ledgerloom.operators.outcomes import filing_outcomes, last_write_wins, run_failed, run_summary
 from ledgerloom.operators.sections import metadata_record
 from ledgerloom.plans import fixtures
 from ledgerloom.plans.batch import run_batch
@@ -25,13 +30,21 @@ def test_whole_run_writes_everything(spark, sf_dir, tmp_path):
     saved = sections.count()
     assert saved == QUERIES["K3_last_write_wins"](spark, sf_dir).count() > 0
     assert sections.filter("octet_length(content_html) < 1000").count() == 0
-    metadata = spark.read.json(f"{tmp_path}/metadata")
-    assert metadata.count() == saved
-    assert spark.read.json(f"{tmp_path}/failures").filter("reason IS NULL").count() == 0
+    records = [json.loads(r.record) for r in spark.read.parquet(f"{tmp_path}/metadata").collect()]
+    assert len(records) == saved and all(
+        set(r) == {"ticker", "company_name", "filing_year", "section_name", "section_title", "content_length", "extraction_timestamp"}
+        for r in records
+    )
+    assert datetime.fromisoformat(records[0]["extraction_timestamp"]).utcoffset().total_seconds() == 0
+    lengths = {(r.ticker, r.filing_year): len(r.content_html.encode()) for r in sections.collect()}
+    assert {(r["ticker"], r["filing_year"]): r["content_length"] for r in records} == lengths
+    assert spark.read.parquet(f"{tmp_path}/failures").filter("reason IS NULL").count() == 0
     assert spark.read.parquet(f"{tmp_path}/raw").count() == QUERIES["K5_raw_sink"](spark, sf_dir).count()
-    # a second run replaces its own partitions and nothing is doubled
-    run_batch(inputs, str(tmp_path))
-    assert spark.read.parquet(f"{tmp_path}/sections").count() == saved
+    # a second run has partitions of its own; together they read as one
+    run_batch(inputs, str(tmp_path), run="9")
+    run_batch(inputs, str(tmp_path), run="9")
+    assert spark.read.parquet(f"{tmp_path}/sections").count() == 2 * saved
+    assert files.latest(spark, f"{tmp_path}/sections", "ticker string, filing_year int, content_html string", "ticker", "filing_year").count() == saved
 
 
 def outcome_rows(spark):
@@ -45,7 +58,7 @@ def outcome_rows(spark):
         ],
         "request_id long, filing_rank long, ticker string, year int, company_name string, accession_number string, "
         "url string, status string",
-    )
+    ).withColumn("content_length", F.lit(9))
 
 
 def test_the_last_success_of_a_year_stays(spark):
@@ -61,25 +74,95 @@ def test_summary_and_failed_runs(spark):
     ]
 
 
-def test_other_years_survive_a_rewrite(spark, tmp_path):
-    def sections(year, text):
+KEPT = "ticker string, filing_year int, company_name string, accession_number string, url string, content_length long"
+
+
+def test_runs_leave_each_other_alone(spark, tmp_path):
+    """Two tickers in one year, and the same ticker again: nothing of another run or ticker goes."""
+    failure = "ticker string, year int, request_id int, accession_number string, reason string, error string, url string, status string"
+
+    def failed(ticker, accession, reason):
+        return spark.createDataFrame([(ticker, 2020, 1, accession, reason, "e", "u", "section_not_found")], failure)
+
+    def section(ticker, text):
         return spark.createDataFrame(
-            [("Item 8", "t", text, year, "c", "aa")],
-            "section_name string, section_title string, content_html string, filing_year int, company_name string, "
-            "ticker string",
+            [("Item 7A", "t", text, 2020, "c", ticker)],
+            "section_name string, section_title string, content_html string, filing_year int, company_name string, ticker string",
         )
 
-    path = str(tmp_path / "s")
-    files.write_sections(sections(2020, "old"), path)
-    files.write_sections(sections(2021, "kept"), path)
-    files.write_sections(sections(2020, "new"), path)
-    rows = spark.read.parquet(path).collect()
-    assert {(r.ticker, r.filing_year, r.content_html, r.file_name) for r in rows} == {
-        ("AA", 2020, "new", "AA_2020_Item8.html"), ("AA", 2021, "kept", "AA_2021_Item8.html"),
-    }
-    (row,) = metadata_record(sections(2020, "éé")).collect()
-    assert row.content_length == 4
-    assert datetime.fromisoformat(row.extraction_timestamp).utcoffset().total_seconds() == 0
+    path = str(tmp_path / "failures")
+    files.write_failures(failed("AA", "1", "no_start"), path, "run-1")
+    files.write_failures(failed("BB", "2", "no_end"), path, "run-2")
+    files.write_failures(failed("AA", "1", "below_min"), path, "run-3")
+    rows = files.latest(spark, path, "ticker string, filing_year int, accession_number string, reason string", "ticker", "accession_number")
+    assert {(r.ticker, r.filing_year, r.reason) for r in rows.collect()} == {("BB", 2020, "no_end"), ("AA", 2020, "below_min")}
+
+    rule, path = SectionRule(name="Item 7A"), str(tmp_path / "sections")
+    files.write_sections(section("aa", "old"), path, "run-1", rule)
+    files.write_sections(section("bb", "other"), path, "run-2", rule)
+    files.write_sections(section("aa", "new"), path, "run-3", rule)
+    rows = files.latest(spark, path, "ticker string, filing_year int, content_html string, file_name string", "ticker", "filing_year")
+    assert {(r.content_html, r.file_name) for r in rows.collect()} == {("other", "BB_2020_Item7A.html"), ("new", "AA_2020_Item7A.html")}
+
+    documents = spark.createDataFrame([("u1", 200, "m1"), ("u2", 200, "m2")], "url string, http_status int, html string")
+    path = str(tmp_path / "raw")
+    for run, ticker, url in (("run-1", "AA", "u1"), ("run-2", "BB", "u2")):
+        filings = spark.createDataFrame([(ticker, 2020, ticker, url)], "ticker string, year int, accession_number string, url string")
+        files.write_raw(filings, documents, path, run)
+    assert {r.html for r in spark.read.parquet(path).collect()} == {"m1", "m2"}
+
+
+def test_metadata_needs_no_section_text(spark):
+    kept = spark.createDataFrame([("AA", 2020, "c", "x-1", "u", 4)], KEPT)
+    (row,) = metadata_record(kept).collect()
+    assert row.content_length == 4 and row.section_name == "Item 8"
+
+
+def test_an_address_that_landed_twice_gives_one_outcome(spark):
+    filings = spark.createDataFrame([(1, "AA", 2020, "x-1", "u")], "request_id int, ticker string, year int, accession_number string, url string")
+    extracted = spark.createDataFrame(
+        [("u", 404, "section_not_found", "no_start", None, None), ("u", 200, "ok", None, "text", 4), ("u", 200, "ok", None, "text", 4)],
+        "url string, http_status int, status string, reason string, content_html string, content_length long",
+    )
+    assert [(r.status, r.content_length) for r in filing_outcomes(filings, extracted).collect()] == [("ok", 4)]
+
+
+@pytest.mark.parametrize("pattern", ["[0-9]*", "x?", "(", r"\b", "a|"])
+def test_patterns_without_extent_are_rejected(spark, pattern):
+    frame = spark.createDataFrame([(1, "ab12c")], "doc_id int, html string")
+    with pytest.raises(ValueError, match="pattern"):
+        spans.regex_spans(frame, [(pattern, "start")])
+
+
+def test_each_pattern_runs_once_for_hits_and_once_for_gaps(spark):
+    frame = spark.createDataFrame([(1, "ab12c")], "doc_id int, html string")
+    rows = spans.span_rows(spans.regex_spans(frame, [("[a-z]+", "start"), ("[0-9]+", "end")]))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 2 and plan.count("split(") == 2
+
+
+def seconds(work):
+    start = time.perf_counter()
+    work()
+    return time.perf_counter() - start
+
+
+def test_annotation_grows_with_the_document(spark):
+    def annotated(n):
+        frame = spark.createDataFrame([(1, "ab 12, " * n)], "doc_id int, html string")
+        return lambda: spans.annotate(spans.regex_spans(frame, [("[a-z]+", "start"), ("[0-9]+", "end")])).write.format("noop").mode("overwrite").save()
+
+    annotated(1000)()
+    small, large = seconds(annotated(20_000)), seconds(annotated(40_000))
+    assert large < 3 * small + 2
+
+
+def test_tree_building_grows_with_the_document():
+    def tree(n):
+        return lambda: build_tree("<p>x</p>" * n + "<table>" + "<p>y</p>" * n + "</table>")
+
+    small, large = seconds(tree(20_000)), seconds(tree(40_000))
+    assert large < 3 * small + 1
 
 
 TEXTS = ["", "Item 8 and ITEM 9 é Item", "ééé Item8 x", "no match", "ItemItem", "x Item"]
@@ -126,11 +209,13 @@ def test_columns_reach_the_scan(spark, sf_dir):
     assert "ReadSchema: struct<page_id:bigint,html:string>" in pages
 
 
-def test_missing_shared_folder_is_reported(spark):
-    from ledgerloom.plans import batch
+def test_missing_shared_folder_is_reported():
+    from ledgerloom.session import shared_root
 
-    class NoFolder:
+    class Cluster:
         class sparkContext:
+            master = "spark://host:7077"
+
             @staticmethod
             def getCheckpointDir():
                 return None
@@ -141,4 +226,4 @@ def test_missing_shared_folder_is_reported(spark):
                 return default
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        batch.shared_folder(NoFolder)
+        shared_root(Cluster)
