@@ -7,18 +7,17 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_root
 
-def shared_root(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``, which every executor reaches."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return f"{root.rstrip('/')}/ledgerloom-llm-{uuid.uuid4().hex}"
+
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder for one table under the one that every executor reaches."""
+    return f"{shared_root(spark)}/ledgerloom-llm-{uuid.uuid4().hex}"
 
 
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """Write ``frame`` once to the shared folder and go on from the table."""
-    path = f"{shared_root(frame.sparkSession)}/{name}"
+    path = f"{shared_folder(frame.sparkSession)}/{name}"
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
