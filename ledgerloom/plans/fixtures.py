@@ -157,7 +157,7 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``cik, page, http_status, json``: the filings of each customer as submission documents, newest first.
 
     Faults by customer: short ``primaryDocument`` or ``form`` arrays, a missing mandatory field at the top
-    or in an address, a text cut short, a failed fetch.
+    or in an address, a number where a text belongs, a text cut short, a failed fetch.
     """
     custkey = F.col("custkey")
     grouped = (
@@ -236,6 +236,12 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
             ).alias("filings"),
         )
     )
+    # numbers where texts belong, in a field and in a list
+    json = (
+        F.when(custkey % 89 == 9, F.replace(json, F.lit('"sic":"7372"'), F.lit('"sic":7372')))
+        .when(custkey % 89 == 10, F.replace(json, F.lit('"exchanges":["NYSE"]'), F.lit('"exchanges":["NYSE",5]')))
+        .otherwise(json)
+    )
     return grouped.select(
         "cik",
         "page",

@@ -58,7 +58,7 @@ fil AS (
 IDX = """idx AS (
   SELECT *, CASE WHEN k % 97 = 7 AND pos = n - 1 THEN NULL ELSE form0 END AS form,
     CASE WHEN k % 97 = 3 AND pos = n - 1 THEN NULL ELSE doc0 END AS prim,
-    CASE WHEN k % 79 = 2 THEN 'http_error' WHEN k % 89 IN (5, 7, 8) THEN 'submissions_parse_error' ELSE 'ok'
+    CASE WHEN k % 79 = 2 THEN 'http_error' WHEN k % 89 IN (5, 7, 8, 9, 10) THEN 'submissions_parse_error' ELSE 'ok'
       END AS doc_status
   FROM fil)"""
 GATE = """comp AS (

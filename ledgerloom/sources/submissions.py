@@ -24,12 +24,28 @@ def read_submissions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def submissions_source(landed: DataFrame) -> DataFrame:
-    """``json`` -> typed ``doc``; other columns stay.
+    """``json`` -> typed ``doc`` and ``kinds``, the kinds of value that the text fields hold; other columns stay.
 
     A text that is no such document gives a ``doc`` whose ``_corrupt`` is set, never an exception.
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    return landed.withColumn("doc", F.from_json("json", WITH_CORRUPT, options)).drop("json")
+    typed = landed.withColumn("doc", F.from_json("json", WITH_CORRUPT, options))
+    return typed.withColumn("kinds", F.expr(_kinds())).drop("json")
+
+
+def _kinds() -> str:
+    """SQL for the distinct schemas of all text fields and text lists, read from the untyped document.
+
+    ``from_json`` turns a number into text where text is expected; the untyped value tells them apart.
+    """
+    paths = [f"$.{n}" for n in S.COMPANY_TEXTS + S.COMPANY_OPTIONAL]
+    lists = [f"$.filings.recent.{n}" for n in S.RECENT_TEXTS] + ["$.tickers", "$.exchanges"]
+    kinds = ", ".join(f"schema_of_variant(variant_get(v, '{p}'))" for p in paths + lists)
+    return f"element_at(transform(array(try_parse_json(json)), v -> array_distinct(array({kinds}))), 1)"
+
+
+#: Absent and null fields are judged by the typed document.
+TEXT_KINDS = ("STRING", "VOID", "ARRAY<STRING>", "ARRAY<VOID>")
 
 
 def _is_complete() -> str:
@@ -45,7 +61,8 @@ def _is_complete() -> str:
         return f"coalesce({value} BETWEEN 0 AND 255, false)"
 
     recent, files = "doc.filings.recent", "doc.filings.files"
-    checks = [f"doc.{CORRUPT} IS NULL", *present("doc.", S.COMPANY_TEXTS)]
+    allowed = ", ".join(f"'{k}'" for k in TEXT_KINDS)
+    checks = [f"doc.{CORRUPT} IS NULL", f"forall(kinds, k -> k IS NULL OR k IN ({allowed}))", *present("doc.", S.COMPANY_TEXTS)]
     checks += [flag(f"doc.{n}") for n in S.COMPANY_FLAGS]
     checks += [each(f"doc.{n}", "x IS NOT NULL") for n in ("tickers", "exchanges")]
     checks += [
