@@ -2,13 +2,12 @@
 
 Everything that depends only on a company is computed once per company, before any request is
 joined to it: one summary row per company (bounded by the number of distinct years) decides what
-becomes of a request, and one row per annual filing carries its position among the company's filings.
+becomes of a request and where each filing stands among its company's.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -91,7 +90,16 @@ def company_index(parsed: DataFrame) -> DataFrame:
     company then fails.
     """
     rows = parsed.withColumn("rows", _trusted_rows())
-    return rows.withColumn("annual", F.filter("rows", lambda r: is_annual(r["form_type"]))).select(
+    found = rows.withColumn("found", F.filter("rows", lambda r: is_annual(r["form_type"])))
+    # a page is one bounded array, so a filing's number within its page and year needs no shuffle
+    numbered = F.transform(
+        "found",
+        lambda r, i: F.struct(
+            *[r[c].alias(c) for c in ("pos", "accession_number", "form_type", "filing_date", "primary_doc", "year")],
+            F.size(F.filter(F.slice("found", F.lit(1), i + 1), lambda e: e["year"] == r["year"])).alias("year_number"),
+        ),
+    )
+    return found.withColumn("annual", numbered).select(
         "cik",
         "page",
         "doc_status",
@@ -110,35 +118,37 @@ def annual_filings(index: DataFrame) -> DataFrame:
 
 
 def company_summary(index: DataFrame) -> DataFrame:
-    """One row per company: status, filings per year, and the years holding a filing without document name."""
+    """One row per company: status, and in ``blocks`` the filings of each page and year and whether one of them lacks
+    its document name.  A company has few blocks, whatever the number of its filings."""
     flat = index.select(
         "cik",
+        "page",
         "doc_status",
         "broken",
         F.explode_outer("annual").alias("filing"),
     )
-    per_year = flat.groupBy("cik", F.col("filing.year").alias("year")).agg(
+    per_block = flat.groupBy("cik", "page", F.col("filing.year").alias("year")).agg(
         F.max(F.col("doc_status") == S.HTTP_ERROR).alias("unreachable"),
         F.max((F.col("doc_status") == S.PARSE_ERROR) | F.coalesce("broken", F.lit(False))).alias("broken"),
         F.count("filing").alias("n"),
         F.max(F.col("filing").isNotNull() & F.col("filing.primary_doc").isNull()).alias("incomplete"),
     )
-    return per_year.groupBy("cik").agg(
+    return per_block.groupBy("cik").agg(
         F.max("unreachable").alias("unreachable"),
         F.max("broken").alias("broken"),
-        F.collect_list(F.when(F.col("year").isNotNull(), F.struct("year", "n", "incomplete"))).alias("years"),
+        F.collect_list(F.when(F.col("year").isNotNull(), F.struct("year", "page", "n", "incomplete"))).alias("blocks"),
     )
 
 
 # --- requests --------------------------------------------------------------------------------------
 def request_gate(resolved: DataFrame, summary: DataFrame) -> DataFrame:
-    """``request_status`` for every request, and how many later filings its range leaves out.
+    """``request_status`` for every request, how many later filings its range leaves out, and its company's ``blocks``.
 
     The checks run in the order the failures would be met.  A filing without document name fails only
     the requests whose range holds it.
     """
-    in_range = F.filter("years", lambda y: in_years(y["year"], F.col("start_year"), F.col("end_year")))
-    later = F.filter("years", lambda y: y["year"] > F.col("end_year"))
+    in_range = F.filter("blocks", lambda y: in_years(y["year"], F.col("start_year"), F.col("end_year")))
+    later = F.filter("blocks", lambda y: y["year"] > F.col("end_year"))
     # Requests without a company get keys of their own, else they would all meet in one partition.
     key = F.coalesce("cik", F.concat(F.lit("request "), F.col("request_id").cast("string")))
     companies = summary.withColumnRenamed("cik", "key").withColumn("has_submission", F.lit(True))
@@ -156,39 +166,31 @@ def request_gate(resolved: DataFrame, summary: DataFrame) -> DataFrame:
         )
         .otherwise(F.lit(0).cast("bigint"))
         .alias("n_later"),
+        "blocks",
     )
 
 
-def rank_filings(filings: DataFrame) -> DataFrame:
-    """``company_rank``: newest year first, source order within a year.
-
-    A company may hold a large part of all filings, so no task sorts a whole company: filings are
-    numbered within (company, page, year), which a page bounds, and shifted by a running total over
-    the per-block counts.
-    """
-    block = ["cik", "page", "year"]
-    counts = filings.groupBy(*block).agg(F.count("*").alias("n"))
-    ahead = W.partitionBy("cik").orderBy(F.desc("year"), "page").rowsBetween(W.unboundedPreceding, -1)
-    shifts = counts.select(*block, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("shift"))
-    within = F.row_number().over(W.partitionBy(*block).orderBy("pos"))
-    return (
-        filings.join(shifts, block)
-        .withColumn("company_rank", F.col("shift") + within)
-        .drop("shift")
+def company_rank() -> Column:
+    """Position among the company's filings, newest year first and in source order within a year: all filings of the
+    blocks ahead plus the filing's number in its own."""
+    ahead = F.filter(
+        "blocks",
+        lambda b: (b["year"] > F.col("year")) | ((b["year"] == F.col("year")) & (b["page"] < F.col("page"))),
     )
+    return F.aggregate(ahead, F.lit(0).cast("bigint"), lambda n, b: n + b["n"]) + F.col("year_number")
 
 
 def requested_filings(gated: DataFrame, filings: DataFrame) -> DataFrame:
     """The filings of every accepted request, with ``filing_rank`` counting from the newest."""
     accepted = gated.filter(F.col("request_status") == S.OK).select(
-        "request_id", F.upper("ticker").alias("ticker"), "cik", "start_year", "end_year", "n_later"
+        "request_id", F.upper("ticker").alias("ticker"), "cik", "start_year", "end_year", "n_later", "blocks"
     )
     return (
-        accepted.join(rank_filings(filings), "cik")
+        accepted.join(filings, "cik")
         .filter(in_years(F.col("year"), F.col("start_year"), F.col("end_year")))
         .select(
             "request_id",
-            (F.col("company_rank") - F.col("n_later")).alias("filing_rank"),
+            (company_rank() - F.col("n_later")).alias("filing_rank"),
             "accession_number",
             "filing_date",
             "form_type",

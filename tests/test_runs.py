@@ -202,6 +202,11 @@ def test_hot_keys_keep_plans_bounded(spark, sf_dir):
     assert "partial_max_by" in plan
 
 
+def test_ranking_adds_no_shuffle(spark, sf_dir):
+    plan = QUERIES["O1_newest_first"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+
+
 def test_columns_reach_the_scan(spark, sf_dir):
     plan = QUERIES["P11_byte_length"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
