@@ -305,6 +305,22 @@ def page_texts(spark: SparkSession, sf: str) -> DataFrame:
     return _parsed_pages(spark, sf).select("page_id", first("title").alias("title"), first("h1").alias("h1"))
 
 
+def filing_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The text of every header candidate of the built filings, wrappers with all that is below them included."""
+    found = n.header_candidates(_parsed(spark, sf))
+    texts = n.bound(
+        "doc_text",
+        lambda text: F.transform(
+            "candidates", lambda e: F.struct(e["node_id"].alias("node_id"), e["tag"].alias("tag"), n.node_text(text, e).alias("text"))
+        ),
+    )
+    return (
+        found.select("doc_id", F.inline_outer(texts))
+        .filter(F.col("node_id").isNotNull())
+        .select("doc_id", *_bigint("node_id"), "tag", "text")
+    )
+
+
 # --- boundaries ----------------------------------------------------------------------------------------
 def _node_rows(frame: DataFrame, column: str) -> DataFrame:
     return (
@@ -530,6 +546,7 @@ QUERIES: dict[str, Query] = {
     "H2_header_candidates": page_header_counts,
     "H2_header_candidates_filings": filing_headers,
     "H3_element_text": page_texts,
+    "H3_element_text_filings": filing_texts,
     "B1_start_match": start_matches,
     "B2_toc_self_link": self_links,
     "B3_toc_ancestor": toc_ancestors,

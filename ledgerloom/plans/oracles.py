@@ -345,6 +345,15 @@ WHERE tag IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'font', 'div', 'span', 'a') GR
     "H2_header_candidates_filings": _nodes(HEADERS),
     "H3_element_text": f"""SELECT page_id, {_decoded("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")} AS title,
   {_decoded("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")} AS h1 FROM pages""",
+    "H3_element_text_filings": _with(
+        [DOC],
+        f"""SELECT d.doc_id, CAST(e.node_id AS BIGINT) AS node_id, e.tag,
+  CASE WHEN e.v = 2 AND e.tag = 'a' THEN 'Item 8' WHEN e.v = 2 AND e.tag = 'div' THEN 'junk Item 8 {TITLE}'
+    WHEN e.v = 5 AND e.tag = 'div' THEN '{TITLE}' || d.text || '{NEXT_TEXT}' WHEN e.v = 6 AND e.tag = 'div' THEN '{NEXT_TEXT}'
+    WHEN e.v = 9 AND e.tag = 'h2' THEN 'ITEM' || chr(160) || '8.' || chr(160) || 'FINANCIAL STATEMENTS'
+    WHEN e.tag = 'h3' THEN 'Item 9. Changes in Accountants' ELSE '{TITLE}' END AS text
+FROM doc d JOIN (VALUES {_values(HEADERS)}) e(v, tag, node_id) ON e.v = d.v""",
+    ),
     "B1_start_match": _nodes(STARTS),
     "B2_toc_self_link": "SELECT page_id, CAST(len(regexp_extract_all(html, '<a href=\"[^\"]*\">')) AS BIGINT) AS n FROM pages",
     "B3_toc_ancestor": _nodes(INSIDE),
