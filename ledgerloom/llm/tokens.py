@@ -97,7 +97,7 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.
     return np.concatenate(starts), np.concatenate(ends), np.concatenate(prints)
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def text_batches(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that ``text`` holds about ``limit`` bytes at most, or one row."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index("text"))
