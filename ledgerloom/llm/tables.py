@@ -15,11 +15,26 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{shared_root(spark)}/ledgerloom-llm-{uuid.uuid4().hex}"
 
 
+#: Spark's own switch to delete a query's shuffle files when the query ends instead of when the driver happens to collect
+#: its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(frame: DataFrame, name: str) -> DataFrame:
-    """Write ``frame`` once to the shared folder and go on from the table."""
-    path = f"{shared_folder(frame.sparkSession)}/{name}"
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    """Write ``frame`` once to the shared folder and go on from the table; its shuffle files go at once, so that many
+    steps use little more disk than one."""
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/{name}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def text_or_empty(column: str = "text") -> Column:
