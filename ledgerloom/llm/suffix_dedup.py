@@ -30,8 +30,9 @@ HEAD = 64
 BATCHES = 4
 #: Bytes of a text handled at a time.
 STEP = 1 << 20
-#: Runs with one head that are compared in one row; heads with more are compared by shuffled string fingerprints.
-GROUP = 128
+#: Runs with one head, of at most 800 bytes each, that are compared in one task's memory; heads with more are compared
+#: by shuffled string fingerprints.
+GROUP = 8192
 #: Keys of affected documents are broadcast up to this many; beyond, Spark picks a shuffled join.
 BROADCAST_KEYS = 1_000_000
 
@@ -171,29 +172,48 @@ def _ranges(marks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return owner[first], local[first], local[last]
 
 
-def _compare(groups: DataFrame) -> DataFrame:
-    """``id, text_hash, low, high``: byte spans of repeated strings among runs collected by head."""
+def _compare(runs: DataFrame) -> DataFrame:
+    """``id, text_hash, low, high``: byte spans of repeated strings among runs with the same head.
+
+    Runs come sorted by head; all heads of a batch are compared at once and the last one waits for the next batch.
+    """
+
+    def repeated(part: pa.Table) -> pa.RecordBatch:
+        prints, counts = _string_prints(part.column("bytes").to_pylist())
+        heads = np.repeat(part.column("head").to_numpy().view(np.uint64), counts)
+        _, kind, n = np.unique(tokens.mixed(heads) + prints, return_inverse=True, return_counts=True)
+        owner, first, last = _ranges(n[kind] > 1, counts)
+        low = part.column("low").to_numpy()[owner]
+        keys = [part.column(c).combine_chunks().take(pa.array(owner)) for c in KEY]
+        spans = [pa.array((low + first).astype(np.int32)), pa.array((low + last + LENGTH).astype(np.int32))]
+        return pa.record_batch([*(k.combine_chunks() if isinstance(k, pa.ChunkedArray) else k for k in keys), *spans], names=[*KEY, "low", "high"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
+            waiting = None
             for batch in batches:
-                for r in batch.column("runs").to_pylist():
-                    prints, counts = _string_prints([x["bytes"] for x in r])
-                    _, kind, n = np.unique(prints, return_inverse=True, return_counts=True)
-                    owner, first, last = _ranges(n[kind] > 1, counts)
-                    if len(owner):
-                        low = np.array([x["low"] for x in r])
-                        yield pa.record_batch(
-                            [
-                                pa.array(np.array([x["id"] for x in r])[owner]),
-                                pa.array(np.array([x["text_hash"] for x in r])[owner]),
-                                pa.array((low[owner] + first).astype(np.int32)),
-                                pa.array((low[owner] + last + LENGTH).astype(np.int32)),
-                            ],
-                            names=[*KEY, "low", "high"],
-                        )
-
-    return groups.mapInArrow(compare, "id bigint, text_hash bigint, low int, high int")
+                table = pa.Table.from_batches([batch])
+                table = table if waiting is None else pa.concat_tables([waiting, table])
+                heads = table.column("head").to_numpy()
+                last = int(np.searchsorted(heads, heads[-1])) if len(heads) else 0
+                for start, stop in _cuts(heads[:last]):
+                    yield repeated(table.slice(start, stop - start))
+                waiting = table.slice(last)
+            if waiting is not None and waiting.num_rows:
+                yield repeated(waiting)
+
+    dealt = runs.select("head", *KEY, "low", "bytes").repartition("head").sortWithinPartitions("head")
+    return dealt.mapInArrow(compare, "id bigint, text_hash bigint, low int, high int")
+
+
+def _cuts(heads: np.ndarray, rows: int = 2048) -> Iterator[tuple[int, int]]:
+    """Stretches of about ``rows`` rows that do not split a head."""
+    start = 0
+    while start < len(heads):
+        stop = min(start + rows, len(heads))
+        stop = len(heads) if stop == len(heads) else int(np.searchsorted(heads, heads[stop - 1], side="right"))
+        yield start, stop
+        start = stop
 
 
 def _compare_shuffled(runs: DataFrame) -> DataFrame:
@@ -252,8 +272,7 @@ def repeated_spans(documents: DataFrame, batches: int = BATCHES) -> DataFrame:
         F.inline(F.expr(f"transform(asked, a -> struct(a.head as head, a.parts as parts, a.low as low, substring(raw, a.low + 1, a.high - a.low + {LENGTH}) as bytes))")),
     )
     cut = stored(cut, "suffix_runs_bytes")
-    grouped = cut.filter(F.col("parts") <= GROUP).groupBy("head").agg(F.collect_list(F.struct(*KEY, "low", "bytes")).alias("runs"))
-    partly = _compare(grouped.select("runs")).unionByName(_compare_shuffled(cut.filter(F.col("parts") > GROUP)))
+    partly = _compare(cut.filter(F.col("parts") <= GROUP)).unionByName(_compare_shuffled(cut.filter(F.col("parts") > GROUP)))
     return whole.unionByName(partly)
 
 
