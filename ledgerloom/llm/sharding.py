@@ -31,8 +31,11 @@ KEY = ["_h", "_g"]
 
 
 def keyed(documents: DataFrame) -> DataFrame:
+    """Keys beside the columns of ``documents``, which are renamed by position so that no name can clash and so that a
+    caller who drops the text does not shuffle it."""
     return documents.select(
-        F.struct("*").alias("_doc"),
+        *[F.col(f"`{c}`").alias(f"_in_{i}") for i, c in enumerate(documents.columns)],
+        F.crc32(text_or_empty()).alias("_crc"),
         (F.octet_length(text_or_empty()) + 1).cast("long").alias("_size"),
         F.xxhash64(text_or_empty()).alias("_h"),
         F.xxhash64("doc_id").alias("_g"),
@@ -138,11 +141,11 @@ def shard_documents(documents: DataFrame, shards: int = 8, tolerance: float = TO
     placed = numbered.join(F.broadcast(offsets), names)
     out = {
         "size": F.col("_size"),
-        "text_crc32": F.crc32(F.coalesce(F.col("_doc.text").cast("string"), F.lit(""))),
+        "text_crc32": F.col("_crc"),
         "law": F.lit("bytes"),
         "shard": F.col("_shard"),
         "slot": (F.col("_before") + F.col("_number") - 1).cast("long"),
         "grown_shard": F.lit(None).cast("int"),
     }
-    kept = [F.col(f"_doc.`{c}`") for c in documents.columns if c not in out]
+    kept = [F.col(f"_in_{i}").alias(c) for i, c in enumerate(documents.columns) if c not in out]
     return placed.select(*kept, *[value.alias(name) for name, value in out.items()])
