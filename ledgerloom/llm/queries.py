@@ -137,4 +137,23 @@ FROM judged
 """
 
 
-ORACLES = {"op1_decontamination": OP1_SQL, "op8_url_rules": _op8_sql(), "op9_quality_rules": _op9_sql()}
+OP10_SQL = rf"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_SPACED}') AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM doc WHERE len(w) > 0)),
+sized AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingle a JOIN shingle b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM common JOIN sized p ON p.doc_id = x JOIN sized q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+both_ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM doc UNION SELECT reach.doc_id, y FROM reach JOIN both_ways ON r = x)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id
+FROM reach LEFT JOIN sized USING (doc_id) GROUP BY doc_id
+"""
+
+ORACLES = {
+    "op1_decontamination": OP1_SQL,
+    "op8_url_rules": _op8_sql(),
+    "op9_quality_rules": _op9_sql(),
+    "op10_ngram_join": OP10_SQL,
+}
