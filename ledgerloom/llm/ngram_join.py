@@ -6,8 +6,8 @@ within their first ``n - overlap + m`` ones; each document picks its own ``m`` s
 read plus candidates to verify, is least, and a pair must share as many prefix tokens as the smaller ``m`` asks.
 
 Equal sets are one class from the start.  Candidates are verified on the whole texts.  Groups of many near copies need
-no pair of all their members: first every member of a token's group is verified against one of them, and afterwards
-only pairs that are not connected yet are looked at, all of them.
+no pair of all their members: first every member of a token's group is verified against the most central one, and
+afterwards only pairs that are not connected yet are looked at, all of them.
 
 Defined cases: a text without words (or null) has an empty set and is linked with nothing; fewer than k words are one
 shingle; rows with a null id are never linked and get a null component; rows that repeat an id count as one document;
@@ -125,8 +125,12 @@ def prefixes(documents: DataFrame, seen: np.ndarray, k: int, percent: int) -> Da
     return documents.select("doc_id", "text").mapInArrow(cut, schema)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose whole texts are similar enough."""
+def verified(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose whole texts are similar enough.  Only the texts of candidates are moved."""
+    pairs = stored(pairs, "ngram_pairs")
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ngram_ids")
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = stored(documents.join(wanted, "doc_id", "left_semi"), "ngram_texts")
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
@@ -158,33 +162,45 @@ def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _star_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Every member of a token's group against the group's first one, where not connected yet."""
-    first = entries.groupBy("token").agg(
-        F.min(F.struct("component", "doc_id", "n", "pos")).alias("p"), F.max("component").alias("last")
-    ).filter("p.component != last")
-    joined = entries.alias("e").join(first, "token").filter("e.component != p.component").filter(_possible("e", "p", percent))
+    """Every member of a token's group against the one with the fewest rarer tokens of its own: of near copies that is
+    the one closest to what they have in common."""
+    first = entries.groupBy("token").agg(F.min(F.struct("pos", "doc_id", "n")).alias("p"))
+    joined = entries.alias("e").join(first, "token").filter("e.doc_id != p.doc_id").filter(_possible("e", "p", percent))
     return joined.select(F.col("e.doc_id").alias("a"), F.col("p.doc_id").alias("b")).distinct()
 
 
 def _open_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """All pairs not connected yet that share enough prefix tokens: one side in its shorter index prefix, and in each
-    group never two members of its most frequent component."""
-    sizes = entries.groupBy("token", "component").count()
-    main = sizes.groupBy("token").agg(F.max_by("component", "count").alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    live = entries.join(main, "token")
+    """All pairs not connected yet that may be similar: one side in its shorter index prefix, and in each group never
+    two members of its most frequent component.
+
+    Lengths and positions are tested as if the token were the first that the two share, which it is in one group.
+    """
+    sizes = entries.groupBy("token", "component").agg(F.count("*").alias("count"), F.min("n").alias("least"))
+    main = sizes.groupBy("token").agg(
+        F.max_by("component", "count").alias("main"), F.count("*").alias("parts"), F.min("least").alias("least")
+    ).filter("parts > 1")
+    # an entry so far back that even the shortest member of its group is out of reach has no partner here
+    reach = f"(100 + {percent}) * (n - pos) >= {percent} * n + {percent} * greatest(least, {percent} * n / 100)"
+    live = entries.join(main, "token").filter(reach)
     a, b = live.alias("a"), live.alias("b")
-    joined = a.filter("a.component != a.main").join(b, "token").filter("a.component != b.component")
-    # two members outside the main component meet twice; one order is enough
-    once = joined.filter("b.component = b.main or a.doc_id < b.doc_id").filter(
-        f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) and "
-        "((a.n <= b.n and a.pos < a.index_length) or (b.n <= a.n and b.pos < b.index_length))"
-    )
-    shared = once.groupBy(F.least("a.doc_id", "b.doc_id").alias("x"), F.greatest("a.doc_id", "b.doc_id").alias("y")).agg(
-        F.count_distinct("token").alias("common"),
-        F.min(F.least("a.matches", "b.matches")).alias("asked"),
-        F.max(F.expr(f"{_possible('a', 'b', percent)}")).alias("possible"),
-    )
-    return shared.filter("common >= asked and possible").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    apart = "a.component != a.main and a.component != b.component and (b.component = b.main or a.doc_id < b.doc_id)"
+    placed = "((a.n <= b.n and a.pos < a.index_length) or (b.n <= a.n and b.pos < b.index_length))"
+    joined = a.join(b, (F.col("a.token") == F.col("b.token")) & F.expr(f"{apart} and {placed} and {_possible('a', 'b', percent)}"))
+    return joined.select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b")).distinct()
+
+
+def _sharing(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose prefixes share as many tokens as similarity asks.
+
+    Of a similar pair's overlap at most ``n - overlap`` tokens are missing on a side, so of its prefix at least
+    ``length - (n - overlap)`` are shared: ``matches`` for the least overlap that any partner needs, and more for this
+    one.  The prefix that ends first in the global order lies within reach of the other.
+    """
+    side = lambda name: cut.select(F.col("doc_id").alias(name), F.struct("n", "tokens").alias(f"_{name}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    overlap = f"ceil({percent} * (_a.n + _b.n) / {100 + percent}.0)"
+    asked = f"least(size(_a.tokens) - _a.n, size(_b.tokens) - _b.n) + {overlap}"
+    return both.filter(f"size(array_intersect(_a.tokens, _b.tokens)) >= {asked}").select("a", "b").distinct()
 
 
 def link_classes(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -195,20 +211,17 @@ def link_classes(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     classes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("first"))
     firsts = classes.select(F.col("first").alias("doc_id")).distinct()
 
-    cut = prefixes(source, frequencies(signed), k, percent).join(firsts, "doc_id", "left_semi")
-    every = cut.select("doc_id", "n", "matches", "index_length", F.posexplode("tokens").alias("pos", "token"))
+    cut = stored(prefixes(source, frequencies(signed), k, percent).join(firsts, "doc_id", "left_semi"), "ngram_prefixes")
+    every = cut.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
     shared = every.groupBy("token").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least != most").select("token")
-    entries = stored(every.join(shared, "token"), "ngram_entries")
-
-    ids = stored(entries.select("doc_id").distinct(), "ngram_ids")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = stored(source.join(wanted, "doc_id", "left_semi"), "ngram_texts")
+    lengths = cut.select("doc_id", "n", "index_length")
+    entries = stored(every.join(shared, "token").join(lengths, "doc_id"), "ngram_entries")
 
     links = None
     labels = None
-    for find in (_star_pairs, _star_pairs, _open_pairs):
-        pairs = find(_labelled(entries, labels), percent)
-        found = stored(verified(pairs, texts, k, percent), "ngram_links")
+    for find in (_star_pairs, _open_pairs):
+        pairs = _sharing(find(_labelled(entries, labels), percent), cut, percent)
+        found = stored(verified(pairs, source, k, percent), "ngram_links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
     named = classes.join(labels, classes["first"] == labels["id"], "left").select(
