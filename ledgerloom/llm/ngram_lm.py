@@ -34,9 +34,9 @@ from . import tokens
 from .tables import stored
 
 #: Text bytes of a block, or one longer text.
-BLOCK = 16 << 20
+BLOCK = 4 << 20
 #: Fingerprints that one dealt part should hold.
-PART_KEYS = 4_000_000
+PART_KEYS = 1_000_000
 PRIOR = 20.0
 FOLDS, HELD = 5, 1
 #: The end token and the context before the first word.
@@ -51,7 +51,7 @@ def held_out(ids: list) -> np.ndarray:
 
 class Block:
     """The tokens of some texts: ``words`` with an end token after each text, ``limits`` of the texts, and for each
-    token the fingerprints of the word, of its context and of both."""
+    token the fingerprints of the word and of the arc it takes from its context."""
 
     def __init__(self, texts: pa.Array) -> None:
         data, offsets = tokens.flat(texts)
@@ -69,22 +69,22 @@ class Block:
         context[self.limits[:-1]] = BEGIN
         self.owner = np.repeat(np.arange(n), np.diff(self.limits))
         self.word = tokens.mixed(words ^ UNIGRAM)
-        self.state = tokens.mixed(context ^ UNIGRAM)
         self.arc = tokens.mixed(words * np.uint64(3) + tokens.mixed(context ^ BIGRAM))
 
 
-def _requests(block: Block, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _requests(block: Block, trained: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sorted distinct fingerprints, their counts in training texts, which are single words, and for each token the
-    places of word, state and arc among them."""
+    places of its word and of its arc among them."""
     inside = trained[block.owner]
     begin = tokens.mixed(np.array([BEGIN ^ UNIGRAM]))
     keys, place = np.unique(np.concatenate([block.word, block.arc, begin]), return_inverse=True)
+    place = place.astype(np.int32)
     n = len(block.word)
     counts = np.bincount(place[: 2 * n], np.tile(inside, 2), len(keys)).astype(np.int64)
     counts[place[-1]] += int(trained.sum())  # each training text enters the begin state once
     single = np.zeros(len(keys), bool)
     single[place[:n]] = True
-    return keys, counts, single, np.searchsorted(keys, block.state)
+    return keys, counts, single, place[:n], place[n : 2 * n]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +133,7 @@ def _ask(documents: DataFrame, parts: int) -> DataFrame:
             for texts in _blocks(batches):
                 block = Block(texts.column("text"))
                 trained = ~held_out(texts.column("doc_id").to_pylist())
-                keys, counts, single, _ = _requests(block, trained)
+                keys, counts, single, _, _ = _requests(block, trained)
                 name = uuid.uuid4().hex
                 ends = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
                 some = np.flatnonzero(np.diff(ends))
@@ -152,7 +152,7 @@ def _ask(documents: DataFrame, parts: int) -> DataFrame:
                 one = np.array([0, texts.num_rows])
                 ids = pa.ListArray.from_arrays(pa.array(one, pa.int32()), texts.column("doc_id").cast(pa.int64()))
                 sizes = lists(np.diff(offsets).astype(np.int32), one)
-                held = pa.array([pa.compress(data.tobytes(), codec="zstd", asbytes=True)], pa.binary())
+                held = pa.array([pa.Codec("zstd", compression_level=3).compress(data.tobytes(), asbytes=True)], pa.binary())
                 empty = [pa.nulls(1, x) for x in (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()))]
                 yield pa.record_batch([pa.nulls(1, pa.int32()), pa.array([name]), *empty, ids, sizes, held], names=names)
 
@@ -213,13 +213,17 @@ RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base
 def walk(block: Block, trained: np.ndarray, totals: np.ndarray, known: int, n_tokens: int, prior: float) -> tuple[np.ndarray, ...]:
     """Scores every text of a block by its automaton: per token the arc of the state it is in or, failing that, the
     failure arc and the word's arc at the empty state."""
-    keys, _, _, states = _requests(block, trained)
-    count = lambda prints: totals[np.searchsorted(keys, prints)]
-    c_word, c_arc, c_state = count(block.word), count(block.arc), totals[states]
+    keys, _, _, word, arc = _requests(block, trained)
+    # the state after a word is that word's, and each text begins in the begin state
+    begin = np.searchsorted(keys, tokens.mixed(np.array([BEGIN ^ UNIGRAM])))[0]
+    state = np.empty_like(word)
+    state[1:] = word[:-1]
+    state[block.limits[:-1]] = begin
+    c_word, c_arc, c_state = totals[word], totals[arc], totals[state]
     root = np.log10((c_word + 0.5) / (n_tokens + 0.5 * (known + 1)))
     failure = np.log10(prior / (c_state + prior))
-    arc = np.log10((c_arc + prior * 10.0**root) / (c_state + prior))
-    step = np.where(c_arc > 0, arc, failure + root)
+    seen = np.log10((c_arc + prior * 10.0**root) / (c_state + prior))
+    step = np.where(c_arc > 0, seen, failure + root)
     n = len(block.limits) - 1
     sums = lambda x: np.bincount(block.owner, x, n)
     return np.diff(block.limits), sums(c_word > 0).astype(np.int64), sums(root), sums(step)
