@@ -28,7 +28,7 @@ from .components import components
 from .tables import stored
 
 #: Counters of the frequency sketch: a fixed size, whatever the corpus.
-SKETCH_BITS = 19
+SKETCH_BITS = 21
 SKETCH_ROW = 1 << 12
 #: The prefix lengthenings a document may choose from, and the cost of verifying a candidate in entries read.
 MATCHES = (1, 2, 3, 4)
@@ -74,10 +74,25 @@ def signatures(documents: DataFrame, k: int) -> DataFrame:
 
 def frequencies(signed: DataFrame) -> np.ndarray:
     """The summed sketch less what unrelated tokens add to a counter on average."""
-    cells = signed.filter("chunk is not null").select("chunk", F.posexplode("counts").alias("at", "n"))
-    summed = cells.groupBy("chunk", "at").agg(F.sum("n").alias("n")).filter("n > 0").toArrow()  # 2^SKETCH_BITS rows at most
-    out = np.zeros(1 << SKETCH_BITS)
-    out[summed["chunk"].to_numpy().astype(np.int64) * SKETCH_ROW + summed["at"].to_numpy()] = summed["n"].to_numpy()
+    schema = "chunk int, counts array<bigint>"
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}  # a task holds the chunks dealt to it, one array each
+        for batch in batches:
+            for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts"), strict=True):
+                values = counts.values.to_numpy()
+                sums[chunk] = sums[chunk] + values if chunk in sums else values
+        if sums:
+            ends = pa.array(np.arange(len(sums) + 1, dtype=np.int32) * SKETCH_ROW)
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(list(sums.values()))))
+            yield pa.record_batch([pa.array(list(sums), pa.int32()), lists], names=["chunk", "counts"])
+
+    cells = signed.filter("chunk is not null").select("chunk", "counts").repartition("chunk")
+    summed = cells.mapInArrow(add, schema).toArrow()  # 2^SKETCH_BITS counters in all
+    out = np.zeros((1 << SKETCH_BITS) // SKETCH_ROW * SKETCH_ROW).reshape(-1, SKETCH_ROW)
+    for chunk, counts in zip(summed["chunk"].to_pylist(), summed["counts"], strict=True):
+        out[chunk] = counts.values.to_numpy()
+    out = out.reshape(-1)
     noise = float(np.median(out))
     return np.where(out > noise + 6 * np.sqrt(noise + 1), out - noise, 0.0).astype(np.float32)
 
