@@ -1,13 +1,17 @@
 """Personal data by information-theoretic sanitisation, with DataFrame functions only.
 
-Patterns find the protected entities (e-mail, IP, card, phone).  The words around an entity are then weighed by corpus
-co-occurrence: with P(e) the share of the corpus' words that stand around entity e and P(e|t) the share of term t's
-occurrences that do, the disclosure of t is PMI(t, e) / IC(e) = 1 - log P(e|t) / log P(e), which is 1 when t occurs
-nowhere else.  Terms seen in enough different surroundings of e whose disclosure reaches a threshold are generalised
-or, higher up, removed where they stand around e.
-
-Defined cases: a null or empty text has no spans; texts of any length are read whole; equal rows get equal results;
-equal surroundings count once as support; an empty table gives no rows; other columns are not read.
+Patterns find the protected entities (e-mail, IP, card, phone).  The words of the documents that hold an entity are then
+weighed by co-occurrence in whole documents: with P(e) the share of all documents that hold entity e and P(e|t) the share
+of the documents with term t that do, the disclosure of t is PMI(t, e) / IC(e) = 1 - log P(e|t) / log P(e), which is 1
+when t occurs nowhere else.  Terms whose disclosure reaches a threshold are generalised or, higher up, removed wherever
+they stand in a document that holds e.
+
+Terms are all words, and of scripts written without spaces also every two and three characters in a row.  Nothing is
+asked of a term's length, its distance or how often the entity is seen, so a word that occurs in a single document
+discloses every entity there.  Letters inside an entity count as words of its document; added spans lie outside of them.
+
+Defined cases: a null or empty text has no spans but counts as a document; texts of any length are read whole; equal rows
+get equal results and count each; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,13 +41,11 @@ CHECKS = {
     "card": f"length({_DIGITS}) between 14 and 19 and {_LUHN}",
     "phone": f"length({_DIGITS}) between 10 and 15",
 }
-TERM = r"[\p{L}]{4,}"
-#: Code points on either side of an entity, within its line, whose terms may disclose it.
-AROUND = 120
-#: Different surroundings of one entity that must hold a term.
-SUPPORT = 3
+TERM = r"\p{L}[\p{L}\p{M}]*"
+#: Letters of scripts that put no spaces between words.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]"
 GENERALISE, REMOVE = 0.90, 0.97
-#: The term table is broadcast up to this many rows; beyond, Spark picks a shuffled join.
+#: Tables of terms or entities are broadcast up to this many rows; beyond, Spark picks a shuffled join.
 BROADCAST_TERMS = 500_000
 
 SPAN = "struct<start:int,end:int,value:string>"
@@ -81,74 +83,86 @@ def base_spans(documents: DataFrame) -> DataFrame:
     return found.select("doc_id", "text", *[F.expr(f"filter({kind}, s -> {check})").alias(kind) for kind, check in CHECKS.items()])
 
 
-def _around(documents: DataFrame) -> DataFrame:
-    """A row per document: its base spans in order and, for each, the blanked surroundings within its line."""
+def terms_of(text: str) -> str:
+    """SQL for the distinct terms of a text."""
+    word, letter = TERM.replace("\\", "\\\\"), UNSPACED.replace("\\", "\\\\")
+    runs = ", ".join(f"regexp_extract_all({text}, '(?=({letter}{{{n}}}))', 1)" for n in (2, 3))
+    return f"array_distinct(transform(concat(regexp_extract_all({text}, '{word}', 0), {runs}), t -> lower(t)))"
+
+
+def term_spans(text: str) -> str:
+    """SQL for ``array<struct<start, end, value>>`` of all places of the terms of a text."""
+    cut = (
+        "transform(sequence(0, size(c) - {n}), i -> named_struct('start', r.start + i, 'end', r.start + i + {n}, "
+        "'value', array_join(slice(c, i + 1, {n}), '')))"
+    )
+    windows = f"concat({cut.format(n=2)}, if(size(c) < 3, cast(array() as array<{SPAN}>), {cut.format(n=3)}))"
+    runs = f"transform({spans_of(text, UNSPACED + '{2,}')}, r -> element_at(transform(array(regexp_extract_all(r.value, '.', 0)), c -> {windows}), 1))"
+    return f"concat({spans_of(text, TERM)}, flatten({runs}))"
+
+
+def _rows(documents: DataFrame) -> DataFrame:
+    """A row per document: its base spans in order and, where it has any, its text."""
     arrays = [
-        f"transform({kind}, s -> named_struct('start', s.start, 'rank', {rank}, 'end', s.end, 'kind', '{kind}', 'value', s.value))"
+        f"transform({kind}, s -> named_struct('start', s.start, 'rank', {rank}, 'end', s.end, 'kind', '{kind}', 'value', "
+        f"if('{kind}' = 'email', lower(s.value), regexp_replace(s.value, '[^0-9.]', ''))))"
         for rank, kind in enumerate(PATTERNS)
     ]
     spans = base_spans(documents).select("doc_id", "text", F.expr(f"array_sort(concat({', '.join(arrays)}))").alias("found"))
-    left = f"substring_index(substring(text, greatest(s.start - {AROUND}, 0) + 1, least(s.start, {AROUND})), '\n', -1)"
-    right = f"substring_index(substring(text, s.end + 1, {AROUND}), '\n', 1)"
-    return spans.select(
-        "doc_id",
-        F.monotonically_increasing_id().alias("row"),
-        F.expr(
-            "transform(found, s -> named_struct('start', s.start, 'rank', s.rank, 'end', s.end, 'kind', s.kind, "
-            f"'value', if(s.kind = 'email', lower(s.value), regexp_replace(s.value, '[^0-9.]', '')), 'left', {left}, 'right', {right}))"
-        ).alias("found"),
-    )
+    return spans.select("doc_id", F.monotonically_increasing_id().alias("row"), F.when(F.size("found") > 0, F.col("text")).alias("text"), "found")
+
+
+def _small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_TERMS else table
 
 
-def disclosing_terms(documents: DataFrame, entities: DataFrame) -> DataFrame:
-    """``kind, value, term, disclosure`` for the terms whose disclosure of an entity reaches ``GENERALISE``.
+def disclosing_terms(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """``row, term, action`` for the terms of a row's document that disclose one of its entities.
 
-    ``entities``: a row per base span with its surroundings.  Counts run over all documents.
+    Counts are numbers of documents and run over all of them.  Entities of the same documents have the same counts with
+    every term, so they are one group (``n_entity`` documents, told apart by two 64-bit fingerprints of them).
     """
-    around = F.concat_ws(" ", F.lower("left"), F.lower("right"))
-    terms = F.regexp_extract_all(around, F.lit(TERM), F.lit(0))
-    held = entities.select("kind", "value", F.xxhash64(around).alias("where"), F.size(terms).alias("n"), F.explode(terms).alias("term"))
-    pairs = stored(
-        held.groupBy("kind", "value", "term")
-        .agg(F.count("*").alias("together"), F.countDistinct("where").alias("support"))
-        .filter(F.col("support") >= SUPPORT),
-        "pii_pairs",
+    group = ["n_entity", "h1", "h2"]
+    n_documents = rows.count()
+    held = rows.select("row", F.explode(F.expr("array_distinct(transform(found, s -> named_struct('kind', s.kind, 'value', s.value)))")).alias("e"))
+    held = held.select("row", "e.*")
+    entities = stored(
+        held.groupBy("kind", "value").agg(
+            F.count("*").alias("n_entity"), F.bit_xor(F.xxhash64("row")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("h2")
+        ),
+        "pii_entities",
     )
-    asked = pairs.select("term").distinct()
-    words = documents.select(F.explode(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(TERM), F.lit(0))).alias("term"))
-    if pairs.count() <= BROADCAST_TERMS:
-        asked = F.broadcast(asked)
-    seen = words.join(asked, "term").groupBy("term").agg(F.count("*").alias("n_term"))
-    n_words = documents.agg(F.sum(F.length(text_or_empty()))).first()[0] or 0
-    total = max(1.0, n_words / 7)  # terms in the corpus, from its length; enters only as a logarithm
-    # words around an entity: those of its pairs would miss terms below the support
-    n_entity = entities.groupBy("kind", "value").agg(F.sum(F.size(terms)).alias("n_entity")).filter("n_entity > 0")
-    p_e = F.least(F.col("n_entity") / F.lit(total), F.lit(0.5))
-    p_e_t = F.least(F.col("together") / F.col("n_term"), F.lit(1.0))
-    scored = pairs.join(n_entity, ["kind", "value"]).join(seen, "term")
-    return scored.select("kind", "value", "term", (1 - F.log(p_e_t) / F.log(p_e)).alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
+    groups = held.join(_small(entities), ["kind", "value"]).groupBy("row").agg(F.collect_set(F.struct(*group)).alias("groups"))
+
+    terms = rows.filter("text is not null").select("row", F.explode(F.expr(terms_of("text"))).alias("term"))
+    every = documents.select(text_or_empty().alias("text")).select(F.explode(F.expr(terms_of("text"))).alias("term"))
+    # of more documents than this a term cannot reach the threshold, even where it stands by the entity each time
+    p_e = f"least({{n}} / {max(n_documents, 1)}D, 0.5D)"
+    most = f"{{n}} / power({p_e}, {1 - GENERALISE:.6f}D) * 1.000001D"
+    limit = entities.agg(F.expr(f"max({most.format(n='n_entity')})")).first()[0] or 0.0
+    seen = every.groupBy("term").agg(F.count("*").alias("n_term")).filter(F.col("n_term") <= limit)
+    seen = stored(seen.join(terms.select("term").distinct(), "term", "left_semi"), "pii_terms")
+    near = terms.join(_small(seen), "term").join(groups, "row")
+    near = stored(near.select("row", "term", "n_term", F.inline(F.expr(f"filter(groups, g -> n_term <= {most.format(n='g.n_entity')})"))), "pii_near")
+
+    share = F.count("*") / F.col("n_term")
+    disclosure = 1 - F.log(share) / F.log(F.expr(p_e.format(n="n_entity")))
+    leaks = near.groupBy("term", "n_term", *group).agg(disclosure.alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
+    leaks = stored(leaks.drop("n_term"), "pii_leaks")
+    marked = near.join(_small(leaks), ["term", *group]).groupBy("row", "term")
+    return marked.agg(F.when(F.max("disclosure") >= REMOVE, "remove").otherwise("generalise").alias("action"))
 
 
 def find(documents: DataFrame) -> DataFrame:
     """``doc_id, found, added``: base spans and the added ones (``start, end, term, action``), a row per document."""
-    rows = stored(_around(documents), "pii_rows")
-    entities = rows.select("row", F.explode("found").alias("s")).select("row", "s.*")
-    leaks = disclosing_terms(documents, entities)
-    sides = entities.select(
-        "row", "kind", "value",
-        F.explode(F.array(
-            F.struct((F.col("start") - F.length("left")).alias("at"), F.col("left").alias("side")),
-            F.struct(F.col("end").alias("at"), F.col("right").alias("side")),
-        )).alias("x"),
-    ).select("row", "kind", "value", "x.*")
-    words = sides.select("row", "kind", "value", "at", F.explode(F.expr(spans_of("side", TERM))).alias("w"))
-    words = words.select("row", "kind", "value", F.lower("w.value").alias("term"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"))
+    rows = stored(_rows(documents), "pii_rows")
+    marks = stored(disclosing_terms(documents, rows), "pii_marks")
+    words = rows.filter("text is not null").select("row", F.explode(F.expr(term_spans("text"))).alias("w"))
+    words = words.select("row", F.lower("w.value").alias("term"), "w.start", "w.end")
     added = (
-        words.join(leaks, ["kind", "value", "term"])
-        .groupBy("row", "start", "end", "term")
-        .agg(F.when(F.max("disclosure") >= REMOVE, "remove").otherwise("generalise").alias("action"))
+        words.join(_small(marks), ["row", "term"])
         .groupBy("row")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "term", "action"))).alias("added"))
+        .agg(F.array_sort(F.collect_set(F.struct("start", "end", "term", "action"))).alias("added"))
     )
     joined = rows.join(added, "row", "left")
     apart = F.expr(

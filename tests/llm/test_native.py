@@ -1,6 +1,7 @@
 """Operators of DataFrame functions: small cases, brute force, and no Python in their plans."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -65,6 +66,44 @@ def test_a_term_that_only_stands_by_one_address_is_added(documents):
     assert text[100] == filler * 20
 
 
+def disclosed(rows):
+    """Removed and generalised places by document counts, term by term; texts hold no CJK runs of over three letters."""
+    texts = {i: t or "" for i, t in rows}
+    words = {i: {w for m in re.findall(r"[^\W\d_]+", t) for w in {m.lower(), *re.findall("(?=([一-鿿]{2}))", m)}} for i, t in texts.items()}
+    mails = {i: {m.group().lower() for m in re.finditer(BASE["email"], t)} for i, t in texts.items()}
+    out = {}
+    for i, t in texts.items():
+        best = {}
+        for w in words[i]:
+            n = sum(w in x for x in words.values())
+            for e in mails[i]:
+                p = min(sum(e in x for x in mails.values()) / len(texts), 0.5)
+                both = sum(w in words[j] and e in mails[j] for j in texts)
+                best[w] = max(best.get(w, 0), 1 - math.log(both / n) / math.log(p))
+        inside = {k for m in re.finditer(BASE["email"], t) for k in range(*m.span())}
+        places = {(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", t)} | {m.span(1) for m in re.finditer("(?=([一-鿿]{2}))", t)}
+        out[i] = sorted(
+            (a, b, t[a:b].lower(), "remove" if best[t[a:b].lower()] >= 0.97 else "generalise")
+            for a, b in places
+            if best.get(t[a:b].lower(), 0) >= 0.90 and not inside & set(range(a, b))
+        )
+    return out
+
+
+def test_terms_disclose_in_whole_documents(documents):
+    rng = random.Random(5)
+    common = "plain words about many other things in ordinary lines of text again".split()
+    say = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    rows = [(i, say(60)) for i in range(60)]
+    rows += [(100 + i, f"Ann Lee\nann.l@firm.example\n{say(80)}\n{say(5)} Lee {say(3)} 王明 {say(1)}") for i in range(4)]
+    rows += [(200, f"Bo {say(50)}\n{say(9)} once@seen.example {say(70)}\n{say(40)} quorl"), (300, f"lee {say(20)}"), (301, f"{say(9)} 王明")]
+    rows += [(400 + i, f"rare{i % 9} {say(4)} x{chr(97 + i % 7)}@pool.example {say(2)} tale {chr(97 + i % 5) * 2}") for i in range(30)]
+    rows += [(500, None), (501, "")]
+    got = {r.doc_id: [tuple(a) for a in r.added] for r in pii.find(documents(rows)).collect()}
+    assert got == disclosed(rows)
+    assert {a[2] for a in got[100]} >= {"ann", "lee", "王明"} and {a[2] for a in got[200]} == {"bo", "quorl"} and got[300] == []
+
+
 def words13(text):
     folded = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", folded)
