@@ -13,8 +13,10 @@ Only id, text and the three tree columns are read, other columns ride along in `
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,9 +53,14 @@ TARGETS = Weights(
 )
 
 
-def share(amount: float, weights: list[float], limits: list[float]) -> list[float]:
+def exact(number: float) -> Fraction | float:
+    """The number as it is written, so that no budget is a rounding step short of what its leaf holds."""
+    return number if isinstance(number, Fraction) or math.isinf(number) else Fraction(repr(float(number)))
+
+
+def share(amount: Fraction, weights: list[float], limits: list[Fraction]) -> list[Fraction]:
     """``amount`` by weight, none above its limit; what one cannot take goes to the others by weight."""
-    given = [0.0] * len(weights)
+    given, weights = [Fraction(0)] * len(weights), [exact(w) for w in weights]
     free = [i for i, w in enumerate(weights) if w > 0 and limits[i] > 0]
     rest = min(amount, sum(limits[i] for i in free))
     while free and rest > 0:
@@ -70,13 +77,14 @@ def share(amount: float, weights: list[float], limits: list[float]) -> list[floa
     return given
 
 
-def budgets(supply: dict[tuple[str, ...], int], weights: Weights, amount: float, max_epochs: float) -> dict[tuple[str, ...], float]:
+def budgets(supply: dict[tuple[str, ...], int], weights: Weights, amount: float, max_epochs: float) -> dict[tuple[str, ...], Fraction]:
     """Tokens to take from each leaf."""
+    epochs = exact(max_epochs)
 
-    def limit(path: tuple[str, ...]) -> float:
+    def limit(path: tuple[str, ...]) -> Fraction:
         """What a branch can give; a branch without weight gives nothing."""
         if path in supply:
-            return supply[path] * max_epochs
+            return supply[path] * epochs
         return sum(limit(c) for c in children.get(path, ()) if weights.of(c) > 0)
 
     children: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
@@ -85,9 +93,9 @@ def budgets(supply: dict[tuple[str, ...], int], weights: Weights, amount: float,
             family = children.setdefault(leaf[:depth], [])
             if leaf[: depth + 1] not in family:
                 family.append(leaf[: depth + 1])
-    out: dict[tuple[str, ...], float] = {}
+    out: dict[tuple[str, ...], Fraction] = {}
 
-    def descend(path: tuple[str, ...], given: float) -> None:
+    def descend(path: tuple[str, ...], given: Fraction) -> None:
         if path in supply:
             out[path] = given
             return
@@ -96,7 +104,7 @@ def budgets(supply: dict[tuple[str, ...], int], weights: Weights, amount: float,
         for child, part in zip(family, parts, strict=True):
             descend(child, part)
 
-    descend((), amount)
+    descend((), exact(amount))
     return out
 
 

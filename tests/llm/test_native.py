@@ -208,6 +208,14 @@ def test_shortage_goes_to_siblings_first():
     assert mixing.budgets({}, mixing.Weights(), 800, 1.0) == {}
 
 
+def test_a_tree_that_cannot_supply_its_budget_gives_all_it_has():
+    weights = mixing.Weights({("a",): 0.1, ("a", "x"): 0.3, ("a", "x", "1"): 0.1, ("a", "x", "2"): 0.2})
+    for n in range(1, 400):
+        supply = {("a", "x", "1"): n, ("a", "x", "2"): 7 * n + 1}
+        assert mixing.budgets(supply, weights, 10.0 * n + 1, 1.0) == supply
+        assert mixing.budgets({("a", "x", "1"): n}, weights, 9.0 * n, 3.0) == {("a", "x", "1"): 3 * n}
+
+
 def mix_table(spark, n=600):
     rows = [(i, "w " * (i % 13), ["en", "de", None][i % 3], f"src{i % 20}") for i in range(n)]
     rows += [(None, None, None, None), (1, "a b", "en", "src1"), (1, "a b", "en", "src1")]
