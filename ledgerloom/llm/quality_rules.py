@@ -47,24 +47,28 @@ RULES = (
 )
 
 #: Three-word windows as sortable longs, hash above and position below, so that one sort brings equal windows
-#: together; sorted neighbours with the same hash count only if their words are equal.
-_KEYS = (
-    "sort_array(transform(sequence(0, size(w) - 3), "
-    "i -> (shiftright(xxhash64(w[i], w[i + 1], w[i + 2]), 2) div size(w)) * size(w) + i))"
-)
-_SAME = (
-    "s[k] - pmod(s[k], size(w)) = s[k - 1] - pmod(s[k - 1], size(w))"
-    " and slice(w, int(pmod(s[k], size(w))) + 1, 3) = slice(w, int(pmod(s[k - 1], size(w))) + 1, 3)"
-)
-_HITS = (
-    "flatten(transform(filter(sequence(1, size(s) - 1), k -> " + _SAME + "), "
-    "k -> concat(sequence(pmod(s[k], size(w)), pmod(s[k], size(w)) + 2),"
-    " sequence(pmod(s[k - 1], size(w)), pmod(s[k - 1], size(w)) + 2))))"
-)
-REPEATED_WORDS = (
-    "if(size(words) < 4, 0, element_at(transform(array(words), w -> "
-    f"element_at(transform(array({_KEYS}), s -> size(array_distinct({_HITS}))), 1)), 1))"
-)
+#: together; sorted neighbours with the same hash count only if their words are equal.  A document in which neighbours
+#: with the same hash differ may hold equal windows that are no neighbours, and is sorted by the words instead.
+HASH = "xxhash64(w[i], w[i + 1], w[i + 2])"
+_NEAR = "filter(sequence(1, size(s) - 1), k -> s[k] - pmod(s[k], size(w)) = s[k - 1] - pmod(s[k - 1], size(w)))"
+_SAME = "filter(near, k -> slice(w, int(pmod(s[k], size(w))) + 1, 3) = slice(w, int(pmod(s[k - 1], size(w))) + 1, 3))"
+_PLACES = "k -> concat(sequence({0}, {0} + 2), sequence({1}, {1} + 2))"
+_HITS = f"flatten(transform(same, {_PLACES.format('pmod(s[k], size(w))', 'pmod(s[k - 1], size(w))')}))"
+_BY_WORDS = "sort_array(transform(sequence(0, size(w) - 3), i -> named_struct('a', w[i], 'b', w[i + 1], 'c', w[i + 2], 'i', bigint(i))))"
+_EQUAL = "filter(sequence(1, size(x) - 1), k -> x[k].a = x[k - 1].a and x[k].b = x[k - 1].b and x[k].c = x[k - 1].c)"
+_ALL_HITS = f"flatten(transform({_EQUAL}, {_PLACES.format('x[k].i', 'x[k - 1].i')}))"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def repeated_words(hash: str = HASH) -> str:
+    """SQL for the number of words inside windows that occur more than once."""
+    keys = f"sort_array(transform(sequence(0, size(w) - 3), i -> (shiftright({hash}, 2) div size(w)) * size(w) + i))"
+    every = _let("x", _BY_WORDS, f"size(array_distinct({_ALL_HITS}))")
+    found = _let("same", _SAME, f"if(size(same) = size(near), size(array_distinct({_HITS})), {every})")
+    return f"if(size(words) < 4, 0, {_let('w', 'words', _let('s', keys, _let('near', _NEAR, found)))})"
 
 
 def counts(documents: DataFrame) -> DataFrame:
@@ -84,7 +88,7 @@ def counts(documents: DataFrame) -> DataFrame:
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.expr(REPEATED_WORDS).cast("long").alias("n_repeat_words"),
+        F.expr(repeated_words()).cast("long").alias("n_repeat_words"),
         F.size(F.array_intersect("words", stops)).cast("long").alias("n_stop_words"),
     )
 

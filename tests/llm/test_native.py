@@ -166,6 +166,15 @@ def test_rule_counts_equal_plain_counts(documents):
     assert got == {i: rule_counts(t) for i, t in rows}
 
 
+def test_windows_with_one_hash_are_told_apart(documents):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 40)))) for i in range(80)] + [(-1, "a b c x y z a b c")]
+    words = documents(rows).select("doc_id", F.regexp_extract_all("text", F.lit(quality_rules.WORD), F.lit(0)).alias("words"))
+    for hash in ("0L", "cast(ascii(w[i]) % 2 as bigint) * 1000000", quality_rules.HASH):
+        got = {r.doc_id: r.n for r in words.select("doc_id", F.expr(quality_rules.repeated_words(hash)).alias("n")).collect()}
+        assert got == {i: rule_counts(t)[4] for i, t in rows}
+
+
 @pytest.mark.parametrize("hot", [0, 300])
 def test_shards_are_even_and_slots_gapless(documents, hot):
     rng = random.Random(4)
