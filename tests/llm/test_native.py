@@ -104,6 +104,16 @@ def test_terms_disclose_in_whole_documents(documents):
     assert {a[2] for a in got[100]} >= {"ann", "lee", "王明"} and {a[2] for a in got[200]} == {"bo", "quorl"} and got[300] == []
 
 
+def test_digits_and_markup_do_not_shift_disclosure(documents):
+    texts = [f"{i} zorb z@mail.example" for i in range(8)] + ["zorb"] * 2 + ["plain words here again"] * 5
+    pad = " <0123456789>" * 300
+    added = [
+        {r.doc_id: [(a.term, a.action) for a in r.added] for r in pii.find(documents([(i, t + p) for i, t in enumerate(texts)])).collect()}
+        for p in ("", "\n" + pad)
+    ]
+    assert added[0] == added[1]
+
+
 def words13(text):
     folded = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", folded)
