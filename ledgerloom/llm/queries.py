@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, ngram_join, ngram_lm, pii, quality_classifier, quality_rules, sharding, suffix_dedup, url_rules
+from . import (
+    decontamination,
+    importance_resampling,
+    mixing,
+    ngram_join,
+    ngram_lm,
+    pii,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    suffix_dedup,
+    token_alignment,
+    toxicity,
+    url_rules,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +77,21 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_classes(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_alignment.align(table(spark, sf_dir, "documents"))
+    counts = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), *counts, "groups_sha256")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -74,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_rules": op8_url_rules,
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_join": op10_ngram_join,
+    "op11_toxicity": op11_toxicity,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -151,9 +183,38 @@ SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id
 FROM reach LEFT JOIN sized USING (doc_id) GROUP BY doc_id
 """
 
+#: CRC-32 from its definition: 256 remainders, then the bytes of every distinct word one by one.
+OP13_SQL = f"""
+WITH RECURSIVE bits(b, k, r) AS (
+  SELECT CAST(range AS UBIGINT), 0, CAST(range AS UBIGINT) FROM range(256) UNION ALL
+  SELECT b, k + 1, CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::UBIGINT) ELSE r >> 1 END FROM bits WHERE k < 8),
+remainders AS (SELECT list(r ORDER BY b) AS t FROM bits WHERE k = 8),
+doc AS (SELECT doc_id, {_NORMAL} AS w FROM documents),
+word AS (SELECT unnest(w) AS w FROM doc UNION SELECT unnest({_NORMAL}) FROM benchmark),
+byte AS (SELECT w, unnest(range(1, len(hex(encode(w))), 2)) AS i, hex(encode(w)) AS h FROM word),
+bytes AS (SELECT w, list(CAST(instr('0123456789ABCDEF', h[i]) * 16 + instr('0123456789ABCDEF', h[i + 1]) - 17 AS UBIGINT) ORDER BY i) AS l FROM byte GROUP BY w),
+bucket AS (SELECT w, xor(list_reduce(list_prepend(4294967295::UBIGINT, l), lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS BIGINT) + 1])), 4294967295::UBIGINT) % 10000 AS k
+           FROM bytes, remainders),
+source AS (SELECT k, count(*) AS s FROM (SELECT unnest(w) AS w FROM doc) JOIN bucket USING (w) GROUP BY k),
+wanted AS (SELECT k, count(*) AS t FROM (SELECT unnest({_NORMAL}) AS w FROM benchmark) JOIN bucket USING (w) GROUP BY k),
+gain AS (SELECT k, floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(s), 0) FROM source) + 10000 AS DOUBLE)
+                / (CAST(s + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(t), 0) FROM wanted) + 10000 AS DOUBLE)))) AS g
+         FROM source LEFT JOIN wanted USING (k)),
+row_ AS (SELECT row_number() OVER () AS n, doc_id, w FROM doc),
+weighed AS (SELECT n, floor(sum(g) / count(*)) AS weight FROM (SELECT n, unnest(w) AS w FROM row_) JOIN bucket USING (w) JOIN gain USING (k) GROUP BY n),
+scored AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+                  CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || doc_id)[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+           FROM row_ LEFT JOIN weighed USING (n)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place FROM scored)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_features >= 20 AND place <= 10 * (SELECT count(*) FROM scored WHERE n_features >= 20) // 100 THEN place END AS rank
+FROM placed
+"""
+
 ORACLES = {
     "op1_decontamination": OP1_SQL,
     "op8_url_rules": _op8_sql(),
     "op9_quality_rules": _op9_sql(),
     "op10_ngram_join": OP10_SQL,
+    "op13_importance_resampling": OP13_SQL,
 }
