@@ -104,8 +104,8 @@ def features(texts: pa.Array, head: Head, n: int, buckets: int) -> tuple[np.ndar
 
 
 def vocabulary_head(documents: DataFrame, n: int, buckets: int = BUCKETS, size: int = HEAD) -> Head:
-    """The ``size`` most frequent words, and pairs if ``n`` asks for them: each task counts all it reads, in parts whose
-    ``size`` most frequent go on, so a task sends a bounded table whatever it reads."""
+    """About the ``size`` most frequent words, and pairs if ``n`` asks for them: each task counts all it reads and lets
+    the rarest go whenever it holds eight times ``size``, so what it holds and sends is bounded whatever it reads."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Counter] = [Counter(), Counter()]
@@ -113,19 +113,18 @@ def vocabulary_head(documents: DataFrame, n: int, buckets: int = BUCKETS, size:
             coded, limits = words_of(batch.column("text"))
             words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
             times = np.bincount(codes, minlength=len(words))
-            for i in np.argsort(-times, kind="stable")[:size].tolist():
-                held[0][words[i]] += int(times[i])
+            held[0].update(dict(zip(words, times.tolist(), strict=True)))
             if n > 1 and len(codes) > 1:
                 owner = np.repeat(np.arange(batch.num_rows), np.diff(limits))
                 inside = owner[1:] == owner[:-1]
                 key, times = np.unique((codes[:-1] << 32 | codes[1:])[inside], return_counts=True)
-                for i in np.argsort(-times, kind="stable")[:size].tolist():
-                    held[1][words[key[i] >> 32] + b" " + words[key[i] & 0xFFFFFFFF]] += int(times[i])
+                pairs = ((words[k >> 32] + b" " + words[k & 0xFFFFFFFF], t) for k, t in zip(key.tolist(), times.tolist(), strict=True))
+                held[1].update(dict(pairs))
             for k, counter in enumerate(held):
-                if len(counter) > 4 * size:
+                if len(counter) > 8 * size:
                     held[k] = Counter(dict(counter.most_common(size)))
         for k, counter in enumerate(held):
-            top = [(w, c) for w, c in counter.most_common(size) if len(w) <= HEAD_BYTES]
+            top = [(w, c) for w, c in counter.most_common(4 * size) if len(w) <= HEAD_BYTES]
             if top:
                 yield pa.record_batch([pa.array([k + 1] * len(top), pa.int32()), *map(pa.array, zip(*top, strict=True))], names=["k", "feature", "n"])
 
