@@ -1,14 +1,10 @@
-"""One HTML document -> its element tree, as flat preorder columns.
+"""The nesting step: marks of tokens in, a tree in preorder out.
 
-This is the only per-document Python in the package.  It turns markup into nodes and nothing
-else: every question about the nodes (which one is a header, where a section starts, what lies
-between two nodes) is a Spark expression over the columns produced here.
-
-The tree follows the public HTML parsing rules that change the shape of real filings: implied
-html/head/body/tbody/tr, void and raw-text elements, block starts closing an open ``p``, list items
-closing each other, formatting elements reopened in the next block, mis-nested formatting end tags,
-and content misplaced directly inside a table moved in front of it.  Not covered: foreign content,
-frames, templates and the special rules of form controls.
+Tokens are cut and written by Spark expressions (``html_tokens``); this helper decides which element holds which.  It follows the public parsing
+rules that change the shape of real filings: implied html/head/body/tbody/tr, block starts closing an open ``p``, list
+items closing each other, formatting elements reopened in the next block, mis-nested formatting end tags, and content
+misplaced directly inside a table moved in front of it.  Not covered: foreign content, frames, templates and the special
+rules of form controls.
 """
 
 from __future__ import annotations
@@ -17,88 +13,30 @@ import re
 from html import unescape
 from html.entities import html5
 
-# Element classes of the public HTML standard.
-VOID = set(
-    "area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split()
-)
-RAW_TEXT = set("script style xmp iframe noembed noframes noscript".split())
-ESCAPABLE_RAW_TEXT = {"title", "textarea"}
-UNESCAPED_OUTPUT = set("script style xmp iframe noembed noframes plaintext".split())
-HEAD_ONLY = set("base basefont bgsound link meta title style script noframes noscript template".split())
-HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
-CLOSES_P = HEADINGS | set(
-    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer "
-    "form header hgroup hr listing main menu nav ol p plaintext pre search section summary ul xmp li dd dt".split()
-)
-FORMATTING = set("a b big code em font i nobr s small strike strong tt u".split())
-SCOPE_EDGE = set("applet caption html table td th marquee object template".split())
-BUTTON_EDGE = SCOPE_EDGE | {"button"}
-LIST_EDGE = SCOPE_EDGE | {"ol", "ul"}
-TABLE_EDGE = {"table", "html", "template"}
-CELLS = {"td", "th", "caption"}
-LIST_ITEMS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}}
-TABLE_SHELL = set("table tbody tfoot thead tr".split())
-SECTIONS = {"tbody", "thead", "tfoot"}
-SPECIAL = (
-    CLOSES_P | SCOPE_EDGE | VOID - {"track"} | TABLE_SHELL | HEAD_ONLY
-    | set("body button colgroup head iframe input noembed select textarea".split())
-)
-# Which open element may directly hold a table part; everything above it is closed first.
-TABLE_HOLDERS = {
-    "td": {"tr", *SECTIONS, "table"},
-    "th": {"tr", *SECTIONS, "table"},
-    "tr": {*SECTIONS, "table"},
-    "tbody": {"table"},
-    "thead": {"table"},
-    "tfoot": {"table"},
-    "caption": {"table"},
-    "colgroup": {"table"},
-    "col": {"colgroup", "table"},
-}
-# Documents whose doctype is absent or matches this are laid out in quirks mode (a table then stays in its p).
-LEGACY_DOCTYPE = re.compile(
-    r"(?i)^(?!html\b)|//(?:IETF|W3O|Netscape|Microsoft)//|DTD HTML (?:2|3|4\.0 )"
-    r"|DTD HTML 4\.01 (?:Transitional|Frameset)//EN[\"']\s*$"
-)
-
-MARKUP = re.compile(
-    r"<!--(?:-?>|(?P<comment>.*?)(?:--!?>|\Z))"
-    r"|<!doctype(?P<doctype>[^>]*)(?:>|\Z)"
-    r"|<(?:!|(?=\?)|/(?![a-z>]))(?P<bogus>[^>]*)(?:>|\Z)"
-    r"|<(?P<slash>/?)(?P<tag>[a-z][^\s/>]*+)"
-    r"(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)*+)(?P<close>>|\Z)"
-    r"|</>",
-    re.IGNORECASE | re.DOTALL,
-)
-ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
-REFERENCE = re.compile(r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)(=?)")
-
+from . import html_rules as rules
 
-def _attribute_value(raw: str) -> str:
-    def decode(m: re.Match) -> str:
-        name = m[1]
-        if name[0] != "#" and not name.endswith(";") and (m[2] or name not in html5):
-            return m[0]
-        return unescape("&" + name) + m[2]
-
-    return REFERENCE.sub(decode, raw) if "&" in raw else raw
+RAW = {*rules.RAW_TEXT, *rules.ESCAPABLE_RAW_TEXT}
+LEGACY_DOCTYPE = re.compile(rules.LEGACY_DOCTYPE)
+ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.ASCII)
+REFERENCE = re.compile(r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)(=?)")
 
 
-def _attributes(raw: str) -> dict[str, str]:
-    found: dict[str, str] = {}
-    for name, double, single, bare in ATTRIBUTE.findall(raw):
-        found.setdefault(name.lower(), _attribute_value(double or single or bare))
-    return found
+def attributes(inside: str) -> dict[str, str]:
+    """The attributes of a tag; of equal names the first counts.  A reference without semicolon must be a known name."""
 
+    def decode(m: re.Match) -> str:
+        bare = m[1][0] != "#" and not m[1].endswith(";")
+        return m[0] if bare and (m[2] or m[1] not in html5) else unescape("&" + m[1]) + m[2]
 
-NO_ATTRIBUTES: dict[str, str] = {}
+    values = ((n.lower(), a or b or c) for n, a, b, c in reversed(ATTRIBUTE.findall(inside)))
+    return {n: REFERENCE.sub(decode, v) if "&" in v else v for n, v in values}
 
 
 class Node:
-    __slots__ = ("attrs", "children", "data", "implied", "parent", "slot", "tag")
+    __slots__ = ("children", "implied", "parent", "slot", "tag", "token")
 
-    def __init__(self, tag, attrs=NO_ATTRIBUTES, data=None, implied=False):
-        self.tag, self.attrs, self.data, self.implied = tag, attrs, data, implied
+    def __init__(self, tag, token=-1, implied=False):
+        self.tag, self.token, self.implied = tag, token, implied  # of a text: its tokens
         self.parent, self.children, self.slot = None, [], 0
 
     def place_of(self, child):
@@ -110,100 +48,80 @@ class Node:
     def add(self, child, before=None):
         if child.parent is not None:
             del child.parent.children[child.parent.place_of(child)]
-        child.parent = self
-        if before is None:
-            child.slot = len(self.children)
-            self.children.append(child)
-        else:
-            child.slot = self.place_of(before)
-            self.children.insert(child.slot, child)
+        child.parent, child.slot = self, len(self.children) if before is None else self.place_of(before)
+        self.children.insert(child.slot, child)
+        if before is not None:
             before.slot = child.slot + 1
 
-    def take_children(self, other):
-        """All children of another node at once; this one has none yet."""
-        self.children, other.children = other.children, []
-        for child in self.children:
-            child.parent = self
 
+class Nesting:
+    """The open elements of one document, and what each mark does to them."""
 
-class TreeBuilder:
-    def __init__(self):
-        self.root = Node("#document")
-        self.stack: list[Node] = []
-        self.formatting: list[Node | None] = []  # None marks the border of a table cell
+    def __init__(self, insides):
+        self.root, self.stack, self.formatting = Node("#document"), [], []  # None in the last marks a cell's border
         self.head = self.body = None
-        self.after_body, self.skip_newline, self.quirks = False, False, True
+        self.after_body, self.skip_newline, self.quirks, self.insides = False, False, True, insides
 
-    def in_scope(self, tags, edge=SCOPE_EDGE):
-        for node in reversed(self.stack):
-            if node.tag in tags:
-                return True
-            if node.tag in edge:
-                return False
-        return False
+    def in_scope(self, tags, edge=rules.SCOPE_EDGE):
+        return next((n.tag in tags for n in reversed(self.stack) if n.tag in tags or n.tag in edge), False)
 
     def pop_until(self, tags, inclusive=True):
         while inclusive or self.stack[-1].tag not in tags:
             tag = self.stack.pop().tag
-            if tag in CELLS:
-                while self.formatting and self.formatting.pop() is not None:
-                    pass
+            while tag in rules.CELLS and self.formatting and self.formatting.pop() is not None:
+                pass
             if tag in tags:
                 return
 
     def close_p(self):
-        if self.in_scope({"p"}, BUTTON_EDGE):
+        if self.in_scope({"p"}, rules.BUTTON_EDGE):
             self.pop_until({"p"})
 
     def place(self, node, foster=True):
         """Append to the current node; content loose in a table goes in front of the table instead."""
-        target = self.stack[-1]
-        if foster and target.tag in TABLE_SHELL:
-            table = next((n for n in reversed(self.stack) if n.tag == "table"), None)
-            if table is not None and table.parent is not None:
-                at = table.parent.place_of(table)
-                if node.tag == "#text" and at and table.parent.children[at - 1].tag == "#text":
-                    table.parent.children[at - 1].data += node.data
-                else:
-                    table.parent.add(node, table)
-                return
-        siblings = target.children
-        if node.tag == "#text" and siblings and siblings[-1].tag == "#text":
-            siblings[-1].data += node.data
+        target, at, table = self.stack[-1], None, None
+        if foster and target.tag in rules.TABLE_SHELL:
+            table = next((n for n in reversed(self.stack) if n.tag == "table" and n.parent is not None), None)
+        if table is not None:
+            target, at = table.parent, table.parent.place_of(table)
+        last = target.children[at - 1 if at is not None else -1] if at or (at is None and target.children) else None
+        if node.tag == "#text" and last is not None and last.tag == "#text":
+            last.token += node.token
+        elif table is not None:
+            target.add(node, table)
         else:
             node.parent = target
-            siblings.append(node)
+            target.children.append(node)
 
-    def open(self, tag, attrs=NO_ATTRIBUTES, implied=False, foster=True):
-        node = Node(tag, attrs, implied=implied)
+    def open(self, tag, token=-1, implied=False, foster=True):
+        node = Node(tag, token, implied)
         if self.stack:
             self.place(node, foster)
         else:
             self.root.add(node)
-        if tag not in VOID:
+        if tag not in rules.VOID:
             self.stack.append(node)
         return node
 
-    # --- document skeleton ---------------------------------------------------------------------
-    def skeleton(self, upto, attrs=NO_ATTRIBUTES, implied=True):
+    def skeleton(self, upto, token=-1, implied=True):
         """Make sure that html, head and body exist as far as ``upto``."""
         if not self.stack:
-            self.open("html", attrs if upto == "html" else NO_ATTRIBUTES, implied or upto != "html")
+            self.open("html", token if upto == "html" else -1, implied or upto != "html")
         if upto != "html" and self.head is None:
-            self.head = self.open("head", attrs if upto == "head" else NO_ATTRIBUTES, implied or upto != "head")
+            self.head = self.open("head", token if upto == "head" else -1, implied or upto != "head")
         if upto == "body" and self.body is None:
             del self.stack[1:]
-            self.body = self.open("body", attrs, implied)
+            self.body = self.open("body", token, implied)
 
     # --- formatting elements -------------------------------------------------------------------
     def reopen_formatting(self):
         entries, at = self.formatting, len(self.formatting)
-        if not at or entries[-1] is None or entries[-1] is self.stack[-1] or entries[-1] in self.stack:
+        if at and entries[-1] is self.stack[-1]:
             return
         while at and entries[at - 1] is not None and entries[at - 1] not in self.stack:
             at -= 1
         for i in range(at, len(entries)):
-            entries[i] = self.open(entries[i].tag, entries[i].attrs, implied=True)
+            entries[i] = self.open(entries[i].tag, entries[i].token, implied=True)
 
     def open_entries(self, tag):
         """Remembered formatting of a tag since the last cell border, latest first."""
@@ -214,63 +132,56 @@ class TreeBuilder:
                 yield entry
 
     def remember(self, node):
-        twins = [e for e in self.open_entries(node.tag) if e.attrs == node.attrs]
+        own = self.insides[node.token]
+        same = lambda e: self.insides[e.token] == own or attributes(self.insides[e.token]) == attributes(own)
+        twins = [e for e in self.open_entries(node.tag) if same(e)]
         if len(twins) >= 3:
             self.formatting.remove(twins[-1])
         self.formatting.append(node)
 
     def close_formatting(self, tag):
         """End tag of a formatting element, also where a block was opened in between."""
-        if self.formatting and self.formatting[-1] is self.stack[-1] and self.stack[-1].tag == tag:
-            self.formatting.pop()
-            self.stack.pop()
-            return
         for _ in range(8):
             entry = next(self.open_entries(tag), None)
             if entry is None:
-                self.close_inline(tag)
-                return
+                return self.close_inline(tag)
             if entry not in self.stack:
-                self.formatting.remove(entry)
-                return
+                return self.formatting.remove(entry)
             at = self.stack.index(entry)
             above = [node.tag for node in self.stack[at + 1 :]]
-            if any(t in SCOPE_EDGE for t in above):
-                return
-            block = next((i for i, t in enumerate(above, at + 1) if t in SPECIAL), None)
+            if any(t in rules.SCOPE_EDGE for t in above):
+                return None
+            block = next((i for i, t in enumerate(above, at + 1) if t in rules.SPECIAL), None)
             if block is None:
                 del self.stack[at:]
-                self.formatting.remove(entry)
-                return
+                return self.formatting.remove(entry)
             self.split_around(entry, at, block)
 
     def split_around(self, entry, at, block_at):
         """Move the block out of the formatting element and give its content a copy of it."""
-        block, holder = self.stack[block_at], self.stack[at - 1]
-        last, mark = block, self.formatting.index(entry)
+        block, holder, formatting = self.stack[block_at], self.stack[at - 1], self.formatting
+        last, mark = block, formatting.index(entry)
         for depth, node in enumerate(reversed(self.stack[at + 1 : block_at]), 1):
-            if node in self.formatting and depth > 3:
-                mark -= self.formatting.index(node) < mark
-                self.formatting.remove(node)
-            if node not in self.formatting:
+            if node in formatting and depth > 3:
+                mark -= formatting.index(node) < mark
+                formatting.remove(node)
+            if node not in formatting:
                 self.stack.remove(node)
                 continue
-            copy, place = Node(node.tag, node.attrs, implied=True), self.formatting.index(node)
-            if last is block:
-                mark = place + 1
-            self.formatting[place] = self.stack[self.stack.index(node)] = copy
+            copy, place = Node(node.tag, node.token, True), formatting.index(node)
+            mark = place + 1 if last is block else mark
+            formatting[place] = self.stack[self.stack.index(node)] = copy
             copy.add(last)
             last = copy
-        table = holder.tag in TABLE_SHELL and next((n for n in reversed(self.stack[:at]) if n.tag == "table"), None)
-        if table and table.parent:
-            table.parent.add(last, table)
-        else:
-            holder.add(last)
-        copy, place = Node(entry.tag, entry.attrs, implied=True), self.formatting.index(entry)
-        copy.take_children(block)
+        table = holder.tag in rules.TABLE_SHELL and next((n for n in reversed(self.stack[:at]) if n.tag == "table"), None)
+        (table.parent if table and table.parent else holder).add(last, table if table and table.parent else None)
+        copy, place = Node(entry.tag, entry.token, True), formatting.index(entry)
+        copy.children, block.children = block.children, []
+        for child in copy.children:
+            child.parent = copy
         block.add(copy)
-        self.formatting.remove(entry)
-        self.formatting.insert(mark - (place < mark), copy)
+        formatting.remove(entry)
+        formatting.insert(mark - (place < mark), copy)
         self.stack.remove(entry)
         self.stack.insert(self.stack.index(block) + 1, copy)
 
@@ -278,69 +189,60 @@ class TreeBuilder:
         for node in reversed(self.stack):
             if node.tag == tag:
                 del self.stack[self.stack.index(node) :]
-            if node.tag == tag or node.tag in SPECIAL:
+            if node.tag == tag or node.tag in rules.SPECIAL:
                 return
 
     # --- tokens --------------------------------------------------------------------------------
-    def text(self, data):
-        if self.skip_newline and data.startswith("\n"):
-            data = data[1:]
+    def text(self, blank, word):
+        """White space, or a text behind white space; each is a list of one token or none."""
         self.skip_newline = False
-        bare = data.lstrip("\t\n\f\r ")
-        self.after_body = self.after_body and not bare
-        if self.body is None and bare:
-            if self.head is not None and len(bare) < len(data):
-                self.place(Node("#text", data=data[: len(data) - len(bare)]))
+        self.after_body = self.after_body and not word
+        if self.body is None and word:
+            if self.head is not None and blank:
+                self.place(Node("#text", blank))
             self.skeleton("body")
-            data = bare
+            blank = []
         if self.body is None and self.head is None:
             return
-        if self.body is not None and (bare or self.stack[-1].tag not in TABLE_SHELL):
+        if self.body is not None and (word or self.stack[-1].tag not in rules.TABLE_SHELL):
             self.reopen_formatting()
-        if data:
-            self.place(Node("#text", data=data), foster=bool(bare))
+        if blank or word:
+            self.place(Node("#text", blank + word), foster=bool(word))
 
-    def comment(self, data):
-        node = Node("#comment", data=data)
-        if not self.stack:
-            self.root.add(node)
-        elif self.after_body:
-            self.stack[0].add(node)
+    def comment(self, token):
+        if not self.stack or self.after_body:
+            (self.stack[0] if self.stack else self.root).add(Node("#comment", token))
         else:
-            self.place(node, foster=False)
+            self.place(Node("#comment", token), foster=False)
 
-    def start(self, tag, attrs):
+    def start(self, tag, token):
         self.skip_newline = self.after_body = False
         if tag in ("html", "head", "body"):
-            self.skeleton(tag, attrs, implied=False)
-            return
-        if self.body is None and tag in HEAD_ONLY:
+            return self.skeleton(tag, token, implied=False)
+        if self.body is None and tag in rules.HEAD_ONLY:
             self.skeleton("head")
             if self.stack[-1] is self.head:
-                self.open(tag, attrs)
-            else:  # after </head>: still part of the head
-                self.head.add(late := Node(tag, attrs))
-                self.stack += [] if tag in VOID else [late]
-            return
+                return self.open(tag, token)
+            self.head.add(late := Node(tag, token))  # after </head>: still part of the head
+            self.stack += [] if tag in rules.VOID else [late]
+            return None
         if self.body is None:
             self.skeleton("body")
-        if tag in TABLE_HOLDERS:
-            if self.in_scope({"table"}, {"html", "template"}):
-                self.start_table_part(tag, attrs)
-            return
-        if tag in CLOSES_P:
-            if tag in LIST_ITEMS:
-                self.close_item(LIST_ITEMS[tag])
+        if tag in rules.TABLE_HOLDERS:
+            return self.start_table_part(tag, token) if self.in_scope({"table"}, {"html", "template"}) else None
+        if tag in rules.CLOSES_P:
+            if tag in rules.LIST_ITEMS:
+                self.close_item(rules.LIST_ITEMS[tag])
             self.close_p()
-            if tag in HEADINGS and self.stack[-1].tag in HEADINGS:
+            if tag in rules.HEADINGS and self.stack[-1].tag in rules.HEADINGS:
                 self.stack.pop()
             self.skip_newline = tag in ("pre", "listing")
         elif tag == "table":
-            if self.stack[-1].tag in TABLE_SHELL:
+            if self.stack[-1].tag in rules.TABLE_SHELL:
                 self.pop_until({"table"})
             if not self.quirks:
                 self.close_p()
-        elif tag not in HEAD_ONLY:
+        elif tag not in rules.HEAD_ONLY:
             if tag == "option" and self.stack[-1].tag == "option":
                 self.stack.pop()
             if tag == "a" and (entry := next(self.open_entries("a"), None)) is not None:
@@ -350,29 +252,29 @@ class TreeBuilder:
                         where.remove(entry)
             self.reopen_formatting()
             self.skip_newline = tag == "textarea"
-        node = self.open(tag, attrs)
-        if tag in FORMATTING:
+        node = self.open(tag, token)
+        if tag in rules.FORMATTING:
             self.remember(node)
+        return None
 
-    def start_table_part(self, tag, attrs):
-        self.pop_until(TABLE_HOLDERS[tag], inclusive=False)
+    def start_table_part(self, tag, token):
+        self.pop_until(rules.TABLE_HOLDERS[tag], inclusive=False)
         if tag in ("td", "th", "tr") and self.stack[-1].tag == "table":
             self.open("tbody", implied=True, foster=False)
-        if tag in ("td", "th") and self.stack[-1].tag in SECTIONS:
+        if tag in ("td", "th") and self.stack[-1].tag in rules.SECTIONS:
             self.open("tr", implied=True, foster=False)
         if tag == "col" and self.stack[-1].tag == "table":
             self.open("colgroup", implied=True, foster=False)
-        self.open(tag, attrs, foster=False)
-        if tag in CELLS:
+        self.open(tag, token, foster=False)
+        if tag in rules.CELLS:
             self.formatting.append(None)
 
     def close_item(self, tags):
         for node in reversed(self.stack):
             if node.tag in tags:
-                self.pop_until({node.tag})
-                return
-            if node.tag in SPECIAL and node.tag not in ("address", "div", "p"):
-                return
+                return self.pop_until({node.tag})
+            if node.tag in rules.SPECIAL and node.tag not in ("address", "div", "p"):
+                return None
 
     def end(self, tag):
         self.skip_newline = False
@@ -384,126 +286,70 @@ class TreeBuilder:
             self.after_body = True
         elif self.body is None and tag not in ("br", "p"):
             pass
-        elif tag in TABLE_HOLDERS or tag == "table":
-            if self.in_scope({tag}, TABLE_EDGE):
+        elif tag in rules.TABLE_HOLDERS or tag == "table":
+            if self.in_scope({tag}, rules.TABLE_EDGE):
                 self.pop_until({tag})
-        elif tag in FORMATTING:
+        elif tag in rules.FORMATTING:
             self.close_formatting(tag)
         elif tag in ("br", "p"):
             self.skeleton("body")
-            if tag == "br" or not self.in_scope({"p"}, BUTTON_EDGE):
+            if tag == "br" or not self.in_scope({"p"}, rules.BUTTON_EDGE):
                 self.open(tag, implied=True)
             if tag == "p":
                 self.pop_until({"p"})
-        elif tag in CLOSES_P:
-            names = HEADINGS if tag in HEADINGS else {tag}
-            if self.in_scope(names, LIST_EDGE if tag == "li" else SCOPE_EDGE):
+        elif tag in rules.CLOSES_P:
+            names = rules.HEADINGS if tag in rules.HEADINGS else {tag}
+            if self.in_scope(names, rules.LIST_EDGE if tag == "li" else rules.SCOPE_EDGE):
                 self.pop_until(names)
         else:
             self.close_inline(tag)
 
 
-def build_tree(markup: str) -> Node:
-    markup = markup.replace("\r\n", "\n").replace("\r", "\n").replace("\0", "")
-    builder, at, size = TreeBuilder(), 0, len(markup)
-    while at < size:
-        m = MARKUP.search(markup, at)
-        cut = m.start() if m else size
-        if cut > at:
-            data = markup[at:cut]
-            builder.text(unescape(data) if "&" in data else data)
-        if m is None:
-            break
-        at = m.end()
-        slash, tag, attrs, close = m.group("slash", "tag", "attrs", "close")
-        if tag is None:
-            if m["doctype"] is not None:
-                builder.quirks = bool(LEGACY_DOCTYPE.search(m["doctype"].strip()))
-            elif m[0] != "</>":
-                builder.comment(m["comment"] or m["bogus"] or "")
-            continue
-        if not close:  # the document ends inside a tag: the tag is dropped
-            break
-        tag = tag.lower()
-        if slash:
-            builder.end(tag)
+def operation(mark: str) -> tuple[str, str]:
+    """What a mark asks for, and of which element."""
+    name = mark.lstrip("</").lower()
+    if not mark:
+        return "text", ""
+    if mark[0] != "<":
+        return ("break" if unescape(mark) == "\n" else "blank"), ""
+    if mark[1].isalpha():
+        return ("raw" if name in RAW else "start"), name
+    if mark[:2] == "</":
+        return ("end" if name[:1].isalpha() else "nothing" if mark == "</>" else "comment"), name
+    return ("doctype", mark[9:].strip()) if mark[:9].lower() == "<!doctype" else ("comment", "")
+
+
+def nest(operations: list[tuple[str, str]], texts: list[str], insides: list[str]) -> Node:
+    """The document node.  A text node's tokens are twice their number, plus one where a first line break is dropped."""
+    build, blank = Nesting(insides), []
+    for token, (kind, tag) in enumerate(operations):
+        if kind == "text":
+            if texts[token]:
+                build.text(blank, [2 * token])
+                blank = []
             continue
-        builder.start(tag, _attributes(attrs) if attrs else NO_ATTRIBUTES)
-        if tag in RAW_TEXT or tag in ESCAPABLE_RAW_TEXT:
-            stop = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(markup, at)
-            cut = stop.start() if stop else size
-            raw = markup[at:cut].removeprefix("\n") if builder.skip_newline else markup[at:cut]
-            if raw:
-                builder.place(Node("#text", data=unescape(raw) if tag in ESCAPABLE_RAW_TEXT else raw))
-            builder.stack.pop()
-            builder.skip_newline = False
-            at = markup.find(">", cut) + 1 or size if stop else size
-    builder.skeleton("body")
-    return builder.root
-
-
-def _escape(text: str) -> str:
-    if "&" in text or "<" in text or ">" in text or "\u00a0" in text:
-        return text.replace("&", "&amp;").replace("\u00a0", "&nbsp;").replace("<", "&lt;").replace(">", "&gt;")
-    return text
-
-
-def _start_tag(node: Node) -> str:
-    if not node.attrs:
-        return f"<{node.tag}>"
-    attrs = [
-        f'{name}="{value.replace("&", "&amp;").replace("\u00a0", "&nbsp;").replace(chr(34), "&quot;")}"'
-        for name, value in node.attrs.items()
-    ]
-    return f"<{node.tag} {' '.join(attrs)}>"
-
-
-def _size(text: str) -> int:
-    return len(text) if text.isascii() else len(text.encode("utf-8", "replace"))
-
-
-def flatten(root: Node) -> tuple[bytes, bytes, list[list]]:
-    """Preorder rows plus the document's text and canonical markup, both as UTF-8 bytes.
-
-    Each row is ``[node_id, parent_id, parent_tag, depth, sib_pos, last_desc, kind, tag, attr_id,
-    attr_class, has_href, text_start, text_len, html_start, html_len, implied]``; a node's own text
-    and markup are the byte ranges it names, so nested text is stored once however deep the tree is.
-    """
-    text, html, rows = [], [], []
-    text_at = html_at = 0
-    open_elements = [(enumerate(root.children), -1, None)]
-    while open_elements:
-        children, parent_id, parent_tag = open_elements[-1]
-        for pos, node in children:
-            node_id, tag = len(rows), node.tag
-            row = [node_id, parent_id, parent_tag, len(open_elements) - 1, pos, node_id, "element", tag, None, None,
-                   False, text_at, 0, html_at, 0, node.implied]
-            rows.append(row)
-            if tag == "#text":
-                row[6], row[7], row[12] = "text", None, _size(node.data)
-                text.append(node.data)
-                text_at += row[12]
-                piece = node.data if parent_tag in UNESCAPED_OUTPUT else _escape(node.data)
-            elif tag == "#comment":
-                row[6], row[7] = "comment", None
-                piece = f"<!--{node.data}-->"
-            else:
-                piece = _start_tag(node)
-                if node.attrs:
-                    row[8], row[9], row[10] = node.attrs.get("id"), node.attrs.get("class"), "href" in node.attrs
-                if tag not in VOID:
-                    html.append(piece)
-                    html_at += _size(piece)
-                    open_elements.append((enumerate(node.children), node_id, tag))
-                    break
-            html.append(piece)
-            row[14] = _size(piece)
-            html_at += row[14]
-        else:
-            open_elements.pop()
-            if parent_id >= 0:
-                html.append(f"</{parent_tag}>")
-                html_at += _size(html[-1])
-                row = rows[parent_id]
-                row[5], row[12], row[14] = len(rows) - 1, text_at - row[11], html_at - row[13]
-    return "".join(text).encode("utf-8", "replace"), "".join(html).encode("utf-8", "replace"), rows
+        if blank:
+            build.text(blank, [])
+            blank = []
+        if kind == "start":
+            build.start(tag, token)
+        elif kind == "end":
+            build.end(tag)
+        elif kind in ("blank", "break"):
+            dropped = build.skip_newline and kind == "break"
+            blank = [2 * token + dropped] if len(texts[token]) > dropped else []
+            build.skip_newline = build.skip_newline and not dropped
+        elif kind == "raw":  # an element and its whole content
+            build.start(tag, token)
+            if texts[token]:
+                build.place(Node("#text", [2 * token]))
+            build.stack.pop()
+            build.skip_newline = False
+        elif kind == "comment":
+            build.comment(token)
+        elif kind == "doctype":
+            build.quirks = bool(LEGACY_DOCTYPE.search(tag))
+    if blank:
+        build.text(blank, [])
+    build.skeleton("body")
+    return build.root

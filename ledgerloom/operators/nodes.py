@@ -1,22 +1,29 @@
 """Documents -> HTML nodes.
 
 ``parse_html`` is a narrow step: no shuffle, one output row per document, all other columns carried
-along.  A document's nodes stay together in one array, in preorder, so that the section search is a
-set of array expressions in the same stage instead of self-joins of a node table.  Node texts are byte
-ranges of one ``doc_text`` and node markup byte ranges of one ``doc_html``; nothing is stored per
-nesting level.
+along.  A Spark expression cuts the markup into tokens (``functions.html_tokens``), and one Arrow
+function nests them.
+A document's nodes stay together in one array, in preorder, so that the section search is a set of
+array expressions in the same stage instead of self-joins of a node table.  Node texts are byte ranges
+of one ``doc_text``; node markup is a range of pieces of ``doc_html``, written only where it is asked for.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable
+from html import unescape
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.html_tree import build_tree, flatten
+from ..functions import html_tokens
+from ..functions.html_rules import RAW_TEXT, UNESCAPED_OUTPUT, VOID
+from ..functions.html_tree import Node, attributes, nest, operation
 from ..functions.text import byte_slice
 
 NODE = T.StructType(
@@ -34,18 +41,20 @@ NODE = T.StructType(
         T.StructField("has_href", T.BooleanType()),
         T.StructField("text_start", T.IntegerType()),
         T.StructField("text_len", T.IntegerType()),
-        T.StructField("html_start", T.IntegerType()),
-        T.StructField("html_len", T.IntegerType()),
+        T.StructField("piece_start", T.IntegerType()),
+        T.StructField("piece_count", T.IntegerType()),
         T.StructField("implied", T.BooleanType()),
     ]
 )
-PARSED = [
-    T.StructField("doc_text", T.BinaryType()),
-    T.StructField("doc_html", T.BinaryType()),
-    T.StructField("nodes", T.ArrayType(NODE)),
-]
-# Output is handed back in pieces of about this much markup, so a batch of large filings stays small in memory.
-OUTPUT_BYTES = 4 << 20
+TREE = T.StructType(
+    [
+        T.StructField("text", T.BinaryType()),
+        T.StructField("nodes", T.ArrayType(NODE)),
+        T.StructField("pieces", T.ArrayType(T.IntegerType())),
+        T.StructField("names", T.ArrayType(T.StringType())),
+    ]
+)
+PARSED = ["doc_text", "doc_html", "nodes"]
 
 # Tags that may carry a section header.
 HEADER_TAGS = ["h1", "h2", "h3", "h4", "h5", "h6", "font", "div", "span", "a"]
@@ -53,64 +62,130 @@ BOLD_TAGS = ["b", "strong"]
 BOLD_PARENTS = ["p", "div"]
 
 
-def _arrow_type(field_type: T.DataType) -> pa.DataType:
-    return {T.IntegerType(): pa.int32(), T.StringType(): pa.string(), T.BooleanType(): pa.bool_()}[field_type]
+ASKED = re.compile(r"(?i)(?:^|[\s/\"'])(?:id|class|href)(?=[\s/=]|$)")
+NO_ATTRIBUTES: dict[str, str] = {}
 
 
-ARROW_NODE = [pa.field(f.name, _arrow_type(f.dataType)) for f in NODE.fields]
+def _preorder(root: Node, insides: list[str], rows: list[list], texts: list[int], pieces: list[int], names: dict[str, int]) -> None:
+    """Append a document's nodes, the order of its texts, and the order of the pieces of its markup.
 
-
-def _parsed_columns(documents: list[str | None]) -> list[pa.Array]:
-    texts, htmls, rows, offsets = [], [], [], [0]
-    for markup in documents:
-        if markup is None:
-            text = html = None
+    A piece is a token's number times four for its tag or comment; for its text as it is one more, escaped two, and
+    escaped without its first line break three.  A tag that no token wrote is ``-1 - 2 * name``, an end tag one less.
+    """
+    open_elements = [(enumerate(root.children), -1, -1, False)]
+    base, text_base, piece_base = len(rows), len(texts), len(pieces)
+    while open_elements:
+        children, parent_id, parent_name, plain = open_elements[-1]
+        for pos, node in children:
+            tag, node_id = node.tag, len(rows) - base
+            name = names.setdefault(tag, len(names))
+            row = [node_id, parent_id, parent_name, len(open_elements) - 1, pos, node_id, name, NO_ATTRIBUTES,
+                   len(texts) - text_base, 0, len(pieces) - piece_base, 1, node.implied]
+            rows.append(row)
+            if tag == "#text":
+                texts += node.token
+                row[9] = row[11] = len(node.token)
+                pieces += [4 * (t >> 1) + (1 if plain else 2 + (t & 1)) for t in node.token]
+            elif tag == "#comment":
+                pieces.append(4 * node.token)
+            else:
+                if node.token >= 0 and insides[node.token] and ASKED.search(insides[node.token]):
+                    row[7] = attributes(insides[node.token])
+                pieces.append(4 * node.token if node.token >= 0 else -1 - 2 * name)
+                if tag not in VOID:
+                    open_elements.append((enumerate(node.children), node_id, name, tag in UNESCAPED_OUTPUT))
+                    break
         else:
-            text, html, found = flatten(build_tree(markup))
-            rows.extend(found)
-        texts.append(text)
-        htmls.append(html)
-        offsets.append(len(rows))
-    columns = list(zip(*rows)) or [()] * len(ARROW_NODE)
-    nodes = pa.StructArray.from_arrays(
-        [pa.array(c, f.type) for c, f in zip(columns, ARROW_NODE)], fields=ARROW_NODE
-    )
-    return [
-        pa.array(texts, pa.binary()),
-        pa.array(htmls, pa.binary()),
-        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nodes),
-    ]
+            open_elements.pop()
+            if parent_id >= 0:
+                pieces.append(-2 - 2 * parent_name)
+                row = rows[base + parent_id]
+                row[5], row[9] = len(rows) - base - 1, len(texts) - text_base - row[8]
+                row[11] = len(pieces) - piece_base - row[10]
+
+
+def _document(fields: str, rows: list[list], pieces: list[int], names: dict[str, int], known: dict[str, tuple[str, str]]) -> bytes:
+    """Nest one document, append its nodes and pieces, and return its text.  Places of texts become bytes."""
+    parts = fields.split("\0")
+    marks, texts, insides = parts[:-1:3], parts[1::3], parts[2::3]
+    for mark in set(marks).difference(known):
+        known[mark] = operation(mark)
+    operations = [known[m] for m in marks]
+    for i, read in enumerate(texts):
+        if "&" in read and operations[i][1] not in RAW_TEXT:
+            texts[i] = unescape(read)
+            if not marks[i] and not texts[i].strip("\t\n\f\r "):  # references to nothing but white space
+                operations[i] = operation(texts[i][:1])
+        if read[:1] == "\n" and operations[i][1] == "textarea":
+            texts[i] = texts[i][1:]
+    order: list[int] = []
+    first = len(rows)
+    _preorder(nest(operations, texts, insides), insides, rows, order, pieces, names)
+    written = [texts[t >> 1][t & 1 :].encode("utf-8", "replace") for t in order]
+    at = np.concatenate([[0], np.cumsum([len(w) for w in written], dtype=np.int64)]).tolist()
+    for row in rows[first:]:
+        row[9] = at[row[8] + row[9]] - at[row[8]]
+        row[8] = at[row[8]]
+    return b"".join(written)
+
+
+@F.arrow_udf(TREE)
+def nested(fields: pa.Array) -> pa.Array:
+    """The tree of each document's tokens, its text, and the order of the pieces of its markup."""
+    texts, rows, pieces, names = [], [], [], []
+    limits: list[list[int]] = [[0], [0], [0]]
+    known: dict[str, tuple[str, str]] = {}
+    for document in fields.to_pylist():
+        own: dict[str, int] = {}
+        texts.append(None if document is None else _document(document, rows, pieces, own, known))
+        names += own
+        for limit, values in zip(limits, (rows, pieces, names)):
+            limit.append(len(values))
+    columns = list(zip(*rows)) or [()] * 13
+    node_id, parent_id, parent_name, depth, sib_pos, last_desc, name, found, text_start, text_len, piece_start, piece_count, implied = columns
+    every_name, before = pa.array(names, pa.string()), np.repeat(limits[2][:-1], np.diff(limits[0]))
+
+    def named(codes: tuple) -> pa.Array:
+        at = np.array(codes, np.int64)
+        return every_name.take(pa.array(at + before, mask=at < 0))
+
+    def ints(values: tuple) -> pa.Array:
+        return pa.array(values, pa.int32())
+
+    tags = named(name)
+    loose = pc.starts_with(tags, "#")
+    values = [
+        ints(node_id), ints(parent_id), named(parent_name), ints(depth), ints(sib_pos), ints(last_desc),
+        pc.if_else(loose, pc.utf8_ltrim(tags, "#"), "element"), pc.if_else(loose, pa.scalar(None, pa.string()), tags),
+        pa.array([a.get("id") for a in found], pa.string()), pa.array([a.get("class") for a in found], pa.string()),
+        pa.array(["href" in a for a in found], pa.bool_()), ints(text_start), ints(text_len), ints(piece_start),
+        ints(piece_count), pa.array(implied, pa.bool_()),
+    ]
+    trees = [pa.StructArray.from_arrays(values, names=NODE.names), ints(pieces), every_name]
+    lists = [pa.ListArray.from_arrays(pa.array(limit, pa.int32()), values) for values, limit in zip(trees, limits)]
+    return pa.StructArray.from_arrays([pa.array(texts, pa.binary()), *lists], names=TREE.names)
 
 
 def parse_html(documents: DataFrame, html: str = "html") -> DataFrame:
-    """Replace the markup column by ``doc_text``, ``doc_html`` and ``nodes``.
+    """Replace the markup column by ``doc_text``, ``doc_html`` and ``nodes``; every other column stays as it is.
 
-    Pass only the key columns that are needed later: every other column travels through Python too.
     A null document yields no nodes.
     """
-    kept = [f for f in documents.schema.fields if f.name != html]
-    columns = [f.name for f in kept]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            markup = batch.column(html).to_pylist()
-            start, held = 0, 0
-            for at, document in enumerate(markup, 1):
-                held += len(document or "")
-                if held >= OUTPUT_BYTES or at == len(markup):
-                    part = batch.slice(start, at - start)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(c) for c in columns] + _parsed_columns(markup[start:at]),
-                        names=columns + [f.name for f in PARSED],
-                    )
-                    start, held = at, 0
-
-    return documents.select(*columns, html).mapInArrow(run, T.StructType(kept + PARSED))
+    kept = [c for c in documents.columns if c != html]
+    markup = documents.select(*kept, html_tokens.plain(F.col(html)).alias("_markup"))
+    # declared not deterministic, so that the optimizer never copies it to where its columns are read
+    tree = markup.withColumn("_tree", nested.asNondeterministic()(html_tokens.fields(F.col("_markup"))))
+    return tree.select(
+        *kept,
+        F.col("_tree.text").alias("doc_text"),
+        F.struct(F.col("_markup").alias("markup"), "_tree.pieces", "_tree.names").alias("doc_html"),
+        F.col("_tree.nodes").alias("nodes"),
+    )
 
 
 def html_nodes(parsed: DataFrame) -> DataFrame:
     """Node table: one row per node, with the columns of ``NODE``."""
-    keys = [c for c in parsed.columns if c not in {f.name for f in PARSED}]
+    keys = [c for c in parsed.columns if c not in PARSED]
     return parsed.select(*keys, F.inline("nodes"))
 
 
@@ -135,9 +210,24 @@ def node_text(doc_text: Column, node: Column) -> Column:
     return byte_slice(doc_text, node["text_start"], node["text_len"])
 
 
-def node_html(doc_html: Column, node: Column) -> Column:
-    """Canonical markup of an element."""
-    return byte_slice(doc_html, node["html_start"], node["html_len"])
+def markup_tokens(doc_html: Column) -> Column:
+    """The tokens that ``node_html`` spells out."""
+    return html_tokens.tokens(doc_html["markup"])
+
+
+def node_html(doc_html: Column, tokens: Column, node: Column) -> Column:
+    """Canonical markup of an element; ``tokens`` are those of ``doc_html``."""
+
+    def written(piece: Column, names: Column) -> Column:
+        name = F.get(doc_html["names"], F.shiftright(-1 - piece, 1))
+        tag = F.concat(F.when(piece.bitwiseAND(1) == 1, "<").otherwise("</"), name, F.lit(">"))
+        token, kind = F.get(tokens, F.shiftright(piece, 2)), piece.bitwiseAND(3)
+        text = html_tokens.escaped_text(token, names)
+        loose = F.when(kind == 1, html_tokens.text(token, names)).when(kind == 2, text).otherwise(F.substring(text, F.lit(2), F.length(text)))
+        return F.when(piece < 0, tag).when(kind == 0, html_tokens.written(token, names)).otherwise(loose)
+
+    own = F.slice(doc_html["pieces"], node["piece_start"] + 1, node["piece_count"])
+    return html_tokens.with_names(lambda names: F.array_join(F.transform(own, lambda piece: written(piece, names)), ""))
 
 
 def header_candidates(parsed: DataFrame) -> DataFrame:

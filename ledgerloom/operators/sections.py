@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import byte_length, byte_slice
 from .boundaries import ITEM_8, SectionRule, is_sibling, section_boundaries
-from .nodes import bound, node_html, parse_html
+from .nodes import bound, markup_tokens, node_html, parse_html
 
 
 def slice_section(bounded: DataFrame) -> DataFrame:
@@ -22,13 +22,14 @@ def slice_section(bounded: DataFrame) -> DataFrame:
         "following", lambda n: is_sibling(n) & (n["node_id"] < stop) & (n["kind"] != "comment")
     )
 
-    def write(n: Column, text: Column, html: Column) -> Column:
-        return F.when(n["kind"] == "element", node_html(html, n)).otherwise(
+    def write(n: Column, text: Column, tokens: Column) -> Column:
+        return F.when(n["kind"] == "element", node_html(F.col("doc_html"), tokens, n)).otherwise(
             byte_slice(text, n["text_start"], n["text_len"])
         )
 
     texts = bound(
-        "doc_text", lambda text: bound("doc_html", lambda html: F.transform(pieces, lambda n: write(n, text, html)))
+        "doc_text",
+        lambda text: bound(markup_tokens(F.col("doc_html")), lambda tokens: F.transform(pieces, lambda n: write(n, text, tokens))),
     )
     return bounded.withColumn("content_html", F.when(end.isNotNull(), F.array_join(texts, "")))
 
