@@ -61,9 +61,17 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Fixed value: how a byte-level vocabulary cuts a text before it merges bytes.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 @dataclass
 class Tokenizers:
-    """Both vocabularies as bytes, so that they travel to the executors; the libraries' objects are made there."""
+    """Both vocabularies as bytes, so that they travel to the executors; the libraries' objects are made there.
+
+    A plain byte-level file whose merges stand in the order of their ids is encoded by ranks, which gives the same ids in
+    a fraction of the time; any other by the library that the file is made for.
+    """
 
     file_a: bytes
     file_b: bytes
@@ -75,14 +83,37 @@ class Tokenizers:
         self.file_a, self.file_b = state
 
     @cached_property
-    def a(self):
+    def _vocabulary(self) -> tuple[dict[str, int], dict[str, int], bool]:
+        """Entries, added entries, and whether ranks give the same ids."""
+        file = json.loads(self.file_a)
+        model, cut = file["model"], file["pre_tokenizer"] or {}
+        merges = ("".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"])
+        by_rank = (
+            file["normalizer"] is None
+            and (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex", True)) == ("ByteLevel", False, True)
+            and not any(model.get(k) for k in ("dropout", "ignore_merges", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix"))
+            and all(model["vocab"].get(entry) == 256 + i for i, entry in enumerate(merges))
+        )
+        return model["vocab"], {x["content"]: x["id"] for x in file["added_tokens"]}, by_rank
+
+    @cached_property
+    def encode_a(self):
+        """A function from a text to its ids."""
+        entries, added, by_rank = self._vocabulary
+        if by_rank:
+            import tiktoken
+
+            letters = _byte_letters()
+            ranks = {bytes(letters[c] for c in e): i for e, i in entries.items() if e not in added}
+            made = tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+            return lambda text: made.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
         from tokenizers import Tokenizer
 
-        made = Tokenizer.from_str(self.file_a.decode())
-        made.encode_special_tokens = True
-        made.no_truncation()
-        made.no_padding()
-        return made
+        library = Tokenizer.from_str(self.file_a.decode())
+        library.encode_special_tokens = True
+        library.no_truncation()
+        library.no_padding()
+        return lambda text: np.array(library.encode(text, add_special_tokens=False).ids, np.int64)
 
     @cached_property
     def b(self):
@@ -92,11 +123,13 @@ class Tokenizers:
 
     @cached_property
     def bytes_a(self) -> list[bytes]:
-        letters, held = _byte_letters(), self.a.get_vocab(with_added_tokens=True)
-        added = {x["content"] for x in json.loads(self.file_a)["added_tokens"]}
-        out = [b""] * (max(held.values()) + 1)
-        for entry, i in held.items():
-            out[i] = entry.encode() if entry in added else bytes(letters[c] for c in entry)
+        letters, (entries, added, _) = _byte_letters(), self._vocabulary
+        out = [b""] * (max([*entries.values(), *added.values()]) + 1)
+        for entry, i in entries.items():
+            if entry not in added:
+                out[i] = bytes(letters[c] for c in entry)
+        for entry, i in added.items():
+            out[i] = entry.encode()
         return out
 
     @cached_property
@@ -109,6 +142,11 @@ class Tokenizers:
     def lengths(self) -> tuple[np.ndarray, np.ndarray]:
         return tuple(np.array([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b))
 
+    @cached_property
+    def joined(self) -> tuple[pa.Array, pa.Array]:
+        """Each side's entries as an array, so that the bytes of many tokens are joined at once."""
+        return pa.array(self.bytes_a, pa.large_binary()), pa.array(self.bytes_b, pa.large_binary())
+
     @cached_property
     def decimals(self) -> tuple[pa.Array, int]:
         """``id,`` and ``id|`` of A, then ``id,`` and ``id;`` of B; and how many ids A has."""
@@ -123,17 +161,20 @@ class Tokenizers:
             if text:
                 parts += (own := split_parts(text))
                 owner += [i] * len(own)
-        ids_a = [np.array(e.ids, np.int64) for e in self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
-        ids_b = [np.array(e, np.int64) for e in self.b.encode(parts, num_threads=1)]
+        ids_a = [self.encode_a(" " + p) for p in parts]
+        ids_b = [np.array(self.b.encode(p), np.int64) for p in parts]
+        good = [_spells(ids, self.joined[k], " " + p) for k, side in enumerate((ids_a, ids_b)) for ids, p in zip(side, parts, strict=True)]
+        wrong = {owner[i % len(parts)] for i, fits in enumerate(good) if not fits}
         of = np.searchsorted(owner, np.arange(len(texts) + 1))
-        out_a, out_b, none = [], [], np.zeros(0, np.int64)
-        for i, (at, end) in enumerate(pairwise(of)):
-            own_a, own_b = (np.concatenate(x[at:end]) if end > at else none for x in (ids_a, ids_b))
-            whole = (" " + texts[i]).encode() if texts[i] else b""
-            same = all(b"".join([side[k] for k in ids]) == whole for side, ids in ((self.bytes_a, own_a), (self.bytes_b, own_b)))
-            out_a.append(own_a if same else none)
-            out_b.append(own_b if same else none)
-        return out_a, out_b
+        none = np.zeros(0, np.int64)
+        sides = [[np.concatenate(x[at:end]) if end > at and i not in wrong else none for i, (at, end) in enumerate(pairwise(of))] for x in (ids_a, ids_b)]
+        return sides[0], sides[1]
+
+
+def _spells(ids: np.ndarray, entries: pa.Array, text: str) -> bool:
+    """Do the tokens' bytes, joined, make the text?"""
+    raw = entries.take(pa.array(ids)).buffers()[2] if len(ids) else None
+    return (b"" if raw is None else raw.to_pybytes()) == text.encode()
 
 
 def split_parts(text: str, size: int | None = None) -> list[str]:
@@ -151,10 +192,14 @@ def split_parts(text: str, size: int | None = None) -> list[str]:
     return [*parts, text[start:]]
 
 
-def load(spark: SparkSession, folder: str = FOLDER, file_a: str = FILE_A, file_b: str = FILE_B):
-    """The two tokenizers as a broadcast value: the vocabulary files, whose size does not grow with the data."""
-    held = Tokenizers(Path(folder, file_a).read_bytes(), Path(folder, file_b).read_bytes())
-    return spark.sparkContext.broadcast(held)
+def load(folder: str = FOLDER, file_a: str = FILE_A, file_b: str = FILE_B) -> Tokenizers:
+    """The two tokenizers: files whose size does not grow with the data, so they and what they say may be broadcast."""
+    return Tokenizers(Path(folder, file_a).read_bytes(), Path(folder, file_b).read_bytes())
+
+
+def _lengths(spark: SparkSession, folder: str):
+    """Bytes of every token of both sides, as a broadcast value: all that the steps after the encoding know of them."""
+    return spark.sparkContext.broadcast(load(folder).lengths)
 
 
 def merge_cuts(ends_a: np.ndarray, ends_b: np.ndarray, diagonals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +247,7 @@ def pieces(documents: DataFrame, folder: str = FOLDER, size: int = PIECE) -> Dat
     that end here), ``a_ids, b_ids`` (own tokens and the next one), ``a_at, b_at`` (bytes by which the first begins later
     than the other side's), and ``groups_sha256`` of the whole document on its piece 0.
     """
-    shared = load(documents.sparkSession, folder)
+    shared = documents.sparkSession.sparkContext.broadcast(load(folder))
     schema = PIECES.format(id=f"doc_id {documents.schema['doc_id'].dataType.simpleString()}")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,10 +353,10 @@ def _small(batches: Iterator[pa.RecordBatch], limit: int = 1 << 18) -> Iterator[
 def pair_counts(cut: DataFrame, folder: str = FOLDER) -> DataFrame:
     """``code, n, best``: how many links of all documents hold an A and a B id together, and whether no other A id is
     linked with that B id more often.  Both ids come back with ``code_ids``."""
-    shared = load(cut.sparkSession, folder)
+    shared = _lengths(cut.sparkSession, folder)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, held, sums = shared.value.lengths, 0, []
+        lengths, held, sums = shared.value, 0, []
 
         def summed():
             codes, at = np.unique(np.concatenate([x for x, _ in sums]), return_inverse=True)
@@ -363,13 +408,13 @@ def link_totals(cut: DataFrame, counts: DataFrame, folder: str = FOLDER, head: i
     table = frequent.toArrow().sort_by("code")  # ``head`` rows at most
     spark = cut.sparkSession
     known = spark.sparkContext.broadcast((table["code"].to_numpy(), table["n"].to_numpy(), np.asarray(table["best"].to_numpy(zero_copy_only=False), bool)))
-    shared = load(spark, folder)
+    shared = _lengths(spark, folder)
     schema = "_row bigint, n_links bigint, n_best bigint, count_sum bigint, codes array<bigint>, times array<bigint>"
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts_, best = known.value
         for batch in _small(batches):
-            merged = _merged(batch, shared.value.lengths)
+            merged = _merged(batch, shared.value)
             rows, own, n = merged.rows, merged.codes, batch.num_rows
             at = np.minimum(np.searchsorted(codes, own), max(len(codes) - 1, 0))
             found = codes[at] == own if len(codes) else np.zeros(len(own), bool)
@@ -412,13 +457,13 @@ def groups(cut: DataFrame, folder: str = FOLDER) -> DataFrame:
     A piece emits its groups numbered from its own first one; what stands after its last common end belongs to the next
     piece's first group.  Only such boundary parts are gathered by (row, group).
     """
-    shared = load(cut.sparkSession, folder)
+    shared = _lengths(cut.sparkSession, folder)
     schema = "_row bigint, piece int, part int, whole boolean, n_bytes bigint, a_ids array<int>, b_ids array<int>"
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
-            merged = _merged(batch, shared.value.lengths)
-            lengths = shared.value.lengths
+            lengths = shared.value
+            merged = _merged(batch, lengths)
             own_a, own_b = merged.own_a, merged.own_b
             common = np.intersect1d(merged.ends_a[own_a], merged.ends_b[own_b])
             before = np.searchsorted(common, merged.base)

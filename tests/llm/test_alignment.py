@@ -27,9 +27,13 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def know():
-    from pathlib import Path
+    """Both tokenizers, and the libraries that the files are made for."""
+    from tokenizers import Tokenizer
 
-    return ta.Tokenizers(Path(ta.FOLDER, ta.FILE_A).read_bytes(), Path(ta.FOLDER, ta.FILE_B).read_bytes())
+    made = ta.load()
+    made.a = Tokenizer.from_str(made.file_a.decode())
+    made.a.encode_special_tokens = True
+    return made
 
 
 def spans(ids, entries):
@@ -153,6 +157,25 @@ def test_no_piece_crosses_a_cut(know):
         assert b" " not in entry.lstrip(b" ")
 
 
+def test_ranks_give_the_librarys_ids(know):
+    """Also for every character beside letters, digits, spaces and itself."""
+    assert know._vocabulary[2]
+    every = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c <= 0xDFFF]
+    texts = [f" a{c}b {c} 1{c}2  {c}{c}.{c}'s \n{c} {c}x" for c in every[:0x3000] + every[0x3000::17]]
+    expected = know.a.encode_batch_fast(texts, add_special_tokens=False)
+    assert all(know.encode_a(t).tolist() == e.ids for t, e in zip(texts, expected, strict=True))
+
+
+def test_other_files_are_left_to_their_library(know):
+    import json
+
+    file = json.loads(know.file_a)
+    file["pre_tokenizer"]["add_prefix_space"] = True
+    other = ta.Tokenizers(json.dumps(file).encode(), know.file_b)
+    assert not other._vocabulary[2]
+    assert other.encode_a("word").tolist() == know.encode_a(" word").tolist()
+
+
 def test_merge_cuts():
     rng = np.random.default_rng(1)
     for _ in range(50):
