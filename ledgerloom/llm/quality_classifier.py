@@ -144,7 +144,8 @@ def fit(row: np.ndarray, column: np.ndarray, value: np.ndarray, grades: np.ndarr
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Model | None:
-    """Fit on the bounded sample; its features are made on the executors and gathered, ``SAMPLE`` rows at most."""
+    """Fit on the bounded sample; its features are made on the executors and meet in one task, ``SAMPLE`` rows at most.
+    Only weights come to the driver."""
     graded = labels.select("doc_id", grade().alias("grade")).filter("doc_id is not null and grade is not null")
     chosen = graded.groupBy("doc_id").agg(F.min("grade").alias("grade"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * SAMPLE)
@@ -163,19 +164,34 @@ def train(documents: DataFrame, labels: DataFrame) -> Model | None:
                 names=["_first", "doc_id", "grade", "columns", "values"],
             )
 
+    def fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]  # ``SAMPLE`` rows at most, all in this task
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        sizes = pc.list_value_length(table["columns"]).to_numpy()
+        table = table.slice(0, max(1, int(np.searchsorted(np.cumsum(sizes), SAMPLE_BYTES // 8, side="right"))))
+        sizes = sizes[: table.num_rows]
+        if len(pc.unique(table["grade"])) < 2:
+            return
+        model = fit(
+            np.repeat(np.arange(table.num_rows), sizes),
+            pc.list_flatten(table["columns"]).to_numpy().astype(np.int64),
+            pc.list_flatten(table["values"]).to_numpy().astype(np.float64),
+            table["grade"].to_numpy().astype(np.int64),
+        )
+        used = np.flatnonzero(model.weights)
+        lists = [pa.array([x], pa.list_(t)) for x, t in ((used, pa.int32()), (model.weights[used], pa.float64()), (model.thresholds, pa.float64()))]
+        yield pa.record_batch(lists, names=["used", "weights", "thresholds"])
+
     rows = texts.mapInArrow(sparse, "_first bigint, doc_id bigint, grade int, columns array<int>, values array<float>")
-    table = rows.orderBy("_first", "doc_id").limit(SAMPLE).toArrow()
-    if not table.num_rows or len(set(table["grade"].to_pylist())) < 2:
+    sample = rows.orderBy("_first", "doc_id").limit(SAMPLE)
+    fitted = sample.coalesce(1).mapInArrow(fit_all, "used array<int>, weights array<double>, thresholds array<double>").collect()
+    if not fitted:
         return None
-    sizes = np.cumsum(pc.list_value_length(table["columns"]).to_numpy())
-    table = table.slice(0, max(1, int(np.searchsorted(sizes, SAMPLE_BYTES // 8, side="right"))))
-    sizes = pc.list_value_length(table["columns"]).to_numpy()
-    return fit(
-        np.repeat(np.arange(table.num_rows), sizes),
-        pc.list_flatten(table["columns"]).to_numpy().astype(np.int64),
-        pc.list_flatten(table["values"]).to_numpy().astype(np.float64),
-        table["grade"].to_numpy().astype(np.int64),
-    )
+    weights = np.zeros(1 << BITS)
+    weights[np.array(fitted[0]["used"], np.int64)] = fitted[0]["weights"]
+    return Model(weights, np.array(fitted[0]["thresholds"]))
 
 
 def score(documents: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame:

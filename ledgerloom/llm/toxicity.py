@@ -33,7 +33,7 @@ from .tables import stored
 
 #: Labelled rows used for training, at most, and their weighed features, all together.
 SAMPLE = 20_000
-SAMPLE_FEATURES = 8_000_000
+SAMPLE_FEATURES = 4_000_000
 BITS = 22
 #: Lengths of word beginnings in bytes; families of word forms share them.
 HEADS = (3, 4, 5, 6)
@@ -245,7 +245,7 @@ def chosen_features(sample: DataFrame) -> np.ndarray:
 
 
 def train(documents: DataFrame, labels: DataFrame, terms=IDENTITY_TERMS, swap_weight: float = SWAP_WEIGHT, size: int = SAMPLE) -> Model:
-    """Fit on the bounded sample: executors describe the texts, only weighed features come to the driver."""
+    """Fit on the bounded sample: executors describe the texts, weighed features meet in one task, weights come back."""
     sample = stored(sample_features(documents, labels, terms, size), "toxic_sample")
     kinds = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not (kinds.get(0) and kinds.get(1)):
@@ -264,22 +264,29 @@ def train(documents: DataFrame, labels: DataFrame, terms=IDENTITY_TERMS, swap_we
                 arrays.append(_lists(row[at >= 0], at[at >= 0], batch.num_rows))
             yield pa.record_batch([batch.column("at"), batch.column("toxic"), *arrays, lists.is_valid()], names=["at", "toxic", "columns", "twin", "swapped"])
 
-    rows = sample.mapInArrow(keep, "at bigint, toxic int, columns array<int>, twin array<int>, swapped boolean").orderBy("at")
-    table = rows.toArrow().combine_chunks()  # at most ``size`` ids, weighed features only
-    held = np.cumsum(pc.add(pc.list_value_length(table["columns"]), pc.list_value_length(table["twin"])).to_numpy())
-    table = table.slice(0, max(1, int(np.searchsorted(held, SAMPLE_FEATURES, "right"))))
-    toxic = table["toxic"].to_numpy().astype(np.int64)
-    n, width = table.num_rows, max(len(columns), 1)
-    pairs = [np.repeat(np.arange(n), pc.list_value_length(table[c]).to_numpy()) * width + pc.list_flatten(table[c]).to_numpy() for c in ("columns", "twin")]
-    swapped = table["swapped"].to_numpy(zero_copy_only=False).astype(bool)
-    order = np.cumsum(swapped) - 1
-    mine = pairs[0][swapped[pairs[0] // width]]
-    brought, taken = np.setdiff1d(pairs[1], mine, assume_unique=True), np.setdiff1d(mine, pairs[1], assume_unique=True)
-    twin = np.concatenate([brought, taken])
-    signs = np.concatenate([np.ones(len(brought)), -np.ones(len(taken))])
-    weights, intercept = fit(pairs[0] // width, pairs[0] % width, toxic, order[twin // width], twin % width, signs, int(swapped.sum()), width, swap_weight)
+    def fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()  # the sample's weighed features, all in this task
+        held = np.cumsum(pc.add(pc.list_value_length(table["columns"]), pc.list_value_length(table["twin"])).to_numpy())
+        table = table.slice(0, max(1, int(np.searchsorted(held, SAMPLE_FEATURES, "right"))))
+        n, width = table.num_rows, max(len(columns), 1)
+        own, twin = (
+            np.repeat(np.arange(n), pc.list_value_length(table[c]).to_numpy()) * width + pc.list_flatten(table[c]).to_numpy() for c in ("columns", "twin")
+        )
+        swapped = table["swapped"].to_numpy(zero_copy_only=False).astype(bool)
+        mine = own[swapped[own // width]]
+        brought, taken = np.setdiff1d(twin, mine, assume_unique=True), np.setdiff1d(mine, twin, assume_unique=True)
+        change, signs = np.concatenate([brought, taken]), np.repeat([1.0, -1.0], [len(brought), len(taken)])
+        place = np.cumsum(swapped) - 1
+        toxic = table["toxic"].to_numpy().astype(np.int64)
+        twins = place[change // width], change % width, signs, int(swapped.sum())
+        weights, intercept = fit(own // width, own % width, toxic, *twins, width, swap_weight)
+        yield pa.record_batch([pa.array([weights], pa.list_(pa.float64())), pa.array([intercept])], names=["weights", "intercept"])
+
+    rows = sample.mapInArrow(keep, "at bigint, toxic int, columns array<int>, twin array<int>, swapped boolean")
+    one = rows.repartition(1).sortWithinPartitions("at").mapInArrow(fit_all, "weights array<double>, intercept double").first()
+    weights = np.array(one["weights"])
     used = np.flatnonzero(weights[: len(columns)])
-    return Model(columns[used], weights[used], intercept)
+    return Model(columns[used], weights[used], one["intercept"])
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
