@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from . import tokens
 from .components import components
@@ -248,8 +249,22 @@ def link_classes(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFra
 
 
 def keep_one_per_class(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``documents`` whose id is its class's smallest, one row per id; rows without an id stay."""
-    classes = link_classes(documents, k, percent)
-    keep = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = documents.join(keep, documents["doc_id"].cast("long") == keep["_keep"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(documents.filter("doc_id is null"))
+    """One row of ``documents`` for each class of similar texts, that of the smallest id (null last, then by text hash).
+
+    A row is what its id and text say: rows that share an id and differ in their texts are documents of their own, rows
+    without an id take part, rows that repeat both are one document (of those the one with the least hash of all other
+    columns stays).  Texts without words are similar to nothing, so only their repetitions go.
+    """
+    text = F.col("text").cast("string")
+    key, text_hash = F.xxhash64("doc_id", text), F.xxhash64(F.lit(1), text)
+    named = documents.select(key.alias("key"), text_hash.alias("text_hash"), F.col("doc_id").alias("id"))
+    counted = named.groupBy("key", "text_hash", "id").agg(F.count("*").alias("n"))
+    classes = link_classes(documents.select(key.alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "key", "n")
+    first = counted.join(classes, "key").groupBy("component_id").agg(F.min(rank).alias("first"))
+    first = first.select(*[F.col(f"first.{c}").alias(f"_first_{c}") for c in ("key", "text_hash", "n")])
+    joined = documents.join(first, (key == F.col("_first_key")) & (text_hash == F.col("_first_text_hash")))
+    once = joined.filter("_first_n = 1").select(*documents.columns)
+    others = [c for c in documents.columns if not isinstance(documents.schema[c].dataType, MapType)]
+    again = joined.filter("_first_n > 1").groupBy("_first_key").agg(F.min_by(F.struct(*documents.columns), F.xxhash64(*others)).alias("row"))
+    return once.unionByName(again.select("row.*"))

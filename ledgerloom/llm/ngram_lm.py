@@ -21,12 +21,13 @@ rows are trained on and scored each; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,6 +121,15 @@ def unpacked(width: int, raw: bytes) -> np.ndarray:
     return np.cumsum(steps.reshape(-1).view(np.uint64), dtype=np.uint64)
 
 
+def _block_name(texts: pa.RecordBatch, partition: int, ordinal: int) -> str:
+    """A block's name by its place and by all that it holds."""
+    data, offsets = tokens.flat(texts.column("text"))
+    held = hashlib.blake2b(f"{partition}:{ordinal}:{texts.column('doc_id').to_pylist()}".encode(), digest_size=16)
+    held.update(offsets.tobytes())
+    held.update(data)
+    return held.hexdigest()
+
+
 def _ask(documents: DataFrame, parts: int) -> DataFrame:
     """Requests (a row per block and part that it asks) and, with part null, the blocks' documents."""
     bounds = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
@@ -129,12 +139,15 @@ def _ask(documents: DataFrame, parts: int) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ordinal = 0
         with np.errstate(over="ignore"):
             for texts in _blocks(batches):
                 block = Block(texts.column("text"))
                 trained = ~held_out(texts.column("doc_id").to_pylist())
                 keys, counts, single, _, _ = _requests(block, trained)
-                name = uuid.uuid4().hex
+                # the same block has the same name however often its task runs
+                name = _block_name(texts, TaskContext.get().partitionId(), ordinal)
+                ordinal += 1
                 ends = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
                 some = np.flatnonzero(np.diff(ends))
                 ends = np.concatenate([ends[some], [len(keys)]])

@@ -235,3 +235,38 @@ def test_classifier_without_labels_keeps_all(spark, documents):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality_classifier.classify(documents([(1, "a"), (2, None)]), empty).collect()
     assert [(r.expected_grade, r.kept) for r in got] == [(None, True)] * 2
+
+
+def test_one_of_each_class_stays(spark):
+    """Rows are told apart by id and text; null ids take part."""
+    base = "one two three four five six seven eight nine ten"
+    rows = [
+        (1, base, "a"),
+        (1, "nothing like the other text of this id at all", "b"),
+        (2, base, "c"),
+        (None, base, "d"),
+        (None, "a text that only rows without an id have", "e"),
+        (None, "a text that only rows without an id have", "e"),
+        (None, "yet another text", "f"),
+        (3, None, "g"),
+        (4, None, "h"),
+        (4, None, "i"),
+        (5, "", "j"),
+        (6, "Yet another TEXT", "k"),
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, text string, key string").selectExpr("*", "1 AS n", "map('a', 1) AS held", "2 AS _first")
+    kept = ngram_join.keep_one_per_class(table)
+    assert kept.columns == table.columns
+    got = sorted((str(r.doc_id), str(r.text)) for r in kept.collect())
+    wanted = [(1, base), (1, rows[1][1]), (None, rows[4][1]), (6, rows[11][1]), (3, None), (4, None), (5, "")]
+    assert got == sorted((str(i), str(t)) for i, t in wanted)
+    # of rows that repeat id and text the same one stays, however they are dealt
+    assert len({r.key for n in (1, 3, 7) for r in ngram_join.keep_one_per_class(table.repartition(n)).filter("doc_id = 4").collect()}) == 1
+
+
+def test_block_names_repeat(documents):
+    """A task that runs again names its blocks as before, and equal blocks of different places differ."""
+    rows = [(i % 3, f"some text {i % 3} " * 20) for i in range(60)]
+    table = documents(rows).repartition(4, "doc_id").coalesce(2)
+    names = [sorted(r.block for r in ngram_lm._ask(table, 4).filter("part is null").collect()) for _ in range(2)]
+    assert names[0] == names[1] and len(set(names[0])) == len(names[0])
