@@ -101,15 +101,16 @@ def term_spans(text: str) -> str:
     return f"concat({spans_of(text, TERM)}, flatten({runs}))"
 
 
-def _rows(documents: DataFrame) -> DataFrame:
-    """A row per document: its base spans in order and, where it has any, its text."""
+def _rows(documents: DataFrame, whole: bool = False) -> DataFrame:
+    """A row per document: its base spans in order and, where it has any (or always, if ``whole``), its text."""
     arrays = [
         f"transform({kind}, s -> named_struct('start', s.start, 'rank', {rank}, 'end', s.end, 'kind', '{kind}', 'value', "
         f"if('{kind}' = 'email', lower(s.value), regexp_replace(s.value, '[^0-9.]', ''))))"
         for rank, kind in enumerate(PATTERNS)
     ]
     spans = base_spans(documents).select("doc_id", "text", F.expr(f"array_sort(concat({', '.join(arrays)}))").alias("found"))
-    return spans.select("doc_id", F.monotonically_increasing_id().alias("row"), F.when(F.size("found") > 0, F.col("text")).alias("text"), "found")
+    text = F.col("text") if whole else F.when(F.size("found") > 0, F.col("text"))
+    return spans.select("doc_id", F.monotonically_increasing_id().alias("row"), text.alias("text"), "found")
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def disclosing_terms(documents: DataFrame, rows: DataFrame) -> DataFrame:
     )
     groups = held.join(_small(entities), ["kind", "value"]).groupBy("row").agg(F.collect_set(F.struct(*group)).alias("groups"))
 
-    terms = rows.filter("text is not null").select("row", F.explode(F.expr(terms_of("text"))).alias("term"))
+    terms = rows.filter("size(found) > 0").select("row", F.explode(F.expr(terms_of("text"))).alias("term"))
     every = documents.select(text_or_empty().alias("text")).select(F.explode(F.expr(terms_of("text"))).alias("term"))
     # of more documents than this a term cannot reach the threshold, even where it stands by the entity each time
     p_e = f"least({{n}} / {max(n_documents, 1)}D, 0.5D)"
@@ -153,11 +154,14 @@ def disclosing_terms(documents: DataFrame, rows: DataFrame) -> DataFrame:
     return marked.agg(F.when(F.max("disclosure") >= REMOVE, "remove").otherwise("generalise").alias("action"))
 
 
-def find(documents: DataFrame) -> DataFrame:
-    """``doc_id, found, added``: base spans and the added ones (``start, end, term, action``), a row per document."""
-    rows = stored(_rows(documents), "pii_rows")
+def find(documents: DataFrame, whole: bool = False) -> DataFrame:
+    """``doc_id, found, added``: base spans and the added ones (``start, end, term, action``), a row per document.
+
+    With ``whole`` each row also has its ``text``, so that spans are never matched with a text by its id.
+    """
+    rows = stored(_rows(documents, whole), "pii_rows")
     marks = stored(disclosing_terms(documents, rows), "pii_marks")
-    words = rows.filter("text is not null").select("row", F.explode(F.expr(term_spans("text"))).alias("w"))
+    words = rows.filter("size(found) > 0").select("row", F.explode(F.expr(term_spans("text"))).alias("w"))
     words = words.select("row", F.lower("w.value").alias("term"), "w.start", "w.end")
     added = (
         words.join(_small(marks), ["row", "term"])
@@ -168,7 +172,7 @@ def find(documents: DataFrame) -> DataFrame:
     apart = F.expr(
         "filter(coalesce(added, array()), a -> not exists(found, s -> s.start < a.end and a.start < s.end))"
     )
-    return joined.select("doc_id", "found", apart.alias("added"))
+    return joined.select("doc_id", *(["text"] if whole else []), "found", apart.alias("added"))
 
 
 def sanitise(documents: DataFrame) -> DataFrame:
@@ -176,15 +180,14 @@ def sanitise(documents: DataFrame) -> DataFrame:
 
     Texts are rebuilt from pieces between spans; overlapping spans are cut where the earlier one ends.
     """
-    spans = find(documents).select(
+    joined = find(documents, whole=True).select(
         "doc_id",
+        "text",
         F.expr(
             "array_sort(concat(transform(found, s -> named_struct('start', s.start, 'end', s.end, 'by', concat('[', upper(s.kind), ']'))), "
             "transform(added, a -> named_struct('start', a.start, 'end', a.end, 'by', if(a.action = 'remove', '', '[TERM]')))))"
         ).alias("spans"),
-    ).dropDuplicates(["doc_id"])
-    text = documents.select(F.col("doc_id").alias("_id"), text_or_empty().alias("text"))
-    joined = text.join(spans, text["_id"].eqNullSafe(spans["doc_id"]))
+    )
     walk = (
         "aggregate(spans, named_struct('at', 0, 'out', cast(array() as array<string>)), (acc, s) -> if(s.end <= acc.at, acc, named_struct("
         "'at', s.end, 'out', acc.out || array(substring(text, acc.at + 1, greatest(s.start - acc.at, 0)), s.by))), "

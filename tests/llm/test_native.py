@@ -66,6 +66,16 @@ def test_a_term_that_only_stands_by_one_address_is_added(documents):
     assert text[100] == filler * 20
 
 
+def test_texts_are_cut_by_their_own_spans(documents):
+    """Rows that share an id keep apart; rows without an id too."""
+    rows = [(1, "write to ann@mail.example today"), (1, "the quick brown fox jumps over it"), (None, "call +49 30 1234567 8"), (None, "nothing"), (2, None)]
+    plain = [(100 + i, "write to today the quick brown fox jumps over it call nothing") for i in range(200)]
+    got = [(r.doc_id, r.text) for r in pii.sanitise(documents(rows + plain).selectExpr("*", "1 AS row", "2 AS found")).collect()]
+    assert Counter(got) == Counter(
+        [(1, "write to [EMAIL] today"), (1, rows[1][1]), (None, "call [PHONE]"), (None, "nothing"), (2, "")] + plain
+    )
+
+
 def disclosed(rows):
     """Removed and generalised places by document counts, term by term; texts hold no CJK runs of over three letters."""
     texts = {i: t or "" for i, t in rows}
@@ -119,7 +129,8 @@ def words13(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", folded)
 
 
-def test_contamination_equals_plain_scan(spark, documents):
+@pytest.mark.parametrize("broadcast_bytes", [64 << 20, 4000, 0])  # windows fit, only their hashes fit, nothing fits
+def test_contamination_equals_plain_scan(spark, documents, broadcast_bytes):
     rng = random.Random(2)
     vocabulary = ["Alpha", "beta", "x1", "été", "É", "of", "the"]
     say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
@@ -142,7 +153,7 @@ def test_contamination_equals_plain_scan(spark, documents):
                     hit |= set(range(i, i + n))
                     held |= grams[tuple(w[i : i + n])]
         want.append((doc, len(w), len(hit), sorted(str(x) for x in held - {None}), len(hit) > 0 and 20 * len(hit) >= len(w)))
-    got = [(r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in decontamination.contamination(documents(rows), bench).collect()]
+    got = [(r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in decontamination.contamination(documents(rows), bench, broadcast_bytes=broadcast_bytes).collect()]
     order = lambda r: (r[0] is None, r[0] or 0, r[1])
     assert sorted(got, key=order) == sorted(want, key=order)
     kept = decontamination.remove_documents(documents(rows).withColumn("hit", F.lit(1)), bench)
@@ -159,6 +170,32 @@ def test_removed_spans_leave_the_rest(spark, documents):
     assert text == {1: "Before, it. After\nit", 2: "nothing here", 3: None}
 
 
+def test_removed_spans_of_rows_that_repeat_an_id(spark, documents):
+    item = " ".join(f"w{i}" for i in range(13))
+    rows = [(1, f"a {item} b {item}"), (1, f"{item}"), (1, "clean text"), (None, f"{item} c"), (None, f"{item} c"), (2, f"{item} " * 400 + "d")]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = sorted((str(r.doc_id), r.text.strip()) for r in decontamination.remove_spans(documents(rows), bench).collect())
+    assert got == sorted([("1", "a b"), ("1", ""), ("1", "clean text"), ("None", "c"), ("None", "c"), ("2", "d")])
+
+
+def test_windows_of_large_benchmarks_travel_without_words(spark, documents):
+    """Beyond the broadcast no exchange by hash carries the words of a document."""
+    words = documents([(1, "a b c")]).selectExpr("doc_id", "1L AS text_hash", "split(text, ' ') AS words")
+    grams = spark.sql("SELECT 1L AS gram_hash, 3 AS length, array('a', 'b', 'c') AS gram, array('i') AS items")
+    seen = []
+    stored = decontamination.stored
+    try:
+        decontamination.stored = lambda frame, name: (seen.append(frame._jdf.queryExecution().executedPlan().toString()), stored(frame, name))[1]
+        decontamination._scan_many(words, grams, [3], 0)
+    finally:
+        decontamination.stored = stored
+    places = seen[0]
+    assert "hashpartitioning(gram_hash" in places
+    assert not any("words#" in line for line in places.splitlines() if "Exchange" in line)
+    generated = next(line for line in places.splitlines() if "Generate posexplode" in line)
+    assert "words#" not in generated.split("posexplode")[1].split("]")[0]
+
+
 def rule_counts(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
