@@ -50,7 +50,7 @@ HEAD = 1 << 20
 HELD = 1 << 21
 
 PIECES = (
-    "_row bigint, {id}, piece int, own_a int, own_b int, groups int, a_at int, b_at int, a_ids array<int>, b_ids array<int>, groups_sha256 string"
+    "_row bigint, {id}, piece int, own_a int, own_b int, groups int, a_at int, b_at int, a_ids binary, b_ids binary, groups_sha256 string"
 )
 
 
@@ -223,6 +223,22 @@ def _runs(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(lists) if lists else np.zeros(0, np.int64), limits
 
 
+_CODEC = pa.Codec("zstd", compression_level=1)
+
+
+def _packed(ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.Array:
+    """Runs of ids as compressed 32-bit numbers behind their count: a batch of many documents stays small in the JVM."""
+    ids = ids.astype("<u4")
+    runs = (ids[x:y].tobytes() for x, y in zip(starts.tolist(), stops.tolist(), strict=True))
+    return pa.array([len(r).to_bytes(8, "little") + _CODEC.compress(r, asbytes=True) if r else b"" for r in runs], pa.binary())
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of runs, and the limits of each run."""
+    runs = [r and _CODEC.decompress(r[8:], int.from_bytes(r[:8], "little"), asbytes=True) for r in column.to_pylist()]
+    return np.frombuffer(b"".join(runs), "<u4").astype(np.int64), np.append(0, np.cumsum([len(r) // 4 for r in runs], dtype=np.int64))
+
+
 def _digests(know: Tokenizers, ids_a, at_a, group_a, ids_b, at_b, group_b) -> list[str]:
     """sha256 of ``a1,a2|b1;a3|b2`` per text: every token takes its place behind the groups before it."""
     marks, n = know.decimals
@@ -244,7 +260,7 @@ def pieces(documents: DataFrame, folder: str = FOLDER, size: int = PIECE) -> Dat
     """The merge of every document's tokens in pieces of ``size`` tokens, one row each:
 
     ``_row`` (a number for the document's row), ``doc_id, piece, own_a, own_b`` (tokens that end here), ``groups`` (groups
-    that end here), ``a_ids, b_ids`` (own tokens and the next one), ``a_at, b_at`` (bytes by which the first begins later
+    that end here), ``a_ids, b_ids`` (own tokens and the next one, packed), ``a_at, b_at`` (bytes by which the first begins later
     than the other side's), and ``groups_sha256`` of the whole document on its piece 0.
     """
     shared = documents.sparkSession.sparkContext.broadcast(load(folder))
@@ -271,18 +287,13 @@ def pieces(documents: DataFrame, folder: str = FOLDER, size: int = PIECE) -> Dat
             closed = np.searchsorted(common, np.minimum(np.append(0, ends_a)[i], np.append(0, ends_b)[j]), "right")
             digests = _digests(know, ids_a, at_a, group_a, ids_b, at_b, group_b)
 
-            def lists(ids, starts, stops):
-                sizes = stops - starts
-                take = np.repeat(starts - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())
-                return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(ids[take], pa.int32()))
-
             numbers = [piece, np.diff(i), np.diff(j), np.diff(closed), start_a - origin, start_b - origin]
             piece_, own_a, own_b, groups_, a_at, b_at = (pa.array(x, pa.int32()) for x in numbers)
             named = pa.array([digests[d] if p == 0 else None for d, p in zip(doc.tolist(), piece.tolist(), strict=True)], pa.string())
             source = pa.array(doc)
             yield pa.record_batch(
                 [batch.column("_row").take(source), batch.column("doc_id").take(source), piece_, own_a, own_b, groups_, a_at, b_at]
-                + [lists(ids_a, i[:-1], ahead_a), lists(ids_b, j[:-1], ahead_b), named],
+                + [_packed(ids_a, i[:-1], ahead_a), _packed(ids_b, j[:-1], ahead_b), named],
                 names=["_row", "doc_id", "piece", "own_a", "own_b", "groups", "a_at", "b_at", "a_ids", "b_ids", "groups_sha256"],
             )
 
@@ -323,9 +334,7 @@ def _merged(batch: pa.RecordBatch, lengths: tuple[np.ndarray, np.ndarray]) -> Me
     """All pieces of a batch on one line of bytes, each behind the ones before it."""
 
     def side(name: str, length: np.ndarray):
-        column = batch.column(f"{name}_ids")
-        ids = column.flatten().to_numpy().astype(np.int64)
-        limits = np.append(0, np.cumsum(column.value_lengths().to_numpy()))
+        ids, limits = _unpacked(batch.column(f"{name}_ids"))
         sums = np.append(0, np.cumsum(length[ids]))
         at = batch.column(f"{name}_at").to_numpy().astype(np.int64)
         row = np.repeat(np.arange(batch.num_rows), np.diff(limits))
@@ -341,7 +350,7 @@ def _merged(batch: pa.RecordBatch, lengths: tuple[np.ndarray, np.ndarray]) -> Me
 def _small(batches: Iterator[pa.RecordBatch], limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """The batches cut so that they hold about ``limit`` tokens, or one piece."""
     for batch in batches:
-        sizes = batch.column("a_ids").value_lengths().to_numpy() + batch.column("b_ids").value_lengths().to_numpy()
+        sizes = batch.column("own_a").to_numpy() + batch.column("own_b").to_numpy()
         held = np.cumsum(sizes)
         at = 0
         while at < batch.num_rows:
