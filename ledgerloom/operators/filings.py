@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.filing import ANNUAL_FORM, cik_pad, document_url, filing_year, in_years
+from ..functions.folds import sweep
+
+#: Filings of one company, page and year that meet its requests under one key.
+CHUNK = 16
 
 
 # --- ticker -> company -----------------------------------------------------------------------------
@@ -83,6 +87,28 @@ def is_annual(form: Column) -> Column:
     return form == ANNUAL_FORM
 
 
+ANNUAL = ("pos", "accession_number", "form_type", "filing_date", "primary_doc", "year")
+
+
+def _numbered(rows: str) -> Column:
+    """A page's annual filings by year, each with its number among those of its year in source order.
+
+    A page is one bounded array, so this needs no shuffle; sorted by year, one walk counts.
+    """
+
+    def step(state: Column, r: Column, index: Column) -> tuple[dict[str, Column], Column, Column]:
+        number = F.when(r["year"].eqNullSafe(state["year"]), state["number"] + 1).otherwise(F.lit(1))
+        return {"year": r["year"], "number": number}, F.lit(True), number
+
+    def count(ordered: Column) -> Column:
+        numbers = sweep(ordered, {"year": F.lit(None).cast("int"), "number": F.lit(0)}, step)
+        row = lambda r, n: F.struct(*[r[c].alias(c) for c in ANNUAL], n.cast("int").alias("year_number"))
+        return F.zip_with(ordered, numbers, row)
+
+    by_year = F.sort_array(F.transform(rows, lambda r: F.struct(*[r[c].alias(c) for c in ("year", *ANNUAL[:-1])])))
+    return F.get(F.transform(F.array(by_year), count), F.lit(0))
+
+
 def company_index(parsed: DataFrame) -> DataFrame:
     """One row per submission document: its annual filings and whether its index can be trusted.
 
@@ -91,15 +117,7 @@ def company_index(parsed: DataFrame) -> DataFrame:
     """
     rows = parsed.withColumn("rows", _trusted_rows())
     found = rows.withColumn("found", F.filter("rows", lambda r: is_annual(r["form_type"])))
-    # a page is one bounded array, so a filing's number within its page and year needs no shuffle
-    numbered = F.transform(
-        "found",
-        lambda r, i: F.struct(
-            *[r[c].alias(c) for c in ("pos", "accession_number", "form_type", "filing_date", "primary_doc", "year")],
-            F.size(F.filter(F.slice("found", F.lit(1), i + 1), lambda e: e["year"] == r["year"])).alias("year_number"),
-        ),
-    )
-    return found.withColumn("annual", numbered).select(
+    return found.withColumn("annual", _numbered("found")).select(
         "cik",
         "page",
         "doc_status",
@@ -170,35 +188,41 @@ def request_gate(resolved: DataFrame, summary: DataFrame) -> DataFrame:
     )
 
 
-def company_rank() -> Column:
-    """Position among the company's filings, newest year first and in source order within a year: all filings of the
-    blocks ahead plus the filing's number in its own."""
-    ahead = F.filter(
-        "blocks",
-        lambda b: (b["year"] > F.col("year")) | ((b["year"] == F.col("year")) & (b["page"] < F.col("page"))),
-    )
-    return F.aggregate(ahead, F.lit(0).cast("bigint"), lambda n, b: n + b["n"]) + F.col("year_number")
+def _ranked_blocks(blocks: Column) -> Column:
+    """The company's blocks, newest year first and by page within a year, with the filings ``ahead`` of each."""
+
+    def count(ordered: Column) -> Column:
+        ahead = sweep(ordered, {"n": F.lit(0).cast("bigint")}, lambda s, b, _: ({"n": s["n"] + b["n"]}, F.lit(True), s["n"]))
+        row = lambda b, n: F.struct((-b["age"]).alias("year"), b["page"].alias("page"), b["n"].alias("n"), n.alias("ahead"))
+        return F.zip_with(ordered, ahead, row)
+
+    ordered = F.sort_array(F.transform(blocks, lambda b: F.struct((-b["year"]).alias("age"), b["page"].alias("page"), b["n"].alias("n"))))
+    return F.get(F.transform(F.array(ordered), count), F.lit(0))
 
 
 def requested_filings(gated: DataFrame, filings: DataFrame) -> DataFrame:
-    """The filings of every accepted request, with ``filing_rank`` counting from the newest."""
+    """The filings of every accepted request, with ``filing_rank`` counting from the newest.
+
+    A request first meets its company's blocks, which came along, and asks for the filings of each block in its range in
+    chunks: a company with many filings or many requests is many keys.
+    """
     accepted = gated.filter(F.col("request_status") == S.OK).select(
-        "request_id", F.upper("ticker").alias("ticker"), "cik", "start_year", "end_year", "n_later", "blocks"
+        "request_id", F.upper("ticker").alias("ticker"), "cik", "start_year", "end_year", "n_later", _ranked_blocks(F.col("blocks")).alias("blocks")
     )
-    return (
-        accepted.join(filings, "cik")
-        .filter(in_years(F.col("year"), F.col("start_year"), F.col("end_year")))
-        .select(
-            "request_id",
-            (company_rank() - F.col("n_later")).alias("filing_rank"),
-            "accession_number",
-            "filing_date",
-            "form_type",
-            "ticker",
-            "company_name",
-            "cik",
-            "primary_doc",
-            "year",
-            document_url(F.col("cik"), F.col("accession_number"), F.col("primary_doc")).alias("url"),
-        )
+    in_range = F.filter("blocks", lambda b: in_years(b["year"], F.col("start_year"), F.col("end_year")))
+    asked = accepted.select("request_id", "ticker", "cik", "n_later", F.inline(in_range))
+    asked = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / CHUNK).cast("int"))))
+    held = filings.withColumn("chunk", F.floor((F.col("year_number") - 1) / CHUNK).cast("int"))
+    return asked.join(held, ["cik", "page", "year", "chunk"]).select(
+        "request_id",
+        (F.col("ahead") + F.col("year_number") - F.col("n_later")).alias("filing_rank"),
+        "accession_number",
+        "filing_date",
+        "form_type",
+        "ticker",
+        "company_name",
+        "cik",
+        "primary_doc",
+        "year",
+        document_url(F.col("cik"), F.col("accession_number"), F.col("primary_doc")).alias("url"),
     )

@@ -215,8 +215,9 @@ def markup_tokens(doc_html: Column) -> Column:
     return html_tokens.tokens(doc_html["markup"])
 
 
-def node_html(doc_html: Column, tokens: Column, node: Column) -> Column:
-    """Canonical markup of an element; ``tokens`` are those of ``doc_html``."""
+def node_html(doc_html: Column, tokens: Column, node: Column, before: Column | None = None) -> Column:
+    """Canonical markup of an element; ``tokens`` are those of ``doc_html``.  With ``before`` only what precedes that
+    node: an element that holds it is left open."""
 
     def written(piece: Column, names: Column) -> Column:
         name = F.get(doc_html["names"], F.shiftright(-1 - piece, 1))
@@ -226,7 +227,10 @@ def node_html(doc_html: Column, tokens: Column, node: Column) -> Column:
         loose = F.when(kind == 1, html_tokens.text(token, names)).when(kind == 2, text).otherwise(F.substring(text, F.lit(2), F.length(text)))
         return F.when(piece < 0, tag).when(kind == 0, html_tokens.written(token, names)).otherwise(loose)
 
-    own = F.slice(doc_html["pieces"], node["piece_start"] + 1, node["piece_count"])
+    count = node["piece_count"]
+    if before is not None:
+        count = F.least(count, before["piece_start"] - node["piece_start"])
+    own = F.slice(doc_html["pieces"], node["piece_start"] + 1, count)
     return html_tokens.with_names(lambda names: F.array_join(F.transform(own, lambda piece: written(piece, names)), ""))
 
 

@@ -2,20 +2,18 @@
 
 Spark has no expression for match positions.  The pieces around the matches (``split``) and the
 matches themselves (``regexp_extract_all``) alternate, so positions are running totals of their byte
-lengths; only those lengths go through an Arrow function, and nothing is shuffled.
+lengths, which a fold adds up; everything is an expression and nothing is shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions.folds import match_places
 from ..functions.text import byte_slice, unicode_pattern
 from .nodes import bound
 
@@ -37,41 +35,6 @@ SHELL_HEAD = """<!DOCTYPE html>
 SHELL_TAIL = "\n</body>\n</html>"
 
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
-def running_totals(lengths: pa.Array) -> pa.Array:
-    """Cumulative sum within each list."""
-    offsets = lengths.offsets.to_numpy()
-    offsets = offsets - offsets[0]
-    totals = np.concatenate([[0], np.cumsum(lengths.flatten().to_numpy(zero_copy_only=False))])
-    totals = totals[1:] - np.repeat(totals[offsets[:-1]], np.diff(offsets))
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(totals, pa.int64()))
-
-
-def _piece_lengths(text: Column, regex: Column, hits: Column) -> Column:
-    """Byte lengths of gap, match, gap, match, ..., gap."""
-    return F.flatten(
-        F.zip_with(
-            F.split(text, regex, -1),
-            hits,
-            lambda gap, hit: F.array(
-                F.octet_length(gap).cast("bigint"), F.coalesce(F.octet_length(hit), F.lit(0)).cast("bigint")
-            ),
-        )
-    )
-
-
-def _spans(hits: Column, totals: Column, pattern_no: int, kind: str) -> Column:
-    return F.transform(
-        hits,
-        lambda _, i: F.struct(
-            F.get(totals, 2 * i).alias("start"),
-            F.lit(pattern_no).alias("pattern_no"),
-            F.get(totals, 2 * i + 1).alias("end"),
-            F.lit(kind).alias("kind"),
-        ),
-    )
-
-
 def check_pattern(spark: SparkSession, pattern: str) -> None:
     """Raise ValueError for a pattern that is no regular expression or matches an empty piece of a sample."""
     java = spark.sparkContext._jvm.java.util.regex.Pattern
@@ -86,6 +49,15 @@ def check_pattern(spark: SparkSession, pattern: str) -> None:
                 raise ValueError(f"pattern {pattern!r} can match nothing, so its matches have no extent")
 
 
+def _spans(places: Column, pattern_no: int, kind: str) -> Column:
+    return F.transform(
+        places,
+        lambda p: F.struct(
+            p["start"].alias("start"), F.lit(pattern_no).alias("pattern_no"), p["end"].alias("end"), F.lit(kind).alias("kind")
+        ),
+    )
+
+
 def regex_spans(documents: DataFrame, patterns: Sequence[tuple[str, str]], html: str = "html") -> DataFrame:
     """``spans``: every non-overlapping match of each (pattern, kind) as byte offsets, pattern by pattern.
 
@@ -93,13 +65,10 @@ def regex_spans(documents: DataFrame, patterns: Sequence[tuple[str, str]], html:
     """
     for pattern, _ in patterns:
         check_pattern(documents.sparkSession, pattern)
-    text, steps, found = F.coalesce(F.col(html), F.lit("")), documents, []
+    text, found = F.coalesce(F.col(html), F.lit("")), []
     for at, (pattern, kind) in enumerate(patterns):
-        regex, hits, totals = F.lit(unicode_pattern(pattern)), f"_hits{at}", f"_totals{at}"
-        steps = steps.withColumn(hits, F.regexp_extract_all(text, regex, F.lit(0)))
-        steps = steps.withColumn(totals, running_totals(_piece_lengths(text, regex, F.col(hits))))
-        found.append(_spans(F.col(hits), F.col(totals), at, kind))
-    return steps.select(*documents.columns, F.concat(*found).alias("spans"))
+        found.append(_spans(match_places(text, unicode_pattern(pattern)), at, kind))
+    return documents.select("*", F.concat(*found).alias("spans"))
 
 
 def span_rows(spanned: DataFrame, html: str = "html") -> DataFrame:
@@ -109,27 +78,24 @@ def span_rows(spanned: DataFrame, html: str = "html") -> DataFrame:
     return spanned.select(*keys, F.inline_outer("spans")).filter(F.col("pattern_no").isNotNull())
 
 
-def css_class(kind: Column) -> Column:
-    return F.concat(F.lit("highlight-"), F.when(kind.isin(KNOWN_KINDS), kind).otherwise("custom"))
-
-
 def annotate(spanned: DataFrame, html: str = "html") -> DataFrame:
     """``annotated``: the document with every span wrapped, in order of its start.
 
     Each span is preceded by the text since the *previous span's end*, so overlapping spans repeat text.
     """
     raw = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    ordered = spanned.withColumn("_raw", raw).withColumn("_sorted", F.array_sort("spans"))
+    head = {kind: F.lit(f'<span class="highlight-{kind}" title="Position: ') for kind in [*KNOWN_KINDS, "custom"]}
 
     def between(raw: Column, start: Column, end: Column) -> Column:
         return F.when(end > start, byte_slice(raw, start.cast("int"), (end - start).cast("int"))).otherwise("")
 
     def wrap(raw: Column, span: Column, before: Column) -> Column:
+        opening = head["custom"]
+        for kind in KNOWN_KINDS:
+            opening = F.when(span["kind"] == kind, head[kind]).otherwise(opening)
         return F.concat(
             between(raw, before, span["start"]),
-            F.lit('<span class="'),
-            css_class(span["kind"]),
-            F.lit('" title="Position: '),
+            opening,
             span["start"].cast("string"),
             F.lit("-"),
             span["end"].cast("string"),
@@ -140,17 +106,18 @@ def annotate(spanned: DataFrame, html: str = "html") -> DataFrame:
             F.lit("</span>"),
         )
 
-    # the document's bytes are bound once, and each span meets the end of the one before as its neighbour
+    def body(raw: Column, spans: Column, ends: Column) -> Column:
+        # each span meets the end of the one before as its neighbour; the text behind the last one has no span
+        wrapped = F.transform(spans, lambda span, i: wrap(raw, span, F.get(ends, i)))
+        return F.concat(F.array_join(wrapped, ""), between(raw, F.element_at(ends, -1), F.octet_length(raw).cast("bigint")))
+
+    # the document's bytes, the sorted spans and their ends are each worked out once
     zero = F.array(F.lit(0).cast("bigint"))
-    ends = F.concat(zero, F.transform("_sorted", lambda span: span["end"]))
-    before = F.slice(ends, F.lit(1), F.size("_sorted"))
-    body = bound(
-        "_raw",
-        lambda raw: F.concat(
-            F.array_join(F.zip_with("_sorted", before, lambda span, end: wrap(raw, span, end)), ""),
-            between(raw, F.element_at(ends, -1), F.octet_length(raw).cast("bigint")),
+    shown = bound(
+        raw,
+        lambda raw: bound(
+            F.array_sort("spans"),
+            lambda spans: bound(F.concat(zero, F.transform(spans, lambda span: span["end"])), lambda ends: body(raw, spans, ends)),
         ),
     )
-    return ordered.withColumn("annotated", F.concat(F.lit(SHELL_HEAD), body, F.lit(SHELL_TAIL))).drop(
-        "_raw", "_sorted", "spans"
-    )
+    return spanned.withColumn("annotated", F.concat(F.lit(SHELL_HEAD), shown, F.lit(SHELL_TAIL))).drop("spans")

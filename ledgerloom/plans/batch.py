@@ -102,8 +102,9 @@ def surviving_filings(outcome: DataFrame, dedup: bool = True) -> DataFrame:
 
 
 def section_texts(kept: DataFrame, extracted: DataFrame, rule: SectionRule = ITEM_8) -> DataFrame:
-    """The kept filings' sections with their text."""
-    found = one_extraction(extracted.filter("status = 'ok'"), "content_html").select("url", "status", "content_html")
+    """The kept filings' sections with their text.  Texts of other filings are left out before any is moved."""
+    wanted = extracted.filter("status = 'ok'").join(kept.select("url").distinct(), "url", "left_semi")
+    found = one_extraction(wanted, "content_html").select("url", "status", "content_html")
     return section_record(kept.drop("content_length").join(found, "url"), rule)
 
 
@@ -117,18 +118,21 @@ def run_batch(
 ) -> DataFrame:
     """Run everything, write the outputs under ``output`` and return the per-request summary.
 
-    ``run`` names the run in the outputs; repeating a run under its name replaces what it wrote and nothing else.
+    ``run`` names the run in the outputs; repeating a run under its name replaces what it wrote and nothing else.  The
+    outputs are committed together, after the last of them is written: a run that dies before leaves nothing to read.
     """
     run = run or run_name()
     keep = stored_in(shared_folder(inputs.requests.sparkSession))
     listing = list_filings(inputs, keep)
     if debug:
         landed = one_per_address(wanted_documents(inputs.documents, listing.filings))
-        files.write_raw(listing.filings, landed, f"{output}/raw", run)
+        files.write_raw(listing.filings, landed, f"{output}/raw", run, commit=False)
     extracted = keep(extract_wanted(listing.filings, inputs.documents, rule), "extracted")
     outcome = keep(filing_outcomes(listing.filings, extracted, rule), "outcomes")
     kept = keep(surviving_filings(outcome, dedup), "kept")
-    files.write_sections(section_texts(kept, extracted, rule), f"{output}/sections", run, rule)
-    files.write_metadata(kept, f"{output}/metadata", run, rule)
-    files.write_failures(outcome, f"{output}/failures", run, rule)
+    files.write_sections(section_texts(kept, extracted, rule), f"{output}/sections", run, rule, commit=False)
+    files.write_metadata(kept, f"{output}/metadata", run, rule, commit=False)
+    files.write_failures(outcome, f"{output}/failures", run, rule, commit=False)
+    for name in ("sections", "metadata", "failures", *(["raw"] if debug else [])):
+        files.commit_run(outcome.sparkSession, f"{output}/{name}", run)
     return run_failed(run_summary(listing.gated, outcome))

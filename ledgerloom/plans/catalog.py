@@ -37,6 +37,7 @@ from .batch import (
 Query = Callable[[SparkSession, str], DataFrame]
 
 TEXT_PATTERNS = ["[0-9]{3}", "(?i)^the\\s", "(?i)license", "\\.$"]
+STRICT = b.SectionRule(mode="strict")
 SPAN_PATTERNS = [("[A-Z][a-z]+", "start"), ("[0-9]+", "item8"), ("[,;]", "other")]
 
 
@@ -352,8 +353,12 @@ def _node_rows(frame: DataFrame, column: str) -> DataFrame:
     )
 
 
+def _candidate_rows(frame: DataFrame, found: Column) -> DataFrame:
+    return _node_rows(frame.withColumn("found", F.transform(found, lambda c: c["node"])), "found")
+
+
 def start_matches(spark: SparkSession, sf: str) -> DataFrame:
-    return _node_rows(b.start_matches(_parsed(spark, sf)), "starts")
+    return _candidate_rows(b.start_matches(_parsed(spark, sf)), F.col("starts"))
 
 
 def self_links(spark: SparkSession, sf: str) -> DataFrame:
@@ -362,8 +367,7 @@ def self_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def toc_ancestors(spark: SparkSession, sf: str) -> DataFrame:
-    found = b.toc_marks(n.header_candidates(_parsed(spark, sf)))
-    return _node_rows(found.withColumn("inside", F.filter("candidates", b.has_toc_ancestor)), "inside")
+    return _candidate_rows(b.candidates(_parsed(spark, sf)), F.filter("candidates", lambda c: c["in_toc"]))
 
 
 def toc_table_items(spark: SparkSession, sf: str) -> DataFrame:
@@ -376,14 +380,13 @@ def toc_table_items(spark: SparkSession, sf: str) -> DataFrame:
     ).otherwise(
         F.concat(F.lit("<table><tr><td><span>"), label, tail, F.lit("</span></td></tr></table>"))
     )
-    parsed = n.parse_html(x.scan(spark, sf, "part").select("p_partkey", html.alias("html")))
-    spans_only = b.toc_marks(parsed).withColumn("spans", F.filter("nodes", lambda e: e["tag"] == "span"))
-    return spans_only.select("p_partkey", F.exists("spans", lambda e: b.is_toc_table_item(e, F.col("doc_text"))).alias("toc_item"))
+    found = b.candidates(n.parse_html(x.scan(spark, sf, "part").select("p_partkey", html.alias("html"))))
+    return found.select("p_partkey", F.exists("candidates", lambda c: b.is_toc_table_item(c, F.col("doc_text"))).alias("toc_item"))
 
 
 def outside_toc(spark: SparkSession, sf: str) -> DataFrame:
-    started = b.toc_marks(b.start_matches(_parsed(spark, sf)))
-    return _node_rows(started.withColumn("kept", F.filter("starts", lambda e: ~b.in_toc(e, F.col("doc_text")))), "kept")
+    started = b.start_matches(_parsed(spark, sf))
+    return _candidate_rows(started, F.filter("starts", lambda c: ~b.in_toc(c, F.col("doc_text"))))
 
 
 def first_starts(spark: SparkSession, sf: str) -> DataFrame:
@@ -417,6 +420,23 @@ def first_ends(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def strict_starts(spark: SparkSession, sf: str) -> DataFrame:
+    return b.first_start(_parsed(spark, sf), STRICT).select(
+        "doc_id", F.col("start.node_id").cast("bigint").alias("node_id"), F.col("start.tag").alias("tag")
+    )
+
+
+def strict_ends(spark: SparkSession, sf: str) -> DataFrame:
+    return b.section_boundaries(_parsed(spark, sf), STRICT).select(
+        "doc_id", F.col("end.node_id").cast("bigint").alias("node_id"), F.col("end.tag").alias("tag")
+    )
+
+
+def strict_sections(spark: SparkSession, sf: str) -> DataFrame:
+    found = s.extract_section(x.constructed_documents(spark, sf), STRICT)
+    return found.select("doc_id", "status", "reason", "content_html", "content_length")
+
+
 def sliced_sections(spark: SparkSession, sf: str) -> DataFrame:
     return s.slice_section(b.section_boundaries(_parsed(spark, sf))).select("doc_id", "content_html")
 
@@ -581,6 +601,9 @@ QUERIES: dict[str, Query] = {
     "B10_first_end": first_ends,
     "B11_slice": sliced_sections,
     "B12_extract_section": extracted_sections,
+    "B6_first_start_strict": strict_starts,
+    "B10_first_end_strict": strict_ends,
+    "B12_extract_section_strict": strict_sections,
     "J1_ticker_cik": ticker_lookup,
     "J2_company_filings": request_submissions,
     "O1_newest_first": ranked_filings,

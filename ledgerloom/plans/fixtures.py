@@ -157,7 +157,8 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``cik, page, http_status, json``: the filings of each customer as submission documents, newest first.
 
     Faults by customer: short ``primaryDocument`` or ``form`` arrays, a missing mandatory field at the top
-    or in an address, a number where a text belongs, a text cut short, a failed fetch.
+    or in an address, a number or list where a text belongs (at the top, in a list, an address, a former name, a file entry),
+    a text cut short, a failed fetch.
     """
     custkey = F.col("custkey")
     grouped = (
@@ -240,6 +241,10 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     json = (
         F.when(custkey % 89 == 9, F.replace(json, F.lit('"sic":"7372"'), F.lit('"sic":7372')))
         .when(custkey % 89 == 10, F.replace(json, F.lit('"exchanges":["NYSE"]'), F.lit('"exchanges":["NYSE",5]')))
+        .when(custkey % 89 == 11, F.replace(json, F.lit('"zipCode":"10001"'), F.lit('"zipCode":10001')))
+        .when(custkey % 89 == 12, F.replace(json, F.lit('"from":"1990"'), F.lit('"from":1990')))
+        .when(custkey % 89 == 13, F.replace(json, F.lit('"name":"older.json"'), F.lit('"name":["older.json"]')))
+        .when(custkey % 89 == 14, F.replace(json, F.lit('"street1":"1 Main St"'), F.lit('"street1":1')))
         .otherwise(json)
     )
     return grouped.select(

@@ -58,7 +58,7 @@ fil AS (
 IDX = """idx AS (
   SELECT *, CASE WHEN k % 97 = 7 AND pos = n - 1 THEN NULL ELSE form0 END AS form,
     CASE WHEN k % 97 = 3 AND pos = n - 1 THEN NULL ELSE doc0 END AS prim,
-    CASE WHEN k % 79 = 2 THEN 'http_error' WHEN k % 89 IN (5, 7, 8, 9, 10) THEN 'submissions_parse_error' ELSE 'ok'
+    CASE WHEN k % 79 = 2 THEN 'http_error' WHEN k % 89 IN (5, 7, 8, 9, 10, 11, 12, 13, 14) THEN 'submissions_parse_error' ELSE 'ok'
       END AS doc_status
   FROM fil)"""
 GATE = """comp AS (
@@ -145,6 +145,16 @@ SIBLINGS = (
 )
 NESTED = "6 h3 8"
 TOP = "0 h3 7, 1 h3 10, 2 h3 12, 3 h3 10, 4 h3 8, 6 div 7, 9 h3 9, 10 p 7, 10 h3 11"
+# Strict mode: innermost starts outside contents blocks, up to the block that holds nothing else; ends likewise.
+STRICT_STARTS = "0 h2 3, 1 h2 6, 3 h2 6, 4 h2 4, 5 h2 4, 6 h2 3, 7 h2 3, 9 h2 3, 10 h2 3, 11 p 3, 12 h2 4"
+STRICT_ENDS = "0 h3 7, 1 h3 10, 3 h3 10, 4 h3 8, 5 h3 8, 6 div 7, 9 h3 9, 10 p 7, 11 h3 8, 12 h3 8"
+STRICT_CUT = """cut AS (
+  SELECT *, CASE WHEN v IN (0, 1, 3, 4, 5, 6, 10, 11, 12) THEN '<p>' || x || '</p>'
+      WHEN v = 9 THEN 'a & b<p>' || x || '</p>' END AS content
+  FROM doc)"""
+STRICT_EXT = """ext AS (
+  SELECT *, CASE WHEN v IN (2, 8) THEN 'no_start' WHEN v = 7 THEN 'no_end' WHEN strlen(content) < 1000 THEN 'below_min' END AS reason
+  FROM cut)"""
 ENDS = "0 h3 7, 1 h3 10, 2 h3 12, 3 h3 10, 4 h3 8, 6 h3 8, 9 h3 9, 10 p 7"
 # variant, nodes, elements, comments, depth
 SHAPES = (
@@ -368,6 +378,13 @@ FROM doc d JOIN (VALUES {_values(HEADERS)}) e(v, tag, node_id) ON e.v = d.v""",
     "B12_extract_section": _with(
         BUILT,
         """SELECT doc_id, CASE WHEN reason IS NULL THEN 'ok' ELSE 'section_not_found' END AS status, reason,
+  CASE WHEN reason IS NULL THEN content END AS content_html, strlen(content) AS content_length FROM ext""",
+    ),
+    "B6_first_start_strict": _nodes(STRICT_STARTS, every_document=True),
+    "B10_first_end_strict": _nodes(STRICT_ENDS, every_document=True),
+    "B12_extract_section_strict": _with(
+        [DOC, STRICT_CUT, STRICT_EXT],
+        """SELECT doc_id, CASE WHEN reason IS NULL THEN 'ok' ELSE 'section_not_found' END AS status, reason,
   CASE WHEN reason IS NULL THEN content END AS content_html, strlen(content) AS content_length FROM ext""",
     ),
     "J1_ticker_cik": _with(

@@ -1,18 +1,23 @@
 """Landed filing documents: ``document(url, http_status, html)``.
 
 A large table should be partitioned by ``company_bucket`` and ``filing_year`` (see ``document_place``); where it has
-these columns they take part in the joins, so that only the partitions of wanted filings are read.
+these columns they take part in the joins, so that only the partitions of wanted filings are read.  Landed by
+``land_documents`` it is also bucketed by address: joins and choices by address then read markup where it lies and
+shuffle none of it, if the session lets a part of the join keys decide (``CO_PARTITION`` set to false).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.filing import fetch_status
 
 COMPANY_BUCKETS = 256
 PLACE = ("company_bucket", "filing_year")
+#: Buckets by address in each partition.
+ADDRESS_BUCKETS = 32
+CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
 def document_place(filings: DataFrame) -> DataFrame:
@@ -22,6 +27,27 @@ def document_place(filings: DataFrame) -> DataFrame:
     )
 
 
+def land_documents(documents: DataFrame, table: str, path: str, buckets: int = ADDRESS_BUCKETS) -> DataFrame:
+    """Write documents that have their place as a table, partitioned by it and bucketed by address, and return it.
+
+    Rows of one bucket come together before the write, so a partition gets one file per bucket.
+    """
+    dealt = documents.repartition(buckets, "url")
+    written = dealt.write.partitionBy(*PLACE).bucketBy(buckets, "url").sortBy("url").format("parquet").option("path", path)
+    written.mode("overwrite").saveAsTable(table)
+    return documents.sparkSession.table(table)
+
+
+def landed_documents(spark: SparkSession, table: str, path: str, schema: str, buckets: int = ADDRESS_BUCKETS) -> DataFrame:
+    """What ``land_documents`` wrote, for a session whose catalogue does not know the table yet."""
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {table} ({schema}, company_bucket INT, filing_year INT) USING parquet "
+        f"PARTITIONED BY (company_bucket, filing_year) CLUSTERED BY (url) SORTED BY (url) INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
+    return spark.table(table)
+
+
 def _keys(documents: DataFrame) -> list[str]:
     return [c for c in PLACE if c in documents.columns] + ["url"]
 
@@ -43,9 +69,10 @@ def attach_documents(filings: DataFrame, documents: DataFrame) -> DataFrame:
 
     Select from ``documents`` only what the result needs: the markup is by far the widest column.
     """
-    return filings.join(one_per_address(documents), "url", "left").withColumn(
-        "fetch_status", fetch_status(F.col("http_status"))
-    )
+    keys = _keys(documents)
+    placed = document_place(filings) if len(keys) > 1 else filings
+    joined = placed.join(one_per_address(documents), keys, "left").drop(*PLACE)
+    return joined.withColumn("fetch_status", fetch_status(F.col("http_status")))
 
 
 def wanted_documents(documents: DataFrame, filings: DataFrame) -> DataFrame:

@@ -24,28 +24,44 @@ def read_submissions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def submissions_source(landed: DataFrame) -> DataFrame:
-    """``json`` -> typed ``doc`` and ``kinds``, the kinds of value that the text fields hold; other columns stay.
+    """``json`` -> typed ``doc`` and ``well_typed``: whether texts stand wherever the document may hold texts only.
 
     A text that is no such document gives a ``doc`` whose ``_corrupt`` is set, never an exception.
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     typed = landed.withColumn("doc", F.from_json("json", WITH_CORRUPT, options))
-    return typed.withColumn("kinds", F.expr(_kinds())).drop("json")
+    # the untyped document is parsed once, as the variable of an outer lambda
+    checks = ", ".join(_kind_checks("v", "$", S.SUBMISSION))
+    well_typed = f"element_at(transform(array(try_parse_json(json)), v -> forall(array({checks}), ok -> ok)), 1)"
+    return typed.withColumn("well_typed", F.expr(well_typed)).drop("json")
 
 
-def _kinds() -> str:
-    """SQL for the distinct schemas of all text fields and text lists, read from the untyped document.
+def _kind_checks(value: str, path: str, kind: T.DataType, depth: int = 0) -> list[str]:
+    """SQL conditions on the untyped value at ``path``: that every text below it is one.
 
-    ``from_json`` turns a number into text where text is expected; the untyped value tells them apart.
+    ``from_json`` turns numbers, lists and objects into text where text is expected; the untyped value tells them
+    apart.  Absent and null values are judged by the typed document, and so are numbers.
     """
-    paths = [f"$.{n}" for n in S.COMPANY_TEXTS + S.COMPANY_OPTIONAL]
-    lists = [f"$.filings.recent.{n}" for n in S.RECENT_TEXTS] + ["$.tickers", "$.exchanges"]
-    kinds = ", ".join(f"schema_of_variant(variant_get(v, '{p}'))" for p in paths + lists)
-    return f"element_at(transform(array(try_parse_json(json)), v -> array_distinct(array({kinds}))), 1)"
 
+    def is_one_of(*kinds: str) -> str:
+        return f"coalesce(schema_of_variant(variant_get({value}, '{path}')) IN ({', '.join(map(repr, kinds))}), true)"
 
-#: Absent and null fields are judged by the typed document.
-TEXT_KINDS = ("STRING", "VOID", "ARRAY<STRING>", "ARRAY<VOID>")
+    def every(container: str, inner: T.DataType) -> list[str]:
+        x = f"x{depth}"
+        inside = _kind_checks(x, "$", inner, depth + 1)
+        return [f"coalesce(forall({container}, {x} -> {' AND '.join(inside)}), true)"] if inside else []
+
+    if isinstance(kind, T.StringType):
+        return [is_one_of("STRING", "VOID")]
+    if isinstance(kind, T.StructType):
+        return [check for f in kind.fields for check in _kind_checks(value, f"{path}.{f.name}", f.dataType, depth)]
+    if isinstance(kind, T.MapType):
+        return every(f"map_values(try_variant_get({value}, '{path}', 'map<string, variant>'))", kind.valueType)
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+        return [is_one_of("ARRAY<STRING>", "ARRAY<VOID>", "VOID")]
+    if isinstance(kind, T.ArrayType):
+        return every(f"try_variant_get({value}, '{path}', 'array<variant>')", kind.elementType)
+    return []
 
 
 def _is_complete() -> str:
@@ -61,8 +77,7 @@ def _is_complete() -> str:
         return f"coalesce({value} BETWEEN 0 AND 255, false)"
 
     recent, files = "doc.filings.recent", "doc.filings.files"
-    allowed = ", ".join(f"'{k}'" for k in TEXT_KINDS)
-    checks = [f"doc.{CORRUPT} IS NULL", f"forall(kinds, k -> k IS NULL OR k IN ({allowed}))", *present("doc.", S.COMPANY_TEXTS)]
+    checks = [f"doc.{CORRUPT} IS NULL", "well_typed", *present("doc.", S.COMPANY_TEXTS)]
     checks += [flag(f"doc.{n}") for n in S.COMPANY_FLAGS]
     checks += [each(f"doc.{n}", "x IS NOT NULL") for n in ("tickers", "exchanges")]
     checks += [

@@ -85,6 +85,19 @@ def edited(path, value):
         (edited(["addresses"], {}), "ok"),
         (edited(["formerNames"], [{"name": "n", "from": "f"}]), "submissions_parse_error"),
         (edited(["filings", "files"], KeyError), "submissions_parse_error"),
+        # a number, list or object where a text belongs, however deep
+        (edited(["addresses", "mailing", "city"], 5), "submissions_parse_error"),
+        (edited(["addresses", "mailing", "street1"], 5), "submissions_parse_error"),
+        (edited(["addresses", "business"], {"city": "c", "stateOrCountry": "s", "zipCode": 1, "stateOrCountryDescription": "d"}), "submissions_parse_error"),
+        (edited(["addresses"], []), "submissions_parse_error"),
+        (edited(["formerNames"], [{"name": "n", "from": "f", "to": "t"}, {"name": "n", "from": 1990, "to": "t"}]), "submissions_parse_error"),
+        (edited(["formerNames"], [{"name": "n", "from": "f", "to": {"y": 1}}]), "submissions_parse_error"),
+        (edited(["filings", "files", 0, "name"], 5), "submissions_parse_error"),
+        (edited(["filings", "files", 0, "filingFrom"], True), "submissions_parse_error"),
+        (edited(["filings", "recent", "act"], ["", "", 3, "", ""]), "submissions_parse_error"),
+        (edited(["category"], ["Large"]), "submissions_parse_error"),
+        (edited(["description"], 7), "submissions_parse_error"),
+        (edited(["unknown"], 7), "ok"),
         (edited(["filings", "files", 0, "filingCount"], -1), "submissions_parse_error"),
         (edited(["filings", "files", 0], None), "submissions_parse_error"),
         (edited(["filings", "recent"], KeyError), "submissions_parse_error"),
@@ -221,6 +234,47 @@ def test_landed_json_files(spark, tmp_path):
     assert [r.cik for r in company_source(read_registry(spark, str(tmp_path / "r.json"))).collect()] == [1]
 
 
+def test_numbering_in_a_page_is_linear(spark):
+    """Doubling a page's filings doubles the time."""
+    import time
+
+    def seconds(n):
+        doc = submission([(f"x-{i}", f"{1990 + i % 20}-01-01", "10-K", f"d{i}") for i in range(n)])
+        frame = landed(spark, doc)
+        start = time.perf_counter()
+        ((size,),) = f.company_index(required_fields(submissions_source(frame))).select(F.size("annual")).collect()
+        assert size == n
+        return time.perf_counter() - start
+
+    seconds(100)
+    small, large = min(seconds(10_000) for _ in range(3)), min(seconds(20_000) for _ in range(3))
+    assert large < 3 * small + 0.5
+
+
+def test_a_hot_company_is_spread_over_keys(spark):
+    """300 requests for one company with 1200 filings in one page: no task gets twice the median."""
+    filings = [(f"x-{i}", f"{2001 + i % 3}-01-01", "10-K", f"d{i}") for i in range(1200)]
+    requests = spark.createDataFrame([(i, "AA", None, None) for i in range(300)], "request_id long, ticker string, start_year int, end_year int")
+    index = f.company_index(required_fields(submissions_source(landed(spark, submission(filings), cik="0000000007"))))
+    resolved = requests.selectExpr("*", "'0000000007' AS cik", "'ok' AS lookup_status")
+    gated = f.request_gate(resolved, f.company_summary(index))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for key, value in zip(held, ("false", "8", "-1")):
+            spark.conf.set(key, value)
+        found = f.requested_filings(gated, f.annual_filings(index))
+        rows = found.groupBy(F.spark_partition_id()).count().collect()
+        ranks = found.filter("request_id = 7").orderBy("filing_rank").collect()
+    finally:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+    sizes = sorted(r["count"] for r in rows)
+    assert sum(sizes) == 300 * 1200 and len(sizes) == 8
+    assert sizes[-1] < 2 * sizes[len(sizes) // 2]
+    wanted = sorted(range(1200), key=lambda i: (-(2001 + i % 3), i))
+    assert [(r.filing_rank, r.accession_number) for r in ranks] == [(k, f"x-{i}") for k, i in enumerate(wanted, 1)]
+
+
 def test_a_hot_ticker_keeps_every_row(spark):
     """A third of all requests for one company, a third for tickers nobody has; nothing is lost or doubled."""
     requests = spark.range(900).select(
@@ -285,3 +339,40 @@ def test_one_row_per_address_and_pruned_partitions(spark, tmp_path):
     wanted = wanted_documents(table, filings.select("cik", "year", "url").filter("year > 2000"))
     assert "dynamicpruning" in wanted._jdf.queryExecution().toString()
     assert wanted.count() == 3
+
+
+def test_landed_documents_are_attached_where_they_lie(spark, tmp_path):
+    """Bucketed by address within their place: attaching shuffles filings, no markup; places tell addresses apart."""
+    from ledgerloom.sources import documents as d
+
+    filings = spark.createDataFrame(
+        [(f"{i % 7:010d}", 2000 + i % 3, f"u{i}") for i in range(60)] + [("0000000001", 1999, "u2"), ("0000000009", 2001, "gone")],
+        "cik string, year int, url string",
+    )
+    rows = d.document_place(filings).filter("url <> 'gone'").selectExpr(
+        "url", "200 AS http_status", "concat('<p>', url, '-', filing_year, '</p>') AS html", "company_bucket", "filing_year"
+    )
+    failed = rows.limit(5).selectExpr("url", "500 AS http_status", "cast(null AS string) AS html", "company_bucket", "filing_year")
+    table = f"landed_{tmp_path.name.replace('-', '_')}"
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    held = {k: spark.conf.get(k, None) for k in (d.CO_PARTITION, "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for key, value in zip(held, ("false", "-1", "4")):
+            spark.conf.set(key, value)
+        d.land_documents(rows.unionByName(failed), table, str(tmp_path / "docs"), buckets=4)
+        spark.sql(f"DROP TABLE {table}")  # external: the files stay, and another session can name them
+        landed = d.landed_documents(spark, table, str(tmp_path / "docs"), "url STRING, http_status INT, html STRING", buckets=4)
+        attached = d.attach_documents(filings, landed)
+        plan = attached._jdf.queryExecution().executedPlan().toString()
+        got = {(r.cik, r.year, r.url, r.html, r.fetch_status) for r in attached.collect()}
+    finally:
+        for key, value in held.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    assert got == {
+        (r.cik, r.year, r.url, None if r.url == "gone" else f"<p>{r.url}-{r.year}</p>", "doc_not_found" if r.url == "gone" else "ok")
+        for r in filings.collect()
+    }
+    assert set(attached.columns) == {"url", "cik", "year", "http_status", "html", "fetch_status"}
+    assert not any("html" in line for line in plan.splitlines() if "Exchange" in line)
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1

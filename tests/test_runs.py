@@ -8,13 +8,13 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.html_tree import build_tree
+from ledgerloom.functions.html_tree import nest, operation
 from ledgerloom.operators import spans
 from ledgerloom.operators.boundaries import SectionRule
 from ledgerloom.operators.outcomes import filing_outcomes, last_write_wins, run_failed, run_summary
 from ledgerloom.operators.sections import metadata_record
 from ledgerloom.plans import fixtures
-from ledgerloom.plans.batch import run_batch
+from ledgerloom.plans.batch import run_batch, section_texts
 from ledgerloom.plans.catalog import QUERIES
 from ledgerloom.sinks import files
 
@@ -112,6 +112,83 @@ def test_runs_leave_each_other_alone(spark, tmp_path):
     assert {r.html for r in spark.read.parquet(path).collect()} == {"m1", "m2"}
 
 
+SECTIONS = "section_name string, section_title string, content_html string, filing_year int, company_name string, ticker string"
+READ = "ticker string, filing_year int, content_html string, file_name string"
+
+
+def sections(spark, *texts):
+    return spark.createDataFrame([("Item 8", "t", text, 2020, "c", ticker) for ticker, text in texts], SECTIONS)
+
+
+def standing(spark, path, *keys):
+    return {r.ticker: r.content_html for r in files.latest(spark, path, READ, "ticker", "filing_year").collect()}
+
+
+def test_runs_count_in_the_order_of_their_commits(spark, tmp_path):
+    """Ten runs whose names do not sort by age."""
+    path = str(tmp_path / "sections")
+    assert files.committed_runs(spark, path).count() == 0
+    for i in range(1, 11):
+        files.write_sections(sections(spark, ("AA", f"text {i}"), (f"B{i}", "own")), path, f"run-{i}")
+    got = standing(spark, path)
+    assert got["AA"] == "text 10" and len(got) == 11
+    # an old run that is repeated is the newest
+    files.write_sections(sections(spark, ("AA", "again")), path, "run-2")
+    got = standing(spark, path)
+    assert got["AA"] == "again" and "B2" in got, "partitions that the repetition does not write stay"
+
+
+def test_half_written_runs_are_not_seen(spark, tmp_path):
+    path = str(tmp_path / "sections")
+    files.write_sections(sections(spark, ("AA", "old")), path, "run-1")
+    files.write_sections(sections(spark, ("AA", "half"), ("BB", "half")), path, "run-2", commit=False)
+    assert standing(spark, path) == {"AA": "old"}
+    files.commit_run(spark, path, "run-2")
+    assert standing(spark, path) == {"AA": "half", "BB": "half"}
+    files.begin_run(spark, path, "run-2")  # repeated, and died
+    assert standing(spark, path) == {"AA": "old"}
+
+
+def test_compaction_keeps_the_state_and_retires_runs(spark, tmp_path):
+    path = str(tmp_path / "sections")
+    for i in range(4):
+        files.write_sections(sections(spark, ("AA", f"text {i}"), (f"B{i}", f"own {i}")), path, f"run-{i}")
+    files.write_sections(sections(spark, ("AA", "unseen")), path, "open", commit=False)
+    before = standing(spark, path)
+    schema = "section_name string, section_title string, content_html string, filing_year int, company_name string, ticker string, file_name string"
+    name = files.compact(spark, path, schema, "ticker", "filing_year")
+    assert [r.run for r in files.committed_runs(spark, path).collect()] == [name]
+    assert standing(spark, path) == before and len(before) == 5
+    rows = spark.read.parquet(path).filter(F.col("run") == name)
+    assert rows.count() == 5 and rows.filter("company_name = 'c' AND section_title = 't'").count() == 5
+    # what is committed later is newer, and a run that began before the compaction still may be
+    files.commit_run(spark, path, "open")
+    assert standing(spark, path) == before | {"AA": "unseen"}
+    files.compact(spark, path, schema, "ticker", "filing_year")
+    assert standing(spark, path) == before | {"AA": "unseen"}
+    assert files.compact(spark, str(tmp_path / "nothing"), schema, "ticker") == ""
+
+
+def test_only_kept_texts_are_moved(spark):
+    """Texts of filings that another one replaces are left out before the shuffle that gathers texts."""
+    kept = spark.createDataFrame([("AA", 2020, "c", "x-1", "u1", 4)], KEPT)
+    extracted = spark.createDataFrame(
+        [(f"u{i}", 200, "ok", None, "text", 4) for i in range(3)],
+        "url string, http_status int, status string, reason string, content_html string, content_length long",
+    )
+    frame = section_texts(kept, extracted)
+    assert [r.content_html for r in frame.collect()] == ["text"]
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    aggregate = plan.index("Aggregate [url")
+    assert "LeftSemi" in plan[aggregate:]
+
+
+def test_spans_and_highlights_need_no_python(spark):
+    frame = spark.createDataFrame([(1, "ab 12")], "doc_id int, html string")
+    plan = spans.annotate(spans.regex_spans(frame, [("[a-z]+", "start")]))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_metadata_needs_no_section_text(spark):
     kept = spark.createDataFrame([("AA", 2020, "c", "x-1", "u", 4)], KEPT)
     (row,) = metadata_record(kept).collect()
@@ -159,7 +236,8 @@ def test_annotation_grows_with_the_document(spark):
 
 def test_tree_building_grows_with_the_document():
     def tree(n):
-        return lambda: build_tree("<p>x</p>" * n + "<table>" + "<p>y</p>" * n + "</table>")
+        marks = ["<p", "", "</p"] * n + ["<table"] + ["<p", "", "</p"] * n + ["</table"]
+        return lambda: nest([operation(m) for m in marks], ["" if m else "x" for m in marks], [""] * len(marks))
 
     small, large = seconds(tree(20_000)), seconds(tree(40_000))
     assert large < 3 * small + 1
