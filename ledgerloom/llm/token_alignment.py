@@ -14,7 +14,7 @@ most ``HEAD`` of them, are broadcast; the others, none of which can be hot, are
 Defined cases: null and empty texts, and texts whose joined token bytes differ from space + text (a character that a
 tokenizer rewrites), have no tokens: one piece without tokens, counts 0, no groups, digest ''.  Rows that repeat an id
 or a text stay rows of their own; a null id is carried along.  A long text is encoded in parts cut before single spaces,
-which no token of either vocabulary crosses; a text without any is encoded whole.  An empty table gives no rows; columns
+which no token of either vocabulary crosses; a run without any is encoded whole.  An empty table gives no rows; columns
 other than ``doc_id`` and ``text`` are not read.
 """
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -30,6 +31,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 PIECE = 1 << 14
 #: Characters of a text encoded at once, and bytes of the texts of a step.
 PART = 1 << 16
-STEP_BYTES = 1 << 20
+STEP_BYTES = 2 << 20
 #: Pairs whose counts are broadcast, at most: 17 bytes each.
 HEAD = 1 << 20
 #: Links held in a task before their pairs are summed.
@@ -65,6 +67,14 @@ def _byte_letters() -> dict[str, int]:
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+class _Index(dict):
+    """Numbers its keys as they come."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
 @dataclass
 class Tokenizers:
     """Both vocabularies as bytes, so that they travel to the executors; the libraries' objects are made there.
@@ -154,21 +164,72 @@ class Tokenizers:
         marks = [f"{i},".encode() for i in range(n)] + [f"{i}|".encode() for i in range(n)]
         return pa.array(marks + [f"{i},".encode() for i in range(m)] + [f"{i};".encode() for i in range(m)], pa.large_binary()), n
 
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of A and of B of each text; none where the joined bytes differ."""
-        parts, owner = [], []
-        for i, text in enumerate(texts):
+    def encode(self, texts: list[str | None]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """For A and for B the ids of all texts in a row and the limits of each; none where the joined bytes differ.
+
+        Words behind single spaces are encoded the same wherever they stand, so each distinct one is encoded once.
+        """
+        index = _Index()
+        codes, limits = [], [0]
+        for text in texts:
             if text:
-                parts += (own := split_parts(text))
-                owner += [i] * len(own)
-        ids_a = [self.encode_a(" " + p) for p in parts]
-        ids_b = [np.array(self.b.encode(p), np.int64) for p in parts]
-        good = [_spells(ids, self.joined[k], " " + p) for k, side in enumerate((ids_a, ids_b)) for ids, p in zip(side, parts, strict=True)]
-        wrong = {owner[i % len(parts)] for i, fits in enumerate(good) if not fits}
-        of = np.searchsorted(owner, np.arange(len(texts) + 1))
-        none = np.zeros(0, np.int64)
-        sides = [[np.concatenate(x[at:end]) if end > at and i not in wrong else none for i, (at, end) in enumerate(pairwise(of))] for x in (ids_a, ids_b)]
-        return sides[0], sides[1]
+                codes += map(index.__getitem__, SINGLE_SPACE.split(text))
+            limits.append(len(codes))
+        words, codes, limits = list(index), np.array(codes, np.int64), np.array(limits)
+        sides = [self._runs_of(words, side) for side in range(2)]
+        wrong = np.append(0, np.cumsum(~(sides[0][2] & sides[1][2])[codes]))
+        spelled = np.repeat(wrong[limits[1:]] == wrong[limits[:-1]], np.diff(limits))
+        of, codes = np.repeat(np.arange(len(texts)), np.diff(limits))[spelled], codes[spelled]
+        out = []
+        for ids, starts, _ in sides:
+            sizes = np.diff(starts)[codes]
+            before = np.append(0, np.cumsum(sizes))
+            take = np.repeat(starts[codes] - before[:-1], sizes) + np.arange(before[-1])
+            out.append((ids[take], before[np.searchsorted(of, np.arange(len(texts) + 1))]))
+        return out[0], out[1]
+
+    def _runs_of(self, words: list[str], side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One side's ids of all words in a row, the limits of each, and whether its tokens spell it.
+
+        Words are encoded in one text, which is cut where its bytes say; those beyond ASCII, which a tokenizer may rewrite,
+        apart from the others, and one by one if any of them is rewritten.  The ends of a text may be white space, beside
+        which a space is no cut: they are encoded alone.
+        """
+        kind = 1 - np.fromiter(map(str.isascii, words), bool, len(words)).astype(np.int64)
+        kind[[i for i, w in enumerate(words) if not w or w[0].isspace() or w[-1].isspace()]] = 2
+        sizes, good, parts = np.zeros(len(words), np.int64), np.zeros(len(words), bool), []
+        order = np.argsort(kind, kind="stable")
+        for k in range(3):
+            group = np.flatnonzero(kind == k)
+            own = [words[i] for i in group.tolist()]
+            joined = " ".join(own)
+            ids = self._ids(joined, side) if own and k < 2 else np.zeros(0, np.int64)
+            if len(ids) and _spells(ids, self.joined[side], " " + joined):
+                ends = np.cumsum(pc.binary_length(pa.array(own)).to_numpy().astype(np.int64) + 1)
+                stops = np.searchsorted(np.cumsum(self.lengths[side][ids]), ends) + 1
+                sizes[group], good[group] = np.diff(stops, prepend=0), True
+                parts.append(ids)
+            elif own:
+                runs = [self._ids(w, side) for w in own]
+                sizes[group], good[group] = [len(r) for r in runs], [_spells(r, self.joined[side], " " + w) for r, w in zip(runs, own, strict=True)]
+                parts += runs
+        # the runs lie in the order of the groups; limits by word
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        at = np.append(0, np.cumsum(sizes[order]))[:-1]
+        starts = np.zeros(len(words), np.int64)
+        starts[order] = at
+        return _in_order(ids, starts, sizes) + (good,)
+
+    def _ids(self, text: str, side: int) -> np.ndarray:
+        parts = split_parts(text)
+        found = [self.encode_a(" " + p) if side == 0 else np.array(self.b.encode(p), np.int64) for p in parts]
+        return np.concatenate(found)
+
+
+def _in_order(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs one behind the other, and their limits."""
+    limits = np.append(0, np.cumsum(sizes))
+    return ids[np.repeat(starts - limits[:-1], sizes) + np.arange(limits[-1])], limits
 
 
 def _spells(ids: np.ndarray, entries: pa.Array, text: str) -> bool:
@@ -177,18 +238,17 @@ def _spells(ids: np.ndarray, entries: pa.Array, text: str) -> bool:
     return (b"" if raw is None else raw.to_pybytes()) == text.encode()
 
 
+#: No token of either vocabulary goes on behind a single space between two characters that are none.
+SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+
+
 def split_parts(text: str, size: int | None = None) -> list[str]:
-    """The text cut at single spaces between letters or digits, the spaces left out, into parts of about ``size``."""
-    size = size or PART
+    """The text cut at single spaces, which are left out, into parts of about ``size`` characters."""
+    size = PART if size is None else size
     parts, start = [], 0
-    while len(text) - start > size:
-        cut = text.find(" ", start + size)
-        while cut != -1 and not (text[cut - 1].isalnum() and text[cut + 1 : cut + 2].isalnum()):
-            cut = text.find(" ", cut + 1)
-        if cut == -1:
-            break
-        parts.append(text[start:cut])
-        start = cut + 1
+    while len(text) - start > size and (cut := SINGLE_SPACE.search(text, start + size)):
+        parts.append(text[start : cut.start()])
+        start = cut.end()
     return [*parts, text[start:]]
 
 
@@ -218,11 +278,6 @@ def merge_cuts(ends_a: np.ndarray, ends_b: np.ndarray, diagonals: np.ndarray) ->
     return i, j + split
 
 
-def _runs(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    limits = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    return np.concatenate(lists) if lists else np.zeros(0, np.int64), limits
-
-
 _CODEC = pa.Codec("zstd", compression_level=1)
 
 
@@ -239,13 +294,21 @@ def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(runs), "<u4").astype(np.int64), np.append(0, np.cumsum([len(r) // 4 for r in runs], dtype=np.int64))
 
 
-def _digests(know: Tokenizers, ids_a, at_a, group_a, ids_b, at_b, group_b) -> list[str]:
+def _shared(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which A and which B tokens end where the other side ends too."""
+    at = np.minimum(np.searchsorted(ends_b, ends_a), max(len(ends_b) - 1, 0))
+    shared_a = ends_b[at] == ends_a if len(ends_b) else np.zeros(len(ends_a), bool)
+    shared_b = np.zeros(len(ends_b), bool)
+    shared_b[at[shared_a]] = True
+    return shared_a, shared_b
+
+
+def _digests(know: Tokenizers, ids_a, at_a, last_a, ids_b, at_b, last_b) -> list[str]:
     """sha256 of ``a1,a2|b1;a3|b2`` per text: every token takes its place behind the groups before it."""
     marks, n = know.decimals
-    place_a = np.arange(len(ids_a)) + np.searchsorted(group_b, group_a, "left")
-    place_b = np.arange(len(ids_b)) + np.searchsorted(group_a, group_b, "right")
-    last_a = np.append(group_a[1:] != group_a[:-1], True)[: len(ids_a)]
-    last_b = np.append(group_b[1:] != group_b[:-1], True)[: len(ids_b)]
+    group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+    place_a = np.arange(len(ids_a)) + np.append(0, np.flatnonzero(last_b) + 1)[group_a]
+    place_b = np.arange(len(ids_b)) + (np.flatnonzero(last_a) + 1)[group_b]
     order = np.zeros(len(ids_a) + len(ids_b), np.int64)
     order[place_a] = ids_a + n * last_a
     order[place_b] = 2 * n + ids_b + len(know.bytes_b) * last_b
@@ -269,12 +332,10 @@ def pieces(documents: DataFrame, folder: str = FOLDER, size: int = PIECE) -> Dat
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         know = shared.value
         for batch in tokens.text_batches(batches, STEP_BYTES):
-            listed_a, listed_b = know.encode(batch.column("text").to_pylist())
-            (ids_a, at_a), (ids_b, at_b) = _runs(listed_a), _runs(listed_b)
+            (ids_a, at_a), (ids_b, at_b) = know.encode(batch.column("text").to_pylist())
             # texts follow one another on one line of bytes; each ends where both sides end
             ends_a, ends_b = np.cumsum(know.lengths[0][ids_a]), np.cumsum(know.lengths[1][ids_b])
-            common = np.intersect1d(ends_a, ends_b, assume_unique=True)
-            group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+            shared_a, shared_b = _shared(ends_a, ends_b)
             first = at_a + at_b
             doc = np.repeat(np.arange(batch.num_rows), np.maximum(1, -(-np.diff(first) // size)))
             piece = np.arange(len(doc)) - np.searchsorted(doc, doc)
@@ -283,9 +344,8 @@ def pieces(documents: DataFrame, folder: str = FOLDER, size: int = PIECE) -> Dat
             ahead_a, ahead_b = np.minimum(i[1:] + 1, at_a[doc + 1]), np.minimum(j[1:] + 1, at_b[doc + 1])
             start_a, start_b = np.append(0, ends_a)[i[:-1]], np.append(0, ends_b)[j[:-1]]
             origin = np.minimum(start_a, start_b)
-            # groups that end up to each cut: those whose last A token lies before it
-            closed = np.searchsorted(common, np.minimum(np.append(0, ends_a)[i], np.append(0, ends_b)[j]), "right")
-            digests = _digests(know, ids_a, at_a, group_a, ids_b, at_b, group_b)
+            closed = np.append(0, np.cumsum(shared_a))[i]  # groups that end before each cut: no cut parts two equal ends
+            digests = _digests(know, ids_a, at_a, shared_a, ids_b, at_b, shared_b)
 
             numbers = [piece, np.diff(i), np.diff(j), np.diff(closed), start_a - origin, start_b - origin]
             piece_, own_a, own_b, groups_, a_at, b_at = (pa.array(x, pa.int32()) for x in numbers)
@@ -303,12 +363,13 @@ def pieces(documents: DataFrame, folder: str = FOLDER, size: int = PIECE) -> Dat
 
 @dataclass
 class Merged:
-    """The merges of a batch of pieces: ids and ends of both sides, own ends, and for each event its row and tokens."""
+    """The merges of a batch of pieces: ids, ends, own tokens and limits of both sides, and where each piece begins."""
 
     ids_a: np.ndarray
     ids_b: np.ndarray
     ends_a: np.ndarray
     ends_b: np.ndarray
+    starts_a: np.ndarray
     own_a: np.ndarray
     own_b: np.ndarray
     limits_a: np.ndarray
@@ -316,18 +377,28 @@ class Merged:
     base: np.ndarray
 
     @cached_property
-    def events(self) -> np.ndarray:
-        return np.union1d(self.ends_a[self.own_a], self.ends_b[self.own_b])
-
-    @cached_property
-    def rows(self) -> np.ndarray:
-        return np.searchsorted(self.base, self.events, "right") - 1
-
-    @cached_property
-    def codes(self) -> np.ndarray:
-        """``A id * 2^32 + B id`` of the two tokens that overlap before each event."""
-        a, b = self.ids_a[np.searchsorted(self.ends_a, self.events)], self.ids_b[np.searchsorted(self.ends_b, self.events)]
-        return (a << 32) | b
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """``row, code`` of all overlaps that end in the pieces, a code being ``A id * 2^32 + B id``.
+
+        An A token overlaps the B tokens from the first that ends behind its start to the first that does not end
+        before its end; the overlap belongs to the piece that owns the token that ends first.
+        """
+        row = np.repeat(np.arange(len(self.base)), np.diff(self.limits_a))
+        if not len(row):
+            return row, row
+        stop = np.searchsorted(self.ends_b, self.ends_a)
+        start = np.append(0, stop[:-1] + (self.ends_b[np.minimum(stop[:-1], len(self.ends_b) - 1)] == self.ends_a[:-1]))
+        new = self.limits_a[:-1][np.diff(self.limits_a) > 0]
+        start[new] = np.searchsorted(self.ends_b, self.starts_a[new], "right")
+        start = np.maximum(start, self.limits_b[row])
+        sizes = np.maximum(np.minimum(stop, self.limits_b[row + 1] - 1) - start + 1, 0)
+        a = np.repeat(np.arange(len(row)), sizes)
+        b = np.repeat(start - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())
+        end_a, end_b = self.ends_a[a], self.ends_b[b]
+        owned = ((end_a <= end_b) & self.own_a[a]) | ((end_b <= end_a) & self.own_b[b])
+        if not owned.all():
+            a, b = a[owned], b[owned]
+        return row[a], (self.ids_a[a] << 32) | self.ids_b[b]
 
 
 def _merged(batch: pa.RecordBatch, lengths: tuple[np.ndarray, np.ndarray]) -> Merged:
@@ -335,16 +406,18 @@ def _merged(batch: pa.RecordBatch, lengths: tuple[np.ndarray, np.ndarray]) -> Me
 
     def side(name: str, length: np.ndarray):
         ids, limits = _unpacked(batch.column(f"{name}_ids"))
-        sums = np.append(0, np.cumsum(length[ids]))
         at = batch.column(f"{name}_at").to_numpy().astype(np.int64)
+        sums = np.append(0, np.cumsum(length[ids]))
         row = np.repeat(np.arange(batch.num_rows), np.diff(limits))
         own = np.arange(len(ids)) - limits[row] < batch.column(f"own_{name}").to_numpy()[row]
-        return ids, limits, row, own, sums[1:] - sums[limits[row]] + at[row], at + sums[limits[1:]] - sums[limits[:-1]]
+        shift = at - sums[limits[:-1]]
+        return ids, limits, row, own, sums, shift, sums[limits[1:]] + shift
 
-    ids_a, limits_a, row_a, own_a, ends_a, reach_a = side("a", lengths[0])
-    ids_b, limits_b, row_b, own_b, ends_b, reach_b = side("b", lengths[1])
+    ids_a, limits_a, row_a, own_a, sums_a, shift_a, reach_a = side("a", lengths[0])
+    ids_b, limits_b, row_b, own_b, sums_b, shift_b, reach_b = side("b", lengths[1])
     base = np.append(0, np.cumsum(np.maximum(reach_a, reach_b) + 1)[:-1])
-    return Merged(ids_a, ids_b, ends_a + base[row_a], ends_b + base[row_b], own_a, own_b, limits_a, limits_b, base)
+    move_a, move_b = (shift_a + base)[row_a], (shift_b + base)[row_b]
+    return Merged(ids_a, ids_b, sums_a[1:] + move_a, sums_b[1:] + move_b, sums_a[:-1] + move_a, own_a, own_b, limits_a, limits_b, base)
 
 
 def _small(batches: Iterator[pa.RecordBatch], limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
@@ -372,7 +445,7 @@ def pair_counts(cut: DataFrame, folder: str = FOLDER) -> DataFrame:
             return codes, np.bincount(at, np.concatenate([x for _, x in sums])).astype(np.int64)
 
         for batch in _small(batches):
-            codes, n = np.unique(_merged(batch, lengths).codes, return_counts=True)
+            codes, n = np.unique(_merged(batch, lengths).links[1], return_counts=True)
             sums.append((codes, n))
             held += len(codes)
             if held > HELD:
@@ -424,7 +497,7 @@ def link_totals(cut: DataFrame, counts: DataFrame, folder: str = FOLDER, head: i
         codes, counts_, best = known.value
         for batch in _small(batches):
             merged = _merged(batch, shared.value)
-            rows, own, n = merged.rows, merged.codes, batch.num_rows
+            (rows, own), n = merged.links, batch.num_rows
             at = np.minimum(np.searchsorted(codes, own), max(len(codes) - 1, 0))
             found = codes[at] == own if len(codes) else np.zeros(len(own), bool)
             sums = np.zeros(n, np.int64)

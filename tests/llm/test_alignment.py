@@ -145,12 +145,26 @@ def test_parts_of_a_long_text(know, size):
     for _ in range(30):
         text = " ".join(rng.choice(words) for _ in range(60))
         parts = ta.split_parts(text, size)
-        assert " ".join(parts) == text
+        assert " ".join(parts) == text and (size < 100 or len(parts) > 1)
         joined = [i for p in parts for i in know.a.encode(" " + p, add_special_tokens=False).ids]
         assert joined == know.a.encode(" " + text, add_special_tokens=False).ids
         assert [i for p in parts for i in know.b.encode(p)] == know.b.encode(text)
 
 
+def test_encoding_word_by_word_equals_encoding_whole_texts(know):
+    rng = random.Random(4)
+    words = ["don't", "a", "Ünder", "漢字", "1999", "...", "x\n", "  ", "\t", "end.", "🙂", "'s", ",", "e\u0301", "\u00a0", "\u3000", "-", "\x1c", "\x85", "ﬁ", "¨", "\u0308"]
+    texts = [None, "", " "] + [rng.choice(["", " "]) + " ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(400)]
+    for few in ([t for t in texts if t is None or "ﬁ" not in t], texts):
+        (ids_a, at_a), (ids_b, at_b) = know.encode(few)
+        for i, t in enumerate(few):
+            a, b = (know.a.encode(" " + t, add_special_tokens=False).ids, know.b.encode(t)) if t else ([], [])
+            whole = (" " + t).encode() if t else b""
+            same = b"".join(know.bytes_a[k] for k in a) == whole == b"".join(know.bytes_b[k] for k in b)
+            assert ids_a[at_a[i] : at_a[i + 1]].tolist() == (a if same else [])
+            assert ids_b[at_b[i] : at_b[i + 1]].tolist() == (b if same else [])
+
+
 def test_no_piece_crosses_a_cut(know):
     """What lets a text be cut: a space stands only first in an entry, or among spaces."""
     for entry in know.bytes_b:
