@@ -181,14 +181,16 @@ def test_removed_spans_of_rows_that_repeat_an_id(spark, documents):
 def test_windows_of_large_benchmarks_travel_without_words(spark, documents):
     """Beyond the broadcast no exchange by hash carries the words of a document."""
     words = documents([(1, "a b c")]).selectExpr("doc_id", "1L AS text_hash", "split(text, ' ') AS words")
-    grams = spark.sql("SELECT 1L AS gram_hash, 3 AS length, array('a', 'b', 'c') AS gram, array('i') AS items")
-    seen = []
+    grams = decontamination.benchmark_windows(spark.createDataFrame([(1, "a b c")], "item_id long, text string"))
+    seen, limit = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     stored = decontamination.stored
     try:
         decontamination.stored = lambda frame, name: (seen.append(frame._jdf.queryExecution().executedPlan().toString()), stored(frame, name))[1]
         decontamination._scan_many(words, grams, [3], 0)
     finally:
         decontamination.stored = stored
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     places = seen[0]
     assert "hashpartitioning(gram_hash" in places
     assert not any("words#" in line for line in places.splitlines() if "Exchange" in line)
