@@ -136,3 +136,29 @@ def shingles(prints: np.ndarray, limits: np.ndarray, k: int) -> tuple[np.ndarray
             word = prints[np.minimum(first + i, len(prints) - 1)]
             value += np.where(inside, word, np.uint64(0)) * up[i + 1]
         return mixed(value), out_limits
+
+
+_CODEC = pa.Codec("zstd", compression_level=1)
+
+
+def packed_sets(row: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    """Sorted values below 2^32 of each of ``n`` rows as one compressed binary, so that a batch of many long sets stays
+    small in the JVM; ``row`` is sorted."""
+    steps = np.diff(values, prepend=0).astype(np.int64)
+    limits = np.searchsorted(row, np.arange(n + 1)).tolist()
+    first = [i for i, j in zip(limits[:-1], limits[1:], strict=True) if j > i]
+    steps[first] = values[first]
+    raw = steps.astype("<u4")
+    runs = [raw[i:j].tobytes() for i, j in zip(limits[:-1], limits[1:], strict=True)]
+    return pa.array([len(r).to_bytes(8, "little") + _CODEC.compress(r, asbytes=True) if r else b"" for r in runs], pa.binary())
+
+
+def unpacked_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``row, value`` of a column of packed sets; null counts as empty."""
+    rows, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, r in enumerate(column.to_pylist()):
+        if r:
+            held = np.cumsum(np.frombuffer(_CODEC.decompress(r[8:], int.from_bytes(r[:8], "little"), asbytes=True), "<u4").astype(np.int64))
+            rows.append(np.full(len(held), i))
+            values.append(held)
+    return np.concatenate(rows), np.concatenate(values)

@@ -204,21 +204,22 @@ def _lists(row: np.ndarray, column: np.ndarray, n: int) -> pa.ListArray:
 
 
 def sample_features(documents: DataFrame, labels: DataFrame, terms=IDENTITY_TERMS, size: int = SAMPLE) -> DataFrame:
-    """``at, toxic, columns, twin``: features of the sampled texts and, where a text has identity terms, of its twin."""
+    """``at, toxic, columns, twin``: packed features of the sampled texts and, where a text has identity terms, of its twin."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
     known = known.filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null").join(F.broadcast(known), "doc_id")
-    kind = "at bigint, toxic int, columns array<int>, twin array<int>"
+    kind = "at bigint, toxic int, columns binary, twin binary"
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         swaps = Swaps(terms)
         for batch in tokens.text_batches(batches, 1 << 20):
             twins = [swaps.swapped(t) for t in batch.column("text").to_pylist()]
-            some = np.flatnonzero([t is not None for t in twins])
-            row, column = features(pa.array([twins[i] for i in some], pa.string()))
-            twin = _lists(row, column, len(some)).take(pa.array(np.where([t is None for t in twins], None, np.cumsum([t is not None for t in twins]) - 1).tolist(), pa.int64()))
-            own = _lists(*features(batch.column("text")), batch.num_rows)
+            some = [i for i, t in enumerate(twins) if t is not None]
+            held = tokens.packed_sets(*features(pa.array([twins[i] for i in some], pa.string())), len(some))
+            place = dict(zip(some, range(len(some)), strict=True))
+            twin = held.take(pa.array([place.get(i) for i in range(batch.num_rows)], pa.int64()))
+            own = tokens.packed_sets(*features(batch.column("text")), batch.num_rows)
             yield pa.record_batch([batch.column("at"), batch.column("toxic"), own, twin], names=["at", "toxic", "columns", "twin"])
 
     return texts.select(F.xxhash64("doc_id", "text").alias("at"), "toxic", "text").mapInArrow(describe, kind)
@@ -230,11 +231,9 @@ def chosen_features(sample: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, toxic = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
         for batch in batches:
-            columns = batch.column("columns")
-            mark = np.repeat(batch.column("toxic").to_numpy(), columns.value_lengths().to_numpy()) > 0
-            values = columns.flatten().to_numpy()
+            row, values = tokens.unpacked_sets(batch.column("columns"))
             np.add.at(every, values, 1)
-            np.add.at(toxic, values[mark], 1)
+            np.add.at(toxic, values[batch.column("toxic").to_numpy()[row] > 0], 1)
         some = np.flatnonzero(every)
         yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(every[some].astype(np.int64)), pa.array(toxic[some].astype(np.int64))], names=["feature", "n", "toxic"])
 
@@ -258,11 +257,10 @@ def train(documents: DataFrame, labels: DataFrame, terms=IDENTITY_TERMS, swap_we
         for batch in batches:
             arrays = []
             for name in ("columns", "twin"):
-                lists = batch.column(name)
-                row = np.repeat(np.arange(batch.num_rows), pc.fill_null(lists.value_lengths(), 0).to_numpy())
-                at = place[lists.flatten().to_numpy()]
+                row, values = tokens.unpacked_sets(batch.column(name))
+                at = place[values]
                 arrays.append(_lists(row[at >= 0], at[at >= 0], batch.num_rows))
-            yield pa.record_batch([batch.column("at"), batch.column("toxic"), *arrays, lists.is_valid()], names=["at", "toxic", "columns", "twin", "swapped"])
+            yield pa.record_batch([batch.column("at"), batch.column("toxic"), *arrays, batch.column("twin").is_valid()], names=["at", "toxic", "columns", "twin", "swapped"])
 
     def fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)).combine_chunks()  # the sample's weighed features, all in this task
