@@ -264,13 +264,9 @@ def text_bytes(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- nodes -------------------------------------------------------------------------------------------
 def page_tag_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Elements of each page that its markup spells out, by tag."""
+    """Elements of each page by tag, those that its markup does not spell out included."""
     nodes = n.html_nodes(_parsed_pages(spark, sf))
-    return (
-        nodes.filter((F.col("kind") == "element") & ~F.col("implied"))
-        .groupBy("page_id", "tag")
-        .agg(F.count("*").alias("n"))
-    )
+    return nodes.filter(F.col("kind") == "element").groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
 def filing_nodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -286,12 +282,9 @@ def filing_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_header_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Header candidates of each page by tag, bold ones included."""
     candidates = n.header_candidates(_parsed_pages(spark, sf)).select("page_id", F.inline_outer("candidates"))
-    return (
-        candidates.filter(~F.col("tag").isin(n.BOLD_TAGS))
-        .groupBy("page_id", "tag")
-        .agg(F.count("*").alias("n"))
-    )
+    return candidates.filter(F.col("tag").isNotNull()).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
 def filing_headers(spark: SparkSession, sf: str) -> DataFrame:
@@ -299,11 +292,8 @@ def filing_headers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_texts(spark: SparkSession, sf: str) -> DataFrame:
-    def first(tag: str) -> Column:
-        node = F.get(F.filter("nodes", lambda e: e["tag"] == tag), F.lit(0))
-        return n.node_text(F.col("doc_text"), node)
-
-    return _parsed_pages(spark, sf).select("page_id", first("title").alias("title"), first("h1").alias("h1"))
+    """The text of every header candidate of each page."""
+    return page_header_texts(spark, sf).select("page_id", "tag", "text")
 
 
 def _candidate_texts() -> Column:

@@ -198,6 +198,28 @@ PAGE_TAGS = r"""src AS (
     '(<script[^>]*>).*?(</script>|$)', '\1', 'gs') AS html FROM pages),
 tags AS (
   SELECT page_id, lower(unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)[^>]*>', 1))) AS tag FROM src)"""
+# A b that is never closed is opened again in every later paragraph and in the footer, three times at most.
+PAGE_BOLD = """para AS (
+  SELECT page_id, i, regexp_replace(split_part(split_part(s, '</p>', 1), '</article>', 1), '<[^>]*$', '') AS inside, (strlen(s) - strlen(replace(s, '<b>', ''))) // 3 AS own
+  FROM (SELECT page_id, generate_subscripts(l, 1) AS i, unnest(l) AS s FROM (SELECT page_id, string_split(html, '<p>') AS l FROM src))),
+bold AS (
+  SELECT *, coalesce(sum(own) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM para),
+foot AS (
+  SELECT page_id, regexp_replace(regexp_extract(html, '<footer>(.*)$', 1, 's'), '<[^>]*$', '') <> '' AS has FROM src),
+reopened AS (
+  SELECT page_id, coalesce(sum(least(before, 3)) FILTER (WHERE i > 1 AND inside <> ''), 0)
+    + CASE WHEN any_value(has) THEN least(sum(own), 3) ELSE 0 END AS n
+  FROM bold JOIN foot USING (page_id) GROUP BY page_id)"""
+PAGE_TEXTS = r"""cand AS (
+  SELECT page_id, 'h1' AS tag, unnest(regexp_extract_all(html, '<h1>(.*?)(?:</h1>|$)', 1, 's')) AS raw FROM src
+  UNION ALL SELECT page_id, 'div', unnest(regexp_extract_all(html, '<div class="ad">(.*?)(?:</div>|$)', 1, 's')) FROM src
+  UNION ALL SELECT page_id, 'a', unnest(regexp_extract_all(html, '<a href="[^"]*">(.*?)(?:</a>|$)', 1, 's')) FROM src
+  UNION ALL SELECT page_id, 'b', CASE WHEN before > 0 THEN inside ELSE regexp_replace(inside, '^.*?<b>', '', 's') END
+    FROM bold WHERE i > 1 AND inside <> '' AND before + own > 0)"""
+
+
+#: Tags out; a reference cut off before its semicolon still counts.
+TEXT_OF = r"regexp_replace(regexp_replace(regexp_replace(raw, '<[^>]*$', ''), '<[^>]*>', '', 'g'), '&(copy|middot|lt|gt|quot|amp)$', '&\1;')"
 
 
 def _decoded(column: str) -> str:
@@ -339,7 +361,12 @@ FROM h""".replace("\\\\", "\\"),
   'Financial Statements and Supplementary Data' AS section_title, strlen(content) AS content_length
 FROM ext WHERE reason IS NULL""",
     ),
-    "H1_html_nodes": _with([PAGE_TAGS], "SELECT page_id, tag, count(*) AS n FROM tags GROUP BY page_id, tag"),
+    "H1_html_nodes": _with(
+        [PAGE_TAGS, PAGE_BOLD],
+        """SELECT page_id, tag, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT page_id, tag, count(*) AS n FROM tags GROUP BY page_id, tag UNION ALL SELECT page_id, 'b', n FROM reopened WHERE n > 0)
+GROUP BY page_id, tag""",
+    ),
     "H1_html_nodes_filings": _with(
         [DOC],
         f"""SELECT d.doc_id, CAST(s.n_nodes AS BIGINT) AS n_nodes, CAST(s.n_elements AS BIGINT) AS n_elements,
@@ -348,13 +375,16 @@ FROM ext WHERE reason IS NULL""",
 FROM doc d JOIN (VALUES {SHAPES}) s(v, n_nodes, n_elements, n_comments, max_depth) ON s.v = d.v""",
     ),
     "H2_header_candidates": _with(
-        [PAGE_TAGS],
+        [PAGE_TAGS, PAGE_BOLD],
         """SELECT page_id, tag, count(*) AS n FROM tags
-WHERE tag IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'font', 'div', 'span', 'a') GROUP BY page_id, tag""",
+WHERE tag IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'font', 'div', 'span', 'a') GROUP BY page_id, tag
+UNION ALL SELECT page_id, 'b', count(*) FROM bold WHERE i > 1 AND inside <> '' AND before + own > 0 GROUP BY page_id""",
     ),
     "H2_header_candidates_filings": _nodes(HEADERS),
-    "H3_element_text": f"""SELECT page_id, {_decoded("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")} AS title,
-  {_decoded("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")} AS h1 FROM pages""",
+    "H3_element_text": _with(
+        [PAGE_TAGS, PAGE_BOLD, PAGE_TEXTS],
+        f"""SELECT page_id, tag, {_decoded(TEXT_OF)} AS text FROM cand""",
+    ),
     "H3_element_text_filings": _with(
         [DOC],
         f"""SELECT d.doc_id, CAST(e.node_id AS BIGINT) AS node_id, e.tag,
