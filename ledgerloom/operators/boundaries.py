@@ -201,13 +201,14 @@ def first_start(parsed: DataFrame, rule: SectionRule = ITEM_8) -> DataFrame:
         return _first_strict_start(parsed, rule)
 
     def fold(text: Column) -> Column:
-        return F.aggregate(
+        number = F.aggregate(
             "candidates",
-            F.lit(None).cast(NODE),
+            F.lit(None).cast("int"),
             lambda found, c: F.coalesce(
-                found, F.when(is_start_text(node_text(text, c["node"]), rule) & ~in_toc(c, text), c["node"])
+                found, F.when(is_start_text(node_text(text, c["node"]), rule) & ~in_toc(c, text), c["node"]["node_id"])
             ),
         )
+        return F.get("nodes", number)
 
     return candidates(parsed, rule).withColumn("start", bound("doc_text", fold)).drop("candidates")
 
@@ -326,23 +327,28 @@ def first_end(followed: DataFrame, rule: SectionRule = ITEM_8) -> DataFrame:
     if rule.mode == "strict":
         return _first_strict_end(followed, rule)
 
-    nothing, no = F.lit(None).cast(NODE), F.lit(False)
+    nothing, no = F.lit(None).cast("int"), F.lit(False)
+
+    def state(sibling: Column, last: Column, below: Column) -> Column:
+        return F.struct(sibling.alias("sibling"), last.alias("last"), below.alias("below"))
 
     def step(found: Column, n: Column, text: Column) -> Column:
-        settled = found["below"].isNotNull() | (found["sibling"]["last_desc"] < n["node_id"])
+        settled = found["below"].isNotNull() | (found["last"] < n["node_id"])
         return (
             F.when(F.coalesce(settled, no) | ~F.coalesce(is_end(n, text, rule), no), found)
-            .when(is_sibling(n), F.struct(n.alias("sibling"), found["below"].alias("below")))
-            .otherwise(F.struct(found["sibling"].alias("sibling"), n.alias("below")))
+            .when(is_sibling(n), state(n["node_id"], n["last_desc"], found["below"]))
+            .otherwise(state(found["sibling"], found["last"], n["node_id"]))
         )
 
+    # a fold copies its state at every step, so it carries numbers of nodes, not nodes
     def fold(text: Column) -> Column:
-        return F.aggregate(
+        number = F.aggregate(
             "following",
-            F.struct(nothing.alias("sibling"), nothing.alias("below")),
+            state(nothing, nothing, nothing),
             lambda found, n: step(found, n, text),
             lambda found: F.coalesce(found["below"], found["sibling"]),
         )
+        return F.get("nodes", number)
 
     return followed.withColumn("end", bound("doc_text", fold))
 
