@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 from brute import spaced_words
+from pyspark.sql import functions as F
 from test_models import classes
 
 import corpus_pipeline
@@ -85,6 +86,35 @@ def test_columns_and_run(spark, sf_dir, stages):
     )
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def odd_rows():
+    words = "some plain words of a document that stands by itself number"
+    rows = [(i, f"{words} {i} {' '.join(f'v{i}w{k}' for k in range(30))}", "en", f"src{i % 5}", 1) for i in range(40)]
+    rows += [(7, "another text of an id that is taken " * 3, "de", "src1", 2), rows[3], rows[3]]
+    return rows + [(None, None, None, None, None), (None, "", None, None, None), (None, f"{words} without an id", "en", "src2", 3), (90, "x " * 200_000, "fr", None, 4)]
+
+
+@pytest.mark.parametrize("stage", [s for s, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_tables(spark, sf_dir, stage):
+    """Nulls, empty and long texts, repeated ids and rows, clashing names, no rows at all."""
+    run = dict(corpus_pipeline.STAGES)[stage]
+    clashing = {"key": F.lit(1), "row": F.lit("r"), "count": F.lit(2), "component_id": F.lit(3), "words": F.lit(4), "_n": F.lit(5)}
+    docs = stored(spark.createDataFrame(odd_rows(), ODD).withColumns(clashing), "odd")
+    out = run(spark, docs, sf_dir)
+    assert out.columns[: len(docs.columns)] == docs.columns if stage != "sharding" else set(docs.columns) <= set(out.columns)
+    kept, given = Counter(map(tuple, out.select(*docs.columns).collect())), Counter(map(tuple, docs.collect()))
+    assert not kept - given
+    names = {(r[0], r[1]) for r in kept}
+    if stage == "ngram_jaccard":
+        assert max(kept.values()) == 1
+        assert {(7, r[1]) for r in given if r[0] == 7} <= names and {(None, None), (None, "")} <= names
+    if stage in ("decontamination", "sharding"):
+        assert kept == given
+    assert run(spark, docs.filter("false"), sf_dir).count() == 0
+
+
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_query_equals_sql(spark, sf_dir, name):
     duck = duckdb.connect()
