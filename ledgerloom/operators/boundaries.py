@@ -44,6 +44,8 @@ END_PATTERNS = (
 END_TAGS = ["h1", "h2", "h3", "h4", "h5", "h6", "p", "div", "font"]
 #: Every start match holds this, white space and what cleaning makes of entities included.
 START_PROBE = r"(?i)8(?:[.\s\-–—:]|&nbsp;|&#160;)*Financial"
+#: Every end match holds one of these.
+END_PROBE = r"(?i)Item(?:\s|&nbsp;)*(?:9|10)|Part(?:\s|&nbsp;)+III|Signatures|Exhibit"
 TOC_TAGS = ["div", "nav"]
 TOC_MARK = "toc"
 TABLE_TAGS = ["td", "tr", "table"]
@@ -55,8 +57,9 @@ MIN_SECTION_BYTES = 1000
 class SectionRule:
     """What to look for.
 
-    ``start_probe`` must be a pattern without which no start pattern can match; it is sought once in a
-    document's text, and only elements that hold a place of it are tested.  None switches the short cut off.
+    ``start_probe`` must be a pattern without which no start pattern can match, ``end_probe`` likewise; they are sought
+    once in a document's text, and only elements that hold a place of one are tested.  None switches the short cut
+    off, and so do patterns of one's own without a probe of their own.
     """
 
     name: str = SECTION_NAME
@@ -65,9 +68,13 @@ class SectionRule:
     end_patterns: Sequence[str] = END_PATTERNS
     min_bytes: int = MIN_SECTION_BYTES
     start_probe: str | None = START_PROBE
+    end_probe: str | None = END_PROBE
     mode: str = "reference"
 
     def __post_init__(self) -> None:
+        for side, patterns, probe in (("start", START_PATTERNS, START_PROBE), ("end", END_PATTERNS, END_PROBE)):
+            if tuple(getattr(self, f"{side}_patterns")) != patterns and getattr(self, f"{side}_probe") == probe:
+                object.__setattr__(self, f"{side}_probe", None)
         if self.mode not in ("reference", "strict"):
             raise ValueError(f"mode must be 'reference' or 'strict', not {self.mode!r}")
 
@@ -152,9 +159,12 @@ def candidates(parsed: DataFrame, rule: SectionRule | None = None) -> DataFrame:
 
     if not probe:
         return parsed.withColumn("candidates", walk(F.lit(None)))
-    places = match_places(F.col("doc_text").cast("string"), unicode_pattern(probe))
     none = F.expr(f"cast(array() as array<{CANDIDATE}>)")
-    return parsed.withColumn("candidates", bound(places, lambda probes: F.when(F.size(probes) == 0, none).otherwise(walk(probes))))
+    return parsed.withColumn("candidates", bound(_places(probe), lambda probes: F.when(F.size(probes) == 0, none).otherwise(walk(probes))))
+
+
+def _places(probe: str) -> Column:
+    return match_places(F.col("doc_text").cast("string"), unicode_pattern(probe))
 
 
 #: Probes passed over at a time; elements between which more of them stand are compared with all that follow.
@@ -266,6 +276,21 @@ def _first_strict_start(parsed: DataFrame, rule: SectionRule) -> DataFrame:
     return candidates(parsed, rule).withColumn("start", bound("doc_text", search)).drop("candidates")
 
 
+def _probed(nodes: Column, probe: str | None) -> Column:
+    """The nodes whose text holds a place of the probe."""
+    if not probe:
+        return nodes
+
+    def walk(probes: Column) -> Column:
+        def step(state: Column, n: Column, index: Column) -> tuple[dict[str, Column], Column, Column]:
+            at = _next_probe(probes, state["probe"], n)
+            return {"probe": at}, _holds_probe(probes, at, n), index
+
+        return F.transform(sweep(nodes, {"probe": F.lit(0)}, step), lambda i: F.get(nodes, i.cast("int")))
+
+    return bound(_places(probe), lambda probes: F.when(F.size(probes) == 0, F.slice(nodes, F.lit(1), F.lit(0))).otherwise(walk(probes)))
+
+
 def _first_strict_end(followed: DataFrame, rule: SectionRule) -> DataFrame:
     """The first innermost end marker behind the start, and as far up as it is the first thing in its block."""
 
@@ -277,7 +302,7 @@ def _first_strict_end(followed: DataFrame, rule: SectionRule) -> DataFrame:
     def search(text: Column) -> Column:
         tag = lambda n: F.coalesce(is_header(n) | n["tag"].isin(END_TAGS), F.lit(False))
         is_marker = lambda n: tag(n) & is_end_text(node_text(text, n), rule)
-        found = _innermost("following", lambda n: n, is_marker, lambda n: F.lit(True))
+        found = _innermost(_probed(F.col("following"), rule.end_probe), lambda n: n, is_marker, lambda n: F.lit(True))
         return bound(found, lambda node: F.when(node.isNotNull(), _climbed(node, text, opens)))
 
     return followed.withColumn("end", bound("doc_text", search))
@@ -305,10 +330,14 @@ def is_sibling(node: Column) -> Column:
     return node["parent_id"] == F.col("start")["parent_id"]
 
 
+def is_end_tag(node: Column) -> Column:
+    """A block tag among the siblings of the start, a header tag below them."""
+    return F.when(is_sibling(node), node["tag"].isin(END_TAGS)).otherwise(is_header(node))
+
+
 def is_end(node: Column, doc_text: Column, rule: SectionRule) -> Column:
-    """An end marker: a block tag among the siblings of the start, a header tag below them."""
-    tag = F.when(is_sibling(node), node["tag"].isin(END_TAGS)).otherwise(is_header(node))
-    return F.coalesce(tag, F.lit(False)) & is_end_text(node_text(doc_text, node), rule)
+    """An end marker by tag and text."""
+    return F.coalesce(is_end_tag(node), F.lit(False)) & is_end_text(node_text(doc_text, node), rule)
 
 
 def end_matches(followed: DataFrame, rule: SectionRule = ITEM_8) -> DataFrame:
@@ -329,28 +358,37 @@ def first_end(followed: DataFrame, rule: SectionRule = ITEM_8) -> DataFrame:
 
     nothing, no = F.lit(None).cast("int"), F.lit(False)
 
-    def state(sibling: Column, last: Column, below: Column) -> Column:
-        return F.struct(sibling.alias("sibling"), last.alias("last"), below.alias("below"))
-
-    def step(found: Column, n: Column, text: Column) -> Column:
-        settled = found["below"].isNotNull() | (found["last"] < n["node_id"])
-        return (
-            F.when(F.coalesce(settled, no) | ~F.coalesce(is_end(n, text, rule), no), found)
-            .when(is_sibling(n), state(n["node_id"], n["last_desc"], found["below"]))
-            .otherwise(state(found["sibling"], found["last"], n["node_id"]))
-        )
+    def state(sibling: Column, last: Column, below: Column, probe: Column) -> Column:
+        return F.struct(sibling.alias("sibling"), last.alias("last"), below.alias("below"), probe.alias("probe"))
+
+    def step(found: Column, n: Column, text: Column, probes: Column | None) -> Column:
+        settled = F.coalesce(found["below"].isNotNull() | (found["last"] < n["node_id"]), no)
+        at, holds = found["probe"], F.lit(True)
+        if probes is not None:
+            at = _next_probe(probes, at, n)
+            holds = _holds_probe(probes, at, n)
+        ends = F.coalesce(is_end_tag(n), no) & holds & is_end_text(node_text(text, n), rule)
+        sibling = state(n["node_id"], n["last_desc"], found["below"], at)
+        below = state(found["sibling"], found["last"], n["node_id"], at)
+        passed = state(found["sibling"], found["last"], found["below"], at)
+        return F.when(settled, found).when(~ends, passed).when(is_sibling(n), sibling).otherwise(below)
 
     # a fold copies its state at every step, so it carries numbers of nodes, not nodes
-    def fold(text: Column) -> Column:
+    def fold(text: Column, probes: Column | None = None) -> Column:
         number = F.aggregate(
             "following",
-            state(nothing, nothing, nothing),
-            lambda found, n: step(found, n, text),
+            state(nothing, nothing, nothing, F.lit(0)),
+            lambda found, n: step(found, n, text, probes),
             lambda found: F.coalesce(found["below"], found["sibling"]),
         )
         return F.get("nodes", number)
 
-    return followed.withColumn("end", bound("doc_text", fold))
+    def search(text: Column) -> Column:
+        if not rule.end_probe:
+            return fold(text)
+        return bound(_places(rule.end_probe), lambda probes: F.when(F.size(probes) > 0, fold(text, probes)))
+
+    return followed.withColumn("end", F.when(F.col("start").isNotNull(), bound("doc_text", search)))
 
 
 def section_boundaries(parsed: DataFrame, rule: SectionRule = ITEM_8) -> DataFrame:
