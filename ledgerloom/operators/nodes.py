@@ -11,7 +11,7 @@ of one ``doc_text``; node markup is a range of pieces of ``doc_html``, written o
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import numpy as np
@@ -129,9 +129,28 @@ def _document(fields: str, rows: list[list], pieces: list[int], names: dict[str,
     return b"".join(written)
 
 
+#: Bytes of token fields nested at a time.  The rows of a tree take many times its markup as Python objects, and a batch may
+#: hold thousands of documents, so only one part of a batch is ever spread out.
+PART = 1 << 20
+
+
+def _parts(fields: pa.Array) -> Iterator[pa.Array]:
+    """Neighbouring documents of about ``PART`` bytes together; what begins behind that is the next part's."""
+    sizes = pc.fill_null(pc.binary_length(fields), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // PART
+    starts = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(fields)]
+    return (fields.slice(start, end - start) for start, end in zip(starts, starts[1:]))
+
+
 @F.arrow_udf(TREE)
-def nested(fields: pa.Array) -> pa.Array:
+def nested(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The tree of each document's tokens, its text, and the order of the pieces of its markup."""
+    for fields in batches:
+        for part in _parts(fields):
+            yield _trees(part)
+
+
+def _trees(fields: pa.Array) -> pa.Array:
     texts, rows, pieces, names = [], [], [], []
     limits: list[list[int]] = [[0], [0], [0]]
     known: dict[str, tuple[str, str]] = {}

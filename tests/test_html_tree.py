@@ -5,10 +5,12 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import html_tokens
+from ledgerloom.operators import nodes
 from ledgerloom.operators.nodes import bound, markup_tokens, node_html, parse_html
 
 
@@ -155,3 +157,17 @@ def test_long_tags_and_texts_are_linear(spark):
     seconds(1000)
     small, large = min(seconds(40_000) for _ in range(2)), min(seconds(160_000) for _ in range(2))
     assert large < 6 * small + 1
+
+
+def test_a_batch_is_nested_in_parts(spark):
+    """A batch of many documents is spread out part by part; rows stay in order, whatever their sizes."""
+    page, large = "<p>a<b>b</b></p>" * 20, "<i>c</i>" * 20_000
+    documents = [large if i == 700 else None if i % 97 == 3 else "" if i % 89 == 5 else f"{page}<h1>{i}</h1>" for i in range(3000)]
+    fields = spark.createDataFrame([(d,) for d in documents], "d string").coalesce(1).select(html_tokens.fields(F.col("d"))).toPandas()
+    sizes = [len(trees) for trees in nodes.nested.func(iter([pa.array(fields.iloc[:, 0], pa.string()), pa.array([], pa.string())]))]
+    assert sum(sizes) == 3000 and max(sizes) < 2500 and len(sizes) > 1
+    rows = parse_html(spark.createDataFrame(list(enumerate(documents)), "k int, html string").coalesce(1)).select("k", "doc_text", F.size("nodes").alias("n"))
+    for row in rows.collect():
+        document = documents[row.k]
+        assert row.doc_text == (None if document is None else bytearray(re.sub("<[^>]*>", "", document).encode()))
+        assert row.n == (0 if document is None else 3 if document == "" else 3 + 40_000 if row.k == 700 else 3 + 80 + 2)
