@@ -370,7 +370,8 @@ def toc_table_items(spark: SparkSession, sf: str) -> DataFrame:
     ).otherwise(
         F.concat(F.lit("<table><tr><td><span>"), label, tail, F.lit("</span></td></tr></table>"))
     )
-    found = b.candidates(n.parse_html(x.scan(spark, sf, "part").select("p_partkey", html.alias("html"))))
+    parts = x.spread(x.scan(spark, sf, "part")).select("p_partkey", html.alias("html"))
+    found = b.candidates(n.parse_html(parts))
     return found.select("p_partkey", F.exists("candidates", lambda c: b.is_toc_table_item(c, F.col("doc_text"))).alias("toc_item"))
 
 

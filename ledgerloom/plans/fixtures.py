@@ -28,6 +28,7 @@ REGISTRY_PART = 100
 PAGE = 100_000
 PAGES = 3  # pages that the orders of a range of PAGE keys are dealt over, at every scale
 ORDERS_PER_DOCUMENT = 15
+PARTS_PER_CORE = 4
 
 TITLE = "Item 8. Financial Statements and Supplementary Data"
 NEXT_ITEM = "<h3>Item 9. Changes in Accountants</h3><p>tail</p>"
@@ -129,6 +130,12 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.unionAll(unknown)
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Small rows that much is made of, dealt over all cores: a table of few bytes is scanned by few tasks.  Adaptive
+    execution does not join a stated number of parts again."""
+    return frame.repartition(PARTS_PER_CORE * frame.sparkSession.sparkContext.defaultParallelism)
+
+
 def order_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order as a filing: ``custkey, orderkey, page, cik, accession, filing_date, form, primary_doc``."""
     key, customer = F.col("o_orderkey"), F.col("o_custkey")

@@ -45,3 +45,8 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
 
 def test_entry_runs(spark):
     assert contract.entry(spark).count() == 200
+
+
+def test_rows_of_a_small_table_are_dealt_over_all_cores(spark, sf_dir):
+    """A table of few bytes is one task's scan; what is made of its rows is not."""
+    assert contract.queries()["B4_toc_table_item"](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
