@@ -59,7 +59,6 @@ def _index_rows(doc: Column) -> Column:
             F.get(recent["form"], i).alias("form_type"),
             F.get(recent["filingDate"], i).alias("filing_date"),
             F.get(recent["primaryDocument"], i).alias("primary_doc"),
-            filing_year(F.get(recent["filingDate"], i)).alias("year"),
         ),
     )
 
@@ -79,6 +78,7 @@ def zip_filings(parsed: DataFrame) -> DataFrame:
         parsed.withColumn("rows", _trusted_rows())
         .select("cik", "page", F.col("doc.name").alias("company_name"), F.inline_outer("rows"))
         .filter(F.col("pos").isNotNull())
+        .withColumn("year", filing_year(F.col("filing_date")))
     )
 
 
@@ -88,6 +88,10 @@ def is_annual(form: Column) -> Column:
 
 
 ANNUAL = ("pos", "accession_number", "form_type", "filing_date", "primary_doc", "year")
+ANNUAL_ROWS = (
+    "array<struct<pos: int, accession_number: string, form_type: string, filing_date: string, primary_doc: string, "
+    "year: int, year_number: int>>"
+)
 
 
 def _numbered(rows: str) -> Column:
@@ -105,7 +109,9 @@ def _numbered(rows: str) -> Column:
         row = lambda r, n: F.struct(*[r[c].alias(c) for c in ANNUAL], n.cast("int").alias("year_number"))
         return F.zip_with(ordered, numbers, row)
 
-    by_year = F.sort_array(F.transform(rows, lambda r: F.struct(*[r[c].alias(c) for c in ("year", *ANNUAL[:-1])])))
+    by_year = F.sort_array(
+        F.transform(rows, lambda r: F.struct(filing_year(r["filing_date"]).alias("year"), *[r[c].alias(c) for c in ANNUAL[:-1]]))
+    )
     return F.get(F.transform(F.array(by_year), count), F.lit(0))
 
 
@@ -117,7 +123,9 @@ def company_index(parsed: DataFrame) -> DataFrame:
     """
     rows = parsed.withColumn("rows", _trusted_rows())
     found = rows.withColumn("found", F.filter("rows", lambda r: is_annual(r["form_type"])))
-    return found.withColumn("annual", _numbered("found")).select(
+    none = F.array().cast(ANNUAL_ROWS)  # most pages hold no annual filing
+    annual = F.when(F.size("found") == 0, none).otherwise(_numbered("found"))
+    return found.withColumn("annual", annual).select(
         "cik",
         "page",
         "doc_status",

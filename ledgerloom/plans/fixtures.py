@@ -170,37 +170,45 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     custkey = F.col("custkey")
     grouped = (
         order_filings(spark, sf_dir)
-        .groupBy("custkey", "cik", "page")
+        .groupBy("custkey", "page")
         .agg(
             F.sort_array(
                 F.collect_list(
-                    F.struct((-F.col("day")).alias("age"), "orderkey", "accession", "filing_date", "form", "primary_doc")
+                    F.struct(
+                        (-F.col("day")).alias("age"), "orderkey", "accession", "filing_date", "form", "primary_doc",
+                        (F.col("orderkey") % 2).cast("int").alias("xbrl"),
+                    )
                 )
             ).alias("rows")
         )
-    )
+        .withColumn("cik", cik_pad(custkey))
+    )
+
+    # fields of all rows at once, without a lambda a row
+    def column(name: str) -> Column:
+        return F.col(f"rows.{name}")
 
-    def column(of) -> Column:
-        return F.transform("rows", of)
+    def repeated(value) -> Column:
+        return F.array_repeat(F.lit(value), F.size("rows"))
 
     def shortened(values: Column, fault: Column) -> Column:
         return F.when(fault, F.slice(values, F.lit(1), F.size(values) - 1)).otherwise(values)
 
-    empty = column(lambda _: F.lit(""))
+    empty = repeated("")
     recent = F.struct(
-        column(lambda r: r["accession"]).alias("accessionNumber"),
-        column(lambda r: r["filing_date"]).alias("filingDate"),
-        column(lambda r: r["filing_date"]).alias("reportDate"),
-        column(lambda r: F.concat(r["filing_date"], F.lit("T00:00:00.000Z"))).alias("acceptanceDateTime"),
+        column("accession").alias("accessionNumber"),
+        column("filing_date").alias("filingDate"),
+        column("filing_date").alias("reportDate"),
+        F.transform(column("filing_date"), lambda date: F.concat(date, F.lit("T00:00:00.000Z"))).alias("acceptanceDateTime"),
         empty.alias("act"),
-        shortened(column(lambda r: r["form"]), custkey % 97 == 7).alias("form"),
+        shortened(column("form"), custkey % 97 == 7).alias("form"),
         empty.alias("fileNumber"),
         empty.alias("filmNumber"),
         empty.alias("items"),
-        column(lambda r: r["orderkey"]).alias("size"),
-        column(lambda r: (r["orderkey"] % 2).cast("int")).alias("isXBRL"),
-        column(lambda r: F.lit(0)).alias("isInlineXBRL"),
-        shortened(column(lambda r: r["primary_doc"]), custkey % 97 == 3).alias("primaryDocument"),
+        column("orderkey").alias("size"),
+        column("xbrl").alias("isXBRL"),
+        repeated(0).alias("isInlineXBRL"),
+        shortened(column("primary_doc"), custkey % 97 == 3).alias("primaryDocument"),
         empty.alias("primaryDocDescription"),
     )
     address = F.struct(

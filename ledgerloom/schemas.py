@@ -35,6 +35,14 @@ RECENT = T.StructType(
     + _lists(T.LongType(), "size")
     + _lists(T.IntegerType(), *RECENT_FLAGS)
 )
+FILINGS = T.StructType(
+    [
+        T.StructField("recent", RECENT),
+        T.StructField(
+            "files", T.ArrayType(T.StructType(_strings(*FILE_TEXTS) + [T.StructField("filingCount", T.LongType())]))
+        ),
+    ]
+)
 SUBMISSION = T.StructType(
     _strings(*COMPANY_TEXTS, *COMPANY_OPTIONAL)
     + [T.StructField(n, T.IntegerType()) for n in COMPANY_FLAGS]
@@ -45,20 +53,7 @@ SUBMISSION = T.StructType(
             T.MapType(T.StringType(), T.StructType(_strings(*ADDRESS_OPTIONAL, *ADDRESS_REQUIRED))),
         ),
         T.StructField("formerNames", T.ArrayType(T.StructType(_strings(*FORMER_NAME)))),
-        T.StructField(
-            "filings",
-            T.StructType(
-                [
-                    T.StructField("recent", RECENT),
-                    T.StructField(
-                        "files",
-                        T.ArrayType(
-                            T.StructType(_strings(*FILE_TEXTS) + [T.StructField("filingCount", T.LongType())])
-                        ),
-                    ),
-                ]
-            ),
-        ),
+        T.StructField("filings", FILINGS),
     ]
 )
 

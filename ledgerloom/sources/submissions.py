@@ -10,6 +10,8 @@ from .. import schemas as S
 from ..functions.filing import listing_status
 
 CORRUPT = "_corrupt"
+# what stands before a value that is neither text nor null
+_VALUE_MARK = r'[:,\[](?=\s*+[^"\s\]n])(?<=[,\[]|["\s]:)'
 WITH_CORRUPT = T.StructType([*S.SUBMISSION.fields, T.StructField(CORRUPT, T.StringType())])
 
 
@@ -30,10 +32,32 @@ def submissions_source(landed: DataFrame) -> DataFrame:
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     typed = landed.withColumn("doc", F.from_json("json", WITH_CORRUPT, options))
-    # the untyped document is parsed once, as the variable of an outer lambda
+    return typed.withColumn("well_typed", F.expr(f"{is_plain()} OR {by_kinds()}")).drop("json")
+
+
+def by_kinds() -> str:
+    """SQL condition on the untyped document, which is parsed once, as the variable of an outer lambda."""
     checks = ", ".join(_kind_checks("v", "$", S.SUBMISSION))
-    well_typed = f"element_at(transform(array(try_parse_json(json)), v -> forall(array({checks}), ok -> ok)), 1)"
-    return typed.withColumn("well_typed", F.expr(well_typed)).drop("json")
+    return f"element_at(transform(array(try_parse_json(json)), v -> forall(array({checks}), ok -> ok)), 1)"
+
+
+def is_plain() -> str:
+    """SQL condition that every text of a document with all mandatory fields is one, told without parsing it again.
+
+    Without escapes, quotes only delimit texts, and every value that is neither text nor null stands behind a mark of
+    its own.  Where such marks are as many as ``doc`` has lists, objects and numbers, none is left for the place of a
+    text.  False tells nothing: an unknown field may hold a number, a text may look like a mark with its value.
+    """
+    recent, files = "doc.filings.recent", "doc.filings.files"
+    fields = S.SUBMISSION.names
+    numbers = [f"size({recent}.{n})" for n in S.RECENT.names if n not in S.RECENT_TEXTS]
+    known = [
+        str(len(fields) - len(S.COMPANY_TEXTS) - len(S.COMPANY_OPTIONAL) + len(S.FILINGS.names) + len(S.RECENT.names)),
+        *numbers,
+        *[f"size({nested})" for nested in ("doc.addresses", "doc.formerNames", files, files)],  # a file holds a number
+    ]
+    marks = f"regexp_count(json, r'{_VALUE_MARK}')"
+    return f"coalesce(doc.{CORRUPT} IS NULL AND NOT contains(json, r'\\') AND {marks} = {' + '.join(known)}, false)"
 
 
 def _kind_checks(value: str, path: str, kind: T.DataType, depth: int = 0) -> list[str]:

@@ -11,7 +11,7 @@ from ledgerloom.operators import filings as f
 from ledgerloom.plans.batch import Inputs, list_filings
 from ledgerloom.sources.documents import document_place, one_per_address, wanted_documents
 from ledgerloom.sources.registry import company_source, read_registry
-from ledgerloom.sources.submissions import read_submissions, required_fields, submissions_source
+from ledgerloom.sources.submissions import WITH_CORRUPT, by_kinds, is_plain, read_submissions, required_fields, submissions_source
 
 
 def submission(rows, **changes):
@@ -114,6 +114,45 @@ def test_required_fields(spark, document, status):
     assert row.doc_status == status
 
 
+def _only_known(**changes):
+    doc = submission(K) | changes
+    del doc["unknownKey"]
+    return doc
+
+
+def test_plain_documents_are_told_without_the_untyped_parse(spark):
+    """Counting settles documents of texts in known fields, and never otherwise than the kinds of the untyped values."""
+    plain = [_only_known(), _only_known(lei=None, owner="06"), _only_known(formerNames=[{"name": "n", "from": "1990", "to": "1"}] * 2),
+             json.dumps(_only_known(), indent=1), json.dumps(_only_known(), separators=(",", ":")).replace('":', '" :')]
+    bare = [5, -1.5, True, [], {}, ["x"], {"y": "x"}, [5, "x"], ["x", None, 5], [["x"]], [None, 5]]
+    places = [["sic"], ["ein"], ["tickers"], ["addresses", "mailing", "street1"], ["addresses", "mailing", "city"],
+              ["filings", "recent", "act"], ["filings", "recent", "form", 0], ["filings", "recent", "form", 4],
+              ["filings", "files", 0, "name"]]
+    odd = [edited(place, value) for place in places for value in bare if not (place == ["tickers"] and value == [])]
+    fooling = []  # one number too few beside one too many
+    for doc in odd:
+        for at, value in ((["insiderTransactionForOwnerExists"], None), (["insiderTransactionForOwnerExists"], "1"), (["filings", "recent", "size"], [1, 1, 1, 1, "1"])):
+            copy = deepcopy(doc)
+            del copy["unknownKey"]
+            *above, last = at
+            inner = copy
+            for step in above:
+                inner = inner[step]
+            inner[last] = value
+            fooling.append(copy)
+    odd += [{k: v for k, v in doc.items() if k != "unknownKey"} for doc in odd]
+    escaped = [json.dumps(_only_known(sic=7)).replace('"sic"', '"\\u0073ic"'), json.dumps(_only_known(sic=7)) + ' "x"', "[" + json.dumps(_only_known()) + "]"]
+    for documents, settled in ((plain, True), (odd + fooling + escaped, False)):
+        typed = landed(spark, *documents).withColumn("doc", F.from_json("json", WITH_CORRUPT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+        told = required_fields(submissions_source(landed(spark, *documents))).select("page", "doc_status")
+        by_kind = required_fields(typed.withColumn("well_typed", F.expr(by_kinds()))).select("page", F.col("doc_status").alias("expected"))
+        rows = told.join(by_kind, "page").join(typed.select("page", F.expr(is_plain()).alias("plain")), "page").collect()
+        assert len(rows) == len(documents)
+        assert [r for r in rows if r.doc_status != r.expected] == []
+        if settled:
+            assert all(r.plain and r.doc_status == "ok" for r in rows)
+
+
 def test_registry_entries(spark):
     registry = {
         "2": {"ticker": "aa", "cik_str": 2},
