@@ -47,6 +47,14 @@ def resolve_tickers(requests: DataFrame, company: DataFrame) -> DataFrame:
     )
 
 
+def wanted_submissions(submissions: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The submission documents of companies that some request asks for, before any is parsed.
+
+    A semi-join on the company key, so documents of a company asked for by many requests are still parsed once.
+    """
+    return submissions.join(resolved.select("cik").distinct(), "cik", "left_semi")
+
+
 # --- filing index ----------------------------------------------------------------------------------
 def _index_rows(doc: Column) -> Column:
     """Parallel arrays -> array of rows; the accession numbers decide how many there are."""

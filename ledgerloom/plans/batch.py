@@ -67,7 +67,7 @@ class Inputs:
 
 @dataclass(frozen=True)
 class Listing:
-    """``index``: a row per submission document; ``gated``: a status per request; ``filings``: the accepted ones."""
+    """``index``: a row per submission document of an asked company; ``gated``: a status per request; ``filings``: the accepted ones."""
 
     index: DataFrame
     gated: DataFrame
@@ -77,11 +77,12 @@ class Listing:
 def list_filings(inputs: Inputs, keep: Keep = as_planned) -> Listing:
     """Tickers to companies to the annual filings of each accepted request.
 
-    The company index and the gated requests are read by several later steps; ``keep`` may store them
-    so that the submission documents are parsed once.
+    The resolved and the gated requests and the company index are read by several later steps; ``keep`` may store them
+    so that the registry and the submission documents are parsed once.
     """
-    index = keep(f.company_index(required_fields(submissions_source(inputs.submissions))), "index")
-    resolved = f.resolve_tickers(inputs.requests, company_source(inputs.registry))
+    resolved = keep(f.resolve_tickers(inputs.requests, company_source(inputs.registry)), "resolved")
+    wanted = f.wanted_submissions(inputs.submissions, resolved)
+    index = keep(f.company_index(required_fields(submissions_source(wanted))), "index")
     gated = keep(f.request_gate(resolved, f.company_summary(index)), "gated")
     filings = keep(f.requested_filings(gated, f.annual_filings(index)), "filings")
     return Listing(index, gated, filings)

@@ -26,7 +26,6 @@ from ..sources.submissions import required_fields, submissions_source
 from . import fixtures as x
 from .batch import (
     Listing,
-    as_planned,
     extract_wanted,
     list_filings,
     section_texts,
@@ -63,9 +62,8 @@ def _resolved(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _listing(spark: SparkSession, sf: str, *stored: str) -> Listing:
-    """The filing list; ``stored`` names the steps that the query reads more than once."""
-    keep = stored_in(_work(spark), *stored) if stored else as_planned
-    return list_filings(x.listing_inputs(spark, sf), keep)
+    """The filing list; ``stored`` names the steps that the query reads more than once, besides the resolved requests."""
+    return list_filings(x.listing_inputs(spark, sf), stored_in(_work(spark), "resolved", *stored))
 
 
 def _parsed(spark: SparkSession, sf: str) -> DataFrame:
@@ -216,9 +214,7 @@ def ticker_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def request_submissions(spark: SparkSession, sf: str) -> DataFrame:
-    names = submissions_source(x.submissions(spark, sf)).select(
-        "cik", F.col("page").cast("bigint").alias("page"), "http_status"
-    )
+    names = x.submission_pages(spark, sf).select("cik", F.col("page").cast("bigint").alias("page"), "http_status")
     return _resolved(spark, sf).filter(F.col("lookup_status") == "ok").join(names, "cik", "left").select(
         "request_id", "cik", "page", fil.listing_status(F.col("http_status")).alias("listing_status")
     )
@@ -478,7 +474,7 @@ RUNS = ("run-1", "run-2")
 def _saved(spark: SparkSession, sf: str) -> tuple[str, DataFrame, list[tuple[str, DataFrame]]]:
     """A folder, the extractions, and the outcomes of two runs whose tickers differ but whose years do not."""
     folder = _work(spark)
-    keep = stored_in(folder, "index", "filings", "extracted", "outcomes")
+    keep = stored_in(folder, "resolved", "index", "filings", "extracted", "outcomes")
     listing = list_filings(x.listing_inputs(spark, sf), keep)
     extracted = keep(extract_wanted(listing.filings, x.landed_documents(spark, sf)), "extracted")
     outcome = keep(o.filing_outcomes(listing.filings, extracted), "outcomes")
@@ -527,7 +523,7 @@ def saved_failures(spark: SparkSession, sf: str) -> DataFrame:
 
 def saved_raw(spark: SparkSession, sf: str) -> DataFrame:
     folder = _work(spark)
-    listing = list_filings(x.listing_inputs(spark, sf), stored_in(folder, "index", "filings"))
+    listing = list_filings(x.listing_inputs(spark, sf), stored_in(folder, "resolved", "index", "filings"))
     for i, run in enumerate(RUNS):
         filings = listing.filings.filter(F.crc32("ticker") % 2 == i)
         landed = one_per_address(wanted_documents(x.landed_documents(spark, sf), filings))

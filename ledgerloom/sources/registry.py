@@ -41,7 +41,7 @@ def company_source(landed: DataFrame) -> DataFrame:
     )
     last = rows.filter("at is not null").groupBy("document", F.col("entry.key").alias("idx")).agg(F.max("at").alias("at"))
     kept = rows.join(last.select("document", "at"), ["document", "at"], "left_semi").select(
-        "document", "doc_status", F.col("entry.key").alias("idx"), F.col("entry.value").alias("value")
+        "document", F.col("entry.key").alias("idx"), F.col("entry.value").alias("value")
     )
     ticker, cik = F.expr("variant_get(value, '$.ticker')"), F.expr("variant_get(value, '$.cik_str')")
     number = F.try_variant_get("value", "$.cik_str", "bigint")
@@ -57,7 +57,7 @@ def company_source(landed: DataFrame) -> DataFrame:
         F.when(valid, number).alias("cik"),
         F.when(cik.isNull(), "missing").when(valid, "ok").otherwise("invalid").alias("cik_state"),
         F.try_variant_get("value", "$.title", "string").alias("title"),
-        "doc_status",
+        F.lit(S.OK).alias("doc_status"),  # said, so that a search for failed documents passes entries over
     )
     failed = rows.filter(F.col("doc_status") != S.OK).select("document", "doc_status")
     return entries.unionByName(failed, allowMissingColumns=True)

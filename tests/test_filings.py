@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.filing import cik_pad, filing_year
 from ledgerloom.operators import filings as f
+from ledgerloom.plans import fixtures
 from ledgerloom.plans.batch import Inputs, list_filings
 from ledgerloom.sources.documents import document_place, one_per_address, wanted_documents
 from ledgerloom.sources.registry import company_source, read_registry
@@ -209,6 +210,32 @@ def test_newest_first_within_the_range_and_stable(spark):
     assert row.url == "https://www.sec.gov/Archives/edgar/data/0000000001/a1/d1"
 
 
+def test_only_documents_of_asked_companies_are_read(spark):
+    pages = landed(spark, submission(K)).unionAll(landed(spark, submission(K), cik="0000000002"))
+    found = listing(spark, pages, (None, None), (2021, None))
+    assert {r.cik for r in found.index.collect()} == {"0000000001"}
+    assert statuses(found) == ["ok", "ok"] and len(ranked(found)) == 5
+
+
+def test_only_asked_submissions_and_filings_are_made(spark, sf_dir):
+    """The semi-joins stand below the making of the markup, so what nobody asks for is not written."""
+    resolved = spark.createDataFrame([(1, "0000000010"), (2, "0000000010"), (3, None)], "request_id long, cik string")
+    made = fixtures.submissions(spark, sf_dir)
+    wanted = f.wanted_submissions(made, resolved)
+    assert sorted(wanted.collect()) == sorted(made.filter("cik = '0000000010'").collect()) != []
+    plan = wanted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("LeftSemi")
+    landings = fixtures.landed_documents(spark, sf_dir)
+    urls = sorted(r.url for r in landings.select("url").distinct().collect())[:5]
+    filings = landings.filter(F.col("url").isin(urls)).select("url", F.col("filing_year").alias("year"))
+    filings = filings.withColumn("cik", F.regexp_extract("url", "data/([0-9]+)/", 1))
+    documents = wanted_documents(landings, filings)
+    assert sorted({r.url for r in documents.collect()}) == urls
+    assert documents.count() == landings.filter(F.col("url").isin(urls)).count()
+    plan = documents._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("LeftSemi")
+
+
 def test_index_spread_over_pages_is_ranked_as_one(spark):
     pages = [submission([(f"p{p}-{i}", f"{2000 + (i + p) % 3}-01-01", "10-K", "d") for i in range(7)]) for p in range(3)]
     found = listing(spark, landed(spark, *pages), (None, None), (None, 2001), (2001, 2001))
