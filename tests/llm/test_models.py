@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from brute import spaced_words
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import ngram_join, ngram_lm, quality_classifier, suffix_dedup, tokens
 
@@ -126,6 +127,26 @@ def test_levels_merge_like_binary_digits(spark):
     assert found == [set(), {2, 3}, set(), {1, 4}, set()] and sorted(family.levels) == [0, 2]
 
 
+@pytest.mark.parametrize("how", ["left_semi", "inner"])
+def test_suffixes_of_a_common_head_are_dealt_over_several_tasks(spark, how):
+    skew = "spark.sql.adaptive.skewJoin."
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k"}
+    settings |= {f"{skew}skewedPartitionThresholdInBytes": "4k", f"{skew}skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        every = spark.range(0, 20_000, 1, 8).selectExpr("IF(id % 10 = 0, id, 7) AS head", "id")
+        twice = every.groupBy("head").agg(F.count("*").alias("n")).filter("n > 1").select("head")
+        found = suffix_dedup._of_heads(every, twice, how)
+        rows = found.collect()
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted(r.id for r in rows) == [i for i in range(20_000) if i % 10] and {r.head for r in rows} == {7}
+
+
 def model_scores(rows, prior):
     texts, trained = {}, []
     for i, text in rows:
